@@ -63,12 +63,13 @@ def t_quantile(level: float, df: int) -> float:
 def t_half_width(level: float, df: Column) -> Column:
     """Student t half width; beyond the table the usual expansion about the normal value."""
     table = F.array(*[F.lit(t_quantile(level, k)) for k in range(1, T_TABLE_SIZE + 1)])
-    z = F.lit(_normal_half_width(level))
+    z = _normal_half_width(level)
+    large = F.greatest(df, F.lit(T_TABLE_SIZE))
     expanded = (
         z
-        + (z**3 + z) / (4 * df)
-        + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
-        + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
+        + (z**3 + z) / 4 / large
+        + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / large**2
+        + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / large**3
     )
     return F.when((df >= 1) & (df <= T_TABLE_SIZE), F.get(table, (df - 1).cast("int"))).when(
         df > T_TABLE_SIZE, expanded
