@@ -211,33 +211,30 @@ def snapshot_triangle_full_weeks(
         .withColumn("delay", F.explode(F.sequence(F.lit(1), F.lit(d_max))))
     )
     unknown = weeks.add_weeks(F.col("dt_event"), F.col("delay")) > F.col("_last")
-    columns = [*series_cols, "dt_event", "delay", "_exact", "_rank", "Y"]
+    columns = [*series_cols, "dt_event", "Time", "delay", "_exact", "_rank", "Y"]
+    time = weeks.weeks_between(F.col("dt_event"), F.col("_first")) + 1
     fill = grid.withColumns(
         {
             "_exact": F.col("delay").cast("double"),
             "_rank": F.when(unknown, 2).otherwise(3),
             "Y": F.when(unknown, F.lit(None)).otherwise(F.lit(0)).cast("long"),
+            "Time": time,
         }
     ).select(*columns)
     observed = (
         attach(steps, calendars, series_cols)
         .filter(F.col("dt_event").between(F.col("_first"), F.col("_last")))
         .withColumns(
-            {"_exact": F.col("delay"), "delay": F.floor("delay").cast("int"), "_rank": F.lit(1)}
+            {
+                "_exact": F.col("delay"), "delay": F.floor("delay").cast("int"),
+                "_rank": F.lit(1), "Time": time,
+            }
         )
         .filter(F.col("delay").between(0, d_max))
         .select(*columns)
     )
-    first_row = Window.partitionBy(*series_cols, "dt_event", "delay").orderBy("_rank", "_exact")
+    first_row = F.min_by("Y", F.struct("_rank", "_exact")).alias("Y")
     cells = (
-        observed.unionByName(fill)
-        .withColumn("_n", F.row_number().over(first_row))
-        .filter(F.col("_n") == 1)
+        observed.unionByName(fill).groupBy(*series_cols, "dt_event", "Time", "delay").agg(first_row)
     )
-    cells = attach(cells, calendars, series_cols).withColumns(
-        {
-            "Y": _not_negative(),
-            "Time": weeks.weeks_between(F.col("dt_event"), F.col("_first")) + 1,
-        }
-    )
-    return _merge_first_delays(cells, series_cols)
+    return _merge_first_delays(cells.withColumn("Y", _not_negative()), series_cols)

@@ -69,11 +69,11 @@ bd AS (SELECT g, min(onset_week) AS f, (max(onset_week) - min(onset_week)) // 7
        FROM cells GROUP BY g),
 grid AS (
   SELECT g, f, last_time, t, d, age_class
-  FROM (SELECT g, f, last_time, unnest(range(1, last_time + {k} + 1)) AS t FROM bd),
-       (SELECT unnest(range(0, {d_max + 1})) AS d)
-  JOIN (SELECT DISTINCT g, age_class FROM cells) USING (g)),
+  FROM (SELECT g, f, last_time, unnest(range(1, last_time + {k} + 1)) AS t FROM bd)
+  JOIN (SELECT DISTINCT g, age_class FROM cells) USING (g),
+       (SELECT unnest(range(0, {d_max + 1})) AS d)),
 tri AS (
-  SELECT g, CAST(t AS INTEGER) AS "Time", f + CAST((t - 1) * 7 AS INTEGER) AS dt_event,
+  SELECT grid.g, CAST(t AS INTEGER) AS "Time", f + CAST((t - 1) * 7 AS INTEGER) AS dt_event,
          CAST(d AS INTEGER) AS delay, grid.age_class, last_time,
          CASE WHEN t + d <= last_time THEN coalesce(n, 0) END AS "Y"
   FROM grid LEFT JOIN cells
