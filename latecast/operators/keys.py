@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A per-series table of scalars up to this many rows (tens of MB) may be broadcast.
@@ -48,3 +48,14 @@ def attach_sized(df: DataFrame, scalars: DataFrame, series_cols: Sequence[str])
     if scalars.count() <= BROADCAST_ROWS:
         scalars = F.broadcast(scalars)
     return join_on(df, scalars, series_cols)
+
+
+def beside(df: DataFrame, series_cols: Sequence[str], **aggregates: Column) -> DataFrame:
+    """Per-series aggregates of ``df`` beside its own rows, as a window over the series.
+
+    Only for tables whose rows per series are bounded by calendar, age classes and draws, whatever
+    the size of the line list: a series is one group of one task here. Unlike a join with its own
+    aggregate this does not double the plan, and later groupings by series need no shuffle.
+    """
+    series = Window.partitionBy(*series_cols) if series_cols else Window.partitionBy(F.lit(0))
+    return df.withColumns({name: column.over(series) for name, column in aggregates.items()})

@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latecast.functions.stats import half_even
-from latecast.operators.keys import attach, join_on
+from latecast.functions import weeks
+from latecast.operators.keys import attach, beside, join_on
 from latecast.operators.summary import cap_upper_limits, report_summary
-from latecast.operators.trend import trend
+from latecast.operators.trend import trends
+
+
+def _group(series_cols: Sequence[str]) -> list:
+    """Window partition of weekly tables, whose rows per series are calendar weeks."""
+    return list(series_cols) or [F.lit(0)]
 
 
 def report_table(
@@ -22,9 +28,8 @@ def report_table(
     out the ``cut`` weeks that are still filling up; ``rolling_average`` is centred over three.
     """
     keys = [*series_cols, "dt_event"]
-    last = observed.groupBy(*series_cols).agg(F.max("dt_event").alias("_last"))
-    rows = attach(
-        join_on(observed, summary, keys, "left"), last, series_cols
+    rows = beside(
+        join_on(observed, summary, keys, "left"), series_cols, _last=F.max("dt_event")
     ).withColumns(
         {
             "full_estimate": F.coalesce(F.col("Median"), F.col("n").cast("double")),
@@ -38,19 +43,22 @@ def report_table(
 
 def fill_calendar(observed: DataFrame, *, series_cols: Sequence[str] = ()) -> DataFrame:
     """Weekly counts with the empty weeks between first and last put in as 0."""
-    keys = [*series_cols, "dt_event"]
-    calendar = observed.groupBy(*series_cols).agg(
-        F.min("dt_event").alias("_first"), F.max("dt_event").alias("_last")
-    ).filter(F.col("_first").isNotNull()).select(
-        *series_cols,
-        F.explode(F.sequence("_first", "_last", F.expr("interval 7 days"))).alias("dt_event"),
+    order = Window.partitionBy(*_group(series_cols)).orderBy("dt_event")
+    last_of_gap = F.coalesce(F.date_sub(F.lead("dt_event").over(order), 7), F.col("dt_event"))
+    spans = observed.withColumn("_until", last_of_gap)
+    return spans.select(
+        *series_cols, "n",
+        F.posexplode(weeks.week_sequence(F.col("dt_event"), F.col("_until"))).alias(
+            "_pos", "dt_event"
+        ),
+    ).select(
+        *series_cols, "dt_event", F.when(F.col("_pos") == 0, F.col("n")).otherwise(0).alias("n")
     )
-    return join_on(calendar, observed, keys, "left").fillna(0, ["n"])
 
 
 def rolling_average(df: DataFrame, value: str, *, series_cols: Sequence[str] = ()) -> DataFrame:
     """Centred three-week mean, rounded half to even; NULL at both ends."""
-    frame = Window.partitionBy(*series_cols).orderBy("dt_event").rowsBetween(-1, 1)
+    frame = Window.partitionBy(*_group(series_cols)).orderBy("dt_event").rowsBetween(-1, 1)
     mean = F.when(F.count(F.lit(1)).over(frame) == 3, F.avg(value).over(frame))
     full = F.count(value).over(frame) == 3
     return df.withColumn("rolling_average", half_even(F.when(full, mean)))
@@ -91,24 +99,23 @@ def rolling_trends(
     spliced: DataFrame, *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
     """Three- and six-week trends at the last 9 and 17 weeks."""
-    keys = [*series_cols, "dt_event"]
+    scores = trends(spliced, {3: 8, 6: 16}, series_cols=series_cols)
 
-    def scores(window: int, rolling: int, name: str) -> DataFrame:
-        return trend(spliced, window=window, rolling=rolling, series_cols=series_cols).select(
-            *series_cols, F.col("end_week").alias("dt_event"), F.col("score").alias(name)
-        )
+    def of(window: int):
+        return F.max(F.when(F.col("window") == window, F.col("score")))
 
-    return join_on(scores(6, 16, "trend_6w"), scores(3, 8, "trend_3w"), keys, "left")
+    return scores.groupBy(*series_cols, F.col("end_week").alias("dt_event")).agg(
+        of(6).alias("trend_6w"), of(3).alias("trend_3w")
+    )
 
 
 def dispersion_check(
     summary: DataFrame, *, limit: float = 20, series_cols: Sequence[str] = ()
 ) -> DataFrame:
     """Per series: is the upper limit of the last week below ``limit`` times median plus one?"""
-    last = summary.groupBy(*series_cols).agg(F.max("dt_event").alias("_last"))
     calm = F.col("LS") / (F.col("Median") + 1) < limit
     return (
-        attach(summary, last, series_cols)
+        beside(summary, series_cols, _last=F.max("dt_event"))
         .filter(F.col("dt_event") == F.col("_last"))
         .groupBy(*series_cols)
         .agg(F.bool_and(calm).alias("consistent"))
@@ -118,16 +125,15 @@ def dispersion_check(
 def bridge_row(report: DataFrame, *, series_cols: Sequence[str] = ()) -> DataFrame:
     """Lets the estimate start at the last reported point: the week before the first estimate gets
     its reported count as median. Weeks after the last estimate are dropped."""
-    order = Window.partitionBy(*series_cols).orderBy("dt_event")
-    bounds = report.groupBy(*series_cols).agg(
-        F.max(F.when(F.col("Median").isNotNull(), F.col("dt_event"))).alias("_last")
-    )
+    order = Window.partitionBy(*_group(series_cols)).orderBy("dt_event")
+    last = F.max(F.when(F.col("Median").isNotNull(), F.col("dt_event")))
     before = F.col("Median").isNull() & F.lead("Median").over(order).isNotNull()
-    bridged = report.withColumn(
-        "Median", F.when(before, F.col("n").cast("double")).otherwise(F.col("Median"))
-    )
+    median = F.when(before, F.col("n").cast("double")).otherwise(F.col("Median"))
     return (
-        attach(bridged, bounds, series_cols).filter(F.col("dt_event") <= F.col("_last")).drop("_last")
+        beside(report, series_cols, _last=last)
+        .withColumn("Median", median)
+        .filter(F.col("dt_event") <= F.col("_last"))
+        .drop("_last")
     )
 
 
@@ -143,5 +149,5 @@ def situation_report(
     table = report_table(summary, weekly, series_cols=series_cols)
     # The earliest trend window reaches 16 + 5 weeks back.
     spliced = splice_history(drawn, weekly, series_cols=series_cols, weeks_back=22)
-    trends = rolling_trends(spliced, series_cols=series_cols)
-    return join_on(table, trends, keys, "left")
+    scores = rolling_trends(spliced, series_cols=series_cols)
+    return join_on(table, scores, keys, "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from latecast.functions.stats import LIMITS, REPORT_LIMITS, half_even, named, quantiles
 from latecast.functions.strata import total_label
-from latecast.operators.keys import attach, join_on
+from latecast.operators.keys import beside, join_on
 
 
 def weekly_summary(
@@ -70,9 +70,8 @@ def totals_with_history(
     ``current`` holds known counts (dt_event, age_class, n); its weeks up to ``d_max`` weeks before
     the last one are settled and added to the drawn weeks.
     """
-    last = current.groupBy(*series_cols).agg(F.max("dt_event").alias("_last"))
     settled = (
-        attach(current, last, series_cols)
+        beside(current, series_cols, _last=F.max("dt_event"))
         .filter(F.col("dt_event") <= F.date_sub("_last", 7 * d_max))
         .drop("_last")
     )

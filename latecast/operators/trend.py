@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latecast.functions.stats import TREND_LIMITS, named, quantiles, t_half_width, trend_score
-from latecast.operators.keys import attach
+from latecast.operators.keys import beside
 
 
 def trend(
@@ -29,43 +29,59 @@ def trend(
     missing week starts at the first of all weeks. With several draws the limits are quantiles of
     the slopes per draw, with one draw confidence limits of its regression line.
     """
-    if window < 2:
-        raise ValueError("window must be at least 2 weeks")
-    span = 7 * (window - 1)
+    scored = trends(drawn, {window: rolling}, end_week=end_week, series_cols=series_cols)
+    return scored.drop("window")
+
+
+def trends(
+    drawn: DataFrame,
+    windows: dict[int, int],
+    *,
+    end_week: dt.date | str | None = None,
+    series_cols: Sequence[str] = (),
+) -> DataFrame:
+    """Several window lengths in one pass: ``windows`` maps a length to its ``rolling``."""
+    if min(windows) < 2:
+        raise ValueError("a window must be at least 2 weeks")
     last = F.lit(end_week).cast("date") if end_week is not None else F.max("dt_event")
-    weeks_of = drawn.groupBy(*series_cols).agg(
-        F.array_sort(F.collect_set("dt_event")).alias("days"), last.alias("_end")
-    )
 
-    def window_of(end: Column) -> Column:
-        base = F.date_sub(end, span)
-        known = F.array_contains("days", base)
-        return F.struct(
-            end.alias("end"), F.when(known, base).otherwise(F.col("days")[0]).alias("base")
-        )
+    def windows_of(length: int, rolling: int) -> Column:
+        span = 7 * (length - 1)
+
+        def window_of(end: Column) -> Column:
+            base = F.date_sub(end, span)
+            known = F.array_contains("_days", base)
+            start = F.when(known, base).otherwise(F.array_min("_days"))
+            return F.struct(F.lit(length).alias("window"), end.alias("end"), start.alias("base"))
 
-    if rolling:
-        ends = F.filter(
-            "days", lambda d: d.between(F.date_sub("_end", 7 * rolling), F.col("_end"))
-        )
-    else:
         ends = F.array(F.col("_end"))
-    windows = weeks_of.select(*series_cols, F.transform(ends, window_of).alias("windows"))
-    # At most ``rolling`` + 1 windows per series travel with a row; it keeps those it lies in.
-    day = F.col("dt_event")
-    points = attach(drawn, windows, series_cols).select(
-        *series_cols, "draw", "dt_event", "Y",
-        F.explode(
-            F.filter("windows", lambda w: day.between(w["base"], w["end"]))
-        ).alias("w"),
+        if rolling:
+            ends = F.filter(
+                "_days", lambda d: d.between(F.date_sub("_end", 7 * rolling), F.col("_end"))
+            )
+        return F.transform(ends, window_of)
+
+    # Windows belong to a series, so they are made once per series and week, not per draw.
+    calendar = drawn.groupBy(*series_cols, "dt_event").agg(
+        F.collect_list(F.struct("draw", "Y")).alias("_draws")
     )
-    return _score(
-        points.select(
-            *series_cols, "draw", "dt_event", "Y",
-            F.col("w.end").alias("end_week"), F.col("w.base").alias("base_week"),
-        ),
-        [*series_cols, "end_week"],
+    day = F.col("dt_event")
+    points = (
+        beside(calendar, series_cols, _days=F.collect_set("dt_event"), _end=last)
+        .withColumn("_w", F.concat(*[windows_of(n, r) for n, r in windows.items()]))
+        .withColumn(
+            "_w", F.explode(F.filter("_w", lambda w: day.between(w["base"], w["end"])))
+        )
+        .select(
+            *series_cols, "dt_event",
+            F.col("_w.window").alias("window"),
+            F.col("_w.end").alias("end_week"),
+            F.col("_w.base").alias("base_week"),
+            F.explode("_draws").alias("_d"),
+        )
+        .select(*series_cols, "dt_event", "window", "end_week", "base_week", "_d.*")
     )
+    return _score(points, [*series_cols, "window", "end_week"])
 
 
 def _score(points: DataFrame, keys: list[str]) -> DataFrame:

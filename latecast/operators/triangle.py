@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latecast.functions import weeks
-from latecast.operators.keys import attach, join_on
+from latecast.operators.keys import beside, join_on
 from latecast.operators.weekly import WeekRule, weekly_counts
 
 D_MAX = 15
@@ -19,15 +19,10 @@ def windowed_cells(
     cells: DataFrame, *, d_max: int, window: int, series_cols: Sequence[str] = ()
 ) -> DataFrame:
     """The cells the model sees: the last ``window`` + 1 onset weeks, delays up to ``d_max``."""
-    last = cells.groupBy(*series_cols).agg(
-        F.max(F.when(F.col("n") > 0, F.col("onset_week"))).alias("_last_week")
-    )
-    inside = (F.col("onset_week") >= F.date_sub("_last_week", 7 * window)) & (
-        F.col("delay") <= d_max
-    )
     return (
-        attach(cells, last, series_cols)
-        .filter(F.coalesce(inside, F.lit(False)))
+        beside(cells, series_cols, _last_week=F.max("onset_week"))
+        .filter(F.col("onset_week") >= F.date_sub("_last_week", 7 * window))
+        .filter(F.col("delay") <= d_max)
         .drop("_last_week")
     )
 
@@ -44,40 +39,71 @@ def delay_triangle(
 
     Time counts weeks from 1. Y is NULL where Time + delay passes the last onset week, 0 where a
     knowable cell has no rows. ``rule.horizon`` weeks of NULL cells follow the last onset week.
+
+    The known cells of a series, at most (window + 1) x (d_max + 1) x classes, are gathered, laid
+    over an empty grid and added up: no join, and no shuffle after the one by series.
     """
     cells = windowed_cells(
         weekly_counts(days, series_cols=series_cols, rule=rule),
         d_max=d_max, window=window, series_cols=series_cols,
     )
     by_age = "age_class" in days.columns
-    bounds = [
-        F.min(F.when(F.col("n") > 0, F.col("onset_week"))).alias("first_week"),
-        F.max("onset_week").alias("last_week"),
-    ]
-    if by_age:
-        bounds.append(F.collect_set("age_class").alias("classes"))
-    grid = (
+    age = ["age_class"] if by_age else []
+    first, last = F.col("_first_week"), F.col("_last_week")
+    gathered = (
         cells.groupBy(*series_cols)
-        .agg(*bounds)
-        .filter(F.col("first_week").isNotNull())
-        .withColumn("_last_time", weeks.weeks_between(F.col("last_week"), F.col("first_week")) + 1)
-        .withColumn("Time", F.explode(F.sequence(F.lit(1), F.col("_last_time") + rule.horizon)))
-        .withColumn("onset_week", weeks.add_weeks(F.col("first_week"), F.col("Time") - 1))
-        .withColumn("delay", F.explode(F.sequence(F.lit(0), F.lit(d_max))))
+        .agg(
+            F.min("onset_week").alias("_first_week"),
+            F.max("onset_week").alias("_last_week"),
+            F.collect_set("age_class" if by_age else F.lit(0)).alias("_classes"),
+            F.collect_list(F.struct("onset_week", "delay", *age, "n")).alias("_cells"),
+        )
+        .filter(first.isNotNull())
+        .withColumn("_last_time", weeks.weeks_between(last, first) + 1)
+    )
+
+    def cell(time, delay, age_class, n):
+        parts = [time.alias("Time"), delay.alias("delay")]
+        if by_age:
+            parts.append(age_class.alias("age_class"))
+        return F.struct(*parts, n.alias("n"))
+
+    known = F.transform(
+        "_cells",
+        lambda c: cell(
+            weeks.weeks_between(c["onset_week"], first) + 1, c["delay"],
+            c["age_class"] if by_age else None, c["n"],
+        ),
+    )
+    empty = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.col("_last_time") + rule.horizon),
+            lambda t: F.flatten(
+                F.transform(
+                    F.sequence(F.lit(0), F.lit(d_max)),
+                    lambda d: F.transform(
+                        "_classes", lambda a: cell(t, d, a, F.lit(0).cast("long"))
+                    ),
+                )
+            ),
+        )
+    )
+    filled = (
+        gathered.select(
+            *series_cols, "_first_week", "_last_time", F.explode(F.concat(known, empty)).alias("c")
+        )
+        .select(*series_cols, "_first_week", "_last_time", "c.*")
+        .groupBy(*series_cols, "_first_week", "_last_time", "Time", "delay", *age)
+        .agg(F.sum("n").alias("n"))
     )
-    age = []
-    if by_age:
-        age = ["age_class"]
-        grid = grid.withColumn("age_class", F.explode("classes"))
-    filled = join_on(grid, cells, [*series_cols, "onset_week", "delay", *age], "left")
     knowable = F.col("Time") + F.col("delay") <= F.col("_last_time")
     return filled.select(
         *series_cols,
-        F.col("onset_week").alias("dt_event"),
+        weeks.add_weeks(first, F.col("Time") - 1).alias("dt_event"),
         "Time",
         "delay",
         *age,
-        F.when(knowable, F.coalesce(F.col("n"), F.lit(0))).alias("Y"),
+        F.when(knowable, F.col("n")).alias("Y"),
     )
 
 
@@ -126,9 +152,8 @@ def integer_week_triangle(
 
 def recent(df: DataFrame, days_back: int, *, series_cols: Sequence[str] = ()) -> DataFrame:
     """Rows whose ``dt_event`` lies within ``days_back`` days of the last one of their series."""
-    last = df.groupBy(*series_cols).agg(F.max("dt_event").alias("_last_event"))
     return (
-        attach(df, last, series_cols)
+        beside(df, series_cols, _last_event=F.max("dt_event"))
         .filter(F.col("dt_event") >= F.date_sub("_last_event", days_back))
         .drop("_last_event")
     )
@@ -152,24 +177,19 @@ def triangle_long(wide: DataFrame, *, series_cols: Sequence[str] = ()) -> DataFr
     return long.withColumn("delay", F.substring("delay", 2, 9).cast("int"))
 
 
-def first_unknown_week(triangle: DataFrame, *, series_cols: Sequence[str] = ()) -> DataFrame:
-    return triangle.groupBy(*series_cols).agg(
-        F.min(F.when(F.col("Y").isNull(), F.col("Time"))).alias("first_unknown")
-    )
-
-
 def observed_from_first_unknown(
     triangle: DataFrame, *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
     """What is already reported in the weeks that the nowcast will complete."""
+    unknown = F.max(F.col("Y").isNull()).alias("_unknown")
     weekly = triangle.groupBy(*series_cols, "Time", "dt_event").agg(
-        F.coalesce(F.sum("Y"), F.lit(0)).alias("observed")
+        F.coalesce(F.sum("Y"), F.lit(0)).alias("observed"), unknown
     )
-    start = first_unknown_week(triangle, series_cols=series_cols)
+    start = F.min(F.when(F.col("_unknown"), F.col("Time")))
     return (
-        attach(weekly, start, series_cols)
-        .filter(F.col("Time") >= F.col("first_unknown"))
-        .drop("first_unknown")
+        beside(weekly, series_cols, _start=start)
+        .filter(F.col("Time") >= F.col("_start"))
+        .drop("_start", "_unknown")
     )
 
 

@@ -14,6 +14,7 @@ from latecast.functions import strata, text, weeks
 from latecast.operators import (
     curves, draws, model, report, snapshots, summary, trend, triangle, weekly,
 )
+from latecast.operators.keys import attach
 from latecast.operators.model import ModelSpec, Prior
 from latecast.operators.weekly import WeekRule
 from latecast.plans import situation, tables
@@ -364,7 +365,7 @@ def phase_label(spark, sf):
     table = _triangle(spark, sf, rule=WeekRule(horizon=2))
     last = table.filter(F.col("Y").isNotNull()).agg(F.max("Time").alias("last_time"))
     rows = table.groupBy("Time", "dt_event").agg(F.count("Y").alias("known"))
-    return curves.phase(report.attach(rows, last, ()), "last_time").drop("last_time")
+    return curves.phase(attach(rows, last, ()), "last_time").drop("last_time")
 
 
 # Model runs: no SQL equivalent, the tests check their properties.
