@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,9 +61,15 @@ def t_quantile(level: float, df: int) -> float:
     return (low + high) / 2
 
 
+@lru_cache
+def _t_table(level: float) -> str:
+    widths = (f"{t_quantile(level, k)!r}D" for k in range(1, T_TABLE_SIZE + 1))
+    return f"array({', '.join(widths)})"
+
+
 def t_half_width(level: float, df: Column) -> Column:
     """Student t half width; beyond the table the usual expansion about the normal value."""
-    table = F.array(*[F.lit(t_quantile(level, k)) for k in range(1, T_TABLE_SIZE + 1)])
+    table = F.expr(_t_table(level))
     z = _normal_half_width(level)
     large = F.greatest(df, F.lit(T_TABLE_SIZE))
     expanded = (
@@ -76,6 +83,7 @@ def t_half_width(level: float, df: Column) -> Column:
     )
 
 
+@lru_cache
 def _normal_half_width(level: float) -> float:
     low, high = 0.0, 10.0
     for _ in range(200):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,9 +12,15 @@ from pyspark.sql import functions as F
 
 from latecast.functions import weeks
 from latecast.operators.keys import attach, join_on
-from latecast.operators.model import ETA_LIMIT, ModelSpec, keep_chance, log_likelihood
+from latecast.operators.model import (
+    ETA_LIMIT, ModelSpec, cell_terms, keep_chance, log_constant, log_likelihood,
+)
+
+# How far (in log weight) a draw may fall behind the Gaussian approximation before it can be lost.
+SLACK = 1.0
 
 _POINT = ("share", "theta", "centre", "factor", "common")
+_STATE = ("weeks", "delays", "width", "missing", "seen", "seen_y", "observed")
 
 
 def _points(posterior: DataFrame, spec: ModelSpec, series_cols: Sequence[str]) -> DataFrame:
@@ -37,35 +44,97 @@ def _points(posterior: DataFrame, spec: ModelSpec, series_cols: Sequence[str]) -
     )
 
 
-def _effects(rng, share, shape, first_kept, centre, factor, common):
-    """Draws of eta for every class, kept week and delay."""
-    classes, weeks_kept, delays, width = shape
-    centre = centre.reshape(classes, -1)
-    factor = factor.reshape(classes, -1, width)
-    common = common.reshape(classes, -1)
-    free = rng.standard_normal((classes, share, width))
-    effect = centre[:, None, :] + free @ factor.transpose(0, 2, 1)
-    effect += rng.standard_normal((share, 1)) * common[:, None, :]
-    by_week = effect[:, :, :1] + effect[:, :, 1 : 1 + weeks_kept]
-    return by_week, effect[:, :, 1 + weeks_kept :]
-
-
-def draw_weeks(share, theta, centre, factor, common, seed, n_weeks, delays, width, kept, missing,
-               observed, n_classes, kind):
-    """(draw, class x week) counts of one point: known part plus drawn part of each week."""
-    rng = np.random.default_rng(seed & 0xFFFFFFFFFFFFFFFF)
-    shape = (n_classes, n_weeks - kept, delays, width)
-    by_week, by_delay = _effects(rng, share, shape, kept, centre, factor, common)
-    a, t, d = np.unravel_index(missing, (n_classes, n_weeks, delays))
-    eta = np.clip(by_week[a, :, t - kept] + by_delay[a, :, d], -ETA_LIMIT, ETA_LIMIT)
-    size = np.exp(theta[0])
-    drawn = rng.poisson(rng.gamma(size, np.exp(eta) / size))
-    if kind:
-        drawn *= rng.random(eta.shape) < keep_chance(eta, theta[3], kind)
-    first = t.min() if len(t) else n_weeks
-    total = np.zeros((n_classes * (n_weeks - first), share), dtype=np.int64)
-    np.add.at(total, a * (n_weeks - first) + t - first, drawn)
-    return (total + np.asarray(observed, dtype=np.int64)[:, None]).T
+@dataclass
+class Point:
+    """One quadrature point of one series, ready to draw from."""
+
+    share: int
+    theta: np.ndarray
+    centre: np.ndarray
+    factor: np.ndarray
+    common: np.ndarray
+    weeks: int
+    delays: int
+    width: int
+    missing: np.ndarray
+    seen: np.ndarray
+    seen_y: np.ndarray
+    observed: np.ndarray
+    classes: int
+    seed: int
+
+    def __post_init__(self):
+        self.rng = np.random.default_rng(self.seed & 0xFFFFFFFFFFFFFFFF)
+        self.centre = self.centre.reshape(self.classes, -1)
+        self.factor = self.factor.reshape(self.classes, -1, self.width)
+        self.common = self.common.reshape(self.classes, -1)
+
+    def eta(self, effect, cells):
+        """Effects (class, draw, coordinate) -> eta (cell, draw) of the numbered cells."""
+        a, t, d = np.unravel_index(cells, (self.classes, self.weeks, self.delays))
+        level, week, delay = effect[a, :, 0], effect[a, :, 1 + t], effect[a, :, 1 + self.weeks + d]
+        return np.clip(level + week + delay, -ETA_LIMIT, ETA_LIMIT)
+
+    def effects(self, kind):
+        """Draws of the effects. A Gaussian around the mode is too generous where counts are few:
+        draws that the known cells contradict are replaced by others of their class."""
+        free = self.rng.standard_normal((self.classes, self.share, self.width))
+        effect = self.centre[:, None, :] + free @ self.factor.transpose(0, 2, 1)
+        effect += self.rng.standard_normal((self.share, 1)) * self.common[:, None, :]
+        y = np.asarray(self.seen_y, dtype=float)[:, None]
+        counts, of = np.unique(y, return_inverse=True)
+        constant = log_constant(counts, np.exp(self.theta[0]))[of].reshape(y.shape)
+        mode = self.eta(self.centre[:, None, :], self.seen)
+        value, slope, bend = cell_terms(y, mode, self.theta, kind, constant)
+        eta = self.eta(effect, self.seen)
+        inflation = self.theta[3] if kind else None
+        gap = log_likelihood(y, eta, np.exp(self.theta[0]), inflation, kind, constant) - value
+        step = eta - mode
+        gap += step * (0.5 * bend * step - slope)
+        weight = np.zeros((self.classes, self.share))
+        np.add.at(weight, self.seen // (self.weeks * self.delays), gap)
+        stays = np.log(self.rng.random(weight.shape)) < weight + SLACK
+        for a in np.flatnonzero(~stays.all(axis=1)):
+            good = np.flatnonzero(stays[a])
+            if len(good) == 0:
+                good = weight[a].argmax(keepdims=True)
+            bad = np.flatnonzero(~stays[a])
+            effect[a, bad] = effect[a, self.rng.choice(good, len(bad))]
+        return effect
+
+    def weekly(self, kind):
+        """(draw, class x week) counts: known part plus drawn part of each unfinished week."""
+        eta = self.eta(self.effects(kind), self.missing)
+        size = np.exp(self.theta[0])
+        drawn = self.rng.poisson(self.rng.gamma(size, np.exp(eta) / size))
+        if kind:
+            drawn *= self.rng.random(eta.shape) < keep_chance(eta, self.theta[3], kind)
+        a, t, _ = np.unravel_index(self.missing, (self.classes, self.weeks, self.delays))
+        first = t.min()
+        total = np.zeros((self.classes * (self.weeks - first), self.share), dtype=np.int64)
+        np.add.at(total, a * (self.weeks - first) + t - first, drawn)
+        return (total + np.asarray(self.observed, dtype=np.int64)[:, None]).T
+
+    def log_likelihoods(self, kind):
+        """(draw, cell) over the known cells."""
+        eta = self.eta(self.effects(kind), self.seen)
+        y = np.asarray(self.seen_y, dtype=float)[:, None]
+        inflation = self.theta[3] if kind else None
+        return log_likelihood(y, eta, np.exp(self.theta[0]), inflation, kind).T
+
+
+def _per_point(method: str, kind: str | None, result: str):
+    """Pandas UDF over the columns of a point that returns one list per draw."""
+
+    def run(*columns: pd.Series) -> pd.Series:
+        with np.errstate(all="ignore"):
+            return pd.Series([list(getattr(Point(*row), method)(kind)) for row in zip(*columns)])
+
+    return F.pandas_udf(run, f"array<array<{result}>>")
+
+
+def _point_columns() -> list:
+    return [*[f"p.{c}" for c in _POINT], *_STATE, F.size("classes"), "seed"]
 
 
 def trajectories(
@@ -80,32 +149,13 @@ def trajectories(
     Starts at the first week with an unknown cell. Every task draws from the points it holds: the
     fitted state is never shuffled, and a week's cells are summed before they leave Python.
     """
-    kind = spec.zero_inflation
-
-    def draw(
-        share: pd.Series, theta: pd.Series, centre: pd.Series, factor: pd.Series,
-        common: pd.Series, seed: pd.Series, n_weeks: pd.Series, delays: pd.Series,
-        width: pd.Series, kept: pd.Series, missing: pd.Series, observed: pd.Series,
-        n_classes: pd.Series,
-    ) -> pd.Series:
-        rows = zip(share, theta, centre, factor, common, seed, n_weeks, delays, width, kept,
-                   missing, observed, n_classes)
-        return pd.Series([list(draw_weeks(*row, kind)) for row in rows])
-
-    draw.__annotations__ = {
-        **{k: pd.Series for k in ("share", "theta", "centre", "factor", "common", "seed",
-                                  "n_weeks", "delays", "width", "kept", "missing", "observed",
-                                  "n_classes")},
-        "return": pd.Series,
-    }
-    run = F.pandas_udf(draw, "array<array<bigint>>")
+    run = _per_point("weekly", spec.zero_inflation, "bigint")
     rows = _points(posterior, spec, series_cols).filter(F.size("missing") > 0)
     drawn = rows.select(
         *series_cols, "first_week", "first_time", "classes", "first_draw",
         (F.size("observed") / F.size("classes")).cast("int").alias("n_out"),
         (F.col("weeks") - F.size("observed") / F.size("classes")).cast("int").alias("skipped"),
-        run(*[f"p.{c}" for c in _POINT], "seed", "weeks", "delays", "width", "first_kept",
-            "missing", "observed", F.size("classes")).alias("draws"),
+        run(*_point_columns()).alias("draws"),
     )
     lines = drawn.select(
         *series_cols, "first_week", "first_time", "classes", "n_out", "skipped", "first_draw",
@@ -141,37 +191,12 @@ def blank_zero_strata(
 
 
 def cell_log_likelihood(
-    posterior: DataFrame, spec: ModelSpec, *, series_cols: Sequence[str] = ()
+    posterior: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """(series, cell, draw, loglik) over the known cells; needs a fit with ``scores=True``."""
-    if not spec.scores:
-        raise ValueError("fit with ModelSpec(scores=True) to score the model")
-    kind = spec.zero_inflation
-
-    def score(share, theta, centre, factor, common, seed, n_weeks, delays, width, kept, seen,
-              seen_y, n_classes):
-        out = []
-        for sh, th, ce, fa, co, sd, nw, de, wi, ke, se, sy, nc in zip(
-            share, theta, centre, factor, common, seed, n_weeks, delays, width, kept, seen,
-            seen_y, n_classes,
-        ):
-            rng = np.random.default_rng(sd & 0xFFFFFFFFFFFFFFFF)
-            by_week, by_delay = _effects(rng, sh, (nc, nw - ke, de, wi), ke, ce, fa, co)
-            a, t, d = np.unravel_index(se, (nc, nw, de))
-            eta = np.clip(by_week[a, :, t - ke] + by_delay[a, :, d], -ETA_LIMIT, ETA_LIMIT)
-            y = np.broadcast_to(np.asarray(sy, dtype=float)[:, None], eta.shape)
-            inflation = th[3] if kind else None
-            out.append(list(log_likelihood(y, eta, np.exp(th[0]), inflation, kind).T))
-        return pd.Series(out)
-
-    names = ("share", "theta", "centre", "factor", "common", "seed", "n_weeks", "delays", "width",
-             "kept", "seen", "seen_y", "n_classes")
-    score.__annotations__ = {**{k: pd.Series for k in names}, "return": pd.Series}
-    run = F.pandas_udf(score, "array<array<double>>")
+    """(series, cell, draw, loglik) over the known cells."""
+    run = _per_point("log_likelihoods", spec.zero_inflation, "double")
     scored = _points(posterior, spec, series_cols).select(
-        *series_cols, "first_draw",
-        run(*[f"p.{c}" for c in _POINT], "seed", "weeks", "delays", "width", "first_kept",
-            "seen", "seen_y", F.size("classes")).alias("draws"),
+        *series_cols, "first_draw", run(*_point_columns()).alias("draws")
     )
     return scored.select(
         *series_cols, "first_draw", F.posexplode("draws").alias("i", "line")

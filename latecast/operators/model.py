@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -72,7 +72,6 @@ class ModelSpec:
     delay_prior: Prior = VAGUE
     inflation_prior: Prior | None = None
     seed: int = 1
-    scores: bool = field(default=False)
 
     def __post_init__(self) -> None:
         if self.time_model not in TIME_MODELS:
@@ -119,6 +118,21 @@ def log_likelihood(y, eta, size, inflation=None, kind=None, constant=None) -> np
     return np.where(y == 0, np.log(1 - keep + keep * np.exp(plain)), np.log(keep) + plain)
 
 
+def cell_terms(y, eta, theta, kind, constant):
+    """Cell by cell: log-likelihood, its slope in eta, and its curvature (positive when peaked)."""
+    size = np.exp(theta[0])
+    if kind is None:
+        mu = np.exp(eta)
+        value = log_likelihood(y, eta, size, constant=constant)
+        slope = y - (y + size) * mu / (size + mu)
+        return value, slope, (y + size) * size * mu / (size + mu) ** 2
+    h = 1e-3
+    value, up, down = (
+        log_likelihood(y, e, size, theta[3], kind, constant) for e in (eta, eta + h, eta - h)
+    )
+    return value, (up - down) / (2 * h), np.maximum((2 * value - up - down) / h**2, 1e-4)
+
+
 def keep_chance(eta, inflation, kind):
     """Chance that a cell is not a structural zero; ``inflation`` is on its internal scale."""
     if kind == "size_dependent":
@@ -179,21 +193,8 @@ class SeriesFit:
 
     def _cells(self, eta, theta, constant):
         """Log-likelihood of the seen cells, its slope and its curvature in eta."""
-        size, kind = np.exp(theta[0]), self.spec.zero_inflation
-        if kind is None:
-            mu = np.exp(eta)
-            value = log_likelihood(self.y, eta, size, constant=constant)
-            slope = self.y - (self.y + size) * mu / (size + mu)
-            bend = (self.y + size) * size * mu / (size + mu) ** 2
-        else:
-            h = 1e-3
-            value, up, down = (
-                log_likelihood(self.y, e, size, theta[3], kind, constant)
-                for e in (eta, eta + h, eta - h)
-            )
-            slope = (up - down) / (2 * h)
-            bend = np.maximum((2 * value - up - down) / h**2, 1e-4)
-        return (np.where(self.seen, z, 0.0) for z in (value, slope, bend))
+        terms = cell_terms(self.y, eta, theta, self.spec.zero_inflation, constant)
+        return (np.where(self.seen, z, 0.0) for z in terms)
 
     def _hessian(self, bend, prior):
         """Per class, in free coordinates: the additive design makes it three marginal sums."""
@@ -368,8 +369,8 @@ def _shares(weights: np.ndarray, total: int) -> np.ndarray:
 
 
 POSTERIOR = """
-    weeks int, delays int, width int, first_kept int, missing array<int>, seen array<int>,
-    seen_y array<long>, observed array<long>, hyper_mode array<double>, hyper_sd array<double>,
+    weeks int, delays int, width int, missing array<int>, seen array<int>, seen_y array<long>,
+    observed array<long>, hyper_mode array<double>, hyper_sd array<double>,
     effect_mode array<double>, effect_sd array<double>, share array<int>,
     theta array<array<double>>, centre array<array<double>>, factor array<array<double>>,
     common array<array<double>>
@@ -390,14 +391,11 @@ def fit_series(time, delay, stratum, y, spec: ModelSpec) -> dict:
     sd = np.sqrt((factor**2).sum(axis=2) + common**2)
     missing = np.flatnonzero(asked)
     first = int(asked.any(axis=(0, 2)).argmax()) if len(missing) else shape[1]
-    kept = 0 if spec.scores else first
-    rows = np.r_[0, 1 + kept : 1 + shape[1], 1 + shape[1] : 1 + shape[1] + shape[2]]
     record = {
-        "weeks": shape[1], "delays": shape[2], "width": fit.width, "first_kept": kept,
+        "weeks": shape[1], "delays": shape[2], "width": fit.width,
         "missing": missing,
         "observed": np.nansum(grid, axis=2)[:, first:].astype(np.int64).ravel(),
-        "seen": np.flatnonzero(fit.seen) if spec.scores else [],
-        "seen_y": fit.y[fit.seen].astype(np.int64) if spec.scores else [],
+        "seen": np.flatnonzero(fit.seen), "seen_y": fit.y[fit.seen].astype(np.int64),
         "hyper_mode": points[0][0], "hyper_sd": np.sqrt(np.diag(covariance)),
         "effect_mode": mean.ravel(), "effect_sd": sd.ravel(),
         "share": [], "theta": [], "centre": [], "factor": [], "common": [],
@@ -407,9 +405,9 @@ def fit_series(time, delay, stratum, y, spec: ModelSpec) -> dict:
             mean, factor, common = fit.gaussian(state)
             record["share"].append(int(share))
             record["theta"].append(theta)
-            record["centre"].append(mean[:, rows].ravel())
-            record["factor"].append(factor[:, rows].ravel())
-            record["common"].append(common[:, rows].ravel())
+            record["centre"].append(mean.ravel())
+            record["factor"].append(factor.ravel())
+            record["common"].append(common.ravel())
     return record
 
 

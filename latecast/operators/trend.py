@@ -43,7 +43,7 @@ def trends(
     """Several window lengths in one pass: ``windows`` maps a length to its ``rolling``."""
     if min(windows) < 2:
         raise ValueError("a window must be at least 2 weeks")
-    last = F.lit(end_week).cast("date") if end_week is not None else F.max("dt_event")
+    last = F.max("dt_event" if end_week is None else F.lit(end_week).cast("date"))
 
     def windows_of(length: int, rolling: int) -> Column:
         span = 7 * (length - 1)

@@ -445,7 +445,7 @@ def fit_table(spark, sf):
 
 
 def model_scores(spark, sf):
-    return _rounded(_nowcast(spark, sf, series_cols=SERIES, scores=True).scores, 4)
+    return _rounded(_nowcast(spark, sf, series_cols=SERIES).scores, 4)
 
 
 def adaptive_dmax(spark, sf):

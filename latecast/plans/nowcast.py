@@ -100,7 +100,6 @@ def nowcast(
     zero_inflated: bool = False,
     draws: int = 1000,
     seed: int = 1,
-    scores: bool = False,
     spec: ModelSpec | None = None,
     partitions: int | None = None,
 ) -> NowcastResult:
@@ -113,7 +112,7 @@ def nowcast(
         spec = ModelSpec(
             time_model=time_model,
             zero_inflation="size_dependent" if zero_inflated else None,
-            draws=draws, seed=seed, scores=scores,
+            draws=draws, seed=seed,
         )
     rule = WeekRule(trim, horizon, use_epiweek, keep_complete_week)
     days = weekly.day_counts(
