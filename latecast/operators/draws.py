@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latecast.functions import weeks
-from latecast.operators.keys import attach, join_on
+from latecast.operators.keys import join_on
 from latecast.operators.model import (
     ETA_LIMIT, ModelSpec, cell_terms, keep_chance, log_constant, log_likelihood,
 )
@@ -130,7 +130,8 @@ def _per_point(method: str, kind: str | None, result: str):
         with np.errstate(all="ignore"):
             return pd.Series([list(getattr(Point(*row), method)(kind)) for row in zip(*columns)])
 
-    return F.pandas_udf(run, f"array<array<{result}>>")
+    # Seeded, so not random at all; but a UDF marked so is never copied into a pushed-down filter.
+    return F.pandas_udf(run, f"array<array<{result}>>").asNondeterministic()
 
 
 def _point_columns() -> list:
@@ -213,21 +214,23 @@ def model_scores(loglik: DataFrame, *, series_cols: Sequence[str] = ()) -> DataF
     WAIC = -2 (sum log mean p - sum var log p). DIC = mean deviance + half its variance. Both are
     the draw-based definitions and need not equal another solver's numbers.
     """
-    waic = (
-        loglik.groupBy(*series_cols, "cell")
-        .agg(
-            F.log(F.avg(F.exp("loglik"))).alias("lppd"),
-            F.var_samp("loglik").alias("penalty"),
-        )
-        .groupBy(*series_cols)
-        .agg((-2 * (F.sum("lppd") - F.sum("penalty"))).alias("waic"),
-             F.sum("penalty").alias("waic_parameters"))
+    cell, draw = F.col("cell"), F.col("draw")
+    keys = [F.col(c) for c in series_cols]
+    # Both ways of grouping in one pass, so that the likelihoods are computed once.
+    groups = loglik.groupingSets([[*keys, cell], [*keys, draw]], *keys, cell, draw).agg(
+        F.log(F.avg(F.exp("loglik"))).alias("lppd"),
+        F.var_samp("loglik").alias("spread"),
+        (-2 * F.sum("loglik")).alias("deviance"),
+        F.grouping(cell).alias("per_draw"),
     )
-    dic = (
-        loglik.groupBy(*series_cols, "draw")
-        .agg((-2 * F.sum("loglik")).alias("deviance"))
-        .groupBy(*series_cols)
-        .agg((F.avg("deviance") + F.var_samp("deviance") / 2).alias("dic"),
-             (F.var_samp("deviance") / 2).alias("dic_parameters"))
+
+    def of_cells(name):
+        return F.when(F.col("per_draw") == 0, F.col(name))
+
+    deviance = F.when(F.col("per_draw") == 1, F.col("deviance"))
+    return groups.groupBy(*series_cols).agg(
+        (-2 * (F.sum(of_cells("lppd")) - F.sum(of_cells("spread")))).alias("waic"),
+        F.sum(of_cells("spread")).alias("waic_parameters"),
+        (F.avg(deviance) + F.var_samp(deviance) / 2).alias("dic"),
+        (F.var_samp(deviance) / 2).alias("dic_parameters"),
     )
-    return attach(waic, dic, series_cols)

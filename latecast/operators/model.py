@@ -465,7 +465,8 @@ def fit_delay_model(
         **{k: pd.Series for k in ("t", "t0", "d", "d0", "a", "classes", "y")},
         "return": pd.DataFrame,
     }
-    run = F.pandas_udf(fit, POSTERIOR)
+    # Marked so that no filter inferred from a later explode runs the fit a second time.
+    run = F.pandas_udf(fit, POSTERIOR).asNondeterministic()
     fitted = bundled.select(
         *series_cols, "first_week", "first_time", "first_delay", "classes",
         run("cells.t", "first_time", "cells.d", "first_delay", "cells.a", "classes", "cells.y")
@@ -484,37 +485,33 @@ def fit_table(
     names = ["log_size", "log_precision_time", "log_precision_delay"]
     if spec.zero_inflation:
         names.append("zero_inflation")
-    per_class = F.col("fit.weeks") + F.col("fit.delays") + 1
-    effects = posterior.select(
+    values = F.arrays_zip(
+        F.concat("fit.hyper_mode", "fit.effect_mode").alias("mode"),
+        F.concat("fit.hyper_sd", "fit.effect_sd").alias("sd"),
+    )
+    rows = posterior.select(
         *series_cols, "classes", "first_time", "first_delay",
-        F.col("fit.weeks").alias("weeks"), per_class.alias("per_class"),
-        F.posexplode(F.arrays_zip("fit.effect_mode", "fit.effect_sd")).alias("pos", "v"),
+        F.col("fit.weeks").alias("weeks"),
+        (F.col("fit.weeks") + F.col("fit.delays") + 1).alias("per_class"),
+        F.posexplode(values).alias("pos", "v"),
     )
-    slot = F.col("pos") % F.col("per_class")
+    scale = F.col("pos") < len(names)
+    effect = F.col("pos") - len(names)
+    slot = effect % F.col("per_class")
     is_time = slot.between(1, F.col("weeks"))
-    effects = effects.select(
+    return rows.select(
         *series_cols,
-        F.when(slot == 0, "intercept").when(is_time, "time").otherwise("delay").alias("term"),
-        F.when(slot == 0, 0)
+        F.when(scale, F.get(F.array(*[F.lit(x) for x in names]), F.col("pos")))
+        .when(slot == 0, "intercept").when(is_time, "time").otherwise("delay").alias("term"),
+        F.when(scale | (slot == 0), 0)
         .when(is_time, slot - 1 + F.col("first_time"))
         .otherwise(slot - 1 - F.col("weeks") + F.col("first_delay"))
         .cast("int").alias("index"),
-        F.get("classes", F.floor(F.col("pos") / F.col("per_class")).cast("int")).alias("age_class"),
-        F.col("v.effect_mode").alias("mode"),
-        F.col("v.effect_sd").alias("sd"),
-    )
-    scales = posterior.select(
-        *series_cols,
-        F.posexplode(F.arrays_zip("fit.hyper_mode", "fit.hyper_sd")).alias("pos", "v"),
-    ).select(
-        *series_cols,
-        F.get(F.array(*[F.lit(x) for x in names]), F.col("pos")).alias("term"),
-        F.lit(0).alias("index"),
-        F.lit(None).cast("int").alias("age_class"),
-        F.col("v.hyper_mode").alias("mode"),
-        F.col("v.hyper_sd").alias("sd"),
+        F.when(~scale, F.get("classes", F.floor(effect / F.col("per_class")).cast("int")))
+        .alias("age_class"),
+        F.col("v.mode").alias("mode"),
+        F.col("v.sd").alias("sd"),
     )
-    return effects.unionByName(scales)
 
 
 def restrict_to(df: DataFrame, series: DataFrame, series_cols: Sequence[str]) -> DataFrame:
