@@ -44,6 +44,14 @@ def _points(posterior: DataFrame, spec: ModelSpec, series_cols: Sequence[str]) -
     )
 
 
+def _sums(rows, group, groups):
+    """Row sums by group number; the numbers ascend."""
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    out = np.zeros((groups, rows.shape[1]), dtype=rows.dtype)
+    out[group[starts]] = np.add.reduceat(rows, starts, axis=0)
+    return out
+
+
 @dataclass
 class Point:
     """One quadrature point of one series, ready to draw from."""
@@ -81,18 +89,17 @@ class Point:
         free = self.rng.standard_normal((self.classes, self.share, self.width))
         effect = self.centre[:, None, :] + free @ self.factor.transpose(0, 2, 1)
         effect += self.rng.standard_normal((self.share, 1)) * self.common[:, None, :]
-        y = np.asarray(self.seen_y, dtype=float)[:, None]
-        counts, of = np.unique(y, return_inverse=True)
-        constant = log_constant(counts, np.exp(self.theta[0]))[of].reshape(y.shape)
+        y, size = np.asarray(self.seen_y, dtype=float)[:, None], np.exp(self.theta[0])
+        inflation = self.theta[3] if kind else None
+        # Without zero inflation the constant cancels from the difference of two heights.
+        constant = log_constant(y, size) if kind else 0.0
         mode = self.eta(self.centre[:, None, :], self.seen)
-        value, slope, bend = cell_terms(y, mode, self.theta, kind, constant)
+        value, slope, bend = cell_terms(y, mode, size, inflation, kind, constant)
         eta = self.eta(effect, self.seen)
-        inflation = self.theta[3] if kind else None
-        gap = log_likelihood(y, eta, np.exp(self.theta[0]), inflation, kind, constant) - value
         step = eta - mode
+        gap = log_likelihood(y, eta, size, inflation, kind, constant) - value
         gap += step * (0.5 * bend * step - slope)
-        weight = np.zeros((self.classes, self.share))
-        np.add.at(weight, self.seen // (self.weeks * self.delays), gap)
+        weight = _sums(gap, self.seen // (self.weeks * self.delays), self.classes)
         stays = np.log(self.rng.random(weight.shape)) < weight + SLACK
         for a in np.flatnonzero(~stays.all(axis=1)):
             good = np.flatnonzero(stays[a])
@@ -111,8 +118,7 @@ class Point:
             drawn *= self.rng.random(eta.shape) < keep_chance(eta, self.theta[3], kind)
         a, t, _ = np.unravel_index(self.missing, (self.classes, self.weeks, self.delays))
         first = t.min()
-        total = np.zeros((self.classes * (self.weeks - first), self.share), dtype=np.int64)
-        np.add.at(total, a * (self.weeks - first) + t - first, drawn)
+        total = _sums(drawn, a * (self.weeks - first) + t - first, self.classes * (self.weeks - first))
         return (total + np.asarray(self.observed, dtype=np.int64)[:, None]).T
 
     def log_likelihoods(self, kind):

@@ -118,9 +118,8 @@ def log_likelihood(y, eta, size, inflation=None, kind=None, constant=None) -> np
     return np.where(y == 0, np.log(1 - keep + keep * np.exp(plain)), np.log(keep) + plain)
 
 
-def cell_terms(y, eta, theta, kind, constant):
+def cell_terms(y, eta, size, inflation, kind, constant):
     """Cell by cell: log-likelihood, its slope in eta, and its curvature (positive when peaked)."""
-    size = np.exp(theta[0])
     if kind is None:
         mu = np.exp(eta)
         value = log_likelihood(y, eta, size, constant=constant)
@@ -128,7 +127,7 @@ def cell_terms(y, eta, theta, kind, constant):
         return value, slope, (y + size) * size * mu / (size + mu) ** 2
     h = 1e-3
     value, up, down = (
-        log_likelihood(y, e, size, theta[3], kind, constant) for e in (eta, eta + h, eta - h)
+        log_likelihood(y, e, size, inflation, kind, constant) for e in (eta, eta + h, eta - h)
     )
     return value, (up - down) / (2 * h), np.maximum((2 * value - up - down) / h**2, 1e-4)
 
@@ -153,7 +152,9 @@ def _sum_to_zero(n: int) -> np.ndarray:
 class SeriesFit:
     """Conditional modes and the posterior of the scale parameters for one series.
 
-    ``y`` has shape (classes, weeks, delays), NaN where nothing is known.
+    ``y`` has shape (classes, weeks, delays), NaN where nothing is known. Several values of the
+    scale parameters are worked on at once: their number is the first axis of all that depends on
+    them.
     """
 
     def __init__(self, y: np.ndarray, spec: ModelSpec):
@@ -187,178 +188,160 @@ class SeriesFit:
 
     def _eta(self, x):
         effect = x @ self.basis.T
-        by_week = effect[:, :1] + effect[:, 1 : 1 + self.weeks]
-        eta = by_week[:, :, None] + effect[:, None, 1 + self.weeks :]
+        by_week = effect[..., :1] + effect[..., 1 : 1 + self.weeks]
+        eta = by_week[..., :, None] + effect[..., None, 1 + self.weeks :]
         return np.clip(eta, -ETA_LIMIT, ETA_LIMIT)
 
-    def _cells(self, eta, theta, constant):
-        """Log-likelihood of the seen cells, its slope and its curvature in eta."""
-        terms = cell_terms(self.y, eta, theta, self.spec.zero_inflation, constant)
-        return (np.where(self.seen, z, 0.0) for z in terms)
-
     def _hessian(self, bend, prior):
         """Per class, in free coordinates: the additive design makes it three marginal sums."""
-        full = np.zeros((self.classes, 1 + self.weeks + self.delays, 1 + self.weeks + self.delays))
-        w, t, d = bend, slice(1, 1 + self.weeks), slice(1 + self.weeks, None)
-        by_week, by_delay = w.sum(axis=2), w.sum(axis=1)
-        full[:, 0, 0] = w.sum(axis=(1, 2))
-        full[:, 0, t] = full[:, t, 0] = by_week
-        full[:, 0, d] = full[:, d, 0] = by_delay
-        full[:, t, t] = by_week[:, :, None] * np.eye(self.weeks)
-        full[:, d, d] = by_delay[:, :, None] * np.eye(self.delays)
-        full[:, t, d] = w
-        full[:, d, t] = w.transpose(0, 2, 1)
-        return self.basis.T @ full @ self.basis + prior
+        n, weeks = 1 + self.weeks + self.delays, np.arange(1, 1 + self.weeks)
+        full, late = np.zeros((*bend.shape[:2], n, n)), np.arange(1 + self.weeks, n)
+        t, d = slice(1, 1 + self.weeks), slice(1 + self.weeks, None)
+        by_week, by_delay = bend.sum(axis=3), bend.sum(axis=2)
+        full[..., 0, 0] = by_week.sum(axis=2)
+        full[..., 0, t] = full[..., t, 0] = full[..., weeks, weeks] = by_week
+        full[..., 0, d] = full[..., d, 0] = full[..., late, late] = by_delay
+        full[..., t, d] = bend
+        full[..., d, t] = bend.transpose(0, 1, 3, 2)
+        return self.basis.T @ full @ self.basis + prior[:, None]
 
     def mode(self, theta, x, alpha):
-        """Newton's method for the effects given the scale parameters."""
-        prior = np.exp(theta[1]) * self.structure[0] + np.exp(theta[2]) * self.structure[1]
-        prior = prior + RIDGE * np.eye(self.width)
-        prior[0, 0] += self.kappa
-        constant = log_constant(self.counts, np.exp(theta[0]))[self.count_of].reshape(self.y.shape)
+        """Newton's method for the effects, for every row of ``theta``."""
+        many, kappa = len(theta), self.kappa
+        scale_of = np.exp(theta[:, 1:3])[:, :, None, None]
+        prior = (scale_of * self.structure).sum(axis=1) + RIDGE * np.eye(self.width)
+        prior[:, 0, 0] += kappa
+        size = np.exp(theta[:, 0])
+        constant = log_constant(self.counts, size[:, None])[:, self.count_of.ravel()]
+        constant = constant.reshape(many, *self.y.shape)
+        size = size[:, None, None, None]
+        inflation = theta[:, 3, None, None, None] if self.spec.zero_inflation else None
 
         def height(x, alpha):
-            value, slope, bend = self._cells(self._eta(x), theta, constant)
-            free = (x @ prior * x).sum() + self.classes * self.kappa * alpha**2
-            return value.sum() - 0.5 * (free - 2 * self.kappa * alpha * x[:, 0].sum()), slope, bend
+            terms = cell_terms(
+                self.y, self._eta(x), size, inflation, self.spec.zero_inflation, constant
+            )
+            value, slope, bend = (np.where(self.seen, z, 0.0) for z in terms)
+            free = (x @ prior * x).sum(axis=(1, 2)) + self.classes * kappa * alpha**2
+            free -= 2 * kappa * alpha * x[:, :, 0].sum(axis=1)
+            return value.sum(axis=(1, 2, 3)) - 0.5 * free, slope, bend
 
         now, slope, bend = height(x, alpha)
         for _ in range(60):
-            hessian = self._hessian(bend, prior)
             natural = np.concatenate(
-                [slope.sum(axis=(1, 2))[:, None], slope.sum(axis=2), slope.sum(axis=1)], axis=1
+                [slope.sum(axis=(2, 3))[..., None], slope.sum(axis=3), slope.sum(axis=2)], axis=2
             )
             grad = natural @ self.basis - x @ prior
-            grad[:, 0] += self.kappa * alpha
-            rhs = np.zeros((self.classes, self.width, 2))
-            rhs[:, :, 0], rhs[:, 0, 1] = grad, 1.0
-            solved = np.linalg.solve(hessian, rhs)
-            step, tilt = solved[:, :, 0], solved[:, :, 1]
-            schur, step_alpha = self._schur(tilt), 0.0
-            if self.kappa:
-                grad_alpha = self.kappa * (x[:, 0] - alpha).sum()
-                step_alpha = (grad_alpha + self.kappa * step[:, 0].sum()) / schur
-                step = step + self.kappa * step_alpha * tilt
-            scale = min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+            grad[:, :, 0] += kappa * alpha[:, None]
+            rhs = np.zeros((many, self.classes, self.width, 2))
+            rhs[..., 0], rhs[:, :, 0, 1] = grad, 1.0
+            solved = np.linalg.solve(self._hessian(bend, prior), rhs)
+            step, tilt = solved[..., 0], solved[..., 1]
+            step_alpha = np.zeros(many)
+            if kappa:
+                pull = kappa * (x[:, :, 0] - alpha[:, None]).sum(axis=1)
+                step_alpha = (pull + kappa * step[:, :, 0].sum(axis=1)) / self._schur(tilt)
+                step = step + kappa * step_alpha[:, None, None] * tilt
+            longest = np.abs(step).max(axis=(1, 2))
+            scale = np.minimum(1.0, 5.0 / np.maximum(longest, 1e-12))
             for _ in range(25):
-                x_new, alpha_new = x + scale * step, alpha + scale * step_alpha
-                new, slope_new, bend_new = height(x_new, alpha_new)
-                if new >= now - 1e-9:
+                x_new, alpha_new = x + scale[:, None, None] * step, alpha + scale * step_alpha
+                new, slope, bend = height(x_new, alpha_new)
+                worse = ~(new >= now - 1e-9)
+                if not worse.any():
                     break
-                scale /= 2
-            gain, x, alpha = new - now, x_new, alpha_new
-            now, slope, bend = new, slope_new, bend_new
-            if gain < 1e-8 and scale * np.abs(step).max() < 1e-4:
+                scale = np.where(worse, scale / 2, scale)
+            done = (new - now < 1e-8) & (scale * longest < 1e-4)
+            x, alpha, now = x_new, alpha_new, new
+            if done.all():
                 break
-        hessian = self._hessian(bend, prior)
-        return x, alpha, now, hessian
+        return x, alpha, now, self._hessian(bend, prior)
 
-    def _schur(self, tilt) -> float:
+    def _schur(self, tilt):
         if not self.kappa:
-            return 1.0
-        return max(self.classes * self.kappa - self.kappa**2 * tilt[:, 0].sum(), 1e-12)
+            return np.ones(len(tilt))
+        left = self.classes * self.kappa - self.kappa**2 * tilt[:, :, 0].sum(axis=1)
+        return np.maximum(left, 1e-12)
 
     def _unit_response(self, hessian):
-        unit = np.zeros((self.classes, self.width, 1))
-        unit[:, 0, 0] = 1
-        return np.linalg.solve(hessian, unit)[:, :, 0]
+        unit = np.zeros((*hessian.shape[:3], 1))
+        unit[:, :, 0] = 1
+        return np.linalg.solve(hessian, unit)[..., 0]
 
     def log_posterior(self, theta):
-        theta = np.asarray(theta, dtype=float)
-        if (np.abs(theta) > 14).any():
-            return -np.inf, None
-        x, alpha, height, hessian = self.mode(theta, self.start, self.start_alpha)
-        self.start, self.start_alpha = x, alpha
-        sign, logdet = np.linalg.slogdet(hessian)
-        if (sign <= 0).any() or not np.isfinite(height):
-            return -np.inf, None
+        """Log posterior of each row of ``theta``, and the conditional modes."""
+        theta = np.clip(np.asarray(theta, dtype=float), -14, 14)
+        size = max(1, 100 // self.classes)
+        parts = [self._log_posterior(theta[i : i + size]) for i in range(0, len(theta), size)]
+        return tuple(np.concatenate(z) for z in zip(*parts))
+
+    def _log_posterior(self, theta):
+        many = len(theta)
+        start = np.broadcast_to(self.start, (many, *self.start.shape))
+        x, alpha, height, hessian = self.mode(theta, start, np.full(many, self.start_alpha))
+        logdet = np.linalg.slogdet(hessian)[1].sum(axis=1)
         schur = self._schur(self._unit_response(hessian))
-        value = height - 0.5 * (logdet.sum() + np.log(schur))
-        value += 0.5 * self.classes * (self.ranks[0] * theta[1] + self.ranks[1] * theta[2])
-        value += sum(p.log_density(v) for p, v in zip(self.spec.priors, theta))
-        return value, (x, alpha, hessian, schur)
+        value = height - 0.5 * (logdet + np.log(schur))
+        value += 0.5 * self.classes * (theta[:, 1:3] @ np.array(self.ranks))
+        for i, prior in enumerate(self.spec.priors):
+            value += prior.log_density(theta[:, i])
+        return np.where(np.isfinite(value), value, -1e10), x, alpha, hessian, schur
+
+    def _surroundings(self, theta, h=0.05):
+        """Height, slope and curvature of the log posterior, by differences in one batch."""
+        n = len(theta)
+        unit, pairs = np.eye(n) * h, [(i, j) for i in range(n) for j in range(i)]
+        corners = [a * unit[i] + b * unit[j] for i, j in pairs for a in (1, -1) for b in (1, -1)]
+        shifts = np.array([0 * theta, *unit, *-unit, *corners])
+        value, x, alpha, *_ = self.log_posterior(theta + shifts)
+        self.start, self.start_alpha = x[0], float(alpha[0])
+        centre, up, down = value[0], value[1 : n + 1], value[n + 1 : 2 * n + 1]
+        curve = np.diag((2 * centre - up - down) / h**2)
+        for k, (i, j) in enumerate(pairs):
+            both, one, other, none = value[2 * n + 1 + 4 * k : 2 * n + 5 + 4 * k]
+            curve[i, j] = curve[j, i] = (one + other - both - none) / (4 * h**2)
+        return centre, (up - down) / (2 * h), curve
 
     def best_theta(self):
-        """Quasi-Newton ascent on the posterior of the scale parameters."""
+        """Newton's method on the posterior of the scale parameters; also the spread around it."""
         theta = np.array([2.0, 3.0, 1.0] + ([1.0] if self.spec.zero_inflation else []))
-        size = len(theta)
-        inverse, h = np.eye(size), 1e-3
-
-        def gradient(at):
-            up = [self.log_posterior(at + h * e)[0] for e in np.eye(size)]
-            down = [self.log_posterior(at - h * e)[0] for e in np.eye(size)]
-            return np.nan_to_num((np.array(up) - np.array(down)) / (2 * h), posinf=0, neginf=0)
-
-        now, grad = self.log_posterior(theta)[0], gradient(theta)
-        for _ in range(40):
-            step = inverse @ grad
+        for _ in range(25):
+            now, slope, curve = self._surroundings(theta)
+            values, vectors = np.linalg.eigh(curve)
+            spread = vectors / np.sqrt(np.maximum(np.abs(values), 0.15))
+            step = spread @ (spread.T @ slope)
             step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
-            for _ in range(12):
-                new = self.log_posterior(theta + step)[0]
-                if new > now:
-                    break
-                step = step / 2
-            else:
+            if np.abs(step).max() < 0.02:
+                break
+            tries = theta + np.outer([1.0, 0.5, 0.2, 0.05], step)
+            heights = self.log_posterior(tries)[0]
+            if heights.max() <= now:
                 break
-            theta, gain, now = theta + step, new - now, new
-            grad_new = gradient(theta)
-            change = grad - grad_new
-            along = float(step @ change)
-            if along > 1e-10:
-                skew = np.eye(size) - np.outer(step, change) / along
-                inverse = skew @ inverse @ skew.T + np.outer(step, step) / along
-            grad = grad_new
-            if gain < 1e-4:
+            theta = tries[heights.argmax()]
+            if heights.max() - now < 1e-3:
                 break
-        return theta
+        return theta, vectors / np.sqrt(np.maximum(values, 0.15))
 
     def quadrature(self):
         """Scale-parameter points with weights, the mode first (three nodes per direction)."""
-        best = self.best_theta()
-        size, h = len(best), 0.05
-        centre, _ = self.log_posterior(best)
-        unit = np.eye(size) * h
-
-        def at(offset):
-            value = self.log_posterior(best + offset)[0]
-            return value if np.isfinite(value) else centre - 50.0
-
-        curve = np.zeros((size, size))
-        for i in range(size):
-            curve[i, i] = (2 * centre - at(unit[i]) - at(-unit[i])) / h**2
-            for j in range(i):
-                cross = (
-                    at(unit[i] + unit[j]) - at(unit[i] - unit[j])
-                    - at(unit[j] - unit[i]) + at(-unit[i] - unit[j])
-                )
-                curve[i, j] = curve[j, i] = -cross / (4 * h**2)
-        values, vectors = np.linalg.eigh(curve)
-        spread = vectors / np.sqrt(np.maximum(values, 0.15))
-        points = []
-        for z in itertools.product((0.0, -1.0, 1.0), repeat=size):
-            z = np.sqrt(3.0) * np.array(z)
-            theta = best + spread @ z
-            value, state = self.log_posterior(theta)
-            if state is None:
-                continue
-            rule = np.prod(np.where(z == 0, 2 / 3, 1 / 6))
-            points.append((theta, np.log(rule) + value - centre + 0.5 * z @ z, state))
-        top = max(p[1] for p in points)
-        weights = np.exp([p[1] - top for p in points])
-        covariance = spread @ spread.T
-        return [(p[0], w, p[2]) for p, w in zip(points, weights / weights.sum())], covariance
-
-    def gaussian(self, state):
+        best, spread = self.best_theta()
+        z = np.sqrt(3.0) * np.array(list(itertools.product((0.0, -1.0, 1.0), repeat=len(best))))
+        theta = np.clip(best + z @ spread.T, -14, 14)
+        value, x, alpha, hessian, schur = self.log_posterior(theta)
+        rule = np.where(z == 0, 2 / 3, 1 / 6).prod(axis=1)
+        weight = np.log(rule) + value + 0.5 * (z * z).sum(axis=1)
+        weight = np.exp(weight - weight.max())
+        return theta, weight / weight.sum(), x, hessian, schur, spread @ spread.T
+
+    def gaussian(self, x, hessian, schur):
         """Effects in natural coordinates: centre, factor of the class part, and the direction in
         which all of a class moves with the common intercept."""
-        x, _, hessian, schur = state
-        lower = np.linalg.cholesky(hessian)
-        root = np.linalg.inv(lower).transpose(0, 2, 1)
-        factor = self.basis @ root
+        root = np.linalg.inv(np.linalg.cholesky(hessian)).transpose(0, 2, 1)
         common = np.zeros((self.classes, self.basis.shape[0]))
         if self.kappa:
-            common = self._unit_response(hessian) @ self.basis.T * self.kappa / np.sqrt(schur)
-        return x @ self.basis.T, factor, common
+            tilt = self._unit_response(hessian[None])[0]
+            common = tilt @ self.basis.T * self.kappa / np.sqrt(schur)
+        return x @ self.basis.T, self.basis @ root, common
 
 
 def _shares(weights: np.ndarray, total: int) -> np.ndarray:
@@ -385,9 +368,8 @@ def fit_series(time, delay, stratum, y, spec: ModelSpec) -> dict:
     asked = np.zeros(shape, dtype=bool)
     asked[stratum, time, delay] = np.isnan(y)
     fit = SeriesFit(grid, spec)
-    points, covariance = fit.quadrature()
-    shares = _shares(np.array([w for _, w, _ in points]), spec.draws)
-    mean, factor, common = fit.gaussian(points[0][2])
+    theta, weights, x, hessian, schur, covariance = fit.quadrature()
+    mean, factor, common = fit.gaussian(x[0], hessian[0], schur[0])
     sd = np.sqrt((factor**2).sum(axis=2) + common**2)
     missing = np.flatnonzero(asked)
     first = int(asked.any(axis=(0, 2)).argmax()) if len(missing) else shape[1]
@@ -396,15 +378,15 @@ def fit_series(time, delay, stratum, y, spec: ModelSpec) -> dict:
         "missing": missing,
         "observed": np.nansum(grid, axis=2)[:, first:].astype(np.int64).ravel(),
         "seen": np.flatnonzero(fit.seen), "seen_y": fit.y[fit.seen].astype(np.int64),
-        "hyper_mode": points[0][0], "hyper_sd": np.sqrt(np.diag(covariance)),
+        "hyper_mode": theta[0], "hyper_sd": np.sqrt(np.diag(covariance)),
         "effect_mode": mean.ravel(), "effect_sd": sd.ravel(),
         "share": [], "theta": [], "centre": [], "factor": [], "common": [],
     }
-    for (theta, _, state), share in zip(points, shares):
+    for i, share in enumerate(_shares(weights, spec.draws)):
         if share:
-            mean, factor, common = fit.gaussian(state)
+            mean, factor, common = fit.gaussian(x[i], hessian[i], schur[i])
             record["share"].append(int(share))
-            record["theta"].append(theta)
+            record["theta"].append(theta[i])
             record["centre"].append(mean.ravel())
             record["factor"].append(factor.ravel())
             record["common"].append(common.ravel())
@@ -455,10 +437,11 @@ def fit_delay_model(
         bundled = bundled.repartition(_fit_partitions(triangle, partitions))
 
     def fit(t, t0, d, d0, a, classes, y) -> pd.DataFrame:
-        records = [
-            fit_series(ts - lo, ds - dlo, np.searchsorted(cl, ages), ys, spec)
-            for ts, lo, ds, dlo, ages, cl, ys in zip(t, t0, d, d0, a, classes, y)
-        ]
+        with np.errstate(all="ignore"):
+            records = [
+                fit_series(ts - lo, ds - dlo, np.searchsorted(cl, ages), ys, spec)
+                for ts, lo, ds, dlo, ages, cl, ys in zip(t, t0, d, d0, a, classes, y)
+            ]
         return pd.DataFrame.from_records(records)
 
     fit.__annotations__ = {

@@ -388,6 +388,19 @@ def nowcast_by_series(spark, sf):
     return _rounded(_nowcast(spark, sf, series_cols=SERIES).total)
 
 
+def nowcast_many_series(spark, sf):
+    rows = tables.line_list_by_nation(spark, sf)
+    return _rounded(nowcast(rows, "onset", "report", series_cols=["nation", "series"]).total)
+
+
+def delay_triangle_many_series(spark, sf):
+    keys = ["nation", "series"]
+    days = weekly.day_counts(
+        tables.line_list_by_nation(spark, sf), "onset", "report", series_cols=keys
+    )
+    return triangle.delay_triangle(days, series_cols=keys)
+
+
 def forecast_k(spark, sf):
     return _rounded(_nowcast(spark, sf, series_cols=SERIES, horizon=2).total)
 
@@ -472,7 +485,7 @@ CHECKED: list[Query] = [
     weekly_line_list, weekly_line_list_epiweek, weekly_line_list_trim_k,
     age_binning_si_pni, age_binning_10y, age_binning_5y, age_binning_custom,
     delay_triangle, delay_triangle_by_age, delay_triangle_by_series, delay_triangle_epiweek,
-    delay_triangle_forecast_k, triangle_wide, triangle_long, integer_week_triangle,
+    delay_triangle_forecast_k, delay_triangle_many_series, triangle_wide, triangle_long, integer_week_triangle,
     observed_by_week_from_tmin, latest_weeks,
     epi_curve, weekly_tally, weekly_tally_shipdate, daily_tally, as_of_epi_curve, truth_vs_as_of,
     latest_release, named_release_epiweek, release_by_age,
@@ -485,7 +498,7 @@ CHECKED: list[Query] = [
     dispersion_check, zero_case_strata, phase_label,
 ]
 MODELLED: list[Query] = [
-    nowcast_total, nowcast_by_age, nowcast_by_series, forecast_k, nowcast_zero_inflated,
+    nowcast_total, nowcast_by_age, nowcast_by_series, nowcast_many_series, forecast_k, nowcast_zero_inflated,
     nowcast_constant_inflation, nowcast_pc_prior, nowcast_iid_time, trajectories,
     trajectories_by_age, nowcast_trend, nowcast_snapshots, fit_table, model_scores, adaptive_dmax,
     situation_report, backtest,

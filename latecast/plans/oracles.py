@@ -356,6 +356,15 @@ def oracle_sql() -> dict[str, str]:
     q["delay_triangle_forecast_k"] = (
         f'WITH {_triangle(series=True, k=2)} SELECT g AS series, {tri}, "Y" FROM tri'
     )
+    nations = f"""{_LINES.replace(
+        "FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+        "FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+        "JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
+    ).replace("o_orderpriority AS series", "n_name || '/' || o_orderpriority AS series")}"""
+    q["delay_triangle_many_series"] = (
+        f"WITH {_triangle(series=True).replace(_LINES, nations)} SELECT split_part(g, '/', 1) AS "
+        f"nation, split_part(g, '/', 2) AS series, {tri}, \"Y\" FROM tri"
+    )
     columns = ", ".join(f'max("Y") FILTER (delay = {d}) AS d{d}' for d in range(11))
     q["triangle_wide"] = f"{_wide_rows()} SELECT g AS series, dt_event, {columns} FROM cut GROUP BY ALL"
     q["triangle_long"] = f'{_wide_rows()} SELECT g AS series, dt_event, delay, "Y" FROM cut'
@@ -385,7 +394,7 @@ ob AS (SELECT g, "Time", dt_event, {_bigint('coalesce(sum("Y"), 0)')} AS observe
     )
     q["epi_curve"] = (
         f"WITH {_triangle(series=True, k=1)} SELECT g AS series, dt_event, "
-        f"{_bigint('coalesce(sum(%s), 0)' % chr(34).join(['', 'Y', '']))} AS observed "
+        f"{_bigint('coalesce(sum(tri.Y), 0)')} AS observed "
         "FROM tri GROUP BY g, dt_event"
     )
     tally = "SELECT g AS series, onset_week AS dt_event, count(*) AS n FROM bw GROUP BY ALL"

@@ -38,6 +38,25 @@ def line_list_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of(line_list(spark, sf_dir), "report", AS_OF)
 
 
+def line_list_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The as-of line list in many series: order priority within the customer's nation."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    onset = F.col("o_orderdate").cast("date")
+    rows = (
+        line_items(spark, sf_dir)
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(
+            onset.alias("onset"),
+            F.date_add(onset, F.col("l_quantity").cast("int")).alias("report"),
+            F.col("n_name").alias("nation"),
+            F.col("o_orderpriority").alias("series"),
+        )
+    )
+    return as_of(rows, "report", AS_OF)
+
+
 def formula_draws(
     spark: SparkSession, sf_dir: str, *, by_age: bool = False, draws: int = FORMULA_DRAWS,
     bins="10 years",

@@ -76,7 +76,11 @@ def test_mode_is_a_maximum(classes, inflation):
     y[:, np.add.outer(np.arange(1, WEEKS + 1), np.arange(DELAYS)) > WEEKS] = np.nan
     fit = SeriesFit(y, ModelSpec(zero_inflation=inflation))
     theta = np.array([1.5, 3.0, 1.0] + ([0.3] if inflation else []))
-    x, alpha, height, _ = fit.mode(theta, fit.start, fit.start_alpha)
+    # Two values at once: the second one must not disturb the first.
+    both = np.stack([theta, theta + 0.7])
+    starts = np.stack([fit.start, fit.start])
+    x, alpha, height, _ = fit.mode(both, starts, np.full(2, fit.start_alpha))
+    x, alpha, height = x[0], alpha[0], height[0]
     prior = np.exp(theta[1]) * fit.structure[0] + np.exp(theta[2]) * fit.structure[1]
 
     def value(x, alpha):
