@@ -2,146 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latecast.functions import weeks
 from latecast.operators.keys import join_on
 from latecast.operators.model import (
-    ETA_LIMIT, ModelSpec, cell_terms, keep_chance, log_constant, log_likelihood,
+    CELL_COLUMNS, ModelSpec, SeriesFit, cell_grid, first_asked, in_pieces, keep_chance,
+    log_likelihood,
 )
 
 # How far (in log weight) a draw may fall behind the Gaussian approximation before it can be lost.
 SLACK = 1.0
 
-_POINT = ("share", "theta", "centre", "factor", "common")
-_STATE = ("weeks", "delays", "width", "missing", "seen", "seen_y", "observed")
 
+def draw_effects(fit: SeriesFit, theta, x, share: int, rng):
+    """eta of ``share`` draws around one mode: (draw, class, week, delay).
 
-def _points(posterior: DataFrame, spec: ModelSpec, series_cols: Sequence[str]) -> DataFrame:
-    """One row per (series, quadrature point) with its seed and the number of its first draw.
-
-    The seed comes from the series and the point, so draws do not depend on partitioning.
+    A Gaussian is too generous where counts are few: draws that the known cells contradict are
+    replaced by others of their class.
     """
-    rows = posterior.select(
-        *series_cols, "first_week", "first_time", "classes",
-        F.col("fit.*"),
-        F.posexplode(F.arrays_zip(*[F.col(f"fit.{c}").alias(c) for c in _POINT])).alias(
-            "point", "p"
-        ),
-    )
-    before = F.aggregate(F.slice("share", 1, F.col("point")), F.lit(0), lambda a, b: a + b)
-    return rows.withColumns(
-        {
-            "first_draw": before + 1,
-            "seed": F.xxhash64(F.lit(spec.seed), *series_cols, "point"),
-        }
-    )
-
-
-def _sums(rows, group, groups):
-    """Row sums by group number; the numbers ascend."""
-    starts = np.flatnonzero(np.diff(group, prepend=-1))
-    out = np.zeros((groups, rows.shape[1]), dtype=rows.dtype)
-    out[group[starts]] = np.add.reduceat(rows, starts, axis=0)
-    return out
-
-
-@dataclass
-class Point:
-    """One quadrature point of one series, ready to draw from."""
-
-    share: int
-    theta: np.ndarray
-    centre: np.ndarray
-    factor: np.ndarray
-    common: np.ndarray
-    weeks: int
-    delays: int
-    width: int
-    missing: np.ndarray
-    seen: np.ndarray
-    seen_y: np.ndarray
-    observed: np.ndarray
-    classes: int
-    seed: int
-
-    def __post_init__(self):
-        self.rng = np.random.default_rng(self.seed & 0xFFFFFFFFFFFFFFFF)
-        self.centre = self.centre.reshape(self.classes, -1)
-        self.factor = self.factor.reshape(self.classes, -1, self.width)
-        self.common = self.common.reshape(self.classes, -1)
-
-    def eta(self, effect, cells):
-        """Effects (class, draw, coordinate) -> eta (cell, draw) of the numbered cells."""
-        a, t, d = np.unravel_index(cells, (self.classes, self.weeks, self.delays))
-        level, week, delay = effect[a, :, 0], effect[a, :, 1 + t], effect[a, :, 1 + self.weeks + d]
-        return np.clip(level + week + delay, -ETA_LIMIT, ETA_LIMIT)
-
-    def effects(self, kind):
-        """Draws of the effects. A Gaussian around the mode is too generous where counts are few:
-        draws that the known cells contradict are replaced by others of their class."""
-        free = self.rng.standard_normal((self.classes, self.share, self.width))
-        effect = self.centre[:, None, :] + free @ self.factor.transpose(0, 2, 1)
-        effect += self.rng.standard_normal((self.share, 1)) * self.common[:, None, :]
-        y, size = np.asarray(self.seen_y, dtype=float)[:, None], np.exp(self.theta[0])
-        inflation = self.theta[3] if kind else None
-        # Without zero inflation the constant cancels from the difference of two heights.
-        constant = log_constant(y, size) if kind else 0.0
-        mode = self.eta(self.centre[:, None, :], self.seen)
-        value, slope, bend = cell_terms(y, mode, size, inflation, kind, constant)
-        eta = self.eta(effect, self.seen)
-        step = eta - mode
-        gap = log_likelihood(y, eta, size, inflation, kind, constant) - value
-        gap += step * (0.5 * bend * step - slope)
-        weight = _sums(gap, self.seen // (self.weeks * self.delays), self.classes)
-        stays = np.log(self.rng.random(weight.shape)) < weight + SLACK
-        for a in np.flatnonzero(~stays.all(axis=1)):
-            good = np.flatnonzero(stays[a])
-            if len(good) == 0:
-                good = weight[a].argmax(keepdims=True)
-            bad = np.flatnonzero(~stays[a])
-            effect[a, bad] = effect[a, self.rng.choice(good, len(bad))]
-        return effect
-
-    def weekly(self, kind):
-        """(draw, class x week) counts: known part plus drawn part of each unfinished week."""
-        eta = self.eta(self.effects(kind), self.missing)
-        size = np.exp(self.theta[0])
-        drawn = self.rng.poisson(self.rng.gamma(size, np.exp(eta) / size))
-        if kind:
-            drawn *= self.rng.random(eta.shape) < keep_chance(eta, self.theta[3], kind)
-        a, t, _ = np.unravel_index(self.missing, (self.classes, self.weeks, self.delays))
-        first = t.min()
-        total = _sums(drawn, a * (self.weeks - first) + t - first, self.classes * (self.weeks - first))
-        return (total + np.asarray(self.observed, dtype=np.int64)[:, None]).T
-
-    def log_likelihoods(self, kind):
-        """(draw, cell) over the known cells."""
-        eta = self.eta(self.effects(kind), self.seen)
-        y = np.asarray(self.seen_y, dtype=float)[:, None]
-        inflation = self.theta[3] if kind else None
-        return log_likelihood(y, eta, np.exp(self.theta[0]), inflation, kind).T
-
-
-def _per_point(method: str, kind: str | None, result: str):
-    """Pandas UDF over the columns of a point that returns one list per draw."""
-
-    def run(*columns: pd.Series) -> pd.Series:
+    root, common = fit.around(theta, x)
+    z = rng.standard_normal((fit.classes, share, fit.width))
+    free = x[:, None] + z @ root.transpose(0, 2, 1)
+    free += rng.standard_normal((share, 1)) * common[:, None]
+    eta, mode = fit.eta(free.transpose(1, 0, 2)), fit.eta(x[None])
+    size, inflation, kind, constant = fit.likelihood(theta[None])
+    value, slope, bend = fit.terms(x[None], (size, inflation, kind, constant))
+    step = eta - mode
+    gap = log_likelihood(fit.y, eta, size, inflation, kind, constant) - value
+    gap += step * (0.5 * bend * step - slope)
+    weight = np.where(fit.seen, gap, 0.0).sum(axis=(2, 3))
+    stays = np.log(rng.random(weight.shape)) < weight + SLACK
+    for a in np.flatnonzero(~stays.all(axis=0)):
+        good, bad = np.flatnonzero(stays[:, a]), np.flatnonzero(~stays[:, a])
+        if len(good) == 0:
+            good = weight[:, a].argmax(keepdims=True)
+        eta[bad, a] = eta[rng.choice(good, len(bad)), a]
+    return eta
+
+
+def draw_weeks(fit: SeriesFit, asked, eta, theta, rng):
+    """(draw, class x week) counts: known part plus drawn part of each unfinished week."""
+    size, kind = np.exp(theta[0]), fit.spec.zero_inflation
+    hidden = eta[:, asked]
+    drawn = rng.poisson(rng.gamma(size, np.exp(hidden) / size))
+    if kind:
+        drawn *= rng.random(hidden.shape) < keep_chance(hidden, theta[3], kind)
+    cells = np.zeros(eta.shape, dtype=np.int64)
+    cells[:, fit.seen] = fit.y[fit.seen].astype(np.int64)
+    cells[:, asked] = drawn
+    return cells[..., first_asked(asked) :, :].sum(axis=3).reshape(len(eta), -1)
+
+
+def score_cells(fit: SeriesFit, asked, eta, theta, rng):
+    """(draw, cell) log-likelihoods of the known cells."""
+    size, inflation, kind, constant = fit.likelihood(theta[None])
+    return log_likelihood(fit.y, eta, size, inflation, kind, constant)[:, fit.seen]
+
+
+def _per_series(of_point, spec: ModelSpec, result: str):
+    """Pandas UDF over fitted series: one list per draw, quadrature point after point."""
+
+    def draw_series(t, t0, d, d0, a, classes, y, share, theta, modes, seed):
+        counts, asked = cell_grid(t - t0, d - d0, np.searchsorted(classes, a), y)
+        fit = SeriesFit(counts, spec)
+        rng = np.random.default_rng(seed & 0xFFFFFFFFFFFFFFFF)
+        out = []
+        for n, point, x in zip(share, theta, modes):
+            eta = draw_effects(fit, point, x.reshape(fit.classes, fit.width), n, rng)
+            out.extend(of_point(fit, asked, eta, point, rng))
+        return out
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         with np.errstate(all="ignore"):
-            return pd.Series([list(getattr(Point(*row), method)(kind)) for row in zip(*columns)])
+            rows = (draw_series(*row) for batch in batches for row in zip(*batch))
+            for piece in in_pieces(rows):
+                yield pd.Series(piece)
 
     # Seeded, so not random at all; but a UDF marked so is never copied into a pushed-down filter.
     return F.pandas_udf(run, f"array<array<{result}>>").asNondeterministic()
 
 
-def _point_columns() -> list:
-    return [*[f"p.{c}" for c in _POINT], *_STATE, F.size("classes"), "seed"]
+def _drawn(posterior: DataFrame, of_point, spec: ModelSpec, result: str, series_cols) -> Column:
+    """The seed comes from the series, so draws do not depend on partitioning."""
+    run = _per_series(of_point, spec, result)
+    seed = F.xxhash64(F.lit(spec.seed), *series_cols)
+    return run(*CELL_COLUMNS, "fit.share", "fit.theta", "fit.modes", seed)
 
 
 def trajectories(
@@ -156,26 +107,25 @@ def trajectories(
     Starts at the first week with an unknown cell. Every task draws from the points it holds: the
     fitted state is never shuffled, and a week's cells are summed before they leave Python.
     """
-    run = _per_point("weekly", spec.zero_inflation, "bigint")
-    rows = _points(posterior, spec, series_cols).filter(F.size("missing") > 0)
-    drawn = rows.select(
-        *series_cols, "first_week", "first_time", "classes", "first_draw",
-        (F.size("observed") / F.size("classes")).cast("int").alias("n_out"),
-        (F.col("weeks") - F.size("observed") / F.size("classes")).cast("int").alias("skipped"),
-        run(*_point_columns()).alias("draws"),
+    n_out = F.col("fit.weeks") - F.col("fit.first_unknown")
+    drawn = posterior.filter(n_out > 0).select(
+        *series_cols, "first_week", "first_time", "classes",
+        F.col("fit.first_unknown").alias("skipped"),
+        n_out.alias("n_out"),
+        _drawn(posterior, draw_weeks, spec, "bigint", series_cols).alias("draws"),
     )
     lines = drawn.select(
-        *series_cols, "first_week", "first_time", "classes", "n_out", "skipped", "first_draw",
+        *series_cols, "first_week", "first_time", "classes", "n_out", "skipped",
         F.posexplode("draws").alias("i", "line"),
     ).select(
         *series_cols, "first_week", "first_time", "classes", "n_out", "skipped",
-        (F.col("first_draw") + F.col("i")).cast("int").alias("draw"),
+        (F.col("i") + 1).alias("draw"),
         F.posexplode("line").alias("pos", "Y"),
     )
-    week = (F.col("skipped") + F.col("pos") % F.col("n_out")).cast("int")
+    week = F.col("skipped") + F.col("pos") % F.col("n_out")
     columns = [
         *series_cols, "draw",
-        (F.col("first_time") + week).cast("int").alias("Time"),
+        (F.col("first_time") + week).alias("Time"),
         weeks.add_weeks(F.col("first_week"), week).alias("dt_event"),
     ]
     if by_age:
@@ -201,15 +151,15 @@ def cell_log_likelihood(
     posterior: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
     """(series, cell, draw, loglik) over the known cells."""
-    run = _per_point("log_likelihoods", spec.zero_inflation, "double")
-    scored = _points(posterior, spec, series_cols).select(
-        *series_cols, "first_draw", run(*_point_columns()).alias("draws")
+    scored = posterior.select(
+        *series_cols,
+        F.posexplode(_drawn(posterior, score_cells, spec, "double", series_cols)).alias(
+            "i", "line"
+        ),
     )
     return scored.select(
-        *series_cols, "first_draw", F.posexplode("draws").alias("i", "line")
-    ).select(
         *series_cols,
-        (F.col("first_draw") + F.col("i")).cast("int").alias("draw"),
+        (F.col("i") + 1).alias("draw"),
         F.posexplode("line").alias("cell", "loglik"),
     )
 

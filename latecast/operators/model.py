@@ -12,7 +12,7 @@ Bayesian solvers up to approximation error, not digit by digit.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -186,7 +186,7 @@ class SeriesFit:
         self.start[:, 0] = level
         self.start_alpha = float(level.mean())
 
-    def _eta(self, x):
+    def eta(self, x):
         effect = x @ self.basis.T
         by_week = effect[..., :1] + effect[..., 1 : 1 + self.weeks]
         eta = by_week[..., :, None] + effect[..., None, 1 + self.weeks :]
@@ -205,23 +205,34 @@ class SeriesFit:
         full[..., d, t] = bend.transpose(0, 1, 3, 2)
         return self.basis.T @ full @ self.basis + prior[:, None]
 
-    def mode(self, theta, x, alpha):
-        """Newton's method for the effects, for every row of ``theta``."""
-        many, kappa = len(theta), self.kappa
-        scale_of = np.exp(theta[:, 1:3])[:, :, None, None]
-        prior = (scale_of * self.structure).sum(axis=1) + RIDGE * np.eye(self.width)
-        prior[:, 0, 0] += kappa
+    def prior(self, theta):
+        """Prior precision of a class's free coordinates."""
+        scale = np.exp(theta[:, 1:3])[:, :, None, None]
+        prior = (scale * self.structure).sum(axis=1) + RIDGE * np.eye(self.width)
+        prior[:, 0, 0] += self.kappa
+        return prior
+
+    def likelihood(self, theta):
+        """The arguments of the likelihood that follow eta: size, inflation, kind, constant."""
         size = np.exp(theta[:, 0])
         constant = log_constant(self.counts, size[:, None])[:, self.count_of.ravel()]
-        constant = constant.reshape(many, *self.y.shape)
-        size = size[:, None, None, None]
+        constant = constant.reshape(len(theta), *self.y.shape)
         inflation = theta[:, 3, None, None, None] if self.spec.zero_inflation else None
+        return size[:, None, None, None], inflation, self.spec.zero_inflation, constant
+
+    def terms(self, x, given):
+        """Log-likelihood of the seen cells, its slope and its curvature; 0 in other cells."""
+        return (
+            np.where(self.seen, z, 0.0) for z in cell_terms(self.y, self.eta(x), *given)
+        )
+
+    def mode(self, theta, x, alpha):
+        """Newton's method for the effects, for every row of ``theta``."""
+        many, kappa = len(theta), self.kappa
+        prior, given = self.prior(theta), self.likelihood(theta)
 
         def height(x, alpha):
-            terms = cell_terms(
-                self.y, self._eta(x), size, inflation, self.spec.zero_inflation, constant
-            )
-            value, slope, bend = (np.where(self.seen, z, 0.0) for z in terms)
+            value, slope, bend = self.terms(x, given)
             free = (x @ prior * x).sum(axis=(1, 2)) + self.classes * kappa * alpha**2
             free -= 2 * kappa * alpha * x[:, :, 0].sum(axis=1)
             return value.sum(axis=(1, 2, 3)) - 0.5 * free, slope, bend
@@ -334,14 +345,21 @@ class SeriesFit:
         return theta, weight / weight.sum(), x, hessian, schur, spread @ spread.T
 
     def gaussian(self, x, hessian, schur):
-        """Effects in natural coordinates: centre, factor of the class part, and the direction in
-        which all of a class moves with the common intercept."""
+        """Spread of the effects given one ``theta``: a factor for each class, and the direction in
+        which it moves with the common intercept."""
         root = np.linalg.inv(np.linalg.cholesky(hessian)).transpose(0, 2, 1)
-        common = np.zeros((self.classes, self.basis.shape[0]))
+        common = np.zeros((self.classes, self.width))
         if self.kappa:
-            tilt = self._unit_response(hessian[None])[0]
-            common = tilt @ self.basis.T * self.kappa / np.sqrt(schur)
-        return x @ self.basis.T, self.basis @ root, common
+            common = self._unit_response(hessian[None])[0] * self.kappa / np.sqrt(schur)
+        return root, common
+
+    def around(self, theta, x):
+        """``gaussian`` at a stored mode."""
+        theta, x = theta[None], x[None]
+        *_, bend = self.terms(x, self.likelihood(theta))
+        hessian = self._hessian(bend, self.prior(theta))
+        schur = self._schur(self._unit_response(hessian))
+        return self.gaussian(x[0], hessian[0], schur[0])
 
 
 def _shares(weights: np.ndarray, total: int) -> np.ndarray:
@@ -352,45 +370,56 @@ def _shares(weights: np.ndarray, total: int) -> np.ndarray:
 
 
 POSTERIOR = """
-    weeks int, delays int, width int, missing array<int>, seen array<int>, seen_y array<long>,
-    observed array<long>, hyper_mode array<double>, hyper_sd array<double>,
+    weeks int, delays int, first_unknown int, hyper_mode array<double>, hyper_sd array<double>,
     effect_mode array<double>, effect_sd array<double>, share array<int>,
-    theta array<array<double>>, centre array<array<double>>, factor array<array<double>>,
-    common array<array<double>>
+    theta array<array<double>>, modes array<array<double>>
 """
+# Rows per Arrow batch that leaves Python: bounds its memory whatever the partition holds.
+ROWS_OUT = 8
 
 
-def fit_series(time, delay, stratum, y, spec: ModelSpec) -> dict:
-    """One series' triangle, as aligned cell arrays with 0-based indices -> posterior record."""
+def cell_grid(time, delay, stratum, y):
+    """Aligned cell arrays with 0-based indices -> (counts, asked), each (class, week, delay).
+
+    Counts are NaN where unknown; ``asked`` marks the unknown cells of the triangle.
+    """
     shape = (stratum.max() + 1, time.max() + 1, delay.max() + 1)
-    grid = np.full(shape, np.nan)
-    grid[stratum, time, delay] = y
+    counts = np.full(shape, np.nan)
+    counts[stratum, time, delay] = y
     asked = np.zeros(shape, dtype=bool)
     asked[stratum, time, delay] = np.isnan(y)
-    fit = SeriesFit(grid, spec)
+    return counts, asked
+
+
+def first_asked(asked) -> int:
+    """First week with an unknown cell, or the number of weeks."""
+    weeks = asked.any(axis=(0, 2))
+    return int(weeks.argmax()) if weeks.any() else len(weeks)
+
+
+def fit_series(time, delay, stratum, y, spec: ModelSpec) -> dict:
+    """One series' triangle -> posterior record: modes and weights, no matrices."""
+    counts, asked = cell_grid(time, delay, stratum, y)
+    fit = SeriesFit(counts, spec)
     theta, weights, x, hessian, schur, covariance = fit.quadrature()
-    mean, factor, common = fit.gaussian(x[0], hessian[0], schur[0])
-    sd = np.sqrt((factor**2).sum(axis=2) + common**2)
-    missing = np.flatnonzero(asked)
-    first = int(asked.any(axis=(0, 2)).argmax()) if len(missing) else shape[1]
-    record = {
-        "weeks": shape[1], "delays": shape[2], "width": fit.width,
-        "missing": missing,
-        "observed": np.nansum(grid, axis=2)[:, first:].astype(np.int64).ravel(),
-        "seen": np.flatnonzero(fit.seen), "seen_y": fit.y[fit.seen].astype(np.int64),
+    factor, common = fit.gaussian(x[0], hessian[0], schur[0])
+    sd = np.sqrt(((fit.basis @ factor) ** 2).sum(axis=2) + (common @ fit.basis.T) ** 2)
+    share = _shares(weights, spec.draws)
+    used = np.flatnonzero(share)
+    return {
+        "weeks": fit.weeks, "delays": fit.delays, "first_unknown": first_asked(asked),
         "hyper_mode": theta[0], "hyper_sd": np.sqrt(np.diag(covariance)),
-        "effect_mode": mean.ravel(), "effect_sd": sd.ravel(),
-        "share": [], "theta": [], "centre": [], "factor": [], "common": [],
+        "effect_mode": (x[0] @ fit.basis.T).ravel(), "effect_sd": sd.ravel(),
+        "share": share[used], "theta": list(theta[used]),
+        "modes": list(x[used].reshape(len(used), -1)),
     }
-    for i, share in enumerate(_shares(weights, spec.draws)):
-        if share:
-            mean, factor, common = fit.gaussian(x[i], hessian[i], schur[i])
-            record["share"].append(int(share))
-            record["theta"].append(theta[i])
-            record["centre"].append(mean.ravel())
-            record["factor"].append(factor.ravel())
-            record["common"].append(common.ravel())
-    return record
+
+
+def in_pieces(rows, size: int = ROWS_OUT):
+    """Lists of at most ``size`` rows."""
+    rows = iter(rows)
+    while piece := list(itertools.islice(rows, size)):
+        yield piece
 
 
 def _fit_partitions(df: DataFrame, partitions: int | None) -> int:
@@ -403,6 +432,12 @@ def _fit_partitions(df: DataFrame, partitions: int | None) -> int:
     )
 
 
+# What a Python worker needs of a bundled series to rebuild its triangle.
+CELL_COLUMNS = (
+    "cells.t", "first_time", "cells.d", "first_delay", "cells.a", "classes", "cells.y",
+)
+
+
 def fit_delay_model(
     triangle: DataFrame,
     spec: ModelSpec = ModelSpec(),
@@ -436,26 +471,19 @@ def fit_delay_model(
     if series_cols:
         bundled = bundled.repartition(_fit_partitions(triangle, partitions))
 
-    def fit(t, t0, d, d0, a, classes, y) -> pd.DataFrame:
+    def fit(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        def records():
+            for batch in batches:
+                for t, t0, d, d0, a, classes, y in zip(*batch):
+                    yield fit_series(t - t0, d - d0, np.searchsorted(classes, a), y, spec)
+
         with np.errstate(all="ignore"):
-            records = [
-                fit_series(ts - lo, ds - dlo, np.searchsorted(cl, ages), ys, spec)
-                for ts, lo, ds, dlo, ages, cl, ys in zip(t, t0, d, d0, a, classes, y)
-            ]
-        return pd.DataFrame.from_records(records)
-
-    fit.__annotations__ = {
-        **{k: pd.Series for k in ("t", "t0", "d", "d0", "a", "classes", "y")},
-        "return": pd.DataFrame,
-    }
+            for piece in in_pieces(records()):
+                yield pd.DataFrame.from_records(piece)
+
     # Marked so that no filter inferred from a later explode runs the fit a second time.
     run = F.pandas_udf(fit, POSTERIOR).asNondeterministic()
-    fitted = bundled.select(
-        *series_cols, "first_week", "first_time", "first_delay", "classes",
-        run("cells.t", "first_time", "cells.d", "first_delay", "cells.a", "classes", "cells.y")
-        .alias("fit"),
-    )
-    return fitted
+    return bundled.withColumn("fit", run(*CELL_COLUMNS))
 
 
 def fit_table(

@@ -84,7 +84,7 @@ def test_mode_is_a_maximum(classes, inflation):
     prior = np.exp(theta[1]) * fit.structure[0] + np.exp(theta[2]) * fit.structure[1]
 
     def value(x, alpha):
-        cells = log_likelihood(fit.y, fit._eta(x), np.exp(1.5), *([0.3, inflation] if inflation else []))
+        cells = log_likelihood(fit.y, fit.eta(x), np.exp(1.5), *([0.3, inflation] if inflation else []))
         scatter = fit.kappa * ((x[:, 0] - alpha) ** 2).sum()
         return cells[fit.seen].sum() - 0.5 * ((x @ prior * x).sum() + scatter)
 
