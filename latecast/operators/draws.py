@@ -26,13 +26,13 @@ def draw_effects(fit: SeriesFit, theta, x, share: int, rng):
     A Gaussian is too generous where counts are few: draws that the known cells contradict are
     replaced by others of their class.
     """
-    root, common = fit.around(theta, x)
+    size, inflation, kind, constant = given = fit.likelihood(theta[None])
+    value, slope, bend = fit.terms(x[None], given)
+    root, common = fit.around(theta, x, bend)
     z = rng.standard_normal((fit.classes, share, fit.width))
     free = x[:, None] + z @ root.transpose(0, 2, 1)
     free += rng.standard_normal((share, 1)) * common[:, None]
     eta, mode = fit.eta(free.transpose(1, 0, 2)), fit.eta(x[None])
-    size, inflation, kind, constant = fit.likelihood(theta[None])
-    value, slope, bend = fit.terms(x[None], (size, inflation, kind, constant))
     step = eta - mode
     gap = log_likelihood(fit.y, eta, size, inflation, kind, constant) - value
     gap += step * (0.5 * bend * step - slope)

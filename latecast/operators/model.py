@@ -353,10 +353,9 @@ class SeriesFit:
             common = self._unit_response(hessian[None])[0] * self.kappa / np.sqrt(schur)
         return root, common
 
-    def around(self, theta, x):
-        """``gaussian`` at a stored mode."""
+    def around(self, theta, x, bend):
+        """``gaussian`` at a stored mode, from the curvature there."""
         theta, x = theta[None], x[None]
-        *_, bend = self.terms(x, self.likelihood(theta))
         hessian = self._hessian(bend, self.prior(theta))
         schur = self._schur(self._unit_response(hessian))
         return self.gaussian(x[0], hessian[0], schur[0])
