@@ -50,9 +50,7 @@ def _week_scalars(df: DataFrame, last_report: Column, rule: WeekRule, series_col
 
 
 def _in_range(onset_week: Column, report: Column, report_week: Column) -> Column:
-    # Kept as one opaque test: split up, its null checks would be pushed below the day counts on
-    # this side of the plan only, and the counts could no longer be shared with the scalars.
-    return F.coalesce((report <= F.col("_cutoff")) & (report_week >= onset_week), F.lit(False))
+    return (report <= F.col("_cutoff")) & (report_week >= onset_week)
 
 
 def weekly_line_list(
@@ -135,10 +133,12 @@ def weekly_counts(
             "_report_week": weeks.week_start(F.col("report"), F.col("_first_weekday")),
         }
     )
+    # One opaque test that also looks at the count: its parts would be pushed below the day counts
+    # on this side of the plan only, and the scalars could no longer share them.
     keep = _in_range(F.col("onset_week"), F.col("report"), F.col("_report_week"))
     if by_age:
-        keep = F.coalesce(keep & F.col("age_class").isNotNull(), F.lit(False))
-    cells = cells.filter(keep)
+        keep = keep & F.col("age_class").isNotNull()
+    cells = cells.filter(F.coalesce(keep & (F.col("n") > 0), F.lit(False)))
     age = ["age_class"] if by_age else []
     return (
         cells.withColumn(

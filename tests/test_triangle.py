@@ -158,12 +158,25 @@ def test_curves(many):
     assert daily.isEmpty()
 
 
-def test_day_counts_are_read_once(spark):
+@pytest.mark.parametrize("keys", [[], ["series"]])
+@pytest.mark.parametrize("age", [None, "age"])
+def test_day_counts_are_read_once(spark, tmp_path, keys, age):
     """The scalars of a series come from the same shuffled counts as its cells."""
     rows = [("2020-06-01", "2020-06-02", 1.0, "a"), ("2020-06-01", "2020-06-19", 1.0, None)]
-    days = weekly.day_counts(_line_list(spark, rows), "onset", "report", series_cols=["series"])
-    table = triangle.delay_triangle(days, series_cols=["series"])
-    table.collect()
-    plan = table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
-    assert plan.count("ReusedExchange") == 1 and plan.count("Scan ExistingRDD") == 1
+    _line_list(spark, rows).coalesce(1).write.parquet(str(tmp_path / "cases"))
+    cases = spark.read.parquet(str(tmp_path / "cases"))
+    days = weekly.day_counts(cases, "onset", "report", age, series_cols=keys)
+    table = triangle.delay_triangle(days, series_cols=keys)
+    before = _records_read(spark)
+    assert table.count() > 0
+    assert _records_read(spark) - before == len(rows)
+    plan = table._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def _records_read(spark):
+    """Rows that finished stages of this session have scanned."""
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
