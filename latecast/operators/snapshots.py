@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from latecast.functions import weeks
 from latecast.functions.strata import age_class_digit
-from latecast.operators.keys import attach, join_on
+from latecast.operators.keys import attach
 
 
 def require_release(snapshots: DataFrame, release: dt.date | str) -> None:
@@ -141,30 +141,50 @@ def snapshot_triangle(
     first, last = F.min("dt_release"), F.max("dt_release")
     if window is not None:
         first = F.greatest(first, F.date_sub(last, 7 * window))
-    grid = (
+    known = F.when(F.col("delay").between(0, d_max), F.struct("dt_event", "delay", "Y"))
+    gathered = (
         steps.groupBy(*series_cols)
-        .agg(first.alias("_first"), last.alias("_last"))
+        .agg(first.alias("_first"), last.alias("_last"), F.collect_list(known).alias("_known"))
         .filter(F.col("_first").isNotNull())
-        .select(
-            *series_cols, "_last",
-            F.posexplode(
-                weeks.week_sequence(F.col("_first"), weeks.add_weeks(F.col("_last"), horizon))
-            ).alias("_pos", "dt_event"),
-        )
-        .withColumn("delay", F.explode(F.sequence(F.lit(0), F.lit(d_max))))
+        .withColumn("_until", weeks.add_weeks(F.col("_last"), horizon))
     )
-    known = steps.filter(F.col("delay").between(0, d_max)).select(
-        *series_cols, "dt_event", "delay", "Y"
+    unknown = F.lit(None).cast("long")
+    empty = _grid(
+        F.col("_until"), range(d_max + 1), lambda day, d: [
+            day.alias("dt_event"), d.alias("delay"), unknown.alias("Y")
+        ],
     )
-    knowable = weeks.weeks_between(F.col("_last"), F.col("dt_event")) >= F.col("delay")
     cells = (
-        join_on(grid, known, [*series_cols, "dt_event", "delay"], "left")
-        .withColumn("Y", F.when(F.col("Y").isNull() & knowable, F.lit(0)).otherwise(F.col("Y")))
-        .withColumns({"Y": _not_negative(), "Time": F.col("_pos") + 1})
+        gathered.withColumn("_c", F.explode(F.concat("_known", empty)))
+        .select(*series_cols, "_first", "_last", "_until", "_c.*")
+        .filter(F.col("dt_event").between(F.col("_first"), F.col("_until")))
+        .groupBy(*series_cols, "_first", "_last", "dt_event", "delay")
+        .agg(F.max("Y").alias("Y"))
     )
+    knowable = weeks.weeks_between(F.col("_last"), F.col("dt_event")) >= F.col("delay")
+    cells = cells.withColumn(
+        "Y", F.when(F.col("Y").isNull() & knowable, F.lit(0)).otherwise(F.col("Y"))
+    ).withColumns({"Y": _not_negative(), "Time": _time()})
     return _merge_first_delays(cells, series_cols)
 
 
+def _grid(until: Column, delays: range, cell) -> Column:
+    """Array of a cell for every week from ``_first`` to ``until`` and every delay."""
+    return F.flatten(
+        F.transform(
+            weeks.week_sequence(F.col("_first"), until),
+            lambda day: F.transform(
+                F.sequence(F.lit(delays.start), F.lit(delays.stop - 1)),
+                lambda d: F.struct(*cell(day, d)),
+            ),
+        )
+    )
+
+
+def _time() -> Column:
+    return weeks.weeks_between(F.col("dt_event"), F.col("_first")) + 1
+
+
 def snapshot_triangle_full_weeks(
     snapshots: DataFrame,
     event_col: str,
@@ -190,51 +210,42 @@ def snapshot_triangle_full_weeks(
     last = rows.agg(F.max(F.col("data").cast("date")).alias("_day")).select(
         F.date_sub(weeks.sunday_of(F.col("_day")), 7).alias("_last")
     )
-    calendars = attach(
+    first = F.min(weeks.sunday_of(F.col("dt_release"))).alias("_first")
+    floored = F.floor("delay").cast("int")
+    columns = ["dt_event", "delay", "_rank", "_exact", "Y"]
+    observed = F.struct(
+        "dt_event", floored.alias("delay"), F.lit(1).alias("_rank"),
+        F.col("delay").alias("_exact"), "Y",
+    )
+    gathered = attach(
         steps.groupBy(*series_cols).agg(
-            F.min(weeks.sunday_of(F.col("dt_release"))).alias("_first")
+            first, F.collect_list(F.when(floored.between(0, d_max), observed)).alias("_known")
         ),
         last, (),
     )
     if window is not None:
-        calendars = calendars.withColumn(
+        gathered = gathered.withColumn(
             "_first", F.greatest("_first", F.date_sub("_last", 7 * window))
         )
-    calendars = calendars.filter(F.col("_first") <= F.col("_last"))
-    grid = (
-        calendars.select(
-            *series_cols, "_first", "_last",
-            F.explode(
-                weeks.week_sequence(F.col("_first"), weeks.add_weeks(F.col("_last"), horizon))
-            ).alias("dt_event"),
-        )
-        .withColumn("delay", F.explode(F.sequence(F.lit(1), F.lit(d_max))))
-    )
-    unknown = weeks.add_weeks(F.col("dt_event"), F.col("delay")) > F.col("_last")
-    columns = [*series_cols, "dt_event", "Time", "delay", "_exact", "_rank", "Y"]
-    time = weeks.weeks_between(F.col("dt_event"), F.col("_first")) + 1
-    fill = grid.withColumns(
-        {
-            "_exact": F.col("delay").cast("double"),
-            "_rank": F.when(unknown, 2).otherwise(3),
-            "Y": F.when(unknown, F.lit(None)).otherwise(F.lit(0)).cast("long"),
-            "Time": time,
-        }
-    ).select(*columns)
-    observed = (
-        attach(steps, calendars, series_cols)
-        .filter(F.col("dt_event").between(F.col("_first"), F.col("_last")))
-        .withColumns(
-            {
-                "_exact": F.col("delay"), "delay": F.floor("delay").cast("int"),
-                "_rank": F.lit(1), "Time": time,
-            }
-        )
-        .filter(F.col("delay").between(0, d_max))
-        .select(*columns)
+
+    def fill(day: Column, d: Column) -> list[Column]:
+        unknown = weeks.add_weeks(day, d) > F.col("_last")
+        values = [
+            day, d, F.when(unknown, 2).otherwise(3), d.cast("double"),
+            F.when(~unknown, F.lit(0).cast("long")),
+        ]
+        return [value.alias(name) for value, name in zip(values, columns)]
+
+    empty = _grid(weeks.add_weeks(F.col("_last"), horizon), range(1, d_max + 1), fill)
+    inside = F.filter(
+        "_known", lambda c: c["dt_event"].between(F.col("_first"), F.col("_last"))
     )
-    first_row = F.min_by("Y", F.struct("_rank", "_exact")).alias("Y")
     cells = (
-        observed.unionByName(fill).groupBy(*series_cols, "dt_event", "Time", "delay").agg(first_row)
+        gathered.filter(F.col("_first") <= F.col("_last"))
+        .select(*series_cols, "_first", F.explode(F.concat(inside, empty)).alias("_c"))
+        .select(*series_cols, "_first", "_c.*")
+        .groupBy(*series_cols, "_first", "dt_event", "delay")
+        .agg(F.min_by("Y", F.struct("_rank", "_exact")).alias("Y"))
+        .withColumns({"Y": _not_negative(), "Time": _time()})
     )
-    return _merge_first_delays(cells.withColumn("Y", _not_negative()), series_cols)
+    return _merge_first_delays(cells, series_cols)
