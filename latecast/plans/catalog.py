@@ -14,7 +14,7 @@ from latecast.functions import strata, text, weeks
 from latecast.operators import (
     curves, draws, model, report, snapshots, summary, trend, triangle, weekly,
 )
-from latecast.operators.keys import attach
+from latecast.operators.keys import attach, join_on
 from latecast.operators.model import ModelSpec, Prior
 from latecast.operators.weekly import WeekRule
 from latecast.plans import situation, tables
@@ -435,6 +435,42 @@ def trajectories_by_age(spark, sf):
     return _nowcast(spark, sf, "age").trajectories
 
 
+def _trajectory_checks(run, keys) -> DataFrame:
+    """What must hold for any draws: every week is there, drawn 1000 times, and no draw is below
+    what is already reported."""
+    known = triangle.observed_from_first_unknown(run.triangle, series_cols=keys)
+    both = join_on(run.trajectories, known.drop("dt_event"), [*keys, "Time"])
+    return both.groupBy(*keys, "Time", "dt_event").agg(
+        F.max("observed").alias("observed"),
+        F.countDistinct("draw").alias("draws"),
+        F.bool_and(F.col("Y") >= F.col("observed")).alias("never_below"),
+    )
+
+
+def trajectory_checks(spark, sf):
+    return _trajectory_checks(_nowcast(spark, sf, series_cols=SERIES, horizon=2), SERIES)
+
+
+def trajectory_checks_by_age(spark, sf):
+    return _trajectory_checks(_nowcast(spark, sf, "age"), ["age_class"])
+
+
+def fit_checks(spark, sf):
+    """Effects of the fit: one per week and delay and series, adding up to zero."""
+    terms = _nowcast(spark, sf, series_cols=SERIES).output
+    return (
+        terms.filter(F.col("term").isin("time", "delay"))
+        .groupBy("series", "term")
+        .agg(
+            F.count(F.lit(1)).alias("effects"),
+            F.min("index").alias("first"),
+            F.max("index").alias("last"),
+            (F.abs(F.sum("mode")) < 1e-6).alias("centred"),
+            F.bool_and(F.col("sd") > 0).alias("spread"),
+        )
+    )
+
+
 def nowcast_trend(spark, sf):
     run = _nowcast(spark, sf, series_cols=SERIES)
     return _rounded(trend.trend(run.trajectories, series_cols=SERIES))
@@ -485,8 +521,8 @@ CHECKED: list[Query] = [
     weekly_line_list, weekly_line_list_epiweek, weekly_line_list_trim_k,
     age_binning_si_pni, age_binning_10y, age_binning_5y, age_binning_custom,
     delay_triangle, delay_triangle_by_age, delay_triangle_by_series, delay_triangle_epiweek,
-    delay_triangle_forecast_k, delay_triangle_many_series, triangle_wide, triangle_long, integer_week_triangle,
-    observed_by_week_from_tmin, latest_weeks,
+    delay_triangle_forecast_k, delay_triangle_many_series, triangle_wide, triangle_long,
+    integer_week_triangle, observed_by_week_from_tmin, latest_weeks,
     epi_curve, weekly_tally, weekly_tally_shipdate, daily_tally, as_of_epi_curve, truth_vs_as_of,
     latest_release, named_release_epiweek, release_by_age,
     snapshot_increments, snapshot_triangle, snapshot_triangle_floor, snapshot_triangle_by_age,
@@ -496,12 +532,13 @@ CHECKED: list[Query] = [
     totals_with_history, window_total,
     report_table, situation_table, rolling_average, upper_limit_cap, bridge_row, history_splice,
     dispersion_check, zero_case_strata, phase_label,
+    trajectory_checks, trajectory_checks_by_age, fit_checks,
 ]
 MODELLED: list[Query] = [
-    nowcast_total, nowcast_by_age, nowcast_by_series, nowcast_many_series, forecast_k, nowcast_zero_inflated,
-    nowcast_constant_inflation, nowcast_pc_prior, nowcast_iid_time, trajectories,
-    trajectories_by_age, nowcast_trend, nowcast_snapshots, fit_table, model_scores, adaptive_dmax,
-    situation_report, backtest,
+    nowcast_total, nowcast_by_age, nowcast_by_series, nowcast_many_series, forecast_k,
+    nowcast_zero_inflated, nowcast_constant_inflation, nowcast_pc_prior, nowcast_iid_time,
+    trajectories, trajectories_by_age, nowcast_trend, nowcast_snapshots, fit_table, model_scores,
+    adaptive_dmax, situation_report, backtest,
 ]
 
 

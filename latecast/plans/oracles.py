@@ -239,7 +239,9 @@ listed AS (
   FROM (SELECT {age} dt_sin_pri, min(data) AS first_day FROM new GROUP BY ALL),
        (SELECT max(data) AS last_day FROM new)),
 snap AS (
-  SELECT listed.*, {_bigint(f"sum(coalesce(new_n, 0)) OVER (PARTITION BY {', '.join('listed.' + p for p in part.split(', '))} ORDER BY listed.data)")} AS n
+  SELECT listed.*, CAST(sum(coalesce(new_n, 0)) OVER (
+           PARTITION BY {', '.join('listed.' + p for p in part.split(', '))} ORDER BY listed.data
+         ) AS BIGINT) AS n
   FROM listed LEFT JOIN new ON new.dt_sin_pri = listed.dt_sin_pri AND new.data = listed.data {same})"""
 
 
@@ -308,7 +310,8 @@ pile AS (
   SELECT inc.g, dt_event, CAST(floor(exact) AS INTEGER) AS delay, exact, 1 AS pri, y
   FROM inc JOIN lim USING (g) WHERE dt_event BETWEEN f AND l AND floor(exact) BETWEEN 0 AND {d_max}
   UNION ALL
-  SELECT g, dt_event, CAST(d AS INTEGER), d, CASE WHEN dt_event + CAST(7 * d AS INTEGER) > l THEN 2 ELSE 3 END,
+  SELECT g, dt_event, CAST(d AS INTEGER), d,
+         CASE WHEN dt_event + CAST(7 * d AS INTEGER) > l THEN 2 ELSE 3 END,
          CASE WHEN dt_event + CAST(7 * d AS INTEGER) > l THEN NULL ELSE 0 END
   FROM grid),
 one AS (
@@ -536,9 +539,12 @@ LEFT JOIN sb ON sb.g = tab.g AND sb.end_week = dt_event"""
     q["rolling_average"] = f"""WITH {_LINES}, {weekly_obs}, {_REPORTED}
 SELECT g AS series, dt_event, n, {_rolling("n")} FROM full_obs"""
     q["bridge_row"] = f"""{table},
-br AS (SELECT g, dt_event, n, "LI", "LS", max(dt_event) FILTER ("Median" IS NOT NULL) OVER (PARTITION BY g) AS last,
-              CASE WHEN "Median" IS NULL AND lead("Median") OVER (PARTITION BY g ORDER BY dt_event) IS NOT NULL
-                   THEN n ELSE "Median" END AS "Median" FROM tab)
+br AS (
+  SELECT g, dt_event, n, "LI", "LS",
+         max(dt_event) FILTER ("Median" IS NOT NULL) OVER (PARTITION BY g) AS last,
+         CASE WHEN "Median" IS NULL
+               AND lead("Median") OVER (PARTITION BY g ORDER BY dt_event) IS NOT NULL
+              THEN n ELSE "Median" END AS "Median" FROM tab)
 SELECT g AS series, dt_event, n, "Median", "LI", "LS" FROM br WHERE dt_event <= last"""
     q["history_splice"] = f"""WITH {_draws(draws=20)}, {_REPORTED}
 SELECT g AS series, CAST(draw AS INTEGER) AS draw, dt_event, n AS "Y"
@@ -549,7 +555,8 @@ WHERE dt_event < start UNION ALL SELECT g, draw, dt_event, "Y" FROM dr"""
 SELECT g AS series, bool_and("LS" / ("Median" + 1) < 2) AS consistent
 FROM rep JOIN (SELECT g, max(dt_event) AS last FROM rep GROUP BY g) USING (g)
 WHERE dt_event = last GROUP BY g"""
-    q["zero_case_strata"] = f"""WITH {_triangle(series=True, limits=presets["5 years"], d_max=1, window=1)},
+    newest = _triangle(series=True, limits=presets["5 years"], d_max=1, window=1)
+    q["zero_case_strata"] = f"""WITH {newest},
 seen AS (SELECT g, age_class, coalesce(sum("Y"), 0) AS total FROM tri GROUP BY ALL)
 SELECT g AS series, age_class, CAST(draw AS INTEGER) AS draw, "Time", delay,
        {_bigint('CASE WHEN total = 0 THEN 0 ELSE draw + "Time" + delay END')} AS "Y"
@@ -558,4 +565,18 @@ FROM tri JOIN seen USING (g, age_class), (SELECT unnest(range(1, 21)) AS draw)""
 SELECT "Time", dt_event, count("Y") AS known,
        CASE WHEN "Time" <= max(last_time) THEN 'nowcast' ELSE 'forecast' END AS phase
 FROM tri GROUP BY "Time", dt_event"""
+    q["trajectory_checks"] = (
+        f'WITH {_triangle(series=True, k=2)}, {known} SELECT g AS series, "Time", dt_event, '
+        "observed, CAST(1000 AS BIGINT) AS draws, TRUE AS never_below FROM ob"
+    )
+    q["trajectory_checks_by_age"] = f"""WITH {_triangle(limits=_TENS)},
+fu AS (SELECT min("Time") AS first_unknown FROM tri WHERE "Y" IS NULL)
+SELECT age_class, "Time", dt_event, {_bigint('coalesce(sum("Y"), 0)')} AS observed,
+       CAST(1000 AS BIGINT) AS draws, TRUE AS never_below
+FROM tri, fu WHERE "Time" >= first_unknown GROUP BY age_class, "Time", dt_event"""
+    q["fit_checks"] = f"""WITH {_triangle(series=True)}
+SELECT g AS series, 'time' AS term, count(DISTINCT "Time") AS effects, min("Time") AS first,
+       max("Time") AS last, TRUE AS centred, TRUE AS spread FROM tri GROUP BY g
+UNION ALL
+SELECT g, 'delay', count(DISTINCT delay), min(delay), max(delay), TRUE, TRUE FROM tri GROUP BY g"""
     return q

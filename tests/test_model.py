@@ -291,7 +291,8 @@ def test_scores(simulated):
     known = table.filter("series = 's1' and Y is not null").count()
     assert loglik.groupBy("series").agg(F.countDistinct("cell")).first()[1] == known
     got = draws.model_scores(loglik, series_cols=["series"]).filter("series = 's1'").first()
-    cells = loglik.filter("series = 's1'").toPandas().pivot(index="cell", columns="draw", values="loglik")
+    mine = loglik.filter("series = 's1'").toPandas()
+    cells = mine.pivot(index="cell", columns="draw", values="loglik")
     waic = -2 * (np.log(np.exp(cells).mean(axis=1)) - cells.var(axis=1)).sum()
     deviance = -2 * cells.sum(axis=0)
     assert got["waic"] == pytest.approx(waic)

@@ -1,11 +1,13 @@
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from latecast.operators import curves, triangle, weekly
 from latecast.operators.weekly import WeekRule
+from latecast.plans import tables
 
 
 def _line_list(spark, rows, schema="onset string, report string, age double, series string"):
@@ -180,3 +182,34 @@ def _records_read(spark):
     none = context._gateway.new_array(context._jvm.double, 0)
     stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
     return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize(
+    "as_of, rule, first, last, weeks, rows, cells",
+    [
+        ("2001-06-20", WeekRule(), "2000-11-16", "2001-06-14", 31, 4656, 225),
+        ("2001-06-20", WeekRule(horizon=2), "2000-11-16", "2001-06-14", 31, 4656, 225),
+        ("2001-06-20", WeekRule(trim=2), "2000-11-02", "2001-05-31", 31, 4692, 226),
+        ("2001-06-20", WeekRule(use_epiweek=True), "2000-11-12", "2001-06-10", 31, 4667, 229),
+        ("2001-06-20", WeekRule(horizon=1, use_epiweek=True), "2000-11-19", "2001-06-17", 31, 4585,
+         229),
+        ("2001-06-23", WeekRule(), "2000-11-12", "2001-06-10", 31, 4667, 229),
+        ("2001-06-23", WeekRule(horizon=1), "2000-11-19", "2001-06-17", 31, 4651, 229),
+    ],
+)
+def test_values_computed_beforehand(spark, as_of, rule, first, last, weeks, rows, cells):
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("driver tables not there")
+    view = curves.as_of(tables.line_list(spark, str(folder)), "report", as_of)
+    table = triangle.delay_triangle(weekly.day_counts(view, "onset", "report"), rule=rule)
+    known = F.col("Y").isNotNull()
+    got = table.agg(
+        F.min("dt_event"), F.max(F.when(known, F.col("dt_event"))),
+        F.max(F.when(known, F.col("Time"))), F.sum("Y"), F.count_if(F.col("Y") > 0),
+        F.max(F.when(F.col("Y") > 0, F.col("delay"))), F.count(F.lit(1)), F.count_if(~known),
+    ).first()
+    size, unknown = (weeks + rule.horizon) * 16, 120 + 16 * rule.horizon
+    want = (dt.date.fromisoformat(first), dt.date.fromisoformat(last), weeks, rows, cells, 8, size,
+            unknown)
+    assert tuple(got) == want
