@@ -38,16 +38,16 @@ def adaptive_draws(
     """Trajectories (series, d_max, draw, Time, dt_event, Y), fitted again with a shorter maximum
     delay and window for those series whose last week is too uncertain.
 
-    At most ``max_trials`` rounds; each round's draws are checkpointed and the next one sees only
-    the series that failed.
+    ``window`` is a number of weeks here. At most ``max_trials`` rounds; each round's draws are
+    checkpointed and the next one sees only the series that failed.
     """
     if "age_class" in days.columns:
         raise ValueError("the report works on series without age classes")
-    accepted, trial = [], 1
+    accepted, trial, held = [], 1, days.is_cached
     stored = days = days.persist(StorageLevel.MEMORY_AND_DISK)
     while True:
         table = triangle.delay_triangle(
-            days, d_max=d_max, window=window, series_cols=series_cols, rule=rule
+            days, d_max=d_max, window=window - 1, series_cols=series_cols, rule=rule
         )
         posterior = model.fit_delay_model(table, spec, series_cols=series_cols)
         drawn = checkpointed(draws.trajectories(posterior, spec, series_cols=series_cols))
@@ -69,7 +69,8 @@ def adaptive_draws(
             days_left = model.restrict_to(days, failed, series_cols)
         days, trial, d_max = days_left, trial + 1, d_max - 2
         window = round(2.25 * d_max) - 1
-    stored.unpersist()
+    if not held:
+        stored.unpersist()
     return reduce(DataFrame.unionByName, accepted)
 
 
@@ -82,8 +83,12 @@ def situation_report(
     **fit_options,
 ) -> DataFrame:
     """One row per series and week: reported, estimated with limits, rolling mean, trends."""
+    held = days.is_cached
+    days = days.persist(StorageLevel.MEMORY_AND_DISK)
     drawn = adaptive_draws(days, series_cols=series_cols, rule=rule, **fit_options)
-    observed = curves.weekly_tally(days, series_cols=series_cols, rule=rule)
+    observed = checkpointed(curves.weekly_tally(days, series_cols=series_cols, rule=rule))
+    if not held:
+        days.unpersist()
     return report.situation_report(drawn, observed, series_cols=series_cols, cap=cap)
 
 
