@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latecast.llm import exact_dedup, mixing
+from latecast.llm import byte_bpe, exact_dedup, mixing, token_file
 from latecast.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +22,31 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_file.write_tokens(
+        documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")
+    )
+    return token_file.read_tokens(manifest).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    encoded = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return byte_bpe.decode(encoded, vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_exact_dedup, op7_source_mixing]
+    found = [op1_exact_dedup, op4_token_file, op7_source_mixing, op10_byte_bpe]
     return {f.__name__: f for f in found}
