@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latecast.llm import byte_bpe, exact_dedup, mixing, token_file
+from latecast.llm import byte_bpe, exact_dedup, mixing, token_file, topk, warc
 from latecast.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,22 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_warc(manifest, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -48,5 +60,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_exact_dedup, op4_token_file, op7_source_mixing, op10_byte_bpe]
+    found = [
+        op1_exact_dedup, op4_token_file, op6_exact_topk, op7_source_mixing, op9_warc, op10_byte_bpe,
+    ]
     return {f.__name__: f for f in found}

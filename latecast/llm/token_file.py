@@ -114,7 +114,7 @@ class Writer:
 
     def __init__(self, folder: str, name: str) -> None:
         self.store, self.temporary, self.final = files.start(folder, name)
-        self.out = self.store.open_output_stream(self.temporary)
+        self.out = self.store.open_output_stream(self.temporary, compression=None)
         self.out.write(MAGIC)
         self.docs, self.counts, self.firsts = [], [], []
         self.words = self.ids = self.waiting = 0
