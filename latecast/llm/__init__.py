@@ -2,8 +2,8 @@
 
 from pyspark import cloudpickle
 
-from latecast.llm import bloom, byte_bpe, files, pieces, token_file, topk, warc
+from latecast.llm import bloom, byte_bpe, files, pieces, quality, token_file, topk, warc
 
 # What runs inside Python workers travels with the job: executors need no copy of this package.
-for _module in (bloom, byte_bpe, files, pieces, token_file, topk, warc):
+for _module in (bloom, byte_bpe, files, pieces, quality, token_file, topk, warc):
     cloudpickle.register_pickle_by_value(_module)

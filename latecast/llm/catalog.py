@@ -9,8 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latecast.llm import byte_bpe, exact_dedup, mixing, token_file, topk, warc
-from latecast.llm.shared import documents
+from latecast.llm import (
+    byte_bpe, exact_dedup, line_dedup, mixing, quality, token_file, topk, warc,
+)
+from latecast.llm.shared import documents, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +24,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_boilerplate(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed",
+        F.sha2(whole_text("text").cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_file.write_tokens(
         documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +49,13 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judged(docs, quality.train(docs)).select(
+        "doc_id", F.col("quality_score").alias("score"), F.col("quality_keep").alias("kept")
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return warc.read_warc(manifest, payloads=False).select(
@@ -61,6 +77,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [
-        op1_exact_dedup, op4_token_file, op6_exact_topk, op7_source_mixing, op9_warc, op10_byte_bpe,
+        op1_exact_dedup, op2_line_dedup, op4_token_file, op6_exact_topk, op7_source_mixing,
+        op8_quality_classifier, op9_warc, op10_byte_bpe,
     ]
     return {f.__name__: f for f in found}

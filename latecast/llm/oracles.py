@@ -50,6 +50,22 @@ FROM p
 """
 
 
+OP2 = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+b AS (SELECT *, regexp_replace(line, '^[ \t\x0B\x0C\r]+|[ \t\x0B\x0C\r]+$', '', 'g') AS bare FROM l),
+g AS (SELECT bare FROM b WHERE bare <> ''
+      GROUP BY bare HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 10),
+h AS (SELECT b.*, g.bare IS NOT NULL AS hit FROM b LEFT JOIN g ON b.bare = g.bare)
+SELECT doc_id, count(*) FILTER (WHERE bare <> '') AS n_lines,
+       count(*) FILTER (WHERE hit) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), ''))
+         AS text_sha256
+FROM h GROUP BY doc_id
+"""
+
 OP6 = r"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
@@ -80,5 +96,6 @@ FROM f
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_exact_dedup": OP1, "op6_exact_topk": OP6, "op7_source_mixing": OP7, "op9_warc": OP9,
+        "op1_exact_dedup": OP1, "op2_line_dedup": OP2, "op6_exact_topk": OP6,
+        "op7_source_mixing": OP7, "op9_warc": OP9,
     }

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 OTHER, SPACE, LETTER, DIGIT, MARK, APOSTROPHE = range(6)
 WINDOW = 1 << 21
@@ -57,6 +58,78 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def short_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The first ``KEY_BYTES`` bytes of runs as integers, and their lengths."""
+    padded = np.concatenate([data, np.zeros(KEY_BYTES, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(
+        padded[:8].view(np.uint64), (len(padded) - 7,), (1,), writeable=False
+    )
+    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    keys = np.zeros((len(starts), KEY_BYTES // 8 + 1), np.uint64)
+    for i in range(KEY_BYTES // 8):
+        some = np.flatnonzero(lengths > 8 * i)
+        if not len(some):
+            break
+        n = np.minimum(lengths[some] - 8 * i, 8)
+        keys[some, i] = words[starts[some] + 8 * i] & masks[n]
+    keys[:, -1] = lengths
+    return keys
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Spread 64-bit numbers evenly."""
+    x = hashes.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run's bytes, whatever stands around it."""
+    keys = short_keys(data, starts, lengths)
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(keys.shape[1]):
+        out = mixed(out ^ keys[:, i] ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64)))
+    for i in np.flatnonzero(lengths > KEY_BYTES):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i]:starts[i] + lengths[i]].tobytes())
+    return out
+
+
+def word_windows(
+    data: np.ndarray, offsets: np.ndarray, size: int = WINDOW
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of all texts, window by window: (bytes, starts, lengths, number of the text).
+
+    Words are runs of bytes that are no ASCII white space; none is cut by a window's end.
+    """
+    low, end, step = int(offsets[0]), int(offsets[-1]), size
+    while low < end:
+        high = min(end, low + step)
+        block = data[low:high]
+        full = _CLASSES[block] != SPACE
+        edge = np.zeros(len(block) + 1, bool)
+        first = int(np.searchsorted(offsets, low, side="left"))
+        last = int(np.searchsorted(offsets, high, side="right"))
+        edge[offsets[first:last] - low] = True
+        before = np.concatenate([[False], full[:-1]])
+        after = np.concatenate([full[1:], [False]])
+        starts = np.flatnonzero(full & (~before | edge[:-1]))
+        ends = np.flatnonzero(full & (~after | edge[1:])) + 1
+        if high < end and len(starts) and ends[-1] == len(block) and not edge[-1]:
+            if len(starts) == 1 and starts[0] == 0:
+                step *= 2
+                continue
+            high = low + int(starts[-1])
+            starts, ends = starts[:-1], ends[:-1]
+        step = size
+        if len(starts):
+            texts = np.searchsorted(offsets, starts + low, side="right") - 1
+            yield block, starts, ends - starts, texts
+        low = high
+
+
 class PieceTable:
     """Distinct pieces of one task with their ids; forgotten when there are too many."""
 
@@ -105,7 +178,7 @@ class PieceTable:
             which = slice(None)
         if not len(starts):
             return out
-        keys = self._keys(data, starts, lengths)
+        keys = short_keys(data, starts, lengths)
         hashes = np.zeros(len(starts), np.uint64)
         for i in range(keys.shape[1]):
             hashes = (hashes ^ keys[:, i]) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
@@ -133,24 +206,6 @@ class PieceTable:
         out[which] = places[inverse]
         return out
 
-    @staticmethod
-    def _keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The bytes of short pieces as integers, and their lengths: equal only for equal pieces."""
-        padded = np.concatenate([data, np.zeros(KEY_BYTES, np.uint8)])
-        words = np.lib.stride_tricks.as_strided(
-            padded[:8].view(np.uint64), (len(padded) - 7,), (1,), writeable=False
-        )
-        masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
-        keys = np.zeros((len(starts), KEY_BYTES // 8 + 1), np.uint64)
-        for i in range(KEY_BYTES // 8):
-            some = np.flatnonzero(lengths > 8 * i)
-            if not len(some):
-                break
-            n = np.minimum(lengths[some] - 8 * i, 8)
-            keys[some, i] = words[starts[some] + 8 * i] & masks[n]
-        keys[:, -1] = lengths
-        return keys
-
     def encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids of all texts, in parts one after the other, and the number of ids of each text.
 
