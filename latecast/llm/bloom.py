@@ -1,7 +1,8 @@
 """A two-bit counting Bloom filter built from sorted cell numbers, one segment at a time.
 
-Every hash owns ``PROBES`` cells. A cell is kept when at least two rows hit it, so a hash that occurs
-twice always has all its cells kept: the filter may name too many hashes, never too few.
+Every hash owns ``PROBES`` cells. A cell is kept when at least ``least`` rows hit it (one or two), so a
+hash that occurs so often always has all its cells kept: the filter may name too many hashes, never too
+few.
 """
 
 from __future__ import annotations
@@ -58,37 +59,41 @@ def _cells(bits: int):
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by segment: count each segment's cells, keep those hit twice."""
-    current, hits = None, None
+def _merged(least: int):
+    """Rows sorted by segment: count each segment's cells, keep those hit often enough."""
 
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([current], pa.int64()),
-             pa.array([np.packbits(hits >= 2, bitorder="little").tobytes()], pa.binary())],
-            ["segment", "bits"],
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, hits = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([current], pa.int64()),
+                 pa.array([np.packbits(hits >= least, bitorder="little").tobytes()], pa.binary())],
+                ["segment", "bits"],
+            )
 
-    for batch in batches:
-        for segment, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if segment != current:
-                if current is not None:
-                    yield done()
-                current, hits = segment, np.zeros(SEGMENT_BITS, np.uint8)
-            found = np.bincount(np.frombuffer(cells, np.uint32), minlength=SEGMENT_BITS)
-            hits = np.minimum(hits + found, 2).astype(np.uint8)
-    if current is not None:
-        yield done()
+        for batch in batches:
+            for segment, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if segment != current:
+                    if current is not None:
+                        yield done()
+                    current, hits = segment, np.zeros(SEGMENT_BITS, np.uint8)
+                found = np.bincount(np.frombuffer(cells, np.uint32), minlength=SEGMENT_BITS)
+                hits = np.minimum(hits + found, 2).astype(np.uint8)
+        if current is not None:
+            yield done()
+
+    return run
 
 
-def twice_hit(hashes: DataFrame, bits: int) -> bytes:
+def filter_of(hashes: DataFrame, bits: int, least: int = 2) -> bytes:
     """The filter of one hash column as ``bits / 8`` bytes; what the driver gets is no more than that."""
     segments = bits // SEGMENT_BITS
     rows = (
         hashes.mapInArrow(_cells(bits), CELLS)
         .repartition(max(1, min(segments, 200)), "segment")
         .sortWithinPartitions("segment")
-        .mapInArrow(_merged, BITS)
+        .mapInArrow(_merged(least), BITS)
         .collect()
     )
     out = bytearray(bits // 8)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latecast.llm import (
-    byte_bpe, exact_dedup, line_dedup, mixing, quality, token_file, topk, warc,
+    byte_bpe, exact_dedup, line_dedup, mixing, near_dup, quality, token_file, topk, warc,
 )
 from latecast.llm.shared import documents, whole_text
 
@@ -40,6 +40,10 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_groups(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
@@ -77,7 +81,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [
-        op1_exact_dedup, op2_line_dedup, op4_token_file, op6_exact_topk, op7_source_mixing,
-        op8_quality_classifier, op9_warc, op10_byte_bpe,
+        op1_exact_dedup, op2_line_dedup, op4_token_file, op5_near_dup, op6_exact_topk,
+        op7_source_mixing, op8_quality_classifier, op9_warc, op10_byte_bpe,
     ]
     return {f.__name__: f for f in found}

@@ -70,7 +70,7 @@ def exact_groups(
     bits, rounds = bloom.filter_bits(light.count(), bits_per_row, most_bits)
     out = []
     for i, part in enumerate(_ranges(light, rounds)):
-        may = bloom.contains(spark, bloom.twice_hit(part.select("hash"), bits))
+        may = bloom.contains(spark, bloom.filter_of(part.select("hash"), bits))
         marked = work.table(part.withColumn("may", may("hash")), f"marked-{i}")
         alone = marked.where("not may").select(
             "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),

@@ -66,6 +66,28 @@ SELECT doc_id, count(*) FILTER (WHERE bare <> '') AS n_lines,
 FROM h GROUP BY doc_id
 """
 
+OP5 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END) AS sh
+  FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+      FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id
+      WHERE 100 * common >= 85 * (x.n + y.n - common)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(doc_id, reached) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.reached = u.a)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reached) AS component_id,
+       doc_id = min(reached) AS kept
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
 OP6 = r"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
@@ -96,6 +118,6 @@ FROM f
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_exact_dedup": OP1, "op2_line_dedup": OP2, "op6_exact_topk": OP6,
-        "op7_source_mixing": OP7, "op9_warc": OP9,
+        "op1_exact_dedup": OP1, "op2_line_dedup": OP2, "op5_near_dup": OP5,
+        "op6_exact_topk": OP6, "op7_source_mixing": OP7, "op9_warc": OP9,
     }
