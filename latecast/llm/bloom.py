@@ -122,3 +122,14 @@ def contains(spark, packed: bytes):
 
     run.__annotations__ = {"hashes": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "boolean")
+
+
+def named_by(keys: DataFrame, *, bits_per_row: int = 16, most_bits: int = 1 << 29):
+    """A column function: may this 64-bit hash be one of the written ``keys``?
+
+    Beyond ``most_bits`` the filter does not grow: it names more rows wrongly, and callers check exactly.
+    """
+    bits = SEGMENT_BITS
+    while bits < min(most_bits, keys.count() * bits_per_row):
+        bits *= 2
+    return contains(keys.sparkSession, filter_of(keys, bits, 1))

@@ -84,19 +84,23 @@ def exact_groups(
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with their columns: of equal texts one row with the smallest id.
 
-    Rows that are no copies go through without a shuffle of theirs when the dropped ids are few;
-    a row that repeats with the same id and text is cut to one by a marker on the copies alone.
+    Only rows whose id a filter of the dropped ids names shuffle; all others go straight through. Of
+    rows that repeat with the same id and text one stays.
     """
     groups = exact_groups(docs, id_col, text_col)
     work = Work(docs.sparkSession, "copies")
-    dropped = work.table(
+    listed = work.table(
         groups.where("group_size > 1").groupBy(F.col("id").alias("__id"), F.col("sha").alias("__sha"))
-        .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")),
-        "dropped",
-    ).where("not __kept or __n > 1")
+        .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
+        .where("not __kept or __n > 1"), "listed",
+    )
+    named = bloom.named_by(listed.select(F.xxhash64("__id").alias("h")))
+    rows = docs.withColumn("__may", named(F.xxhash64(id_col)))
+    straight = rows.where("not __may").drop("__may")
     sha = F.sha2(normalised(text_col).cast("binary"), 256)
-    rows = docs.withColumn("__sha2", sha)
-    match = rows[id_col].eqNullSafe(dropped["__id"]) & (F.col("__sha2") == F.col("__sha"))
-    single = rows.join(dropped, match, "left_anti").drop("__sha2")
-    again = rows.join(dropped.where("__kept"), match, "left_semi")
-    return single.unionByName(again.dropDuplicates([id_col, "__sha2"]).drop("__sha2"))
+    suspects = rows.where("__may").drop("__may").withColumn("__sha2", sha)
+    match = suspects[id_col].eqNullSafe(listed["__id"]) & (F.col("__sha2") == F.col("__sha"))
+    single = suspects.join(listed, match, "left_anti").drop("__sha2")
+    again = suspects.join(listed.where("__kept"), match, "left_semi")
+    again = again.dropDuplicates([id_col, "__sha2"]).drop("__sha2")
+    return straight.unionByName(single).unionByName(again)

@@ -32,7 +32,6 @@ LEAST_ESTIMATE = 0.60
 SMALL_BUCKET = 64
 GROWTH = 8  # times as many centres in each further round
 SALT_ROWS = 256
-FILTER_BITS = 1 << 28
 
 _RANDOM = np.random.default_rng(20240501)
 _FACTORS = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,10 +227,8 @@ class Links:
         named = pairs.select(F.col("a").alias("node")).unionByName(
             pairs.select(F.col("b").alias("node"))).distinct()
         named = self.work.table(named.join(self.classes, "node").select("node", "check", "id"), f"named-{tag}")
-        bits, _ = bloom.filter_bits(named.count(), 16, FILTER_BITS)
-        bits = min(bits, FILTER_BITS)
         key = F.xxhash64("id")
-        wanted = bloom.contains(self.spark, bloom.filter_of(named.select(key.alias("h")), bits, 1))
+        wanted = bloom.named_by(named.select(key.alias("h")))
         sets = self.docs.withColumn("h", key).where(wanted("h")).select("text").mapInArrow(
             _sets, "node long, check long, items binary")
         sets = self.work.table(
@@ -363,8 +360,15 @@ def near_groups(
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their columns: one document of each component and all without links."""
+    """The rows that stay, with their columns: one document of each component and all without links.
+
+    Only rows whose id a filter of the dropped ids names shuffle.
+    """
     work = Work(docs.sparkSession, "near-copies")
     groups = near_groups(docs, id_col, text_col)
     dropped = work.table(groups.where("not kept").select(F.col("id").alias("__id")).distinct(), "dropped")
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["__id"]), "left_anti")
+    named = bloom.named_by(dropped.select(F.xxhash64("__id").alias("h")))
+    rows = docs.withColumn("__may", named(F.xxhash64(F.col(id_col).cast("long"))))
+    suspects = rows.where("__may").drop("__may")
+    stay = suspects.join(dropped, suspects[id_col].eqNullSafe(dropped["__id"]), "left_anti")
+    return rows.where("not __may").drop("__may").unionByName(stay)
