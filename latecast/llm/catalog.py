@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latecast.llm import (
-    byte_bpe, exact_dedup, line_dedup, mixing, near_dup, quality, token_file, topk, warc,
+    byte_bpe, exact_dedup, line_dedup, mixing, near_dup, quality,
+    secret_crf, token_file, topk, warc,
 )
 from latecast.llm.shared import documents, whole_text
 
@@ -31,6 +32,21 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = secret_crf.scan(docs, secret_crf.train(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+        count("hex").alias("n_hex"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"), count("crf").alias("n_added"),
+    )
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_file.write_tokens(
         documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")
@@ -81,7 +97,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [
-        op1_exact_dedup, op2_line_dedup, op4_token_file, op5_near_dup, op6_exact_topk,
-        op7_source_mixing, op8_quality_classifier, op9_warc, op10_byte_bpe,
+        op1_exact_dedup, op2_line_dedup, op3_secret_crf, op4_token_file, op5_near_dup,
+        op6_exact_topk, op7_source_mixing, op8_quality_classifier, op9_warc, op10_byte_bpe,
     ]
     return {f.__name__: f for f in found}
