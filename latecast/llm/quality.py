@@ -49,7 +49,7 @@ class Words:
     """What the words of one window look like."""
 
     def __init__(self, block: np.ndarray, starts: np.ndarray, lengths: np.ndarray, texts: np.ndarray,
-                 last: tuple[int, np.uint64]) -> None:
+                 last: tuple[int, np.uint64, np.uint64]) -> None:
         ends = starts + lengths
 
         def count(table: np.ndarray) -> np.ndarray:
@@ -68,7 +68,9 @@ class Words:
         same_text = np.concatenate([[last[0]], texts[:-1]]) == texts
         self.repeat = same_text & (earlier == self.hashes)
         self.same_text = same_text
-        self.last = (int(texts[-1]), self.hashes[-1])
+        self.shape_before = last[2]
+        self.shape = self.shapes().astype(np.uint64)
+        self.last = (int(texts[-1]), self.hashes[-1], self.shape[-1])
 
     def shapes(self) -> np.ndarray:
         """A small number for what kind of word it is."""
@@ -85,8 +87,9 @@ class Words:
 
     def buckets(self) -> np.ndarray:
         """Hashed features of each word: its shape, its shape after the one before, the word itself."""
-        shape = self.shapes().astype(np.uint64)
-        before = np.where(self.same_text, np.concatenate([shape[:1], shape[:-1]]), np.uint64(1 << 40))
+        shape = self.shape
+        before = np.concatenate([np.array([self.shape_before], np.uint64), shape[:-1]])
+        before = np.where(self.same_text, before, np.uint64(1 << 40))
         raw = [
             shape * np.uint64(3) + np.uint64(1),
             (shape << np.uint64(20)) + before * np.uint64(3) + np.uint64(2), self.hashes,
@@ -95,7 +98,7 @@ class Words:
 
 
 def _windows(buffer: np.ndarray, offsets: np.ndarray):
-    last = (-1, np.uint64(0))
+    last = (-1, np.uint64(0), np.uint64(0))
     for block, starts, lengths, texts in pieces.word_windows(buffer, offsets):
         words = Words(block, starts, lengths, texts, last)
         last = words.last

@@ -13,6 +13,7 @@ ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A
 )
 SF = Path("/root/testdata/sf0.01")
+LARGER = Path("/root/testdata/sf0.1")
 
 
 def plain_spans(text):
@@ -68,10 +69,10 @@ def test_sections_do_not_change_patterns(monkeypatch):
     assert secret_crf.spans_of(data, limits, *model_of_nothing()) == whole
 
 
-@pytest.mark.skipif(not SF.exists(), reason="driver tables not there")
+@pytest.mark.skipif(not LARGER.exists(), reason="driver tables not there")
 def test_field_finds_secrets_by_itself(spark, monkeypatch):
     """Fitted on even documents, held against the patterns on odd ones, whose patterns it may not use."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     weights, moves = secret_crf.train(docs.where("doc_id % 2 = 0"))
     texts = [r["text"] for r in docs.where("doc_id % 2 = 1").orderBy("doc_id").collect()]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
