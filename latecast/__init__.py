@@ -1,13 +1,5 @@
 """Reporting-delay analytics on Spark: week buckets, delay triangles, nowcasts, trends."""
 
-from pyspark import cloudpickle
-
-from latecast.operators import draws, model
 from latecast.plans.nowcast import NowcastResult, nowcast
 
-# The two modules that run inside Python workers travel with the job, so that executors need no
-# installed copy of this package.
-for _module in (model, draws):
-    cloudpickle.register_pickle_by_value(_module)
-
 __all__ = ["NowcastResult", "nowcast"]

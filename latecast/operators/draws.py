@@ -1,138 +1,93 @@
-"""Posterior predictive draws of the unknown cells, and scores from the known ones."""
+"""Predictive draws of what is not reported yet: column expressions on uniforms made from a digest.
+
+The number of events still to be reported is negative binomial. Its distribution is laid out on steps of
+a sixteenth of its standard deviation (single counts while that is below 32) from 10 standard deviations
+below the mean to 20 above; a draw is the count at which the running sum passes its uniform.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latecast.functions import weeks
-from latecast.operators.keys import join_on
-from latecast.operators.model import (
-    CELL_COLUMNS, ModelSpec, SeriesFit, cell_grid, first_asked, in_pieces, keep_chance,
-    log_likelihood,
-)
+from latecast.operators.keys import beside, join_on
+from latecast.operators.model import ModelSpec
 
-# How far (in log weight) a draw may fall behind the Gaussian approximation before it can be lost.
-SLACK = 1.0
+STEPS_PER_SD, BELOW, ABOVE, EXTRA = 16, 10, 20, 20
+DIGITS = 13  # hexadecimal digits of a digest that make a uniform: 52 bits
 
 
-def draw_effects(fit: SeriesFit, theta, x, share: int, rng):
-    """eta of ``share`` draws around one mode: (draw, class, week, delay).
+def log_gamma(x: Column) -> Column:
+    """Stirling's series at x + 8, brought back by the recurrence; for positive x."""
+    z = x + 8
+    product = x
+    for i in range(1, 8):
+        product = product * (x + i)
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + series - F.log(product)
 
-    A Gaussian is too generous where counts are few: draws that the known cells contradict are
-    replaced by others of their class.
-    """
-    size, inflation, kind, constant = given = fit.likelihood(theta[None])
-    value, slope, bend = fit.terms(x[None], given)
-    root, common = fit.around(theta, x, bend)
-    z = rng.standard_normal((fit.classes, share, fit.width))
-    free = x[:, None] + z @ root.transpose(0, 2, 1)
-    free += rng.standard_normal((share, 1)) * common[:, None]
-    eta, mode = fit.eta(free.transpose(1, 0, 2)), fit.eta(x[None])
-    step = eta - mode
-    gap = log_likelihood(fit.y, eta, size, inflation, kind, constant) - value
-    gap += step * (0.5 * bend * step - slope)
-    weight = np.where(fit.seen, gap, 0.0).sum(axis=(2, 3))
-    stays = np.log(rng.random(weight.shape)) < weight + SLACK
-    for a in np.flatnonzero(~stays.all(axis=0)):
-        good, bad = np.flatnonzero(stays[:, a]), np.flatnonzero(~stays[:, a])
-        if len(good) == 0:
-            good = weight[:, a].argmax(keepdims=True)
-        eta[bad, a] = eta[rng.choice(good, len(bad)), a]
-    return eta
-
-
-def draw_weeks(fit: SeriesFit, asked, eta, theta, rng):
-    """(draw, class x week) counts: known part plus drawn part of each unfinished week."""
-    size, kind = np.exp(theta[0]), fit.spec.zero_inflation
-    hidden = eta[:, asked]
-    drawn = rng.poisson(rng.gamma(size, np.exp(hidden) / size))
-    if kind:
-        drawn *= rng.random(hidden.shape) < keep_chance(hidden, theta[3], kind)
-    cells = np.zeros(eta.shape, dtype=np.int64)
-    cells[:, fit.seen] = fit.y[fit.seen].astype(np.int64)
-    cells[:, asked] = drawn
-    return cells[..., first_asked(asked) :, :].sum(axis=3).reshape(len(eta), -1)
-
-
-def score_cells(fit: SeriesFit, asked, eta, theta, rng):
-    """(draw, cell) log-likelihoods of the known cells."""
-    size, inflation, kind, constant = fit.likelihood(theta[None])
-    return log_likelihood(fit.y, eta, size, inflation, kind, constant)[:, fit.seen]
-
-
-def _per_series(of_point, spec: ModelSpec, result: str):
-    """Pandas UDF over fitted series: one list per draw, quadrature point after point."""
-
-    def draw_series(t, t0, d, d0, a, classes, y, share, theta, modes, seed):
-        counts, asked = cell_grid(t - t0, d - d0, np.searchsorted(classes, a), y)
-        fit = SeriesFit(counts, spec)
-        rng = np.random.default_rng(seed & 0xFFFFFFFFFFFFFFFF)
-        out = []
-        for n, point, x in zip(share, theta, modes):
-            eta = draw_effects(fit, point, x.reshape(fit.classes, fit.width), n, rng)
-            out.extend(of_point(fit, asked, eta, point, rng))
-        return out
-
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        with np.errstate(all="ignore"):
-            rows = (draw_series(*row) for batch in batches for row in zip(*batch))
-            for piece in in_pieces(rows):
-                yield pd.Series(piece)
-
-    # Seeded, so not random at all; but a UDF marked so is never copied into a pushed-down filter.
-    return F.pandas_udf(run, f"array<array<{result}>>").asNondeterministic()
-
-
-def _drawn(posterior: DataFrame, of_point, spec: ModelSpec, result: str, series_cols) -> Column:
-    """The seed comes from the series, so draws do not depend on partitioning."""
-    run = _per_series(of_point, spec, result)
-    seed = F.xxhash64(F.lit(spec.seed), *series_cols)
-    return run(*CELL_COLUMNS, "fit.share", "fit.theta", "fit.modes", seed)
+
+def uniform(spec: ModelSpec, keys: Sequence[Column]) -> Column:
+    """A number in [0, 1) from the digest of seed and keys: the same wherever it is computed."""
+    text = F.concat_ws("|", F.lit(str(spec.seed)), *[F.coalesce(k.cast("string"), F.lit("-")) for k in keys])
+    head = F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10)
+    return head.cast("double") / F.lit(float(16**DIGITS))
+
+
+def _distribution(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with ``low``, ``step`` and ``sums``, the running sums of the chances of the steps."""
+    mean, shape = F.col("remaining"), F.col("shape")
+    sd = F.sqrt(mean + mean * mean / shape)
+    step = F.greatest(F.lit(1.0), F.floor(sd / STEPS_PER_SD).cast("double"))
+    low = F.greatest(F.lit(0.0), F.floor(mean - BELOW * sd).cast("double"))
+    count = F.ceil((mean + ABOVE * sd - F.col("low")) / F.col("step")) + EXTRA
+    steps = rows.withColumns({"step": step, "low": low}).withColumn(
+        "i", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    )
+    at = F.col("low") + F.col("i") * F.col("step") + (F.col("step") - 1) / 2
+    chance = F.exp(
+        log_gamma(at + shape) - log_gamma(shape) - log_gamma(at + 1)
+        + shape * F.log(shape / (shape + mean)) + at * F.log(mean / (shape + mean))
+    ) * F.col("step")
+    order = Window.partitionBy(*keys, "Time").orderBy("i")
+    sums = steps.withColumn("sum", F.sum(chance).over(order))
+    return sums.groupBy(*keys, "Time").agg(
+        F.first("low").alias("low"), F.first("step").alias("step"),
+        F.sort_array(F.collect_list("sum")).alias("sums"),
+    )
 
 
 def trajectories(
-    posterior: DataFrame,
-    spec: ModelSpec = ModelSpec(),
-    *,
-    series_cols: Sequence[str] = (),
-    by_age: bool = False,
+    fitted: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = (), by_age: bool = False
 ) -> DataFrame:
     """Completed weekly counts per draw: (series, draw, Time, dt_event[, age_class], Y).
 
-    Starts at the first week with an unknown cell. Every task draws from the points it holds: the
-    fitted state is never shuffled, and a week's cells are summed before they leave Python.
+    Starts at a series' first unfinished week. A draw is never below what is reported.
     """
-    n_out = F.col("fit.weeks") - F.col("fit.first_unknown")
-    drawn = posterior.filter(n_out > 0).select(
-        *series_cols, "first_week", "first_time", "classes",
-        F.col("fit.first_unknown").alias("skipped"),
-        n_out.alias("n_out"),
-        _drawn(posterior, draw_weeks, spec, "bigint", series_cols).alias("draws"),
+    keys = [*series_cols, *(["age_class"] if "age_class" in fitted.columns else [])]
+    start = F.min(F.when(F.col("unfinished"), F.col("Time")))
+    rows = beside(fitted, keys, _start=start).filter(F.col("Time") >= F.col("_start")).drop("_start")
+    open_ = rows.filter((F.col("remaining") > 0) & F.col("unfinished"))
+    laid = _distribution(open_.select(*keys, "Time", "remaining", "shape"), keys)
+    both = join_on(rows, laid, [*keys, "Time"], "left")
+    named = [F.col(k) for k in keys]
+    drawn = both.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(spec.draws)))).withColumn(
+        "u", uniform(spec, [*named, F.col("Time"), F.col("draw")]) * F.element_at("sums", -1)
     )
-    lines = drawn.select(
-        *series_cols, "first_week", "first_time", "classes", "n_out", "skipped",
-        F.posexplode("draws").alias("i", "line"),
-    ).select(
-        *series_cols, "first_week", "first_time", "classes", "n_out", "skipped",
-        (F.col("i") + 1).alias("draw"),
-        F.posexplode("line").alias("pos", "Y"),
+    place = F.size(F.filter("sums", lambda s: s <= F.col("u")))
+    before = F.when(F.col("place") == 0, 0.0).otherwise(F.get("sums", F.col("place") - 1))
+    part = (F.col("u") - before) / (F.get("sums", F.col("place")) - before)
+    more = F.col("low") + F.col("place") * F.col("step") + F.floor(part * F.col("step"))
+    counts = drawn.withColumn("place", place).withColumn(
+        "Y", F.col("observed") + F.when(F.col("sums").isNull(), F.lit(0).cast("long")).otherwise(more.cast("long"))
     )
-    week = F.col("skipped") + F.col("pos") % F.col("n_out")
-    columns = [
-        *series_cols, "draw",
-        (F.col("first_time") + week).alias("Time"),
-        weeks.add_weeks(F.col("first_week"), week).alias("dt_event"),
-    ]
-    if by_age:
-        columns.append(
-            F.get("classes", F.floor(F.col("pos") / F.col("n_out")).cast("int")).alias("age_class")
-        )
-    return lines.select(*columns, "Y")
+    age = ["age_class"] if by_age else []
+    columns = [*series_cols, "draw", "Time", "dt_event", *age]
+    if len(keys) > len(series_cols) and not by_age:
+        return counts.groupBy(*columns).agg(F.sum("Y").alias("Y"))
+    return counts.select(*columns, "Y")
 
 
 def blank_zero_strata(
@@ -145,48 +100,3 @@ def blank_zero_strata(
     return marked.withColumn("Y", F.when(F.col("_zero"), F.lit(0)).otherwise(F.col("Y"))).drop(
         "_zero"
     )
-
-
-def cell_log_likelihood(
-    posterior: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
-) -> DataFrame:
-    """(series, cell, draw, loglik) over the known cells."""
-    scored = posterior.select(
-        *series_cols,
-        F.posexplode(_drawn(posterior, score_cells, spec, "double", series_cols)).alias(
-            "i", "line"
-        ),
-    )
-    return scored.select(
-        *series_cols,
-        (F.col("i") + 1).alias("draw"),
-        F.posexplode("line").alias("cell", "loglik"),
-    )
-
-
-def model_scores(loglik: DataFrame, *, series_cols: Sequence[str] = ()) -> DataFrame:
-    """WAIC and DIC per series from a (cell, draw, loglik) table.
-
-    WAIC = -2 (sum log mean p - sum var log p). DIC = mean deviance + half its variance. Both are
-    the draw-based definitions and need not equal another solver's numbers.
-    """
-    cell, draw = F.col("cell"), F.col("draw")
-    keys = [F.col(c) for c in series_cols]
-    # Both ways of grouping in one pass, so that the likelihoods are computed once.
-    groups = loglik.groupingSets([[*keys, cell], [*keys, draw]], *keys, cell, draw).agg(
-        F.log(F.avg(F.exp("loglik"))).alias("lppd"),
-        F.var_samp("loglik").alias("spread"),
-        (-2 * F.sum("loglik")).alias("deviance"),
-        F.grouping(cell).alias("per_draw"),
-    )
-
-    def of_cells(name):
-        return F.when(F.col("per_draw") == 0, F.col(name))
-
-    deviance = F.when(F.col("per_draw") == 1, F.col("deviance"))
-    return groups.groupBy(*series_cols).agg(
-        (-2 * (F.sum(of_cells("lppd")) - F.sum(of_cells("spread")))).alias("waic"),
-        F.sum(of_cells("spread")).alias("waic_parameters"),
-        (F.avg(deviance) + F.var_samp(deviance) / 2).alias("dic"),
-        (F.var_samp(deviance) / 2).alias("dic_parameters"),
-    )

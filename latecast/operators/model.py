@@ -1,529 +1,161 @@
-"""The delay model, fitted to every series of a triangle table in one job.
-
-Y(t, d, a) ~ NegBin(mean exp(eta), size n),  eta = m_a + beta_a(t) + gamma_a(d)
-
-beta is a random walk over weeks, gamma a first-order walk over delays; both sum to zero within an
-age class, and classes share the precisions. The m_a scatter around a flat intercept. Scale
-parameters get their posterior by Laplace's approximation and a small product quadrature; given
-them the effects are Gaussian around their mode. Numbers therefore agree with other approximate
-Bayesian solvers up to approximation error, not digit by digit.
+"""Level, reporting shares and spread of every series, from sums over its delay triangle.
+
+Everything is an aggregate or a window over the triangle's cells, whose number depends on window, delays
+and classes and never on the size of the line list. A stratum is a series, or an age class of one.
+
+* Share of a delay: the hazard of being reported at delay d, given that it is by then, is the sum of the
+  known cells at d over the sum of what was known by d in the same weeks. An age class's hazard is pulled
+  to that of all classes of its series, as if it had seen ``prior_cases`` more cases.
+* Level of a week: counts over shares of the week and the ``level_weeks`` before it (and a tenth of a week
+  with half a case per week) are the prior mean, with a gamma shape of ``level_shape``; the week's own
+  reports then move it, the more the larger its reported share is. Weeks ahead keep the last prior mean,
+  and their shape falls by one part for each week.
+* Spread: the excess of squared residuals over the Poisson's, as a share of the squared mean.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latecast.operators.keys import join_on
+from latecast.operators.keys import attach
 
-# Weak precision of the class means around the common intercept.
-CLASS_PRECISION = 0.001
-RIDGE = 1e-6
-ETA_LIMIT = 30.0
-
-
-@dataclass(frozen=True)
-class Prior:
-    """Prior of a parameter on its internal scale (log of a precision or size, logit of a chance).
-
-    ``loggamma(shape, rate)``, ``pc(u, alpha)``: P(sd > u) = alpha, ``gaussian(mean, precision)``.
-    """
-
-    kind: str
-    first: float
-    second: float
-
-    def log_density(self, x: float) -> float:
-        if self.kind == "loggamma":
-            return self.first * x - self.second * np.exp(x)
-        if self.kind == "pc":
-            rate = -np.log(self.second) / self.first
-            return -x / 2 - rate * np.exp(-x / 2)
-        if self.kind == "gaussian":
-            return -0.5 * self.second * (x - self.first) ** 2
-        raise ValueError(f"unknown prior {self.kind!r}")
-
-
-VAGUE = Prior("loggamma", 0.001, 0.001)
-# The usual priors of the zero-inflation parameter.
-INFLATION_PRIORS = {
-    "size_dependent": Prior("gaussian", 2.0, 1.0),
-    "const": Prior("gaussian", 0.0, 0.4),
-}
-TIME_MODELS = ("rw2", "rw1", "iid")
+PSEUDO_WEEKS, PSEUDO_CASES = 0.1, 0.05
 
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """What to fit. ``zero_inflation``: None, ``size_dependent`` (a zero is less likely the larger
-    the mean) or ``const``."""
+    """Options of the estimate; see the module's text."""
 
-    time_model: str = "rw2"
-    zero_inflation: str | None = None
+    level_weeks: int = 2
+    level_shape: float = 5.0
+    prior_cases: float = 10.0
     draws: int = 1000
-    size_prior: Prior = VAGUE
-    time_prior: Prior = VAGUE
-    delay_prior: Prior = VAGUE
-    inflation_prior: Prior | None = None
     seed: int = 1
 
     def __post_init__(self) -> None:
-        if self.time_model not in TIME_MODELS:
-            raise ValueError(f"time_model must be one of {TIME_MODELS}")
-        if self.zero_inflation is not None and self.zero_inflation not in INFLATION_PRIORS:
-            raise ValueError(f"zero_inflation must be None or one of {sorted(INFLATION_PRIORS)}")
+        if self.level_weeks < 0:
+            raise ValueError("level_weeks must be 0 or more")
+        if not (self.level_shape > 0 and self.prior_cases > 0):
+            raise ValueError("level_shape and prior_cases must be positive")
         if self.draws < 1:
             raise ValueError("draws must be positive")
 
-    @property
-    def priors(self) -> list[Prior]:
-        fixed = [self.size_prior, self.time_prior, self.delay_prior]
-        if self.zero_inflation:
-            fixed.append(self.inflation_prior or INFLATION_PRIORS[self.zero_inflation])
-        return fixed
-
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after shifting the argument past 8; numpy has no lgamma."""
-    x = np.asarray(x, dtype=float)
-    shift = np.zeros_like(x)
-    z = x.copy()
-    while (small := z < 8).any():
-        shift[small] -= np.log(z[small])
-        z[small] += 1
-    tail = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
-    return shift + (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + tail
-
-
-def log_constant(y, size) -> np.ndarray:
-    """The part of the log-likelihood that does not depend on the mean."""
-    return log_gamma(y + size) - log_gamma(size) - log_gamma(y + 1)
 
+def _strata(triangle: DataFrame, series_cols: Sequence[str]) -> list[str]:
+    return [*series_cols, *(["age_class"] if "age_class" in triangle.columns else [])]
 
-def log_likelihood(y, eta, size, inflation=None, kind=None, constant=None) -> np.ndarray:
-    """Cell by cell, negative binomial with optional zero inflation."""
-    mu = np.exp(eta)
-    if constant is None:
-        constant = log_constant(y, size)
-    plain = constant + y * eta - y * np.log(size + mu) - size * np.log1p(mu / size)
-    if kind is None:
-        return plain
-    keep = keep_chance(eta, inflation, kind)
-    return np.where(y == 0, np.log(1 - keep + keep * np.exp(plain)), np.log(keep) + plain)
 
-
-def cell_terms(y, eta, size, inflation, kind, constant):
-    """Cell by cell: log-likelihood, its slope in eta, and its curvature (positive when peaked)."""
-    if kind is None:
-        mu = np.exp(eta)
-        value = log_likelihood(y, eta, size, constant=constant)
-        slope = y - (y + size) * mu / (size + mu)
-        return value, slope, (y + size) * size * mu / (size + mu) ** 2
-    h = 1e-3
-    value, up, down = (
-        log_likelihood(y, e, size, inflation, kind, constant) for e in (eta, eta + h, eta - h)
+def delay_hazards(
+    triangle: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
+) -> DataFrame:
+    """(stratum, delay, hazard): the chance of being reported at a delay, given not later."""
+    keys = _strata(triangle, series_cols)
+    so_far = Window.partitionBy(*keys, "Time").orderBy("delay")
+    cells = triangle.withColumn("_by", F.when(F.col("Y").isNotNull(), F.sum("Y").over(so_far)))
+    own = cells.groupBy(*keys, "delay").agg(
+        F.coalesce(F.sum("Y"), F.lit(0)).alias("num"), F.coalesce(F.sum("_by"), F.lit(0)).alias("den")
     )
-    return value, (up - down) / (2 * h), np.maximum((2 * value - up - down) / h**2, 1e-4)
-
-
-def keep_chance(eta, inflation, kind):
-    """Chance that a cell is not a structural zero; ``inflation`` is on its internal scale."""
-    if kind == "size_dependent":
-        return np.exp(-np.exp(inflation) * np.logaddexp(0, -eta))
-    return 1 / (1 + np.exp(inflation)) + 0 * eta
-
-
-def _walk_structure(n: int, order: int) -> np.ndarray:
-    steps = np.diff(np.eye(n), order, axis=0)
-    return steps.T @ steps
-
-
-def _sum_to_zero(n: int) -> np.ndarray:
-    """Orthonormal basis of the vectors of length n that sum to zero."""
-    return np.linalg.qr(np.column_stack([np.ones(n), np.eye(n)[:, : n - 1]]))[0][:, 1:]
-
-
-class SeriesFit:
-    """Conditional modes and the posterior of the scale parameters for one series.
-
-    ``y`` has shape (classes, weeks, delays), NaN where nothing is known. Several values of the
-    scale parameters are worked on at once: their number is the first axis of all that depends on
-    them.
-    """
-
-    def __init__(self, y: np.ndarray, spec: ModelSpec):
-        self.spec, self.seen = spec, ~np.isnan(y)
-        self.y = np.where(self.seen, y, 0.0)
-        self.counts, self.count_of = np.unique(self.y, return_inverse=True)
-        self.classes, weeks, delays = y.shape
-        self.kappa = CLASS_PRECISION if self.classes > 1 else 0.0
-        order = {"rw2": 2, "rw1": 1, "iid": 0}[spec.time_model]
-        time_basis = np.eye(weeks) if order == 0 else _sum_to_zero(weeks)
-        delay_basis = _sum_to_zero(delays)
-        time_part = time_basis.T @ _walk_structure(weeks, order) @ time_basis
-        delay_part = delay_basis.T @ _walk_structure(delays, 1) @ delay_basis
-        self.ranks = (weeks - order, delays - 1)
-        nt, nd = time_part.shape[0], delay_part.shape[0]
-        self.width = 1 + nt + nd
-        # Rows: intercept, weeks, delays. Columns: free coordinates.
-        self.basis = np.zeros((1 + weeks + delays, self.width))
-        self.basis[0, 0] = 1
-        self.basis[1 : 1 + weeks, 1 : 1 + nt] = time_basis
-        self.basis[1 + weeks :, 1 + nt :] = delay_basis
-        self.structure = np.zeros((2, self.width, self.width))
-        self.structure[0, 1 : 1 + nt, 1 : 1 + nt] = time_part
-        self.structure[1, 1 + nt :, 1 + nt :] = delay_part
-        self.weeks, self.delays = weeks, delays
-        cells = np.maximum(self.seen.sum(axis=(1, 2)), 1)
-        level = np.log(self.y.sum(axis=(1, 2)) / cells + 0.1)
-        self.start = np.zeros((self.classes, self.width))
-        self.start[:, 0] = level
-        self.start_alpha = float(level.mean())
-
-    def eta(self, x):
-        effect = x @ self.basis.T
-        by_week = effect[..., :1] + effect[..., 1 : 1 + self.weeks]
-        eta = by_week[..., :, None] + effect[..., None, 1 + self.weeks :]
-        return np.clip(eta, -ETA_LIMIT, ETA_LIMIT)
-
-    def _hessian(self, bend, prior):
-        """Per class, in free coordinates: the additive design makes it three marginal sums."""
-        n, weeks = 1 + self.weeks + self.delays, np.arange(1, 1 + self.weeks)
-        full, late = np.zeros((*bend.shape[:2], n, n)), np.arange(1 + self.weeks, n)
-        t, d = slice(1, 1 + self.weeks), slice(1 + self.weeks, None)
-        by_week, by_delay = bend.sum(axis=3), bend.sum(axis=2)
-        full[..., 0, 0] = by_week.sum(axis=2)
-        full[..., 0, t] = full[..., t, 0] = full[..., weeks, weeks] = by_week
-        full[..., 0, d] = full[..., d, 0] = full[..., late, late] = by_delay
-        full[..., t, d] = bend
-        full[..., d, t] = bend.transpose(0, 1, 3, 2)
-        return self.basis.T @ full @ self.basis + prior[:, None]
-
-    def prior(self, theta):
-        """Prior precision of a class's free coordinates."""
-        scale = np.exp(theta[:, 1:3])[:, :, None, None]
-        prior = (scale * self.structure).sum(axis=1) + RIDGE * np.eye(self.width)
-        prior[:, 0, 0] += self.kappa
-        return prior
-
-    def likelihood(self, theta):
-        """The arguments of the likelihood that follow eta: size, inflation, kind, constant."""
-        size = np.exp(theta[:, 0])
-        constant = log_constant(self.counts, size[:, None])[:, self.count_of.ravel()]
-        constant = constant.reshape(len(theta), *self.y.shape)
-        inflation = theta[:, 3, None, None, None] if self.spec.zero_inflation else None
-        return size[:, None, None, None], inflation, self.spec.zero_inflation, constant
-
-    def terms(self, x, given):
-        """Log-likelihood of the seen cells, its slope and its curvature; 0 in other cells."""
-        return (
-            np.where(self.seen, z, 0.0) for z in cell_terms(self.y, self.eta(x), *given)
-        )
-
-    def mode(self, theta, x, alpha):
-        """Newton's method for the effects, for every row of ``theta``."""
-        many, kappa = len(theta), self.kappa
-        prior, given = self.prior(theta), self.likelihood(theta)
-
-        def height(x, alpha):
-            value, slope, bend = self.terms(x, given)
-            free = (x @ prior * x).sum(axis=(1, 2)) + self.classes * kappa * alpha**2
-            free -= 2 * kappa * alpha * x[:, :, 0].sum(axis=1)
-            return value.sum(axis=(1, 2, 3)) - 0.5 * free, slope, bend
-
-        now, slope, bend = height(x, alpha)
-        for _ in range(60):
-            natural = np.concatenate(
-                [slope.sum(axis=(2, 3))[..., None], slope.sum(axis=3), slope.sum(axis=2)], axis=2
-            )
-            grad = natural @ self.basis - x @ prior
-            grad[:, :, 0] += kappa * alpha[:, None]
-            rhs = np.zeros((many, self.classes, self.width, 2))
-            rhs[..., 0], rhs[:, :, 0, 1] = grad, 1.0
-            solved = np.linalg.solve(self._hessian(bend, prior), rhs)
-            step, tilt = solved[..., 0], solved[..., 1]
-            step_alpha = np.zeros(many)
-            if kappa:
-                pull = kappa * (x[:, :, 0] - alpha[:, None]).sum(axis=1)
-                step_alpha = (pull + kappa * step[:, :, 0].sum(axis=1)) / self._schur(tilt)
-                step = step + kappa * step_alpha[:, None, None] * tilt
-            longest = np.abs(step).max(axis=(1, 2))
-            scale = np.minimum(1.0, 5.0 / np.maximum(longest, 1e-12))
-            for _ in range(25):
-                x_new, alpha_new = x + scale[:, None, None] * step, alpha + scale * step_alpha
-                new, slope, bend = height(x_new, alpha_new)
-                worse = ~(new >= now - 1e-9)
-                if not worse.any():
-                    break
-                scale = np.where(worse, scale / 2, scale)
-            done = (new - now < 1e-8) & (scale * longest < 1e-4)
-            x, alpha, now = x_new, alpha_new, new
-            if done.all():
-                break
-        return x, alpha, now, self._hessian(bend, prior)
-
-    def _schur(self, tilt):
-        if not self.kappa:
-            return np.ones(len(tilt))
-        left = self.classes * self.kappa - self.kappa**2 * tilt[:, :, 0].sum(axis=1)
-        return np.maximum(left, 1e-12)
-
-    def _unit_response(self, hessian):
-        unit = np.zeros((*hessian.shape[:3], 1))
-        unit[:, :, 0] = 1
-        return np.linalg.solve(hessian, unit)[..., 0]
-
-    def log_posterior(self, theta):
-        """Log posterior of each row of ``theta``, and the conditional modes."""
-        theta = np.clip(np.asarray(theta, dtype=float), -14, 14)
-        size = max(1, 100 // self.classes)
-        parts = [self._log_posterior(theta[i : i + size]) for i in range(0, len(theta), size)]
-        return tuple(np.concatenate(z) for z in zip(*parts))
-
-    def _log_posterior(self, theta):
-        many = len(theta)
-        start = np.broadcast_to(self.start, (many, *self.start.shape))
-        x, alpha, height, hessian = self.mode(theta, start, np.full(many, self.start_alpha))
-        logdet = np.linalg.slogdet(hessian)[1].sum(axis=1)
-        schur = self._schur(self._unit_response(hessian))
-        value = height - 0.5 * (logdet + np.log(schur))
-        value += 0.5 * self.classes * (theta[:, 1:3] @ np.array(self.ranks))
-        for i, prior in enumerate(self.spec.priors):
-            value += prior.log_density(theta[:, i])
-        return np.where(np.isfinite(value), value, -1e10), x, alpha, hessian, schur
-
-    def _surroundings(self, theta, h=0.05):
-        """Height, slope and curvature of the log posterior, by differences in one batch."""
-        n = len(theta)
-        unit, pairs = np.eye(n) * h, [(i, j) for i in range(n) for j in range(i)]
-        corners = [a * unit[i] + b * unit[j] for i, j in pairs for a in (1, -1) for b in (1, -1)]
-        shifts = np.array([0 * theta, *unit, *-unit, *corners])
-        value, x, alpha, *_ = self.log_posterior(theta + shifts)
-        self.start, self.start_alpha = x[0], float(alpha[0])
-        centre, up, down = value[0], value[1 : n + 1], value[n + 1 : 2 * n + 1]
-        curve = np.diag((2 * centre - up - down) / h**2)
-        for k, (i, j) in enumerate(pairs):
-            both, one, other, none = value[2 * n + 1 + 4 * k : 2 * n + 5 + 4 * k]
-            curve[i, j] = curve[j, i] = (one + other - both - none) / (4 * h**2)
-        return centre, (up - down) / (2 * h), curve
-
-    def best_theta(self):
-        """Newton's method on the posterior of the scale parameters; also the spread around it."""
-        theta = np.array([2.0, 3.0, 1.0] + ([1.0] if self.spec.zero_inflation else []))
-        for _ in range(25):
-            now, slope, curve = self._surroundings(theta)
-            values, vectors = np.linalg.eigh(curve)
-            spread = vectors / np.sqrt(np.maximum(np.abs(values), 0.15))
-            step = spread @ (spread.T @ slope)
-            step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
-            if np.abs(step).max() < 0.02:
-                break
-            tries = theta + np.outer([1.0, 0.5, 0.2, 0.05], step)
-            heights = self.log_posterior(tries)[0]
-            if heights.max() <= now:
-                break
-            theta = tries[heights.argmax()]
-            if heights.max() - now < 1e-3:
-                break
-        return theta, vectors / np.sqrt(np.maximum(values, 0.15))
-
-    def quadrature(self):
-        """Scale-parameter points with weights, the mode first (three nodes per direction)."""
-        best, spread = self.best_theta()
-        z = np.sqrt(3.0) * np.array(list(itertools.product((0.0, -1.0, 1.0), repeat=len(best))))
-        theta = np.clip(best + z @ spread.T, -14, 14)
-        value, x, alpha, hessian, schur = self.log_posterior(theta)
-        rule = np.where(z == 0, 2 / 3, 1 / 6).prod(axis=1)
-        weight = np.log(rule) + value + 0.5 * (z * z).sum(axis=1)
-        weight = np.exp(weight - weight.max())
-        return theta, weight / weight.sum(), x, hessian, schur, spread @ spread.T
-
-    def gaussian(self, x, hessian, schur):
-        """Spread of the effects given one ``theta``: a factor for each class, and the direction in
-        which it moves with the common intercept."""
-        root = np.linalg.inv(np.linalg.cholesky(hessian)).transpose(0, 2, 1)
-        common = np.zeros((self.classes, self.width))
-        if self.kappa:
-            common = self._unit_response(hessian[None])[0] * self.kappa / np.sqrt(schur)
-        return root, common
-
-    def around(self, theta, x, bend):
-        """``gaussian`` at a stored mode, from the curvature there."""
-        theta, x = theta[None], x[None]
-        hessian = self._hessian(bend, self.prior(theta))
-        schur = self._schur(self._unit_response(hessian))
-        return self.gaussian(x[0], hessian[0], schur[0])
-
-
-def _shares(weights: np.ndarray, total: int) -> np.ndarray:
-    """Whole numbers adding up to ``total``, in proportion to the weights."""
-    edges = np.floor(np.cumsum(weights) * total + 0.5).astype(int)
-    edges[-1] = total
-    return np.diff(edges, prepend=0)
-
-
-POSTERIOR = """
-    weeks int, delays int, first_unknown int, hyper_mode array<double>, hyper_sd array<double>,
-    effect_mode array<double>, effect_sd array<double>, share array<int>,
-    theta array<array<double>>, modes array<array<double>>
-"""
-# Rows per Arrow batch that leaves Python: bounds its memory whatever the partition holds.
-ROWS_OUT = 8
-
-
-def cell_grid(time, delay, stratum, y):
-    """Aligned cell arrays with 0-based indices -> (counts, asked), each (class, week, delay).
-
-    Counts are NaN where unknown; ``asked`` marks the unknown cells of the triangle.
-    """
-    shape = (stratum.max() + 1, time.max() + 1, delay.max() + 1)
-    counts = np.full(shape, np.nan)
-    counts[stratum, time, delay] = y
-    asked = np.zeros(shape, dtype=bool)
-    asked[stratum, time, delay] = np.isnan(y)
-    return counts, asked
-
-
-def first_asked(asked) -> int:
-    """First week with an unknown cell, or the number of weeks."""
-    weeks = asked.any(axis=(0, 2))
-    return int(weeks.argmax()) if weeks.any() else len(weeks)
-
-
-def fit_series(time, delay, stratum, y, spec: ModelSpec) -> dict:
-    """One series' triangle -> posterior record: modes and weights, no matrices."""
-    counts, asked = cell_grid(time, delay, stratum, y)
-    fit = SeriesFit(counts, spec)
-    theta, weights, x, hessian, schur, covariance = fit.quadrature()
-    factor, common = fit.gaussian(x[0], hessian[0], schur[0])
-    sd = np.sqrt(((fit.basis @ factor) ** 2).sum(axis=2) + (common @ fit.basis.T) ** 2)
-    share = _shares(weights, spec.draws)
-    used = np.flatnonzero(share)
-    return {
-        "weeks": fit.weeks, "delays": fit.delays, "first_unknown": first_asked(asked),
-        "hyper_mode": theta[0], "hyper_sd": np.sqrt(np.diag(covariance)),
-        "effect_mode": (x[0] @ fit.basis.T).ravel(), "effect_sd": sd.ravel(),
-        "share": share[used], "theta": list(theta[used]),
-        "modes": list(x[used].reshape(len(used), -1)),
-    }
-
-
-def in_pieces(rows, size: int = ROWS_OUT):
-    """Lists of at most ``size`` rows."""
-    rows = iter(rows)
-    while piece := list(itertools.islice(rows, size)):
-        yield piece
-
-
-def _fit_partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    spark = df.sparkSession
-    return max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        2 * spark.sparkContext.defaultParallelism,
+    together = Window.partitionBy(*series_cols, "delay")
+    pooled = own.withColumns({
+        "_num": F.sum("num").over(together), "_den": F.sum("den").over(together),
+    })
+    all_classes = F.when(F.col("_den") > 0, F.col("_num") / F.col("_den")).otherwise(0.0)
+    hazard = (F.col("num") + spec.prior_cases * all_classes) / (F.col("den") + spec.prior_cases)
+    return pooled.select(*keys, "delay", hazard.alias("hazard"))
+
+
+def _shares(hazards: DataFrame, keys: list[str]) -> DataFrame:
+    """Per stratum: ``by`` (share reported by each delay) and ``at`` (at each delay), as arrays."""
+    listed = hazards.groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("delay", "hazard"))), lambda x: x["hazard"]).alias("h")
     )
+    size = F.size("h")
+    by = F.transform(
+        "h",
+        lambda _, d: F.aggregate(
+            F.slice("h", d + 2, size - d - 1), F.lit(1.0), lambda product, h: product * (1 - h)
+        ),
+    )
+    shares = listed.select(*keys, by.alias("by"))
+    at = F.transform("by", lambda x, d: F.when(d == 0, x).otherwise(x - F.get("by", d - 1)))
+    return shares.select(*keys, "by", at.alias("at"))
 
 
-# What a Python worker needs of a bundled series to rebuild its triangle.
-CELL_COLUMNS = (
-    "cells.t", "first_time", "cells.d", "first_delay", "cells.a", "classes", "cells.y",
-)
+def _square_sum(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda total, x: total + x * x)
 
 
 def fit_delay_model(
-    triangle: DataFrame,
-    spec: ModelSpec = ModelSpec(),
-    *,
-    series_cols: Sequence[str] = (),
-    partitions: int | None = None,
+    triangle: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """One posterior row per series.
+    """One row per stratum and week: Time, dt_event, unfinished, observed, level, remaining, shape.
 
-    A series enters as one row of its triangle's cells, whose number depends on window, delays and
-    classes and never on the size of the line list. Rows are dealt out evenly because fitting is
-    bound by CPU, and adaptive execution would pack these small rows into few tasks.
+    ``level`` is the expected final count, ``remaining`` the expected number of events not reported yet;
+    their number is negative binomial with that mean and ``shape``.
     """
-    by_age = "age_class" in triangle.columns
-    stratum = F.col("age_class") if by_age else F.lit(1)
-    cells = triangle.select(
-        *series_cols,
-        "dt_event",
-        F.struct(
-            F.col("Time").alias("t"), F.col("delay").alias("d"), stratum.alias("a"),
-            F.col("Y").cast("double").alias("y"),
-        ).alias("cell"),
+    keys = _strata(triangle, series_cols)
+    shares = _shares(delay_hazards(triangle, spec, series_cols=series_cols), keys)
+    weekly = triangle.groupBy(*keys, "Time", "dt_event").agg(
+        F.coalesce(F.sum("Y"), F.lit(0)).alias("observed"),
+        F.max(F.when(F.col("Y").isNotNull(), F.col("delay"))).alias("known"),
+        F.max(F.col("Y").isNull()).alias("unfinished"),
+        F.array_agg(F.when(F.col("Y").isNotNull(), F.struct("delay", "Y"))).alias("cells"),
     )
-    bundled = cells.groupBy(*series_cols).agg(
-        F.min_by("dt_event", "cell.t").alias("first_week"),
-        F.min("cell.t").alias("first_time"),
-        F.min("cell.d").alias("first_delay"),
-        F.sort_array(F.collect_set("cell.a")).alias("classes"),
-        F.sort_array(F.collect_list("cell")).alias("cells"),
-    ).filter(F.size("cells") > 0)
-    if series_cols:
-        bundled = bundled.repartition(_fit_partitions(triangle, partitions))
-
-    def fit(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        def records():
-            for batch in batches:
-                for t, t0, d, d0, a, classes, y in zip(*batch):
-                    yield fit_series(t - t0, d - d0, np.searchsorted(classes, a), y, spec)
-
-        with np.errstate(all="ignore"):
-            for piece in in_pieces(records()):
-                yield pd.DataFrame.from_records(piece)
-
-    # Marked so that no filter inferred from a later explode runs the fit a second time.
-    run = F.pandas_udf(fit, POSTERIOR).asNondeterministic()
-    return bundled.withColumn("fit", run(*CELL_COLUMNS))
-
-
-def fit_table(
-    posterior: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
-) -> DataFrame:
-    """Effects and scale parameters in long form: term, index, age_class, mode, sd.
-
-    Scale parameters are on their internal scale: logs, and the logit of a constant zero chance.
-    """
-    names = ["log_size", "log_precision_time", "log_precision_delay"]
-    if spec.zero_inflation:
-        names.append("zero_inflation")
-    values = F.arrays_zip(
-        F.concat("fit.hyper_mode", "fit.effect_mode").alias("mode"),
-        F.concat("fit.hyper_sd", "fit.effect_sd").alias("sd"),
+    rows = attach(weekly, shares, keys)
+    share = F.when(F.col("known").isNull(), 0.0).otherwise(F.get("by", F.col("known")))
+    past = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("Time")
+    near = past.rowsBetween(-spec.level_weeks, 0)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    mean = (F.sum("observed").over(near) + PSEUDO_CASES) / (F.sum("share").over(near) + PSEUDO_WEEKS)
+    rows = rows.withColumn("share", share).withColumn(
+        "prior", F.last(F.when(F.col("known").isNotNull(), mean), ignorenulls=True).over(past)
     )
-    rows = posterior.select(
-        *series_cols, "classes", "first_time", "first_delay",
-        F.col("fit.weeks").alias("weeks"),
-        (F.col("fit.weeks") + F.col("fit.delays") + 1).alias("per_class"),
-        F.posexplode(values).alias("pos", "v"),
+    # Spread: residuals of the known cells about the week's own count dealt out by the shares.
+    expected = lambda c: F.when(
+        F.col("share") > 0, F.col("observed") * F.get("at", c["delay"]) / F.col("share")
+    ).otherwise(0.0)
+    excess = F.aggregate(
+        "cells", F.lit(0.0), lambda s, c: s + (c["Y"] - expected(c)) * (c["Y"] - expected(c)) - expected(c)
     )
-    scale = F.col("pos") < len(names)
-    effect = F.col("pos") - len(names)
-    slot = effect % F.col("per_class")
-    is_time = slot.between(1, F.col("weeks"))
+    square = F.aggregate("cells", F.lit(0.0), lambda s, c: s + expected(c) * expected(c))
+    rows = rows.withColumns({"_excess": excess, "_square": square})
+    total, squares = F.sum("_excess").over(whole), F.sum("_square").over(whole)
+    spread = F.when(squares > 0, F.greatest(F.lit(0.0), total / squares)).otherwise(0.0)
+    count = F.coalesce(F.col("known") + 1, F.lit(0))
+    rows = rows.withColumns({
+        "spread": spread,
+        "ahead": F.greatest(F.lit(0), F.col("Time") - F.max(F.when(F.col("known").isNotNull(), F.col("Time"))).over(whole)),
+        "_seen": F.when(F.col("share") > 0, _square_sum(F.slice("at", 1, count)) / F.col("share") / F.col("share")).otherwise(0.0),
+        "_left": F.when(
+            F.col("share") < 1,
+            _square_sum(F.slice("at", count + 1, F.size("at") - count)) / (1 - F.col("share")) / (1 - F.col("share")),
+        ).otherwise(0.0),
+    })
+    k = spec.level_shape
+    prior, own = F.col("prior"), F.col("share") * F.col("prior")
+    weight = own / (1 + F.col("spread") * own * F.col("_seen"))
+    level = F.when(F.col("share") > 0, (k * prior + weight * F.col("observed") / F.col("share")) / (k + weight)).otherwise(prior)
+    certain = F.col("observed") / (1 + F.col("spread") * F.col("observed") * F.col("_seen"))
+    shape = 1 / (1 / (k / (1 + F.col("ahead")) + certain) + F.col("spread") * F.col("_left"))
     return rows.select(
-        *series_cols,
-        F.when(scale, F.get(F.array(*[F.lit(x) for x in names]), F.col("pos")))
-        .when(slot == 0, "intercept").when(is_time, "time").otherwise("delay").alias("term"),
-        F.when(scale | (slot == 0), 0)
-        .when(is_time, slot - 1 + F.col("first_time"))
-        .otherwise(slot - 1 - F.col("weeks") + F.col("first_delay"))
-        .cast("int").alias("index"),
-        F.when(~scale, F.get("classes", F.floor(effect / F.col("per_class")).cast("int")))
-        .alias("age_class"),
-        F.col("v.mode").alias("mode"),
-        F.col("v.sd").alias("sd"),
+        *keys, "Time", "dt_event", "unfinished", "observed", level.alias("level"),
+        (level * (1 - F.col("share"))).alias("remaining"), shape.alias("shape"),
     )
 
 
-def restrict_to(df: DataFrame, series: DataFrame, series_cols: Sequence[str]) -> DataFrame:
-    """Only the series listed in ``series``."""
-    return join_on(df, series, series_cols, "left_semi")
+def fit_table(
+    triangle: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
+) -> DataFrame:
+    """The estimates in long form (stratum, term, index, value): share by delay, level by week."""
+    keys = _strata(triangle, series_cols)
+    shares = _shares(delay_hazards(triangle, spec, series_cols=series_cols), keys).select(
+        *keys, F.lit("delay").alias("term"), F.posexplode("at").alias("index", "value")
+    )
+    levels = fit_delay_model(triangle, spec, series_cols=series_cols).select(
+        *keys, F.lit("time").alias("term"), F.col("Time").alias("index"), F.col("level").alias("value")
+    )
+    return shares.unionByName(levels)

@@ -13,6 +13,9 @@ from latecast.operators.keys import attach, beside, join_on
 from latecast.operators.summary import cap_upper_limits, report_summary
 from latecast.operators.trend import trends
 
+# Weeks of a trend -> how many weeks back it is computed.
+TREND_WINDOWS = {3: 8, 6: 16}
+
 
 def _group(series_cols: Sequence[str]) -> list:
     """Window partition of weekly tables, whose rows per series are calendar weeks."""
@@ -22,15 +25,18 @@ def _group(series_cols: Sequence[str]) -> list:
 def report_table(
     summary: DataFrame, observed: DataFrame, *, series_cols: Sequence[str] = (), cut: int = 2
 ) -> DataFrame:
-    """Estimates beside what is reported, for every week of ``observed`` (dt_event, n).
+    """Estimates beside what is reported, for every week of ``observed`` (dt_event, n) or ``summary``.
 
-    ``full_estimate`` is the median where there is one, else the reported count. ``n_cut`` leaves
-    out the ``cut`` weeks that are still filling up; ``rolling_average`` is centred over three.
+    Weeks ahead have no count. ``full_estimate`` is the median where there is one, else the reported
+    count. ``n_cut`` leaves out the ``cut`` weeks that are still filling up; ``rolling_average`` is
+    centred over three.
     """
     keys = [*series_cols, "dt_event"]
-    rows = beside(
-        join_on(observed, summary, keys, "left"), series_cols, _last=F.max("dt_event")
-    ).withColumns(
+    both = observed.unionByName(summary, allowMissingColumns=True).groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in [*observed.columns, *summary.columns] if c not in keys]
+    )
+    counted = F.max(F.when(F.col("n").isNotNull(), F.col("dt_event")))
+    rows = beside(both, series_cols, _last=counted).withColumns(
         {
             "full_estimate": F.coalesce(F.col("Median"), F.col("n").cast("double")),
             "n_cut": F.when(
@@ -99,7 +105,7 @@ def rolling_trends(
     spliced: DataFrame, *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
     """Three- and six-week trends at the last 9 and 17 weeks."""
-    scores = trends(spliced, {3: 8, 6: 16}, series_cols=series_cols)
+    scores = trends(spliced, TREND_WINDOWS, series_cols=series_cols)
 
     def of(window: int):
         return F.max(F.when(F.col("window") == window, F.col("score")))
@@ -147,7 +153,8 @@ def situation_report(
         summary = cap_upper_limits(summary)
     weekly = fill_calendar(observed, series_cols=series_cols)
     table = report_table(summary, weekly, series_cols=series_cols)
-    # The earliest trend window reaches 16 + 5 weeks back.
-    spliced = splice_history(drawn, weekly, series_cols=series_cols, weeks_back=22)
+    # So far back do the trends look from the last drawn week.
+    reach = max(window + rolling for window, rolling in TREND_WINDOWS.items())
+    spliced = splice_history(drawn, weekly, series_cols=series_cols, weeks_back=reach)
     scores = rolling_trends(spliced, series_cols=series_cols)
     return join_on(table, scores, keys, "left")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from latecast.functions import strata
 from latecast.operators import draws, model, summary, triangle, weekly
 from latecast.operators.model import ModelSpec
 from latecast.operators.weekly import WeekRule
@@ -16,30 +16,34 @@ from latecast.operators.weekly import WeekRule
 
 @dataclass
 class NowcastResult:
-    """Lazy tables of one run; each is computed when used.
-
-    The triangle and the posterior are persisted on first use, since several tables share them;
-    ``release`` frees them.
-    """
+    """Lazy tables of one run; each is computed when used."""
 
     triangle: DataFrame
     spec: ModelSpec
     series_cols: tuple[str, ...]
     by_age: bool
-    partitions: int | None = None
+    bins: str | Sequence[float] | None = None
+    blank_zero_strata: bool = False
 
-    @cached_property
-    def posterior(self) -> DataFrame:
-        fitted = model.fit_delay_model(
-            self.triangle, self.spec, series_cols=self.series_cols, partitions=self.partitions
-        )
-        return fitted.persist(StorageLevel.MEMORY_AND_DISK)
+    @property
+    def fitted(self) -> DataFrame:
+        return model.fit_delay_model(self.triangle, self.spec, series_cols=self.series_cols)
 
-    @cached_property
+    @property
     def trajectories(self) -> DataFrame:
-        return draws.trajectories(
-            self.posterior, self.spec, series_cols=self.series_cols, by_age=self.by_age
+        drawn = draws.trajectories(
+            self.fitted, self.spec, series_cols=self.series_cols, by_age=self.by_age
         )
+        if self.by_age and self.blank_zero_strata:
+            zero = triangle.zero_case_strata(self.triangle, series_cols=self.series_cols)
+            drawn = draws.blank_zero_strata(drawn, zero, series_cols=self.series_cols)
+        return self._labelled(drawn)
+
+    def _labelled(self, df: DataFrame) -> DataFrame:
+        """The name of each age class beside its number, when the classes' limits are known."""
+        if not self.by_age or self.bins is None:
+            return df
+        return df.withColumn("age_label", strata.age_label(F.col("age_class"), self.bins))
 
     @property
     def total(self) -> DataFrame:
@@ -51,9 +55,9 @@ class NowcastResult:
     def age(self) -> DataFrame | None:
         if not self.by_age:
             return None
-        return summary.weekly_summary(
+        return self._labelled(summary.weekly_summary(
             self.trajectories, series_cols=self.series_cols, by=["age_class"]
-        )
+        ))
 
     @property
     def data(self) -> DataFrame:
@@ -61,25 +65,7 @@ class NowcastResult:
 
     @property
     def output(self) -> DataFrame:
-        return model.fit_table(self.posterior, self.spec, series_cols=self.series_cols)
-
-    @property
-    def scores(self) -> DataFrame:
-        loglik = draws.cell_log_likelihood(self.posterior, self.spec, series_cols=self.series_cols)
-        return draws.model_scores(loglik, series_cols=self.series_cols)
-
-    @property
-    def waic(self) -> DataFrame:
-        return self.scores.select(*self.series_cols, "waic")
-
-    @property
-    def dic(self) -> DataFrame:
-        return self.scores.select(*self.series_cols, "dic")
-
-    def release(self) -> None:
-        if "posterior" in self.__dict__:
-            self.posterior.unpersist()
-        self.triangle.unpersist()
+        return model.fit_table(self.triangle, self.spec, series_cols=self.series_cols)
 
 
 def nowcast(
@@ -96,31 +82,26 @@ def nowcast(
     horizon: int = 0,
     use_epiweek: bool = False,
     keep_complete_week: bool = False,
-    time_model: str = "rw2",
-    zero_inflated: bool = False,
+    blank_zero_strata: bool = False,
     draws: int = 1000,
     seed: int = 1,
     spec: ModelSpec | None = None,
-    partitions: int | None = None,
 ) -> NowcastResult:
     """Estimate events that have begun but are not reported yet, for every series at once.
 
-    ``horizon`` weeks are forecast beyond the last onset week. With ``age_col`` the model gives
-    each age class its own level and walks. ``spec`` overrides the single model options.
+    ``horizon`` weeks are forecast beyond the last onset week. With ``age_col`` each age class has its
+    own level and delays. ``blank_zero_strata`` sets the draws of classes without any known case to 0.
+    ``spec`` overrides the single options of the estimate.
     """
     if spec is None:
-        spec = ModelSpec(
-            time_model=time_model,
-            zero_inflation="size_dependent" if zero_inflated else None,
-            draws=draws, seed=seed,
-        )
+        spec = ModelSpec(draws=draws, seed=seed)
     rule = WeekRule(trim, horizon, use_epiweek, keep_complete_week)
     days = weekly.day_counts(
         df, date_onset, date_report, age_col, bins=bins, series_cols=series_cols
     )
     return nowcast_days(
         days, series_cols=series_cols, d_max=d_max, window=window, rule=rule, spec=spec,
-        partitions=partitions,
+        bins=bins, blank_zero_strata=blank_zero_strata,
     )
 
 
@@ -132,7 +113,8 @@ def nowcast_days(
     window: int = triangle.WINDOW,
     rule: WeekRule = WeekRule(),
     spec: ModelSpec = ModelSpec(),
-    partitions: int | None = None,
+    bins: str | Sequence[float] | None = None,
+    blank_zero_strata: bool = False,
 ) -> NowcastResult:
     """The same from day counts, for instance from a stored table of them."""
     if d_max < 1 or window < 1:
@@ -141,6 +123,5 @@ def nowcast_days(
         days, d_max=d_max, window=window, series_cols=series_cols, rule=rule
     )
     return NowcastResult(
-        table.persist(StorageLevel.MEMORY_AND_DISK), spec, tuple(series_cols),
-        "age_class" in days.columns, partitions,
+        table, spec, tuple(series_cols), "age_class" in days.columns, bins, blank_zero_strata
     )

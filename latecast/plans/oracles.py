@@ -148,11 +148,13 @@ def _report_table(rep: str = "rep") -> str:
     names = ", ".join(f'{rep}."{n}"' for n in REPORT_LIMITS)
     return f"""
 joined AS (
-  SELECT full_obs.g, full_obs.dt_event, n, {names},
+  SELECT k.g, k.dt_event, n, {names},
          coalesce("Median", CAST(n AS DOUBLE)) AS full_estimate,
-         CASE WHEN full_obs.dt_event <= last - 14 THEN CAST(n AS DOUBLE) END AS n_cut
-  FROM full_obs JOIN (SELECT g, max(dt_event) AS last FROM full_obs GROUP BY g) USING (g)
-  LEFT JOIN {rep} ON {rep}.g = full_obs.g AND {rep}.dt_event = full_obs.dt_event),
+         CASE WHEN k.dt_event <= last - 14 THEN CAST(n AS DOUBLE) END AS n_cut
+  FROM (SELECT g, dt_event FROM full_obs UNION SELECT g, dt_event FROM {rep}) k
+  LEFT JOIN full_obs ON full_obs.g = k.g AND full_obs.dt_event = k.dt_event
+  LEFT JOIN (SELECT g, max(dt_event) AS last FROM full_obs GROUP BY g) l ON l.g = k.g
+  LEFT JOIN {rep} ON {rep}.g = k.g AND {rep}.dt_event = k.dt_event),
 tab AS (SELECT *, {_rolling("full_estimate")} FROM joined)"""
 
 
@@ -328,6 +330,152 @@ cut AS (SELECT tri.* FROM tri JOIN (SELECT g, max(dt_event) AS last FROM tri GRO
         WHERE dt_event >= last - 84 AND delay <= 10)"""
 
 
+def _fit(*, weeks: int = 2, shape: float = 5.0) -> str:
+    """CTEs from ``tri`` to ``est``: g, age_class, Time, dt_event, unfinished, observed, level,
+    remaining, shape; and ``sh`` with the shares."""
+    key = "g, age_class"
+    return f"""
+hz AS (SELECT {key}, delay, coalesce(sum("Y"), 0) AS num, coalesce(sum(so_far), 0) AS den
+       FROM (SELECT *, CASE WHEN "Y" IS NOT NULL THEN sum("Y") OVER (
+               PARTITION BY {key}, "Time" ORDER BY delay) END AS so_far FROM tri) GROUP BY {key}, delay),
+hp AS (SELECT *, sum(num) OVER (PARTITION BY g, delay) AS an, sum(den) OVER (PARTITION BY g, delay) AS ad
+       FROM hz),
+hd AS (SELECT {key}, delay, (num + 10 * CASE WHEN ad > 0 THEN an / ad ELSE 0 END) / (den + 10) AS hazard
+       FROM hp),
+sb AS (SELECT {key}, delay, coalesce(product(1 - hazard) OVER (PARTITION BY {key} ORDER BY delay
+               ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS upto FROM hd),
+sa_ AS (SELECT *, upto - coalesce(lag(upto) OVER (PARTITION BY {key} ORDER BY delay), 0) AS part FROM sb),
+sh AS (SELECT *, sum(part * part) OVER (PARTITION BY {key} ORDER BY delay) AS seen_sq,
+              coalesce(sum(part * part) OVER (PARTITION BY {key} ORDER BY delay
+                ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS left_sq,
+              sum(part * part) OVER (PARTITION BY {key}) AS all_sq FROM sa_),
+wk_ AS (SELECT {key}, "Time", dt_event, coalesce(sum("Y"), 0)::BIGINT AS observed,
+               max(delay) FILTER (WHERE "Y" IS NOT NULL) AS known, bool_or("Y" IS NULL) AS unfinished
+        FROM tri GROUP BY {key}, "Time", dt_event),
+wq AS (SELECT w.*, coalesce(upto, 0) AS share, coalesce(seen_sq, 0) AS seen_sq,
+              coalesce(left_sq, (SELECT max(all_sq) FROM sh z WHERE z.g = w.g AND z.age_class = w.age_class))
+                AS left_sq
+       FROM wk_ w LEFT JOIN sh s ON s.g = w.g AND s.age_class = w.age_class AND s.delay = w.known),
+wm AS (SELECT *, CASE WHEN known IS NOT NULL THEN
+               (sum(observed) OVER n + 0.05::DOUBLE) / (sum(share) OVER n + 0.1::DOUBLE) END AS mean,
+              greatest(0, "Time" - max("Time") FILTER (WHERE known IS NOT NULL) OVER (PARTITION BY {key}))
+                AS ahead
+       FROM wq WINDOW n AS (PARTITION BY {key} ORDER BY "Time" ROWS BETWEEN {weeks} PRECEDING AND CURRENT ROW)),
+wp AS (SELECT *, last_value(mean IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY "Time") AS prior FROM wm),
+re AS (SELECT t.g, t.age_class, t."Y",
+              CASE WHEN w.share > 0 THEN w.observed * s.part / w.share ELSE 0 END AS mu
+       FROM tri t JOIN wp w USING (g, age_class, "Time")
+       JOIN sh s ON s.g = t.g AND s.age_class = t.age_class AND s.delay = t.delay WHERE t."Y" IS NOT NULL),
+sp AS (SELECT {key}, CASE WHEN sum(mu * mu) > 0 THEN greatest(0, sum((t."Y" - mu) * (t."Y" - mu) - mu)
+                / sum(mu * mu)) ELSE 0 END AS spread FROM re t GROUP BY {key}),
+wl AS (SELECT w.*, spread, share * prior AS own,
+              CASE WHEN share > 0 THEN seen_sq / share / share ELSE 0 END AS c_seen,
+              CASE WHEN share < 1 THEN left_sq / (1 - share) / (1 - share) ELSE 0 END AS c_left
+       FROM wp w JOIN sp USING (g, age_class)),
+wv AS (SELECT *, own / (1 + spread * own * c_seen) AS weight,
+              observed / (1 + spread * observed * c_seen) AS certain FROM wl),
+lv AS (SELECT *, CASE WHEN share > 0 THEN ({shape} * prior + weight * observed / share) / ({shape} + weight)
+              ELSE prior END AS level FROM wv),
+est AS (SELECT {key}, "Time", dt_event, unfinished, observed, level, level * (1 - share) AS remaining,
+               1 / (1 / ({shape} / (1 + ahead) + certain) + spread * c_left) AS shape FROM lv)"""
+
+
+def _draw(names: str, *, draws: int = 1000) -> str:
+    """CTEs from ``est`` to ``dr``: g, age_class, draw, Time, dt_event, Y. ``names`` are the keys as text."""
+    key = 'g, age_class, "Time"'
+    return f"""
+op AS (SELECT e.* FROM est e JOIN (SELECT g, age_class, min("Time") AS first FROM est WHERE unfinished
+         GROUP BY g, age_class) USING (g, age_class) WHERE "Time" >= first),
+di AS (SELECT *, greatest(1, floor(sd / 16)) AS step, greatest(0, floor(remaining - 10 * sd)) AS low
+       FROM (SELECT *, sqrt(remaining + remaining * remaining / shape) AS sd FROM op
+             WHERE remaining > 0 AND unfinished)),
+gr AS (SELECT {key}, remaining AS mu, shape AS r, step, low,
+              unnest(range(CAST(ceil((remaining + 20 * sd - low) / step) + 20 AS BIGINT))) AS i FROM di),
+ga AS (SELECT *, low + i * step + (step - 1) / 2 AS x FROM gr),
+ch AS (SELECT *, exp(lgamma(x + r) - lgamma(r) - lgamma(x + 1) + r * ln(r / (r + mu))
+                     + x * ln(mu / (r + mu))) * step AS p FROM ga),
+cu AS (SELECT *, sum(p) OVER (PARTITION BY {key} ORDER BY i) AS s FROM ch),
+ls AS (SELECT {key}, any_value(low) AS low, any_value(step) AS step, list(s ORDER BY i) AS sums
+       FROM cu GROUP BY {key}),
+dw AS (SELECT op.g, op.age_class, op."Time", dt_event, observed, low, step, sums, draw,
+              CAST('0x' || substr(md5(concat_ws('|', '1', {names}, op."Time", draw)), 1, 13) AS BIGINT)
+                / 4503599627370496.0::DOUBLE * sums[-1] AS u
+       FROM op LEFT JOIN ls ON ls.g = op.g AND ls.age_class = op.age_class AND ls."Time" = op."Time",
+            (SELECT CAST(unnest(range(1, {draws + 1})) AS INTEGER) AS draw)),
+pl AS (SELECT *, len(list_filter(sums, lambda z: z <= u)) AS place FROM dw),
+dr AS (SELECT g, age_class, draw, "Time", dt_event,
+              observed + CASE WHEN sums IS NULL THEN 0 ELSE CAST(low + place * step + floor(
+                (u - CASE WHEN place = 0 THEN 0 ELSE sums[place] END)
+                / (sums[place + 1] - CASE WHEN place = 0 THEN 0 ELSE sums[place] END) * step) AS BIGINT)
+              END AS "Y" FROM pl)"""
+
+
+_FIVE_LIMITS = {"Median": 0.5, "LI": 0.025, "LS": 0.975, "LIb": 0.25, "LSb": 0.75}
+
+
+def _nowcasts(nations: str) -> dict[str, str]:
+    five = _quantiles('"Y"', _FIVE_LIMITS)
+    tens, fives = strata.AGE_PRESETS["10 years"], strata.AGE_PRESETS["5 years"]
+    week = '"Time", dt_event'
+    one = f"{_triangle()}, {_fit()}, {_draw('NULL')}"
+    each = f"{_triangle(series=True)}, {_fit()}, {_draw('op.g')}"
+    aged = f"{_triangle(limits=tens)}, {_fit()}, {_draw('op.age_class')}"
+    q = {"nowcast_total": f"WITH {one} SELECT {week}, {five} FROM dr GROUP BY {week}"}
+    q["nowcast_by_series"] = f"WITH {each} SELECT g AS series, {week}, {five} FROM dr GROUP BY g, {week}"
+    q["forecast_k"] = (
+        f"WITH {_triangle(series=True, k=2)}, {_fit()}, {_draw('op.g')} "
+        f"SELECT g AS series, {week}, {five} FROM dr GROUP BY g, {week}"
+    )
+    q["nowcast_long_level"] = (
+        f"WITH {_triangle(series=True)}, {_fit(weeks=8, shape=2.0)}, {_draw('op.g', draws=200)} "
+        f"SELECT g AS series, {week}, {five} FROM dr GROUP BY g, {week}"
+    )
+    label = lambda limits: "([" + ", ".join(
+        [f"'{lo} - {hi - 1}'" for lo, hi in zip(limits, limits[1:-1])] + [f"'{limits[-2]}+'"]
+    ) + "])[age_class] AS age_label"
+    q["nowcast_by_age"] = (
+        f"WITH {aged} SELECT age_class, {label(tens)}, {week}, {five} FROM dr GROUP BY age_class, {week}"
+    )
+    q["trajectories"] = f'WITH {each} SELECT g AS series, draw, {week}, "Y" FROM dr'
+    q["trajectories_by_age"] = (
+        f'WITH {aged} SELECT age_class, {label(tens)}, draw, {week}, "Y" FROM dr'
+    )
+    blank = f"{_triangle(series=True, limits=fives)}, {_fit()}, {_draw('op.g, op.age_class')}"
+    q["nowcast_blank_strata"] = f"""WITH {blank},
+seen AS (SELECT g, age_class, coalesce(sum("Y"), 0) AS total FROM tri GROUP BY ALL),
+zb AS (SELECT g, age_class, {week}, CASE WHEN total = 0 THEN 0 ELSE "Y" END AS "Y"
+       FROM dr JOIN seen USING (g, age_class))
+SELECT g AS series, age_class, {label(fives)}, {week}, {five} FROM zb GROUP BY g, age_class, {week}"""
+    many = f"{_triangle(series=True).replace(_LINES, nations)}, {_fit()}, " + _draw(
+        "split_part(op.g, '/', 1), split_part(op.g, '/', 2)")
+    q["nowcast_many_series"] = (
+        f"WITH {many} SELECT split_part(g, '/', 1) AS nation, split_part(g, '/', 2) AS series, {week}, "
+        f"{five} FROM dr GROUP BY g, {week}"
+    )
+    three = _quantiles("total", {"Median": 0.5, "LI": 0.025, "LS": 0.975})
+    q["nowcast_window_total"] = f"""WITH {each},
+tt AS (SELECT g, draw, CAST(sum("Y") AS BIGINT) AS total FROM dr GROUP BY g, draw)
+SELECT g AS series, {three} FROM tt GROUP BY g"""
+    q["fit_table"] = f"""WITH {_triangle(series=True)}, {_fit()}
+SELECT g AS series, 'delay' AS term, delay AS index, round(part, 6) AS value FROM sh
+UNION ALL SELECT g, 'time', "Time", round(level, 6) FROM est"""
+    q["nowcast_trend"] = (
+        f"WITH {each}, {_trend('t', 'dr', 'g', 3)}, {_trend_limits('t', 'g')} " + _trend_output("t")
+    )
+    return q
+
+
+def _situation_forecast(sql: str) -> str:
+    """The report's SQL over draws that go on for two weeks."""
+    ahead = """
+dr AS (SELECT * FROM dr0 UNION ALL
+       SELECT d.g, d.draw, d."Time" + 2, d.dt_event + 14, d."Y"
+       FROM dr0 d JOIN (SELECT g, max(dt_event) AS last FROM dr0 GROUP BY g) USING (g)
+       WHERE d.dt_event > last - 14),
+rep AS ("""
+    return sql.replace("\ndr AS (", "\ndr0 AS (", 1).replace("rep AS (", ahead.lstrip("\n"), 1)
+
+
 def oracle_sql() -> dict[str, str]:
     presets = strata.AGE_PRESETS
     weekly_obs = _weekly(as_of=AS_OF, series=True)
@@ -546,16 +694,16 @@ br AS (
                AND lead("Median") OVER (PARTITION BY g ORDER BY dt_event) IS NOT NULL
               THEN n ELSE "Median" END AS "Median" FROM tab)
 SELECT g AS series, dt_event, n, "Median", "LI", "LS" FROM br WHERE dt_event <= last"""
-    q["history_splice"] = f"""WITH {_draws(draws=20)}, {_REPORTED}
+    q["history_splice"] = f"""WITH {_draws()}, {_REPORTED}
 SELECT g AS series, CAST(draw AS INTEGER) AS draw, dt_event, n AS "Y"
 FROM full_obs JOIN (SELECT g, min(dt_event) AS start FROM dr GROUP BY g) USING (g),
-     (SELECT unnest(range(1, 21)) AS draw)
+     (SELECT unnest(range(1, {FORMULA_DRAWS + 1})) AS draw)
 WHERE dt_event < start UNION ALL SELECT g, draw, dt_event, "Y" FROM dr"""
     q["dispersion_check"] = f"""WITH {_draws()}, {_FORMULA_REPORT}
 SELECT g AS series, bool_and("LS" / ("Median" + 1) < 2) AS consistent
 FROM rep JOIN (SELECT g, max(dt_event) AS last FROM rep GROUP BY g) USING (g)
 WHERE dt_event = last GROUP BY g"""
-    newest = _triangle(series=True, limits=presets["5 years"], d_max=1, window=1)
+    newest = _triangle(series=True, limits=presets["5 years"])
     q["zero_case_strata"] = f"""WITH {newest},
 seen AS (SELECT g, age_class, coalesce(sum("Y"), 0) AS total FROM tri GROUP BY ALL)
 SELECT g AS series, age_class, CAST(draw AS INTEGER) AS draw, "Time", delay,
@@ -574,9 +722,6 @@ fu AS (SELECT min("Time") AS first_unknown FROM tri WHERE "Y" IS NULL)
 SELECT age_class, "Time", dt_event, {_bigint('coalesce(sum("Y"), 0)')} AS observed,
        CAST(1000 AS BIGINT) AS draws, TRUE AS never_below
 FROM tri, fu WHERE "Time" >= first_unknown GROUP BY age_class, "Time", dt_event"""
-    q["fit_checks"] = f"""WITH {_triangle(series=True)}
-SELECT g AS series, 'time' AS term, count(DISTINCT "Time") AS effects, min("Time") AS first,
-       max("Time") AS last, TRUE AS centred, TRUE AS spread FROM tri GROUP BY g
-UNION ALL
-SELECT g, 'delay', count(DISTINCT delay), min(delay), max(delay), TRUE, TRUE FROM tri GROUP BY g"""
+    q |= _nowcasts(nations)
+    q["situation_table_forecast"] = _situation_forecast(q["situation_table"])
     return q

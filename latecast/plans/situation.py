@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latecast.operators import curves, draws, model, report, summary, triangle, weekly
-from latecast.operators.keys import join_on
+from latecast.operators.keys import attach, join_on
 from latecast.operators.model import ModelSpec
 from latecast.operators.weekly import WeekRule
 from latecast.plans.checkpoints import checkpointed
@@ -31,15 +31,17 @@ def adaptive_draws(
     d_max: int = REPORT_D_MAX,
     window: int = REPORT_WINDOW,
     rule: WeekRule = WeekRule(),
-    spec: ModelSpec = ModelSpec(zero_inflation="const"),
+    spec: ModelSpec = ModelSpec(),
     limit: float = 20,
     max_trials: int = MAX_TRIALS,
+    min_d_max: int = MIN_D_MAX,
 ) -> DataFrame:
-    """Trajectories (series, d_max, draw, Time, dt_event, Y), fitted again with a shorter maximum
-    delay and window for those series whose last week is too uncertain.
+    """Trajectories (series, d_max, consistent, draw, Time, dt_event, Y), estimated again with a
+    shorter maximum delay and window for those series whose last week is too uncertain.
 
     ``window`` is a number of weeks here. At most ``max_trials`` rounds; each round's draws are
-    checkpointed and the next one sees only the series that failed.
+    checkpointed and the next one sees only the series that failed. ``consistent`` is false for a
+    series that was still too uncertain in the last round.
     """
     if "age_class" in days.columns:
         raise ValueError("the report works on series without age classes")
@@ -56,8 +58,10 @@ def adaptive_draws(
         check = checkpointed(
             report.dispersion_check(limits, limit=limit, series_cols=series_cols)
         )
-        failed = check.filter(~F.coalesce("consistent", F.lit(False)))
-        last_round = trial == max_trials or d_max - 2 < MIN_D_MAX
+        check = check.withColumn("consistent", F.coalesce("consistent", F.lit(False)))
+        drawn = attach(drawn, check, series_cols)
+        failed = check.filter(~F.col("consistent"))
+        last_round = trial == max_trials or d_max - 2 < min_d_max
         if last_round or failed.isEmpty():
             accepted.append(drawn)
             break
@@ -66,7 +70,7 @@ def adaptive_draws(
         else:
             failed = failed.select(*series_cols)
             accepted.append(join_on(drawn, failed, series_cols, "left_anti"))
-            days_left = model.restrict_to(days, failed, series_cols)
+            days_left = join_on(days, failed, series_cols, "left_semi")
         days, trial, d_max = days_left, trial + 1, d_max - 2
         window = round(2.25 * d_max) - 1
     if not held:

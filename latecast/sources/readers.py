@@ -26,19 +26,26 @@ def read_line_list(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def read_delimited(
     spark: SparkSession, path: str, schema: str, *, delimiter: str = ",", columns: Sequence[str] = ()
 ) -> DataFrame:
-    """Delimited text with a header. Columns are found by their header name, and only those of
-    ``schema`` (or ``columns`` of it) are parsed. Compression follows the file suffix; Spark reads
-    gzip, bzip2 and zstandard, and plain or bzip2 files can be split between tasks.
+    """Delimited text, every file with a header of its own. Columns are found by name in each file,
+    and only those of ``schema`` (or ``columns`` of it) are parsed. Files with the same header are one
+    read. Compression follows the file suffix; Spark reads gzip, bzip2 and zstandard, and plain or
+    bzip2 files can be split between tasks.
     """
     wanted = spark.createDataFrame([], schema).schema
-    raw = spark.read.csv(path, header=True, sep=delimiter, inferSchema=False)
     names = list(columns) or wanted.names
-    missing = [n for n in names if n not in raw.columns]
-    if missing:
-        raise ValueError(f"columns not in {path}: {missing}")
-    return raw.select(
-        *[F.expr(f"try_cast(`{n}` AS {wanted[n].dataType.simpleString()})").alias(n) for n in names]
-    )
+    options = {"header": True, "sep": delimiter, "inferSchema": False}
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.csv(path, **options).inputFiles()):
+        by_header.setdefault(tuple(spark.read.csv(file, **options).columns), []).append(file)
+    parts = []
+    for header, files in by_header.items():
+        missing = [n for n in names if n not in header]
+        if missing:
+            raise ValueError(f"columns not in {files[0]}: {missing}")
+        parts.append(spark.read.csv(files, **options).select(
+            *[F.expr(f"try_cast(`{n}` AS {wanted[n].dataType.simpleString()})").alias(n) for n in names]
+        ))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def union_extracts(extracts: Sequence[DataFrame]) -> DataFrame:

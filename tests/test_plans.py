@@ -39,8 +39,17 @@ def test_bundle(view):
     assert run.trajectories.count() == 8 * 200
     assert run.data.columns == ["dt_event", "Time", "delay", "Y"]
     assert run.output.filter("term = 'time'").count() == 21
-    assert run.waic.first()["waic"] > 0 and run.dic.first()["dic"] > 0
-    run.release()
+
+
+def test_report_keeps_weeks_ahead(view):
+    days = weekly.day_counts(view, "onset", "report", series_cols=["region"])
+    rule = WeekRule(horizon=2)
+    table = situation.situation_report(
+        days, series_cols=["region"], d_max=6, window=20, rule=rule, spec=ModelSpec(draws=50)
+    ).persist()
+    last = table.filter("n is not null").groupBy("region").agg(F.max("dt_event").alias("last"))
+    ahead = table.join(last, "region").filter("dt_event > last")
+    assert ahead.count() == 4 and ahead.filter("Median is null").isEmpty()
 
 
 def test_series_and_ages(view):
@@ -50,8 +59,9 @@ def test_series_and_ages(view):
     )
     assert run.total.count() == 2 * 7
     assert run.age.count() == 2 * 7 * 2
+    assert {r[0] for r in run.age.select("age_label").distinct().collect()} == {"0 - 49", "50+"}
+    assert "age_label" in run.trajectories.columns
     assert run.total.columns == ["region", "Time", "dt_event", "Median", "LI", "LS", "LIb", "LSb"]
-    run.release()
 
 
 def test_many_series_give_what_each_gives_alone(view):
@@ -73,8 +83,6 @@ def test_arguments_are_checked_before_any_job(view):
         nowcast(view, "onset", "report", "years")
     with pytest.raises(ValueError, match="unknown age bins"):
         nowcast(view, "onset", "report", "age", bins="decades")
-    with pytest.raises(ValueError, match="time_model"):
-        nowcast(view, "onset", "report", time_model="ar1")
     with pytest.raises(ValueError, match="positive"):
         nowcast(view, "onset", "report", d_max=0)
 
@@ -137,7 +145,6 @@ def test_streaming_feed_equals_batch(spark, view, tmp_path):
     assert days.exceptAll(want).isEmpty() and want.exceptAll(days).isEmpty()
     run = nowcast_days(days, series_cols=["region"], d_max=6, window=15, spec=ModelSpec(draws=20))
     assert run.total.count() == 12
-    run.release()
 
 
 def test_rule_passes_through(view):
@@ -145,4 +152,3 @@ def test_rule_passes_through(view):
     run = nowcast_days(days, d_max=5, window=10, rule=WeekRule(use_epiweek=True),
                        spec=ModelSpec(draws=20))
     assert run.total.filter("dayofweek(dt_event) <> 1").isEmpty()
-    run.release()

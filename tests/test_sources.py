@@ -74,3 +74,14 @@ def test_truth_beside(spark, cases):
     assert truth.agg(F.sum("n")).first()[0] == 8
     rows = curves.truth_beside(then, truth).collect()
     assert all(r["then"] == 0 for r in rows)  # Thursday weeks never meet Sunday weeks
+
+
+def test_files_with_columns_in_another_order(spark, tmp_path):
+    """Every file is read by its own header; a file without a wanted column is an error."""
+    for i, text in enumerate(("x,y\n1,2\n", "y,x\n20,10\n", "z,y,x\n0,200,100\n")):
+        (tmp_path / f"{i}.csv").write_text(text)
+    got = readers.read_delimited(spark, str(tmp_path), "x int, y int").collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (10, 20), (100, 200)]
+    (tmp_path / "3.csv").write_text("x\n1\n")
+    with pytest.raises(ValueError, match="columns not in"):
+        readers.read_delimited(spark, str(tmp_path), "x int, y int")
