@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -91,6 +92,38 @@ def weekly_line_list(
     ).drop("_cutoff", "_first_weekday", "_onset_week", "_report_week")
 
 
+def recent_rows(
+    df: DataFrame,
+    date_onset: str,
+    date_report: str,
+    *,
+    window: int,
+    series_cols: Sequence[str] = (),
+    rule: WeekRule = WeekRule(),
+) -> DataFrame:
+    """Only the rows that the last ``window`` weeks can need, by a plain filter that reaches the scan.
+
+    Two small jobs look for the last report and the last onset week that counts, of each series. The
+    earliest of them bound all series, so nothing that any series needs is left out, and neither are the
+    last reports, which set the cut-off.
+    """
+    require_columns(df, [date_onset, date_report, *series_cols])
+    onset, report = F.col(date_onset).cast("date"), F.col(date_report).cast("date")
+    rows = df.filter(F.col(date_report).isNotNull()).select(
+        *series_cols, onset.alias("onset"), report.alias("report")
+    )
+    last_report = rows.groupBy(*series_cols).agg(F.max("report").alias("r")).agg(F.min("r")).first()[0]
+    scalars = _week_scalars(rows, F.col("report"), rule, series_cols)
+    onset_week = weeks.week_start(F.col("onset"), F.col("_first_weekday"))
+    report_week = weeks.week_start(F.col("report"), F.col("_first_weekday"))
+    counted = attach(rows, scalars, series_cols).filter(_in_range(onset_week, F.col("report"), report_week))
+    last_week = counted.groupBy(*series_cols).agg(F.max(onset_week).alias("w")).agg(F.min("w")).first()[0]
+    if last_week is None:
+        return df
+    first = last_week - dt.timedelta(days=7 * window)
+    return df.filter((F.col(date_onset) >= F.lit(first)) | (F.col(date_report) >= F.lit(last_report)))
+
+
 def day_counts(
     df: DataFrame,
     date_onset: str,

@@ -379,6 +379,11 @@ def nowcast_by_age(spark, sf):
     return _rounded(_nowcast(spark, sf, "age").age)
 
 
+def nowcast_pruned(spark, sf):
+    """The nowcast of all series, reading only what the window needs."""
+    return _rounded(_nowcast(spark, sf, series_cols=SERIES, prune=True).total)
+
+
 def nowcast_blank_strata(spark, sf):
     """Classes of five years, some without any known case: their draws are 0."""
     run = _nowcast(spark, sf, "age", bins="5 years", series_cols=SERIES, blank_zero_strata=True)
@@ -517,7 +522,7 @@ CHECKED: list[Query] = [
     report_table, situation_table, rolling_average, upper_limit_cap, bridge_row, history_splice,
     dispersion_check, zero_case_strata, phase_label,
     trajectory_checks, trajectory_checks_by_age, situation_table_forecast,
-    nowcast_total, nowcast_by_age, nowcast_by_series, nowcast_many_series, nowcast_blank_strata, forecast_k,
+    nowcast_total, nowcast_by_age, nowcast_by_series, nowcast_many_series, nowcast_pruned, nowcast_blank_strata, forecast_k,
     nowcast_window_total, nowcast_long_level, trajectories, trajectories_by_age, nowcast_trend, fit_table,
 ]
 #: Chains of several jobs; the tests check their properties.

@@ -83,6 +83,7 @@ def nowcast(
     use_epiweek: bool = False,
     keep_complete_week: bool = False,
     blank_zero_strata: bool = False,
+    prune: bool = False,
     draws: int = 1000,
     seed: int = 1,
     spec: ModelSpec | None = None,
@@ -91,11 +92,16 @@ def nowcast(
 
     ``horizon`` weeks are forecast beyond the last onset week. With ``age_col`` each age class has its
     own level and delays. ``blank_zero_strata`` sets the draws of classes without any known case to 0.
+    ``prune`` looks for the last days first, by a job of its own, and reads only what the window needs.
     ``spec`` overrides the single options of the estimate.
     """
     if spec is None:
         spec = ModelSpec(draws=draws, seed=seed)
     rule = WeekRule(trim, horizon, use_epiweek, keep_complete_week)
+    if prune:
+        df = weekly.recent_rows(
+            df, date_onset, date_report, window=window, series_cols=series_cols, rule=rule
+        )
     days = weekly.day_counts(
         df, date_onset, date_report, age_col, bins=bins, series_cols=series_cols
     )

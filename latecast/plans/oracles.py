@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
-from latecast.functions import strata
-from latecast.functions.stats import LIMITS, REPORT_LIMITS, t_quantile
-from latecast.functions.text import ACCENTED, PLAIN
 from latecast.plans.catalog import (
     CUSTOM_BINS, RELEASE, THIS_WEEK, TOTAL_BINS, WEEK_ZERO,
 )
 from latecast.plans.tables import AS_OF, FORMULA_DRAWS
 
+# Fixed values, written out here so that a wrong constant in the code cannot agree with itself.
+LIMITS = {"Median": 0.5, "LI": 0.025, "LS": 0.975, "LIb": 0.25, "LSb": 0.75}
+REPORT_LIMITS = {
+    "Median": 0.5, "Q1": 0.25, "Q3": 0.75, "IC80I": 0.1, "IC80S": 0.9,
+    "IC90I": 0.05, "IC90S": 0.95, "LI": 0.025, "LS": 0.975,
+}
+SI_PNI = (0, 5, 12, 18, 30, 40, 50, 60, 70, 80, 90, 130)
+TEN_YEARS = (0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 130)
+FIVE_YEARS = (0, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 65, 70, 75, 80, 85, 90, 130)
+EXTRACT_LIMITS = (0, 5, 12, 18, 30, 50, 60, 70, 80, 200)
+EXTRACT_LABELS = (
+    "0 - 4", "5 - 11", "12 - 17", "18 - 29", "30 - 49", "50 - 59", "60 - 69", "70 - 79", "80 +",
+)
+TOTAL_LABELS = {
+    99: "Total", 1: "0 - 9", 2: "10 - 19", 3: "20 - 29", 4: "30 - 39", 5: "40 - 49",
+    6: "50 - 59", 7: "60 - 69", 8: "70 - 79", 9: "80+",
+}
+ACCENTED, PLAIN = "ÁÂÉÊÍÔÓÚÇ", "AAEEIOOUC"
+# Half widths of central 90 % and 50 % intervals of Student's t, by degrees of freedom.
+T_90 = {1: 6.313751514675043, 2: 2.919985580355516, 3: 2.353363434801823, 4: 2.131846786326649}
+T_50 = {1: 1.0, 2: 0.8164965809277260, 3: 0.7648923284043454, 4: 0.7406970841142744}
+
 _LINES = """
 ll AS (
   SELECT CAST(o_orderdate AS DATE) AS onset,
@@ -117,7 +136,7 @@ dr AS (SELECT g{age}, CAST(draw AS INTEGER) AS draw, "Time", dt_event,
        FROM ob, (SELECT unnest(range(1, {draws + 1})) AS draw))"""
 
 
-_TENS = strata.AGE_PRESETS["10 years"]
+_TENS = TEN_YEARS
 
 _ROUNDED_9Q = ", ".join(
     f'round_even(quantile_cont("Y", {p}), 0) AS "{name}"' for name, p in REPORT_LIMITS.items()
@@ -205,7 +224,7 @@ def _trend_limits(name: str, keys: str) -> str:
 
 def _single_limits(name: str, window: int) -> str:
     """Confidence limits of one regression line; the full window fixes the degrees of freedom."""
-    wide, narrow = t_quantile(0.9, window - 2), t_quantile(0.5, window - 2)
+    wide, narrow = T_90[window - 2], T_50[window - 2]
     return f"""
 {name}_q AS (
   SELECT g, end_week, CAST(1 AS BIGINT) AS draws, slope - {wide!r} * e AS "LI",
@@ -410,18 +429,17 @@ dr AS (SELECT g, age_class, draw, "Time", dt_event,
               END AS "Y" FROM pl)"""
 
 
-_FIVE_LIMITS = {"Median": 0.5, "LI": 0.025, "LS": 0.975, "LIb": 0.25, "LSb": 0.75}
-
 
 def _nowcasts(nations: str) -> dict[str, str]:
-    five = _quantiles('"Y"', _FIVE_LIMITS)
-    tens, fives = strata.AGE_PRESETS["10 years"], strata.AGE_PRESETS["5 years"]
+    five = _quantiles('"Y"', LIMITS)
+    tens, fives = TEN_YEARS, FIVE_YEARS
     week = '"Time", dt_event'
     one = f"{_triangle()}, {_fit()}, {_draw('NULL')}"
     each = f"{_triangle(series=True)}, {_fit()}, {_draw('op.g')}"
     aged = f"{_triangle(limits=tens)}, {_fit()}, {_draw('op.age_class')}"
     q = {"nowcast_total": f"WITH {one} SELECT {week}, {five} FROM dr GROUP BY {week}"}
     q["nowcast_by_series"] = f"WITH {each} SELECT g AS series, {week}, {five} FROM dr GROUP BY g, {week}"
+    q["nowcast_pruned"] = q["nowcast_by_series"]
     q["forecast_k"] = (
         f"WITH {_triangle(series=True, k=2)}, {_fit()}, {_draw('op.g')} "
         f"SELECT g AS series, {week}, {five} FROM dr GROUP BY g, {week}"
@@ -477,7 +495,7 @@ rep AS ("""
 
 
 def oracle_sql() -> dict[str, str]:
-    presets = strata.AGE_PRESETS
+    presets = {"SI-PNI": SI_PNI, "10 years": TEN_YEARS, "5 years": FIVE_YEARS}
     weekly_obs = _weekly(as_of=AS_OF, series=True)
     tri = 'dt_event, "Time", delay'
     trend_keys = "g"
@@ -586,12 +604,12 @@ FROM snap WHERE age_class <> 'age_NA' GROUP BY 1, 2"""
     q["normalise_text"] = f"""SELECT doc_id, regexp_replace(
   translate(upper(replace(text, 'ß', 'SS')), '{ACCENTED}', '{PLAIN}'), '\\p{{P}}', ' ', 'g')
   AS search_form FROM documents"""
-    brackets = ", ".join(f"'{x}'" for x in strata.EXTRACT_LABELS)
+    brackets = ", ".join(f"'{x}'" for x in EXTRACT_LABELS)
     q["prepare_raw_extract"] = f"""WITH {_LINES}
 SELECT onset AS "DT_SIN_PRI", CASE WHEN l_suppkey % 10 <> 0 THEN report END AS "DT_DIGITA",
        l_returnflag AS "CLASSI_FIN", l_linestatus AS "EVOLUCAO", series AS "CO_MUN_RES",
        CAST(years AS DOUBLE) AS "Idade",
-       ([{brackets}])[{_age_code(strata.EXTRACT_LIMITS, "years")}] AS fx_etaria
+       ([{brackets}])[{_age_code(EXTRACT_LIMITS, "years")}] AS fx_etaria
 FROM (SELECT *, CASE WHEN l_linenumber % 4 + 1 = 3 THEN age ELSE 0 END AS years FROM ll
       WHERE l_linenumber % 4 + 1 < 4)"""
 
@@ -639,7 +657,7 @@ GROUP BY g, "Time", dt_event, age_class"""
         + _trend_output("t")
     )
 
-    labels = " ".join(f"WHEN {k} THEN '{v}'" for k, v in strata.TOTAL_LABELS.items())
+    labels = " ".join(f"WHEN {k} THEN '{v}'" for k, v in TOTAL_LABELS.items())
     q["totals_with_history"] = f"""WITH {_draws(age_limits=TOTAL_BINS)},
 bw_all AS (
   SELECT onset - CAST((dayofweek(onset) - s + 7) % 7 AS INTEGER) AS dt_event,

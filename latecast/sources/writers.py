@@ -21,8 +21,15 @@ def write_day_counts(days: DataFrame, path: str, *, mode: str = "errorifexists")
     stored.write.mode(mode).partitionBy("report_month").parquet(path)
 
 
-def read_day_counts(spark: SparkSession, path: str, *, as_of: str | None = None) -> DataFrame:
+def read_day_counts(
+    spark: SparkSession, path: str, *, as_of: str | None = None, since: str | None = None
+) -> DataFrame:
+    """Stored day counts; ``as_of`` and ``since`` bound the report days, and skip folders of others."""
     days = spark.read.parquet(path)
+    if since is not None:
+        days = days.filter(F.col("report_month").cast("string") >= F.lit(since[:7])).filter(
+            F.col("report") >= F.lit(since).cast("date")
+        )
     if as_of is not None:
         day = F.lit(as_of).cast("date")
         days = days.filter(F.col("report_month").cast("string") <= F.lit(as_of[:7])).filter(
