@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A per-series table of scalars up to this many rows (tens of MB) may be broadcast.
-BROADCAST_ROWS = 500_000
+# A per-series table of scalars of up to so many bytes may be broadcast.
+BROADCAST_BYTES = 32 << 20
+BYTES_PER_COLUMN = 32
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -39,13 +40,13 @@ def attach(df: DataFrame, scalars: DataFrame, series_cols: Sequence[str]) -> Dat
 def attach_sized(df: DataFrame, scalars: DataFrame, series_cols: Sequence[str]) -> DataFrame:
     """``attach`` for a row-level ``df`` that should not be shuffled.
 
-    The scalars are computed first and counted. Up to BROADCAST_ROWS they are broadcast, so the
-    line list stays where it is; beyond that it is a shuffled join with adaptive skew splitting.
+    The scalars are counted first, by a job that reads their columns only. Up to BROADCAST_BYTES they
+    are broadcast, so the line list stays where it is; beyond that it is a shuffled join with adaptive
+    skew splitting.
     """
     if not series_cols:
         return attach(df, scalars, series_cols)
-    scalars = scalars.persist()
-    if scalars.count() <= BROADCAST_ROWS:
+    if scalars.count() * len(scalars.columns) * BYTES_PER_COLUMN <= BROADCAST_BYTES:
         scalars = F.broadcast(scalars)
     return join_on(df, scalars, series_cols)
 
