@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from latecast.llm import pieces
 from latecast.llm.pieces import APOSTROPHE, DIGIT, LETTER, MARK, SPACE
+from latecast.llm.shared import bound_batches
 
 NONE = 1 << 30  # no rank
 RANGES = 16
@@ -59,21 +60,15 @@ class Merges:
         at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
         return np.where(self.pairs[at] == keys, self.made[at], NONE)
 
-    def replay(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word: always its lowest rank first, at the leftmost place, until none is left.
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids, one word after the other, and how many each has: always its lowest rank first, at the leftmost place, until none is left.
 
         Ranks are gone through in ascending ranges. The index of a range holds the positions whose pair
         has such a rank; every word applies its lowest one, all words at once, until the range is empty.
         A merge that makes a still lower one possible puts that into the same index.
         """
-        out = [None] * len(words)
-        rest = []
-        for i, word in enumerate(words):
-            whole = self.ranks.get(word)
-            if whole is not None:
-                out[i] = np.array([whole], np.int32)
-            else:
-                rest.append(i)
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
+        rest = np.flatnonzero(whole < 0)
         data = np.frombuffer(b"".join([words[i] for i in rest]), np.uint8)
         lengths = np.fromiter((len(words[i]) for i in rest), np.int64, len(rest))
         ends = np.cumsum(lengths)
@@ -112,22 +107,34 @@ class Merges:
                 index = np.unique(np.concatenate([index, touched]))
                 index = index[pair[index] < limit]
         left = np.flatnonzero(symbol >= 0)
-        counts = np.bincount(owner[left], minlength=len(rest))
-        for i, ids in zip(rest, np.split(symbol[left].astype(np.int32), np.cumsum(counts)[:-1]),
-                          strict=True):
-            out[i] = ids
-        return out
+        counts = np.ones(len(words), np.int64)
+        counts[rest] = np.bincount(owner[left], minlength=len(rest))
+        starts = np.cumsum(counts) - counts
+        ids = np.zeros(int(counts.sum()), np.int32)
+        found = whole >= 0
+        ids[starts[found]] = whole[found]
+        ids[pieces.gather(starts[rest], counts[rest])] = symbol[left]
+        return ids, counts
 
 
 def _encoder(ranks: dict[bytes, int], pattern: str):
     """Pieces to ids: split by the pattern, replay the distinct words, join."""
     split, merges = regex.compile(pattern), Merges(ranks)
 
-    def run(texts: list[bytes]) -> list[np.ndarray]:
-        words = [[w.encode() for w in split.findall(t.decode())] for t in texts]
-        distinct = list(dict.fromkeys(w for ws in words for w in ws))
-        ids = dict(zip(distinct, merges.replay(distinct), strict=True))
-        return [ids[ws[0]] if len(ws) == 1 else np.concatenate([ids[w] for w in ws]) for ws in words]
+    def run(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        names: dict[bytes, int] = {}
+        words, sizes = [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            found = split.findall(text.decode())
+            sizes[i] = len(found)
+            for word in found:
+                words.append(names.setdefault(word.encode(), len(names)))
+        ids, counts = merges.replay(list(names))
+        starts = np.cumsum(counts) - counts
+        at = np.array(words, np.int64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        lengths = np.bincount(owner, counts[at], minlength=len(texts)).astype(np.int64)
+        return ids[pieces.gather(starts[at], counts[at])], lengths
 
     return run
 
@@ -137,7 +144,7 @@ def _encode(data: bytes, pattern: str, names: list[str]):
         table = pieces.PieceTable(_encoder(read_ranks(data), pattern), CUTS)
         for batch in batches:
             buffer, offsets = pieces.text_buffer(batch.column(0))
-            for first, last in pieces.slices(batch, offsets):
+            for first, last in pieces.slices(batch, offsets, pieces.WINDOW):
                 parts, counts = table.encoded(buffer, offsets[first:last + 1])
                 ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
                 limits = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -159,6 +166,7 @@ def encode(
     """
     with open(vocabulary, "rb") as f:
         data = f.read()
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text_col, ids_col)]
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias(ids_col), *kept)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
@@ -199,6 +207,7 @@ def decode(
     """All columns and the bytes that the ids stand for; no ids give no bytes."""
     with open(vocabulary, "rb") as f:
         data = f.read()
+    bound_batches(encoded.sparkSession)
     rows = encoded.drop(out_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(

@@ -14,9 +14,9 @@ import pyarrow as pa
 import xxhash
 
 OTHER, SPACE, LETTER, DIGIT, MARK, APOSTROPHE = range(6)
-WINDOW = 1 << 21
+WINDOW = 1 << 20
 KEY_BYTES = 32
-MOST_KEPT = 1 << 20
+MOST_KEPT = 1 << 19
 
 
 def byte_classes() -> np.ndarray:
@@ -134,9 +134,10 @@ class PieceTable:
     """Distinct pieces of one task with their ids; forgotten when there are too many."""
 
     def __init__(
-        self, encode: Callable[[list[bytes]], list], cut_table: np.ndarray, *,
+        self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], cut_table: np.ndarray, *,
         lower: bool = False, skip_space: bool = False,
     ) -> None:
+        """``encode`` gives the ids of all pieces one after the other, and how many each has."""
         self.encode, self.cut_table, self.lower, self.skip_space = encode, cut_table, lower, skip_space
         self._forget()
 
@@ -150,13 +151,12 @@ class PieceTable:
 
     def _add(self, texts: list[bytes]) -> np.ndarray:
         """Encode pieces and keep their ids; their places."""
-        found = [np.asarray(x, np.int32) for x in self.encode(texts)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ids, lengths = self.encode(texts)
         first = len(self.starts)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, *found]) if found else self.ids
-        return np.arange(first, first + len(found))
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        return np.arange(first, first + len(texts))
 
     def _places(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The place of every piece; a piece not met before is encoded."""
@@ -253,7 +253,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets
 
 
-def slices(batch: pa.RecordBatch, offsets: np.ndarray, most: int = 4 * WINDOW) -> Iterator[tuple[int, int]]:
+def slices(batch: pa.RecordBatch, offsets: np.ndarray, most: int = 2 * WINDOW) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text, at least one row each."""
     first = 0
     while first < batch.num_rows:

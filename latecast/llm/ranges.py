@@ -24,10 +24,13 @@ def by_range(df: DataFrame, key: str, weight: Column, target: int) -> DataFrame:
     if low is None:
         low = high = 0
     width = max(1, -(-(high - low + 1) // STEPS))
-    step = F.when(F.col("k").isNull(), F.lit(-1)).otherwise(F.floor((F.col("k") - low) / width))
-    sums = light.select(step.cast("long").alias("__step"), "w").groupBy("__step").agg(
-        F.sum("w").alias("w")
-    )
+
+    def step(column: Column) -> Column:
+        """Doubles keep the order and do not overflow."""
+        at = F.floor((column.cast("double") - float(low)) / float(width)).cast("long")
+        return F.when(column.isNull(), F.lit(-1).cast("long")).otherwise(at)
+
+    sums = light.select(step(F.col("k")).alias("__step"), "w").groupBy("__step").agg(F.sum("w").alias("w"))
     rows = sorted((r["__step"], r["w"] or 0) for r in sums.collect())
     total = sum(w for _, w in rows)
     target = max(target, -(-total // MOST_RANGES))
@@ -38,7 +41,6 @@ def by_range(df: DataFrame, key: str, weight: Column, target: int) -> DataFrame:
             limits.append(at)
         done += w
     count = max(1, len(limits))
-    own = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.floor((F.col(key) - low) / width))
     spark = df.sparkSession
     if count == 1:
         found = df.withColumn("__range", F.lit(0))
@@ -46,7 +48,7 @@ def by_range(df: DataFrame, key: str, weight: Column, target: int) -> DataFrame:
         table = spark.createDataFrame(
             [(at, bisect_right(limits, at) - 1) for at, _ in rows], "__step long, __range int"
         )
-        found = df.withColumn("__step", own.cast("long")).join(F.broadcast(table), "__step").drop("__step")
+        found = df.withColumn("__step", step(F.col(key))).join(F.broadcast(table), "__step").drop("__step")
     return found.repartitionById(count, F.col("__range")).sortWithinPartitions(F.col(key).asc_nulls_first())
 
 
@@ -54,3 +56,12 @@ def running_start(df: DataFrame, order: list[str], size: str, name: str) -> Data
     """Add the sum of ``size`` over all rows before; for tables with a row per file."""
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+
+
+def by_file(manifest: DataFrame, most: int = 4096) -> DataFrame:
+    """A manifest (shard, part, ...) dealt out so that files are read side by side.
+
+    Its rows are so small that adaptive execution would put them all into one task.
+    """
+    tasks = max(1, min(most, manifest.count()))
+    return manifest.repartitionById(tasks, (F.col("shard") + F.col("part")) % tasks)

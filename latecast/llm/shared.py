@@ -24,11 +24,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder if urlparse(folder).scheme else f"file://{folder}"
 
 
+#: Bounds of what goes to a Python worker at once, where the session does not set its own.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long: ten thousand rows in a batch, the usual setting, would be far too much."""
+    own = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in own:
+            spark.conf.set(key, value)
+
+
 class Work:
-    """One run's tables and files, all below one new subfolder of the shared folder."""
+    """One run's tables and files, all below one new subfolder of the shared folder.
+
+    Results are lazy and read these tables, so they stay until ``drop``, or until ``drop_since`` after
+    a result has been written elsewhere.
+    """
+
+    made: list[Work] = []
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        bound_batches(spark)
+        self.made.append(self)
         self.folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -43,6 +66,13 @@ class Work:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_since(mark: int) -> None:
+    """Delete what runs have written since ``len(Work.made)`` was ``mark``."""
+    for work in Work.made[mark:]:
+        work.drop()
+    del Work.made[mark:]
+
+
 def whole_text(column: str | Column) -> Column:
     """The text itself; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -9,6 +9,8 @@ the documents' ids and numbers of tokens.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 from collections.abc import Iterator
 
@@ -19,16 +21,19 @@ from pyspark.sql import functions as F
 
 from latecast.llm import files, pieces, ranges
 from latecast.llm.pieces import APOSTROPHE, DIGIT, LETTER, MARK, OTHER, SPACE
-from latecast.llm.shared import Work, whole_text
+from latecast.llm.shared import Work, shared_folder, whole_text
 
 MAGIC = b"S8BTOKEN"
 BLOCK = 4096
 #: By selector: bits of an id; a word holds 60 // bits of them.
 BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30])
 HELD = 60 // BITS
-RANGE_BYTES = 16 << 20
+_LIMITS = (1 << BITS[1:]).astype(np.uint64)
+_NEEDS = np.append(np.arange(1, len(BITS)), len(BITS)).astype(np.int8)
+RANGE_BYTES = 32 << 20
 FILE_WORDS = 16 << 20
 FLUSH = 256 * BLOCK
+NO_ID = -(1 << 63)  # a null id in a file
 MANIFEST = "shard int, part int, path string, docs long, ids long, bytes long"
 
 _ANY = (SPACE, OTHER, LETTER, DIGIT, MARK, APOSTROPHE)
@@ -51,15 +56,14 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError("an id needs more than 60 bits")
     ends = np.minimum((np.arange(size) // BLOCK + 1) * BLOCK, size)
     choice = np.zeros(size, np.int8)
-    open_ = np.ones(size, bool)
-    for selector in range(1, len(BITS)):  # the most ids first
-        if not open_.any():
-            break
-        over = np.concatenate([[0], np.cumsum(ids >> np.uint64(BITS[selector]) != 0)])
-        some = np.flatnonzero(open_)
+    needs = _NEEDS[np.searchsorted(_LIMITS, ids, side="right")]  # each id's first selector that holds it
+    open_ = np.arange(size)
+    for selector in range(int(needs.min()), len(BITS)):  # the most ids first
+        over = np.concatenate([[0], np.cumsum(needs > selector, dtype=np.int32)])
+        some = open_[needs[open_] <= selector]
         fits = over[np.minimum(some + HELD[selector], ends[some])] == over[some]
         choice[some[fits]] = selector
-        open_[some[fits]] = False
+        open_ = open_[choice[open_] == 0]
     follow = np.minimum(np.arange(size) + HELD[choice], ends)
     at = np.arange(0, size, BLOCK)
     limit = ends[at]
@@ -153,16 +157,52 @@ class Writer:
         return self.final, len(docs), self.ids, 8 * self.words + len(footer) + 24
 
 
+def _letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as they are, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def _plain_words(vocabulary: str) -> bool:
+    """Does the vocabulary take a word of Latin-1 letters, in lower case, as one byte-level word?"""
+    file = json.loads(vocabulary)
+    steps = [x["type"] for x in (file["normalizer"] or {}).get("normalizers", [])]
+    cuts = [x["type"] for x in (file["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    return steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"]
+
+
 def _encoder(vocabulary: str):
+    """Pieces to ids by the library: words of Latin-1 letters go to its model at once, all other
+    pieces through its whole chain."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(vocabulary)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def run(texts: list[bytes]) -> list[list[int]]:
-        found = tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
-        return [x.ids for x in found]
+    model, plain = tokenizer.model, _plain_words(vocabulary)
+    letters = {chr(b): c for b, c in _letters().items()}
+    table = str.maketrans(letters)
+
+    def word(text: str) -> list[int]:
+        shown = text if text.isascii() else text.lower().encode().decode("latin-1").translate(table)
+        return [x.id for x in model.tokenize(shown)]
+
+    def run(pieces_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [x.decode() for x in pieces_]
+        found: list = [None] * len(texts)
+        rest = []
+        for i, text in enumerate(texts):
+            if plain and text.isalpha() and max(text) < "\u0100":
+                found[i] = word(text.lower())
+            else:
+                rest.append(i)
+        for i, x in zip(rest, tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False),
+                        strict=True):
+            found[i] = x.ids
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum()))
+        return flat, lengths
 
     return run
 
@@ -177,7 +217,7 @@ def _write(vocabulary: str, folder: str, end_id: int):
 
         for batch in batches:
             buffer, offsets = pieces.text_buffer(batch.column(1))
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            docs = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             if batch.num_rows:
                 shard = batch.column(2)[0].as_py()
             for first, last in pieces.slices(batch, offsets):
@@ -215,10 +255,9 @@ def write_tokens(
     with open(vocabulary, encoding="utf-8") as f:
         data = f.read()
     work = Work(docs.sparkSession, "tokens")
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("id"), whole_text(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     rows = ranges.by_range(rows, "id", F.octet_length("text") + 8, range_bytes)
-    rows = rows.sortWithinPartitions("id", "text").select("id", "text", "__range")
+    rows = rows.sortWithinPartitions(F.col("id").asc_nulls_first(), "text").select("id", "text", "__range")
     made = rows.mapInArrow(_write(data, f"{work.folder}/files", end_id), MANIFEST)
     return ranges.running_start(work.table(made, "manifest"), ["shard", "part"], "ids", "start")
 
@@ -276,9 +315,7 @@ def _read(folder: str):
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Documents from their files: id, start, n_tokens, ids (unsigned 32-bit, little-endian)."""
-    rows = manifest.select("path", "start").repartition(F.col("path"))
-    folder = manifest.sparkSession.conf.get("spark.checkpoint.dir")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    out = rows.mapInArrow(_read(folder), "id long, start long, n_tokens long, ids binary")
-    id_ = F.when(F.col("id") != F.lit(-(1 << 63)), F.col("id"))
+    rows = ranges.by_file(manifest).select("path", "start")
+    out = rows.mapInArrow(_read(shared_folder(manifest.sparkSession)), "id long, start long, n_tokens long, ids binary")
+    id_ = F.when(F.col("id") != F.lit(NO_ID), F.col("id"))
     return out.select(id_.alias("id"), "start", "n_tokens", "ids")

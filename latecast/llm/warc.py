@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latecast.llm import files, ranges
-from latecast.llm.shared import Work, whole_text
+from latecast.llm.shared import Work, shared_folder, whole_text
 
 LEAST_BYTES = 100
 RANGE_BYTES = 16 << 20
@@ -237,7 +237,5 @@ def _read(folder: str, payloads: bool):
 
 def read_warc(manifest: DataFrame, *, payloads: bool = True) -> DataFrame:
     """The records of the manifest's files, checked against their digests; a revisit has no payload."""
-    rows = manifest.select("path").repartition(F.col("path"))
-    folder = manifest.sparkSession.conf.get("spark.checkpoint.dir")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    return rows.mapInArrow(_read(folder, payloads), RECORDS)
+    rows = ranges.by_file(manifest).select("path")
+    return rows.mapInArrow(_read(shared_folder(manifest.sparkSession), payloads), RECORDS)
