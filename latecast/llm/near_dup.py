@@ -3,9 +3,15 @@
 A document's set holds its distinct shingles of five words. Equal sets are one class, which one member
 stands for from then on. A class has ``REGISTERS`` registers, truncated minima on an exponential scale;
 bands of equal registers are buckets. In a bucket every class is compared with one centre, not with
-every other: pairs whose jointly estimated similarity is high enough are checked on full sets. Buckets
-that still hold several components after that are gone through again with more and more of their
-minority members as centres, until no pair of different components is left unseen.
+every other: pairs whose jointly estimated similarity is high enough are checked on full sets.
+
+Buckets that still hold several components after that are gone through again. In buckets of bounded size
+one matrix product counts what all members share, and only links between components leave the task. In
+larger ones a member with many
+shingles that are rare in the bucket must share some of them with whatever it is linked with, so its
+pairs are found by these. Of the others, the members with the fewest shingles of their own are the next
+centres: one first, then those outside the largest component, until no pair of different components is
+left unseen; own shingles, which no other member has, bound the similarity of a pair beforehand.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latecast.llm import bloom, pieces
@@ -29,9 +35,12 @@ RATE = 20.0
 TOP = 65534
 #: Estimates err by 0.045 (one standard deviation) at 0.85: pairs below this are no links.
 LEAST_ESTIMATE = 0.60
-SMALL_BUCKET = 64
-GROWTH = 8  # times as many centres in each further round
+GROWTH = 8  # times as many centres in each further round,
+AT_ONCE = 256  # or so many, if no more are left
 SALT_ROWS = 256
+PART_ITEMS = 1 << 20  # shingles that one task counts at a time
+EXACT_MEMBERS = 2048  # buckets of so many members, and no more shingles than that, are counted exactly
+RARE = 3  # a shingle that so many members of a bucket have at most is rare there
 
 _RANDOM = np.random.default_rng(20240501)
 _FACTORS = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,6 +181,137 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _missing(n: np.ndarray, least: np.ndarray, threshold: int) -> np.ndarray:
+    """How many of its ``n`` shingles a set can lack in a linked set of a bucket whose smallest set has
+    ``least``."""
+    other = np.maximum(least, np.ceil(threshold * n / 100 - 1e-9))
+    return np.floor(n - threshold / (100 + threshold) * (n + other) + 1e-9).astype(np.int64)
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of (key, node, n, least, parts, label, items) cut into parts by shingle hash, one row a part."""
+    names = ["key", "node", "n", "least", "parts", "label", "items"]
+    for batch in batches:
+        out = []
+        for key, node, n, least, parts, label, data in zip(
+            *(batch.column(c).to_pylist() for c in names), strict=True
+        ):
+            if parts < 2:
+                out.append((key, 0, node, n, least, parts, label, data))
+                continue
+            found = np.frombuffer(data, np.uint64)
+            part = (found >> np.uint64(32)) % np.uint64(parts)
+            out += [
+                (key, p, node, n, least, parts, label, found[part == p].tobytes()) for p in range(parts)
+            ]
+        rows = list(zip(*out, strict=True)) or [[]] * 8
+        kinds = [pa.int64()] * 7 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["key", "part", *names[1:]]
+        )
+
+
+def rare_items(
+    sets: list[np.ndarray], n: np.ndarray, least: np.ndarray, threshold: int | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(own, rare, a, b, shared) of the sets of one bucket.
+
+    ``own`` counts items that no other set has, ``rare`` those that ``RARE`` sets have at most; a and b
+    are pairs of places that share so many rare items. With a threshold, pairs that share too few of
+    them for a link of a set with more rare items than it can lack are left out.
+    """
+    size = len(sets)
+    owner = np.repeat(np.arange(size), [len(x) for x in sets])
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    times = counts[inverse]
+    own = np.bincount(owner, times == 1, minlength=size).astype(np.int64)
+    rare = np.bincount(owner, times <= RARE, minlength=size).astype(np.int64)
+    found = []
+    for many in range(2, RARE + 1):
+        some = np.flatnonzero(times == many)
+        holders = owner[some[np.argsort(inverse[some], kind="stable")]].reshape(-1, many)
+        found += [holders[:, i] * size + holders[:, j] for i in range(many) for j in range(i + 1, many)]
+    pairs, shared = np.unique(np.concatenate(found), return_counts=True)
+    a, b = pairs // size, pairs % size
+    if threshold is not None:
+        lacks = _missing(n, least, threshold)
+        bound = np.where(rare > lacks, rare - lacks, 0)
+        keep = (shared >= bound[a]) & (shared >= bound[b]) & ((bound[a] > 0) | (bound[b] > 0))
+        a, b, shared = a[keep], b[keep], shared[keep]
+    return own, rare, a, b, shared
+
+
+def exact_links(
+    sets: list[np.ndarray], labels: np.ndarray, threshold: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of sets of different labels that are similar enough, one pair for two labels."""
+    size = len(sets)
+    n = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(size), n)
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.zeros((size, size), np.float32)
+    place = np.cumsum(counts > 1) - 1  # items of one set only are shared with nobody
+    some = counts[inverse] > 1
+    rows, columns = owner[some], place[inverse[some]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for low in range(0, int(place[-1]) + 1, 4096):
+        a, b = np.searchsorted(columns, [low, low + 4096])
+        block = np.zeros((size, 4096), np.float32)
+        block[rows[a:b], columns[a:b] - low] = 1
+        common += block @ block.T
+    both = common.astype(np.int64)
+    either = n[:, None] + n[None, :] - both
+    a, b = np.nonzero(np.triu(100 * both >= threshold * either, 1) & (labels[:, None] != labels[None, :]))
+    low, high = np.minimum(labels[a], labels[b]), np.maximum(labels[a], labels[b])
+    _, first = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True)
+    return a[first], b[first]
+
+
+def _rare_items(threshold: int):
+    """Rows sorted by (key, part): per member (b null) its own and rare items, and pairs by rare ones.
+
+    Of buckets that are counted exactly, links alone, marked by -1 own items.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            nodes = np.array([r[0] for r in rows])
+            if rows[0][3] == 0:
+                a, b = exact_links([r[5] for r in rows], np.array([r[4] for r in rows]), threshold)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.int64()) for x in (
+                        np.full(len(a), group[0]), nodes[a], nodes[b], np.full(len(a), -1), np.zeros(len(a), int)
+                    )], ["key", "a", "b", "own", "shared"])
+            sizes, least = (np.array([r[i] for r in rows], np.float64) for i in (1, 2))
+            whole = threshold if rows[0][3] == 1 else None  # parts are added up before they are judged
+            own, rare, a, b, shared = rare_items([r[5] for r in rows], sizes, least, whole)
+            members = len(rows)
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(members + len(a), group[0])),
+                pa.array(np.concatenate([nodes, nodes[a]])),
+                pa.array([None] * members + nodes[b].tolist(), pa.int64()),
+                pa.array(np.concatenate([own, np.zeros(len(a), np.int64)])),
+                pa.array(np.concatenate([rare, shared]).astype(np.int64)),
+            ], ["key", "a", "b", "own", "shared"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (
+                "key", "part", "node", "n", "least", "parts", "label", "items")]
+            for key, part, node, n, least, parts, label, items in zip(*columns, strict=True):
+                if (key, part) != group:
+                    if group is not None:
+                        yield done()
+                    group, rows = (key, part), []
+                rows.append((node, n, least, parts, label, np.frombuffer(items, np.uint64)))
+        if group is not None:
+            yield done()
+
+    return run
+
+
 def _likely(a: pa.Array, b: pa.Array, size_a: pa.Array, size_b: pa.Array) -> pa.Array:
     read = lambda x: np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(-1, REGISTERS)
     sizes = [x.to_numpy(zero_copy_only=False).astype(float) for x in (size_a, size_b)]
@@ -198,7 +338,8 @@ class Links:
         self.edges = None
 
     def buckets(self) -> None:
-        """Members of the buckets that hold several classes, and each bucket's first centre."""
+        """Members of the buckets that hold several classes, each bucket's first centre, and the sets
+        of all these classes, made from the texts that a filter of their ids names."""
         bands = self.classes.select("node", "registers").mapInArrow(_bands, "key long, node long")
         bands = self.work.table(bands, "bands")
         shared = self.work.table(
@@ -207,6 +348,18 @@ class Links:
         )
         self.members = self.work.table(bands.join(shared, "key"), "members")
         self.work.drop("bands")
+        named = self.work.table(
+            self.members.select("node").distinct().join(self.classes, "node").select("node", "check", "id"),
+            "named",
+        )
+        key = F.xxhash64("id")
+        wanted = bloom.named_by(named.select(key.alias("h")))
+        sets = self.docs.withColumn("h", key).where(wanted("h")).select("text").mapInArrow(
+            _sets, "node long, check long, items binary")
+        self.sets = self.work.table(
+            sets.join(named.select("node", "check"), ["node", "check"], "left_semi")
+            .dropDuplicates(["node", "check"]).select("node", "items"), "sets",
+        )
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and estimated similarity allow a link."""
@@ -224,17 +377,7 @@ class Links:
         """Links among written pairs, by the full sets of the classes that they name."""
         self.rounds += 1
         tag = str(self.rounds)
-        named = pairs.select(F.col("a").alias("node")).unionByName(
-            pairs.select(F.col("b").alias("node"))).distinct()
-        named = self.work.table(named.join(self.classes, "node").select("node", "check", "id"), f"named-{tag}")
-        key = F.xxhash64("id")
-        wanted = bloom.named_by(named.select(key.alias("h")))
-        sets = self.docs.withColumn("h", key).where(wanted("h")).select("text").mapInArrow(
-            _sets, "node long, check long, items binary")
-        sets = self.work.table(
-            sets.join(named.select("node", "check"), ["node", "check"], "left_semi")
-            .dropDuplicates(["node", "check"]).select("node", "items"), f"sets-{tag}",
-        )
+        sets = self.sets
         salts = F.ceil(F.col("uses") / SALT_ROWS)
         uses = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("uses"))
         salted = pairs.join(uses, "a").withColumn("salt", F.pmod(F.xxhash64("b"), salts))
@@ -252,7 +395,6 @@ class Links:
             checked.where(100 * F.col("both") >= self.threshold * F.col("either")).select("a", "b"),
             f"links-{tag}",
         )
-        self.work.drop(f"sets-{tag}")
         return linked
 
     def components(self) -> DataFrame:
@@ -282,30 +424,92 @@ class Links:
             if not moved.where("changed").limit(1).count():
                 return labels
 
-    def unresolved(self, labels: DataFrame) -> tuple[DataFrame, int]:
-        """Members of buckets with several components, and the most members outside the largest one."""
-        tagged = self.members.where("size > 2").select("key", "node", "size").join(
-            labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        tagged = self.work.table(tagged, f"tagged-{self.rounds}")
-        parts = tagged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("part"))
+    def rare_shingles(self, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(members, pairs, links) of the buckets with several components.
+
+        Buckets of bounded size are counted exactly: their links between components are there at once.
+        In larger ones a member with more rare shingles than a linked set can lack shares some with it: its pairs are
+        found by these alone. The others are the members (key, node, n, own, left); ``left`` is how many
+        shingles a link of theirs can share at most.
+        """
+        rows = self.members.where("size > 2").select("key", "node").join(labels, "node", "left")
+        rows = rows.withColumn("label", F.coalesce("label", "node"))
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        mixed = self.work.table(mixed.where("low <> high").select("key"), "mixed")
+        sized = self.work.table(
+            rows.select("key", "node", "label").join(mixed, "key").join(
+                self.classes.select("node", "n"), "node"),
+            "sized",
+        )
+        parts = self.work.table(
+            sized.groupBy("key").agg(
+                F.when((F.count(F.lit(1)) <= EXACT_MEMBERS) & (F.sum("n") <= PART_ITEMS), 0)
+                .otherwise(F.ceil(F.sum("n") / PART_ITEMS)).cast("long").alias("parts"),
+                F.min("n").alias("least")),
+            "parts",
+        )
+        cut = sized.join(parts, "key").join(self.sets, "node").select(
+            "key", "node", "n", "least", "parts", "label", "items")
+        counted = (
+            cut.mapInArrow(
+                _parted, "key long, part long, node long, n long, least long, parts long, label long, "
+                "items binary")
+            .repartition("key", "part").sortWithinPartitions("key", "part")
+            .mapInArrow(_rare_items(self.threshold), "key long, a long, b long, own long, shared long")
+        )
+        counted = self.work.table(
+            counted.groupBy("key", "a", "b").agg(F.sum("own").alias("own"), F.sum("shared").alias("shared")),
+            "counted",
+        )
+        t = self.threshold
+        other = F.greatest(F.col("least").cast("double"), F.ceil(F.col("n") * (t / 100) - 1e-9))
+        lacks = F.floor(F.col("n") - (F.col("n") + other) * (t / (100 + t)) + 1e-9)
+        members = counted.where("b is null").select("key", F.col("a").alias("node"), "own", "shared").join(
+            sized, ["key", "node"]).join(parts.select("key", "least"), "key")
+        members = self.work.table(
+            members.withColumn("bound", F.greatest(F.lit(0).cast("long"), F.col("shared") - lacks)), "judged")
+        links = counted.where("own < 0").select("a", "b").distinct()
+        bound = lambda x: members.select("key", F.col("node").alias(x), F.col("bound").alias(f"bound_{x}"))
+        pairs = counted.where("b is not null and own >= 0").join(bound("a"), ["key", "a"]).join(bound("b"), ["key", "b"])
+        pairs = pairs.where(
+            "shared >= bound_a and shared >= bound_b and (bound_a > 0 or bound_b > 0)"
+        ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        left = F.col("n") - F.col("own")
+        common = members.where("bound = 0").withColumn("left", left).where(
+            100 * F.col("left") >= t * (F.col("n") + F.greatest("left", "least") - F.col("left"))
+        ).select("key", "node", "n", "own", "left")
+        return (self.work.table(common, "common"), self.work.table(pairs, "rare-pairs"),
+                self.work.table(links, "exact-links"))
+
+    def further_pairs(self, candidates: DataFrame, labels: DataFrame, centres: int) -> tuple[DataFrame, int]:
+        """Pairs of different components within buckets, and the most members outside the largest one.
+
+        With one centre it is the member with the fewest own shingles; with more they are those with the
+        fewest outside the bucket's largest component.
+        """
+        rows = candidates.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rows = self.work.table(rows, f"tagged-{self.rounds}-{centres}")
+        parts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("part"))
         largest = parts.groupBy("key").agg(
-            F.max(F.struct("part", "label")).alias("top"), F.sum("part").alias("size"),
-        ).withColumn("others", F.col("size") - F.col("top.part")).where("others > 0")
+            F.max(F.struct("part", "label")).alias("top"), F.sum("part").alias("all")
+        ).withColumn("others", F.col("all") - F.col("top.part")).where("others > 0")
         open_ = self.work.table(
-            largest.select("key", F.col("top.label").alias("main"), "others"), f"open-{self.rounds}"
+            largest.select("key", F.col("top.label").alias("main"), "others"), f"open-{self.rounds}-{centres}"
         )
-        most = open_.agg(F.max("others")).first()[0] or 0
-        return tagged.join(open_, "key"), int(most)
-
-    def further_pairs(self, rows: DataFrame, centres: int) -> DataFrame:
-        """Pairs of different components: some minority members of each bucket against all others."""
-        share = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 32)) / float(1 << 32)
-        chosen = rows.where("label <> main").where(
-            (F.col("size") <= SMALL_BUCKET) | (share * F.col("others") < centres)
-        ).select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        met = rows.select("key", F.col("node").alias("b"), "label").join(chosen, "key")
-        met = met.where("label <> label_a")
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        most = int(open_.agg(F.max("others")).first()[0] or 0)
+        rows = rows.join(open_, "key")
+        order = Window.partitionBy("key").orderBy("own", "node")
+        chosen = (rows if centres == 1 else rows.where("label <> main")).withColumn(
+            "place", F.row_number().over(order)).where(F.col("place") <= centres)
+        centre = chosen.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"),
+                               F.col("n").alias("n_a"), F.col("left").alias("left_a"))
+        common = F.least("left", "left_a")
+        met = rows.join(centre, "key").where(
+            (F.col("label") != F.col("label_a"))
+            & (100 * common >= self.threshold * (F.col("n") + F.col("n_a") - common))
+        )
+        pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        return pairs.distinct(), most
 
 
 def near_groups(
@@ -328,24 +532,30 @@ def near_groups(
     done = work.table(links.likely(first), "pairs-0")
     links.edges = links.verified(done)
     labels = links.components()
-    centres = GROWTH
+    candidates, by_rare, exact = links.rare_shingles(labels)
+    if exact.limit(1).count():
+        links.rounds += 1
+        links.edges = links.edges.unionByName(exact)
+        labels = links.components()
+    centres, first_round = 1, True
     while True:
-        tagged, most = links.unresolved(labels)
-        if not most:
+        pairs, most = links.further_pairs(candidates, labels, centres)
+        if first_round:
+            pairs = pairs.unionByName(by_rare).distinct()
+        elif not most:
             break
+        first_round = False
         known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = links.further_pairs(tagged, centres).join(known, ["a", "b"], "left_anti")
-        fresh = work.table(links.likely(fresh), f"pairs-{links.rounds}")
-        some = fresh.limit(1).count()
-        if some:
+        fresh = work.table(
+            links.likely(pairs.join(known, ["a", "b"], "left_anti")), f"pairs-{links.rounds}-{centres}"
+        )
+        if fresh.limit(1).count():
             done = done.unionByName(fresh)
             links.edges = links.edges.unionByName(links.verified(fresh))
             labels = links.components()
-        elif centres >= most:
+        if most <= centres > 1 or not most:  # every pair of different components has been seen
             break
-        else:
-            links.rounds += 1
-        centres *= GROWTH
+        centres = max(centres * GROWTH, min(most, AT_ONCE))
     named = links.classes.select("node", "check", "n", "id").join(labels, "node", "left")
     group = F.coalesce("label", "node")
     smallest = named.withColumn("label", group).groupBy("label").agg(F.min("id").alias("component"))

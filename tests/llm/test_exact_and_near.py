@@ -81,9 +81,12 @@ def test_near_groups(spark):
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in got.collect())
 
 
-@pytest.mark.parametrize("edits", [8, 26])
-def test_near_groups_of_many_edited_copies(spark, edits):
-    """One large group whose members differ from each other: chains of links must not break."""
+@pytest.mark.parametrize("edits,exact,part", [(8, 2048, 1 << 20), (26, 2048, 1 << 20), (26, 0, 1 << 20), (26, 0, 4000)])
+def test_near_groups_of_many_edited_copies(spark, monkeypatch, edits, exact, part):
+    """One large group whose members differ from each other: chains of links must not break, whether
+    its bucket is counted exactly, goes by rare shingles, or is cut into parts."""
+    monkeypatch.setattr(near_dup, "EXACT_MEMBERS", exact)
+    monkeypatch.setattr(near_dup, "PART_ITEMS", part)
     rng = random.Random(edits)
     base = [f"w{rng.randrange(10**6)}" for _ in range(240)]
     rows = []
