@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latecast.llm import pieces
-from latecast.llm.shared import whole_text
+from latecast.llm.shared import bound_batches, whole_text
 
 #: Rows the scorer is fitted on, about: rows are drawn by a hash of their id.
 FIT_ROWS = 4096
@@ -254,6 +254,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     The driver gets the pattern counts (3 ** heuristics rows at most) and the sample's hashed features
     (``BUCKETS`` numbers a row at most).
     """
+    bound_batches(docs.sparkSession)
     vote = F.arrow_udf(lambda column: votes(column), "long")
     counted = docs.select(vote(whole_text(text_col)).alias("code")).groupBy("code").count().collect()
     codes = np.array(sorted((r["code"], r["count"]) for r in counted), np.int64).reshape(-1, 2)
@@ -284,6 +285,7 @@ def judged(docs: DataFrame, scorer: Scorer, *, text_col: str = "text", score_col
     Null and empty texts are judged by the fitted bias, which stands for the average document. Columns
     named like the two that are added are replaced; repeated rows get the same score.
     """
+    bound_batches(docs.sparkSession)
     weights, bias = scorer.weights, scorer.bias
     score = F.arrow_udf(lambda column: scores(column, weights, bias), "double")
     return docs.withColumn(score_col, score(whole_text(text_col))).withColumn(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latecast.llm import pieces
-from latecast.llm.shared import whole_text
+from latecast.llm.shared import bound_batches, whole_text
 
 #: Fixed patterns and the least lengths of what they find.
 ASSIGN = re.compile(
@@ -36,7 +36,7 @@ BUCKETS = 1 << 15
 STEPS = 60
 #: What a secret must be better than outside by, so that few clean tokens are tagged.
 CAUTION = 1.0
-SECTION = 1 << 22
+SECTION = 1 << 21
 OUT, BEGIN, INSIDE = range(3)
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 SIZES = np.array([2, 3, 6, 10, 16, 20, 24, 40])
@@ -314,6 +314,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           fit_rows: int = FIT_ROWS, fit_windows: int = FIT_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and moves of the field, fitted on at most ``fit_windows`` windows from about ``fit_rows``
     rows: all with secrets first, then others, both in the order of the id's hash."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.xxhash64(F.col(id_col), F.lit("crf")).alias("key"), whole_text(text_col).alias("text"))
     total = rows.count()
     if total > fit_rows:
@@ -419,6 +420,7 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: str
     them whole.
     """
     weights, moves = model
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text_col, spans_col)]
     rows = docs.select(*kept, whole_text(text_col).alias(spans_col))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])

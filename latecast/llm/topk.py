@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latecast.llm.shared import bound_batches
+
 RUN = 4096
 QUERY_BLOCK = 1 << 11
 CANDIDATE_BLOCK = 1 << 17
@@ -168,6 +170,7 @@ def top_k(
     Rows that repeat an id are candidates each, and equal queries are answered once. Empty tables give
     no rows. Scores beyond 64 bits raise an error.
     """
+    bound_batches(vectors.sparkSession)
     rows = quantised(vectors, id_col, vector_col, scale)
     asked = quantised(queries, id_col, vector_col, scale).distinct()
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
