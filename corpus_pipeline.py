@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latecast.llm import byte_bpe, exact_dedup, mixing, near_dup, quality
-from latecast.llm.shared import Work, documents
+from latecast.llm.shared import Work, documents, drop_since
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "pipeline")
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
+        mark = len(Work.made)
         docs = work.table(stage(spark, docs, sf_dir), f"stage-{i}")
+        drop_since(mark)
         if i:
             work.drop(f"stage-{i - 1}")
     return docs
