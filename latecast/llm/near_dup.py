@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latecast.llm import bloom, pieces
-from latecast.llm.shared import Work, whole_text
+from latecast.llm.shared import Work, rows_in_batch, whole_text
 
 SHINGLE = 5
 THRESHOLD = 85  # per cent
@@ -38,6 +38,7 @@ LEAST_ESTIMATE = 0.60
 GROWTH = 8  # times as many centres in each further round,
 AT_ONCE = 256  # or so many, if no more are left
 SALT_ROWS = 256
+SET_ROWS = 32  # sets of very long texts may follow each other
 PART_ITEMS = 1 << 20  # shingles that one task counts at a time
 EXACT_MEMBERS = 2048  # buckets of so many members, and no more shingles than that, are counted exactly
 RARE = 3  # a shingle that so many members of a bucket have at most is rare there
@@ -356,10 +357,11 @@ class Links:
         wanted = bloom.named_by(named.select(key.alias("h")))
         sets = self.docs.withColumn("h", key).where(wanted("h")).select("text").mapInArrow(
             _sets, "node long, check long, items binary")
-        self.sets = self.work.table(
-            sets.join(named.select("node", "check"), ["node", "check"], "left_semi")
-            .dropDuplicates(["node", "check"]).select("node", "items"), "sets",
-        )
+        with rows_in_batch(self.spark, SET_ROWS):
+            self.sets = self.work.table(
+                sets.join(named.select("node", "check"), ["node", "check"], "left_semi")
+                .dropDuplicates(["node", "check"]).select("node", "items"), "sets",
+            )
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and estimated similarity allow a link."""
@@ -391,10 +393,11 @@ class Links:
         checked = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(
             _overlaps, "a long, b long, both long, either long"
         )
-        linked = self.work.table(
-            checked.where(100 * F.col("both") >= self.threshold * F.col("either")).select("a", "b"),
-            f"links-{tag}",
-        )
+        with rows_in_batch(self.spark, SET_ROWS):
+            linked = self.work.table(
+                checked.where(100 * F.col("both") >= self.threshold * F.col("either")).select("a", "b"),
+                f"links-{tag}",
+            )
         return linked
 
     def components(self) -> DataFrame:
@@ -457,10 +460,11 @@ class Links:
             .repartition("key", "part").sortWithinPartitions("key", "part")
             .mapInArrow(_rare_items(self.threshold), "key long, a long, b long, own long, shared long")
         )
-        counted = self.work.table(
-            counted.groupBy("key", "a", "b").agg(F.sum("own").alias("own"), F.sum("shared").alias("shared")),
-            "counted",
-        )
+        with rows_in_batch(self.spark, SET_ROWS):
+            counted = self.work.table(
+                counted.groupBy("key", "a", "b").agg(
+                    F.sum("own").alias("own"), F.sum("shared").alias("shared")), "counted",
+            )
         t = self.threshold
         other = F.greatest(F.col("least").cast("double"), F.ceil(F.col("n") * (t / 100) - 1e-9))
         lacks = F.floor(F.col("n") - (F.col("n") + other) * (t / (100 + t)) + 1e-9)

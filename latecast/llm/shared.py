@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,18 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+@contextmanager
+def rows_in_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Fewer rows in a batch while tables of large rows are written."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Work:
     """One run's tables and files, all below one new subfolder of the shared folder.
 
