@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from latecast.llm import byte_bpe, exact_dedup, mixing, near_dup, quality
 from latecast.llm.shared import Work, documents, drop_since
 
+NEAR_THRESHOLD = 80  # per cent of shared shingles; 85 is the contract of op5 only
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -23,7 +25,7 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return near_dup.without_near_copies(docs).select(*docs.columns)
+    return near_dup.without_near_copies(docs, threshold=NEAR_THRESHOLD).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

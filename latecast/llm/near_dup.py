@@ -1,8 +1,8 @@
 """Near-duplicate documents by SetSketch registers, likelihood estimates and exact checks.
 
 A document's set holds its distinct shingles of five words. Equal sets are one class, which one member
-stands for from then on. A class has ``REGISTERS`` registers, truncated minima on an exponential scale;
-bands of equal registers are buckets. In a bucket every class is compared with one centre, not with
+stands for from then on. A class has registers, truncated minima on an exponential scale, as many as the
+threshold asks for; bands of equal registers are buckets. In a bucket every class is compared with one centre, not with
 every other: pairs whose jointly estimated similarity is high enough are checked on full sets.
 
 Buckets that still hold several components after that are gone through again. In buckets of bounded size
@@ -16,6 +16,7 @@ left unseen; own shingles, which no other member has, bound the similarity of a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,15 @@ from latecast.llm.shared import Work, rows_in_batch, whole_text
 
 SHINGLE = 5
 THRESHOLD = 85  # per cent
-REGISTERS = 64
+REGISTERS = 64  # at 85 per cent; ``bands_of`` says how many bands other thresholds take
 BAND = 4
+MISSED = 1 / 130_000  # pairs at the threshold that share no band, at most
 BASE = 1.001
 RATE = 20.0
 TOP = 65534
-#: Estimates err by 0.045 (one standard deviation) at 0.85: pairs below this are no links.
-LEAST_ESTIMATE = 0.60
+#: Pairs estimated so many standard deviations below the threshold are no links: 0.60 at 0.85, where
+#: one deviation is 0.045, and 0.56 at 0.80.
+SURE = 5.65
 GROWTH = 8  # times as many centres in each further round,
 AT_ONCE = 256  # or so many, if no more are left
 SALT_ROWS = 256
@@ -43,12 +46,31 @@ PART_ITEMS = 1 << 20  # shingles that one task counts at a time
 EXACT_MEMBERS = 2048  # buckets of so many members, and no more shingles than that, are counted exactly
 RARE = 3  # a shingle that so many members of a bucket have at most is rare there
 
-_RANDOM = np.random.default_rng(20240501)
-_FACTORS = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bands_of(threshold: int) -> int:
+    """How many bands a pair at the threshold (per cent) needs: 16 at 85, 23 at 80."""
+    chance = min(threshold / 100, 0.99) ** BAND
+    return math.ceil(math.log(MISSED) / math.log1p(-chance))
+
+
+def least_estimate(threshold: int, size: int) -> float:
+    """Pairs whose similarity is estimated lower from ``size`` registers are no links."""
+    share = threshold / 100
+    return share - SURE * math.sqrt(share * (1 - share) / size)
+
+
+def hash_family(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of ``size`` registers."""
+    random = np.random.default_rng(20240501)
+    factors = random.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, random.integers(0, 1 << 63, size, dtype=np.uint64)
+
+
+_FAMILY = hash_family(REGISTERS)
+
+
 def shingle_sets(buffer: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
     hashes, texts = [], []
@@ -76,11 +98,12 @@ def shingle_sets(buffer: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray
             yield np.zeros(0, np.uint64)
 
 
-def registers(items: np.ndarray) -> np.ndarray:
+def registers(items: np.ndarray, family: tuple[np.ndarray, np.ndarray] = _FAMILY) -> np.ndarray:
     """Truncated minima: floor(1 - log_b(h)) of the smallest exponential variate h of each register."""
-    low = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
+    factors, shifts = family
+    low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(items), 2048):
-        part = items[i:i + 2048, None] * _FACTORS + _SHIFTS
+        part = items[i:i + 2048, None] * factors + shifts
         np.minimum(low, part.min(axis=0), out=low)
     uniform = (low.astype(np.float64) + 0.5) / 2.0**64
     h = -np.log1p(-np.minimum(uniform, 1 - 1e-16)) / RATE
@@ -119,34 +142,41 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return np.minimum((low + high) / 2, top)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buffer, offsets = pieces.text_buffer(batch.column(1))
-        for first, last in pieces.slices(batch, offsets):
-            sizes, prints, sketches = [], [], []
-            for items in shingle_sets(buffer, offsets[first:last + 1]):
-                sizes.append(len(items))
-                prints.append(fingerprint(items))
-                sketches.append(registers(items).tobytes() if len(items) else b"")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array(sizes, pa.int64()),
-                 pa.array([p[0] for p in prints], pa.int64()),
-                 pa.array([p[1] for p in prints], pa.int64()), pa.array(sketches, pa.binary())],
-                ["id", "n", "node", "check", "registers"],
-            )
+def _sketch(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family = hash_family(size)
+        for batch in batches:
+            buffer, offsets = pieces.text_buffer(batch.column(1))
+            for first, last in pieces.slices(batch, offsets):
+                sizes, prints, sketches = [], [], []
+                for items in shingle_sets(buffer, offsets[first:last + 1]):
+                    sizes.append(len(items))
+                    prints.append(fingerprint(items))
+                    sketches.append(registers(items, family).tobytes() if len(items) else b"")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), pa.array(sizes, pa.int64()),
+                     pa.array([p[0] for p in prints], pa.int64()),
+                     pa.array([p[1] for p in prints], pa.int64()), pa.array(sketches, pa.binary())],
+                    ["id", "n", "node", "check", "registers"],
+                )
+
+    return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(bands: int):
     """Bucket keys of each class, one row a band."""
-    bands = REGISTERS // BAND
-    for batch in batches:
-        nodes = batch.column(0).to_numpy()
-        data = b"".join(batch.column(1).to_pylist())
-        groups = np.frombuffer(data, "<u8").reshape(-1, bands)  # four 16-bit registers each
-        keys = pieces.mixed(groups + (np.arange(bands, dtype=np.uint64) * _STEP)[None, :])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(nodes, bands))], ["key", "node"]
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            data = b"".join(batch.column(1).to_pylist())
+            groups = np.frombuffer(data, "<u8").reshape(-1, bands)  # four 16-bit registers each
+            keys = pieces.mixed(groups + (np.arange(bands, dtype=np.uint64) * _STEP)[None, :])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(nodes, bands))], ["key", "node"]
+            )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,10 +343,13 @@ def _rare_items(threshold: int):
     return run
 
 
-def _likely(a: pa.Array, b: pa.Array, size_a: pa.Array, size_b: pa.Array) -> pa.Array:
-    read = lambda x: np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(-1, REGISTERS)
-    sizes = [x.to_numpy(zero_copy_only=False).astype(float) for x in (size_a, size_b)]
-    return pa.array(estimate(read(a), read(b), *sizes))
+def _likely(size: int):
+    def run(a: pa.Array, b: pa.Array, size_a: pa.Array, size_b: pa.Array) -> pa.Array:
+        read = lambda x: np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(-1, size)
+        sizes = [x.to_numpy(zero_copy_only=False).astype(float) for x in (size_a, size_b)]
+        return pa.array(estimate(read(a), read(b), *sizes))
+
+    return run
 
 
 class Links:
@@ -325,8 +358,10 @@ class Links:
     def __init__(self, docs: DataFrame, work: Work, threshold: int) -> None:
         self.docs, self.work, self.threshold = docs, work, threshold
         self.spark = docs.sparkSession
+        self.bands = bands_of(threshold)
+        self.size = self.bands * BAND
         rows = docs.select("id", "text").mapInArrow(
-            _sketch, "id long, n long, node long, check long, registers binary"
+            _sketch(self.size), "id long, n long, node long, check long, registers binary"
         )
         self.sketches = work.table(rows, "sketches")
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "registers"))
@@ -341,7 +376,7 @@ class Links:
     def buckets(self) -> None:
         """Members of the buckets that hold several classes, each bucket's first centre, and the sets
         of all these classes, made from the texts that a filter of their ids names."""
-        bands = self.classes.select("node", "registers").mapInArrow(_bands, "key long, node long")
+        bands = self.classes.select("node", "registers").mapInArrow(_bands(self.bands), "key long, node long")
         bands = self.work.table(bands, "bands")
         shared = self.work.table(
             bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre"))
@@ -370,9 +405,9 @@ class Links:
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(
             100 * F.least("n_a", "n_b") >= self.threshold * F.greatest("n_a", "n_b")
         )
-        similar = F.arrow_udf(_likely, "double")
+        similar = F.arrow_udf(_likely(self.size), "double")
         return both.withColumn("j", similar("r_a", "r_b", "n_a", "n_b")).where(
-            F.col("j") >= LEAST_ESTIMATE
+            F.col("j") >= least_estimate(self.threshold, self.size)
         ).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -525,7 +560,7 @@ def near_groups(
     equal texts are one class. A null id is nobody's component unless all ids of a component are null;
     such a row is kept only if it is alone without links. No rows give no rows. Other columns are not
     read. Two different sets are taken for equal if two 64-bit sums and their sizes agree, and a pair at
-    the threshold shares no band once in about 140,000 pairs.
+    the threshold shares no band once in more than 130,000 pairs.
     """
     work = Work(docs.sparkSession, "near-dup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
@@ -573,13 +608,15 @@ def near_groups(
                       F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD
+) -> DataFrame:
     """The rows that stay, with their columns: one document of each component and all without links.
 
     Only rows whose id a filter of the dropped ids names shuffle.
     """
     work = Work(docs.sparkSession, "near-copies")
-    groups = near_groups(docs, id_col, text_col)
+    groups = near_groups(docs, id_col, text_col, threshold=threshold)
     dropped = work.table(groups.where("not kept").select(F.col("id").alias("__id")).distinct(), "dropped")
     named = bloom.named_by(dropped.select(F.xxhash64("__id").alias("h")))
     rows = docs.withColumn("__may", named(F.xxhash64(F.col(id_col).cast("long"))))

@@ -134,3 +134,12 @@ def test_registers_merge():
     items = np.random.default_rng(1).integers(0, 1 << 63, 3000, dtype=np.uint64)
     parts = [near_dup.registers(items[i::3]) for i in range(3)]
     assert (np.maximum.reduce(parts) == near_dup.registers(items)).all()
+
+
+def test_bands_and_least_estimate_follow_the_threshold():
+    for threshold in (50, 80, 85, 95):
+        share, bands = threshold / 100, near_dup.bands_of(threshold)
+        assert (1 - share**near_dup.BAND) ** bands <= near_dup.MISSED < (1 - share**near_dup.BAND) ** (bands - 1)
+        size = bands * near_dup.BAND
+        assert share - near_dup.least_estimate(threshold, size) > 5 * (share * (1 - share) / size) ** 0.5
+    assert near_dup.bands_of(near_dup.THRESHOLD) * near_dup.BAND == near_dup.REGISTERS

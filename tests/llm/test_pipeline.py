@@ -1,7 +1,9 @@
+import random
 from pathlib import Path
 
 import cases
 import pytest
+from test_exact_and_near import plain_components
 
 import corpus_pipeline
 from latecast.llm import exact_dedup, mixing, near_dup
@@ -50,3 +52,22 @@ def test_run_equals_its_operators(spark):
     for r in final:
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(cases.word_list(r["text"]))
     assert got == words
+
+
+def test_near_dedup_links_from_four_fifths(spark):
+    """Copies with scattered edits from below 0.80 to above 0.85, held against brute force at 0.80."""
+    rng = random.Random(8)
+    rows, between = [], 0
+    for group in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        copy = list(base)
+        for at in rng.sample(range(200), 2 + group % 4):
+            copy[at] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * group, " ".join(base), "a"), (2 * group + 1, " ".join(copy), "b")]
+        a, b = (cases.shingles(t) for _, t, _ in rows[-2:])
+        between += 80 <= 100 * len(a & b) / len(a | b) < 85
+    assert between > 10
+    want = [i for i, _, component in plain_components(rows, 80) if i == component]
+    assert len(want) < len([i for i, _, component in plain_components(rows, 85) if i == component])
+    out = corpus_pipeline.without_near_copies(spark, cases.frame(spark, rows).select(*COLUMNS), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(want)
