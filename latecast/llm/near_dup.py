@@ -82,7 +82,7 @@ def shingle_sets(buffer: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray
     text = np.concatenate(texts) if texts else np.zeros(0, np.int64)
     limits = np.searchsorted(text, np.arange(len(offsets)))
     rolled = words.copy()
-    for i in range(1, SHINGLE):
+    for i in range(1, min(SHINGLE, len(words))):
         rolled[:len(words) - i] = rolled[:len(words) - i] * _STEP + words[i:]
     rolled = pieces.mixed(rolled)
     for low, high in zip(limits[:-1], limits[1:], strict=True):
@@ -163,6 +163,18 @@ def _sketch(size: int):
     return run
 
 
+def _signs(column: pa.Array) -> pa.Array:
+    """Size and fingerprint of each text's set."""
+    buffer, offsets = pieces.text_buffer(column)
+    sizes, prints = [], []
+    for first, last in pieces.slices(pa.record_batch([column], ["text"]), offsets):
+        for items in shingle_sets(buffer, offsets[first:last + 1]):
+            sizes.append(len(items))
+            prints.append(fingerprint(items))
+    columns = [sizes, [p[0] for p in prints], [p[1] for p in prints]]
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in columns], ["n", "node", "check"])
+
+
 def _bands(bands: int):
     """Bucket keys of each class, one row a band."""
 
@@ -551,18 +563,9 @@ class Links:
         return pairs.distinct(), most
 
 
-def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD
-) -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable over links), kept.
-
-    Texts without words, null ones too, have no shingles and are linked with nothing. Repeated rows and
-    equal texts are one class. A null id is nobody's component unless all ids of a component are null;
-    such a row is kept only if it is alone without links. No rows give no rows. Other columns are not
-    read. Two different sets are taken for equal if two 64-bit sums and their sizes agree, and a pair at
-    the threshold shares no band once in more than 130,000 pairs.
-    """
-    work = Work(docs.sparkSession, "near-dup")
+def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: int, work: Work) -> DataFrame:
+    """Per row: id, n, node and check of its set, component, and ``first``: is its set the one that
+    stands for the component? Without shingles the last two are null."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     links = Links(rows, work, threshold)
     links.buckets()
@@ -597,12 +600,31 @@ def near_groups(
         centres = max(centres * GROWTH, min(most, AT_ONCE))
     named = links.classes.select("node", "check", "n", "id").join(labels, "node", "left")
     group = F.coalesce("label", "node")
-    smallest = named.withColumn("label", group).groupBy("label").agg(F.min("id").alias("component"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "check", "n"))
+    smallest = named.withColumn("label", group).groupBy("label").agg(least.alias("least"))
+    same = [F.col(x) == F.col(f"least.{x}") for x in ("node", "check", "n")]
     classes = work.table(
-        named.withColumn("label", group).join(smallest, "label").select("node", "check", "n", "component"),
+        named.withColumn("label", group).join(smallest, "label").select(
+            "node", "check", "n", F.col("least.id").alias("component"),
+            (same[0] & same[1] & same[2]).alias("first")),
         "components",
     )
-    out = links.sketches.select("id", "n", "node", "check").join(classes, ["node", "check", "n"], "left")
+    return links.sketches.select("id", "n", "node", "check").join(classes, ["node", "check", "n"], "left")
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD
+) -> DataFrame:
+    """Per row: id, n_shingles, component_id (smallest id reachable over links), kept.
+
+    Texts without words, null ones too, have no shingles and are linked with nothing. Repeated rows and
+    equal texts are one class. A null id is nobody's component unless all ids of a component are null;
+    only then, or alone without links, such a row is kept. ``kept`` compares ids alone, so all rows of a
+    component that share its id are kept; ``without_near_copies`` takes one of them. No rows give no
+    rows. Other columns are not read. Two different sets are taken for equal if two 64-bit sums and
+    their sizes agree, and a pair at the threshold shares no band once in more than 130,000 pairs.
+    """
+    out = _linked(docs, id_col, text_col, threshold, Work(docs.sparkSession, "near-dup"))
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
@@ -611,15 +633,32 @@ def near_groups(
 def without_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD
 ) -> DataFrame:
-    """The rows that stay, with their columns: one document of each component and all without links.
+    """The rows that stay, with their columns: one row of each component and all without words.
 
-    Only rows whose id a filter of the dropped ids names shuffle.
+    A component's row has its smallest id; only if all its ids are null, a row without id stays. What
+    goes is named by id and set, so rows that share an id, a null one too, are judged by their own
+    texts; of rows with the same id and set one stays. Only rows whose id a filter of the listed ids
+    names shuffle.
     """
     work = Work(docs.sparkSession, "near-copies")
-    groups = near_groups(docs, id_col, text_col, threshold=threshold)
-    dropped = work.table(groups.where("not kept").select(F.col("id").alias("__id")).distinct(), "dropped")
-    named = bloom.named_by(dropped.select(F.xxhash64("__id").alias("h")))
-    rows = docs.withColumn("__may", named(F.xxhash64(F.col(id_col).cast("long"))))
-    suspects = rows.where("__may").drop("__may")
-    stay = suspects.join(dropped, suspects[id_col].eqNullSafe(dropped["__id"]), "left_anti")
-    return rows.where("not __may").drop("__may").unionByName(stay)
+    key = ["id", "node", "check", "n"]
+    rows = _linked(docs, id_col, text_col, threshold, work).where("n > 0")
+    stays = F.col("first") & F.col("id").eqNullSafe(F.col("component"))
+    listed = work.table(
+        rows.groupBy(*key).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("rows"))
+        .where("not stays or rows > 1").select(*(F.col(x).alias(f"__{x}") for x in key), "stays"), "listed",
+    )
+    named = bloom.named_by(listed.select(F.xxhash64("__id").alias("h")))
+    id_ = F.col(id_col).cast("long")
+    rows = docs.withColumn("__may", named(F.xxhash64(id_)))
+    straight = rows.where("not __may").drop("__may")
+    sign = F.arrow_udf(_signs, "struct<n: long, node: long, check: long>")
+    suspects = rows.where("__may").drop("__may").withColumn("__set", sign(whole_text(text_col)))
+    match = id_.eqNullSafe(F.col("__id"))
+    for x in ("node", "check", "n"):
+        match &= F.col(f"__set.{x}") == F.col(f"__{x}")
+    stay = straight.unionByName(suspects.join(listed, match, "left_anti").drop("__set"))
+    if not listed.where("stays").limit(1).count():
+        return stay
+    again = suspects.join(listed.where("stays"), match, "left_semi")
+    return stay.unionByName(again.dropDuplicates([id_col, "__set"]).drop("__set"))

@@ -113,6 +113,38 @@ def test_near_rows_that_stay(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_near_rows_that_stay_are_judged_by_their_own_text(spark):
+    """Null ids, ids with two texts and repeated rows: one row of every component, all rows without words."""
+    one, two = cases.words(20, 80), " ".join(f"only{i}" for i in range(30))
+    rows = [
+        *cases.TEXTS, (None, cases.words(1, 60), "a"), (None, None, "a"), (None, "", "b"),
+        (10, two, "a"), (None, one, "a"), (None, one + " x", "b"), (None, one, "c"),
+        (30, " ".join(f"again{i}" for i in range(9)), "a"), (30, " ".join(f"again{i}" for i in range(9)), "a"),
+    ]
+    numbered = [(k, t, s) for k, (_, t, s) in enumerate(rows)]
+    component = {k: c for k, _, c in plain_components(numbered)}
+    groups = {}
+    for k, (i, _, _) in enumerate(rows):
+        groups.setdefault(component[k], []).append(i)
+    want = [min((i for i in ids if i is not None), default=None) for ids in groups.values()]
+    kept = near_dup.without_near_copies(cases.frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] for r in kept), key=str) == sorted(want, key=str)
+    texts = {(i, t): component[k] for k, (i, t, _) in enumerate(rows) if cases.shingles(t)}
+    worded = [texts[r["doc_id"], r["text"]] for r in kept if cases.shingles(r["text"])]
+    assert len(worded) == len(set(worded)) and set(worded) == set(texts.values())
+
+
+def test_shingles_of_a_batch_of_few_words():
+    import pyarrow as pa
+
+    from latecast.llm import pieces
+
+    for n in range(7):
+        text = " ".join("abcdefg"[:n])
+        found = list(near_dup.shingle_sets(*pieces.text_buffer(pa.array([text]))))
+        assert [len(x) for x in found] == [len(cases.shingles(text))]
+
+
 def test_estimates_follow_similarity():
     import numpy as np
 
