@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,7 +208,43 @@ def _encoder(vocabulary: str):
     return run
 
 
-def _write(vocabulary: str, folder: str, end_id: int):
+def _special_ids(vocabulary: str) -> dict[bytes, int]:
+    """The strings that the library looks for in a text itself, and their ids."""
+    found = json.loads(vocabulary)["added_tokens"]
+    if any(x[flag] for x in found for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("special strings must stand for themselves in the text as it is")
+    return {x["content"].encode(): x["id"] for x in found}
+
+
+def _encoded(table: pieces.PieceTable, special: dict[bytes, int], buffer: np.ndarray, offsets: np.ndarray
+             ) -> tuple[list[np.ndarray], np.ndarray]:
+    """Ids of all texts and the number of each; special strings part a text and have one id each."""
+    data = memoryview(buffer)
+    pattern = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True))))
+    if not special or not pattern.search(data, int(offsets[0]), int(offsets[-1])):
+        return table.encoded(buffer, offsets)
+    limits, marks, owners = [int(offsets[0])], [], []
+    for text, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for match in pattern.finditer(data, low, high):
+            limits += [match.start(), match.end()]
+            marks += [-1, special[match.group()]]
+            owners += [text, text]
+        limits.append(high)
+        marks.append(-1)
+        owners.append(text)
+    parts, counts = table.encoded(buffer, np.array(limits, np.int64))
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    marks = np.array(marks)
+    ids = ids[np.repeat(marks < 0, counts)]
+    counts[marks >= 0] = 0
+    ids = np.insert(ids, np.cumsum(counts)[marks >= 0], marks[marks >= 0])
+    counts[marks >= 0] = 1
+    return [ids], np.bincount(owners, counts, minlength=len(offsets) - 1).astype(np.int64)
+
+
+def _write(vocabulary: str, folder: str, end_id: int, special_as_text: bool = False):
+    special = {} if special_as_text else _special_ids(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces.PieceTable(_encoder(vocabulary), CUTS, lower=True, skip_space=True)
         writer, shard, part, made = None, 0, 0, []
@@ -223,7 +260,7 @@ def _write(vocabulary: str, folder: str, end_id: int):
             for first, last in pieces.slices(batch, offsets):
                 if writer is None:
                     writer = Writer(folder, f"tokens-{shard:06d}-{part:04d}.s8b")
-                parts, counts = table.encoded(buffer, offsets[first:last + 1])
+                parts, counts = _encoded(table, special, buffer, offsets[first:last + 1])
                 ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 writer.add(docs[first:last], counts + 1, [ids])
@@ -244,12 +281,13 @@ def _write(vocabulary: str, folder: str, end_id: int):
 
 def write_tokens(
     docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 1, range_bytes: int = RANGE_BYTES,
+    end_id: int = 1, range_bytes: int = RANGE_BYTES, special_as_text: bool = False,
 ) -> DataFrame:
     """Write all texts in ascending id order; the manifest: shard, part, path, docs, ids, bytes, start.
 
     ``vocabulary`` is the tokenizer's file, read by the driver. A null or empty text has the end id
-    only. A null id is written as the smallest 64-bit integer and comes first. Rows that repeat an id
+    only. Strings of special tokens get their ids, as the library gives them by default, or are ordinary
+    text with ``special_as_text``. A null id is written as the smallest 64-bit integer and comes first. Rows that repeat an id
     follow each other. No rows give an empty manifest. Other columns are not read.
     """
     with open(vocabulary, encoding="utf-8") as f:
@@ -258,7 +296,7 @@ def write_tokens(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     rows = ranges.by_range(rows, "id", F.octet_length("text") + 8, range_bytes)
     rows = rows.sortWithinPartitions(F.col("id").asc_nulls_first(), "text").select("id", "text", "__range")
-    made = rows.mapInArrow(_write(data, f"{work.folder}/files", end_id), MANIFEST)
+    made = rows.mapInArrow(_write(data, f"{work.folder}/files", end_id, special_as_text), MANIFEST)
     return ranges.running_start(work.table(made, "manifest"), ["shard", "part"], "ids", "start")
 
 

@@ -82,6 +82,35 @@ def test_words_as_the_library(texts, reference_words, monkeypatch, window):
     assert per_text(table, texts) == want
 
 
+@pytest.mark.parametrize("window", [1 << 21, 1 << 10])
+def test_words_and_special_strings_as_the_library(texts, monkeypatch, window):
+    """Held against an unmodified tokenizer: special strings in a text have their ids."""
+    monkeypatch.setattr(pieces, "WINDOW", window)
+    data = open(WORD, encoding="utf-8").read()
+    table = pieces.PieceTable(token_file._encoder(data), token_file.CUTS, lower=True, skip_space=True)
+    texts = [*texts, "<|startoftext|><|endoftext|>", "<<|endoftext|>>", "<|ENDOFTEXT|>", "<|endof", "text|>",
+             "a<|endoftext|>" * 300, "", "É<|startoftext|>\u0301 x"]
+    buffer, offsets = pieces.text_buffer(pa.array(texts))
+    parts, counts = token_file._encoded(table, token_file._special_ids(data), buffer, offsets)
+    got = np.split(np.concatenate(parts), np.cumsum(counts)[:-1])
+    want = Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)
+    assert [x.tolist() for x in got] == [x.ids for x in want]
+    plain = ["one", "two three"]
+    parts, counts = token_file._encoded(table, token_file._special_ids(data), *pieces.text_buffer(pa.array(plain)))
+    assert np.concatenate(parts).tolist() == [
+        i for x in Tokenizer.from_file(WORD).encode_batch(plain, add_special_tokens=False) for i in x.ids]
+
+
+def test_files_hold_special_ids(spark):
+    rows = [(1, "a<|endoftext|>b", "a"), (2, "<|endoftext|>", "a"), (3, "c", "a")]
+    library, plain = Tokenizer.from_file(WORD), Tokenizer.from_file(WORD)
+    plain.encode_special_tokens = True
+    for as_text, tokenizer in ((False, library), (True, plain)):
+        manifest = token_file.write_tokens(cases.frame(spark, rows), WORD, special_as_text=as_text)
+        got = [np.frombuffer(r["ids"], "<u4").tolist() for r in token_file.read_tokens(manifest).orderBy("id").collect()]
+        assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for _, t, _ in rows]
+
+
 @pytest.mark.parametrize("top", [2, 3, 300, 50000, 1 << 20, 1 << 31, 1 << 59])
 def test_words_pack_and_unpack(top):
     rng = np.random.default_rng(top % 1000)
