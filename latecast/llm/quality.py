@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from latecast.llm import pieces
 from latecast.llm.shared import bound_batches, whole_text
 
-#: Rows the scorer is fitted on, about: rows are drawn by a hash of their id.
+#: Rows the scorer is fitted on, about: rows are drawn by a hash of their id and text.
 FIT_ROWS = 4096
+FIT_MOST = 2  # times as many at most: equal rows are drawn together
 BUCKETS = 1 << 13
 STEPS = 120
 EM_ROUNDS = 100
@@ -249,10 +250,10 @@ def _feature_rows(batches):
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           fit_rows: int = FIT_ROWS) -> Scorer:
-    """Label model from all documents' votes; scorer from about ``fit_rows`` of them, drawn by id.
+    """Label model from all documents' votes; scorer from about ``fit_rows`` of them, drawn by id and text.
 
     The driver gets the pattern counts (3 ** heuristics rows at most) and the sample's hashed features
-    (``BUCKETS`` numbers a row at most).
+    (``BUCKETS`` numbers a row at most, ``FIT_MOST * fit_rows`` rows at most, the first by hash).
     """
     bound_batches(docs.sparkSession)
     vote = F.arrow_udf(lambda column: votes(column), "long")
@@ -260,13 +261,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     codes = np.array(sorted((r["code"], r["count"]) for r in counted), np.int64).reshape(-1, 2)
     labels = estimate(codes[:, 0], codes[:, 1].astype(float))
     total = int(codes[:, 1].sum())
-    key = F.xxhash64(F.col(id_col), F.lit("fit"))
+    key = F.xxhash64(F.col(id_col), whole_text(text_col), F.lit("fit"))
     chosen = docs.select(key.alias("key"), whole_text(text_col).alias("text"))
     if total > fit_rows:
         chosen = chosen.where(F.pmod("key", F.lit(1 << 32)) < int((1 << 32) * fit_rows / total))
     sample = chosen.mapInArrow(
         _feature_rows, "key long, code long, buckets array<int>, shares array<double>"
-    ).toArrow().sort_by([("key", "ascending"), ("code", "ascending")])
+    ).orderBy("key", "code").limit(FIT_MOST * fit_rows).toArrow().sort_by(
+        [("key", "ascending"), ("code", "ascending")])
     buckets, shares = (sample.column(c).combine_chunks() for c in ("buckets", "shares"))
     lengths = np.diff(buckets.offsets.to_numpy()) if len(buckets) else np.zeros(0, np.int64)
     target = labels.posterior(unpacked(sample.column("code").to_numpy())) if len(sample) else np.zeros(0)

@@ -119,6 +119,20 @@ def docs_col():
     return F.lit("old")
 
 
+def test_quality_sample_of_rows_that_share_an_id(spark, monkeypatch):
+    """Rows without an id are drawn one by one, and never more than the bound."""
+    rows = [(None, f"text number {i} of many, one like the other.", "a") for i in range(600)]
+    drawn = []
+    monkeypatch.setattr(
+        quality, "fit", lambda rows, buckets, shares, target: drawn.append(len(target)) or (np.zeros(quality.BUCKETS), 0.0))
+    quality.train(cases.frame(spark, rows), fit_rows=60)
+    assert 30 < drawn[0] < 100
+    monkeypatch.setattr(quality, "FIT_MOST", 1)
+    monkeypatch.setattr(quality.F, "pmod", lambda *_: quality.F.lit(0))  # all rows fall in
+    quality.train(cases.frame(spark, rows), fit_rows=60)
+    assert drawn[1] == 60
+
+
 def test_label_model_finds_accuracies():
     """Votes drawn from known accuracies: the estimates come back near them."""
     rng = np.random.default_rng(7)
