@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from latecast.llm import (
     byte_bpe, exact_dedup, line_dedup, mixing, near_dup, quality,
-    secret_crf, token_file, topk, warc,
+    runs, secret_crf, token_file, topk, warc,
 )
-from latecast.llm.shared import documents, whole_text
+from latecast.llm.shared import WORD, documents, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,9 +95,40 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Texts of ids whose checksum ends in 0 repeat their own words from some place on; others stay."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    listed = docs.select("doc_id", "text", (F.floor(h / 10)).alias("g"), F.when(
+        h % 10 == 0, F.regexp_extract_all(whole_text("text"), F.lit(f"({WORD})"), F.lit(1))
+    ).alias("w"))
+    from_ = F.col("g") % F.size("w")
+    period = 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8))
+    listed = listed.withColumn("a", F.when(F.size("w") > 0, from_)).withColumn("p", period)
+    repeated = F.expr("transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)]))")
+    text = F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(repeated, " "))
+    return listed.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_periods(documents(spark, sf_dir)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")
+    )))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(listed, lambda r: F.concat(r, F.lit("\n"))), "")
+    start, length, period = -best["start"], best["length"], -best["period"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"),
+        length.alias("length"), period.alias("period"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    ).withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_exact_dedup, op2_line_dedup, op3_secret_crf, op4_token_file, op5_near_dup,
         op6_exact_topk, op7_source_mixing, op8_quality_classifier, op9_warc, op10_byte_bpe,
+        op12_periodic_runs,
     ]
     return {f.__name__: f for f in found}
