@@ -32,7 +32,7 @@ def filter_bits(rows: int, bits_per_row: int, most: int) -> tuple[int, int]:
 
 def cells_of(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     """The cells of 64-bit hashes, one array for each probe."""
-    h = hashes.astype(np.int64).view(np.uint64)
+    h = (hashes if hashes.dtype == np.uint64 else hashes.astype(np.int64)).view(np.uint64)
     mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return [
         ((h * np.uint64(odd)) ^ (mixed >> np.uint64(29))) >> np.uint64(64 - bits.bit_length() + 1)
@@ -103,20 +103,24 @@ def filter_of(hashes: DataFrame, bits: int, least: int = 2) -> bytes:
     return bytes(out)
 
 
+def has(packed: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in the filter."""
+    table = np.frombuffer(packed, np.uint8)
+    found = np.ones(len(hashes), bool)
+    for cells in cells_of(hashes, 8 * len(packed)):
+        found &= (table[(cells >> np.uint64(3)).astype(np.int64)]
+                  >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
+
+
 def contains(spark, packed: bytes):
     """A column function: may this hash be in the filter?"""
-    bits = 8 * len(packed)
     shared = spark.sparkContext.broadcast(packed)
 
     def run(hashes):
         import pandas as pd
 
-        table = np.frombuffer(shared.value, np.uint8)
-        found = np.ones(len(hashes), bool)
-        for cells in cells_of(hashes.to_numpy(), bits):
-            found &= (table[(cells >> np.uint64(3)).astype(np.int64)]
-                      >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return pd.Series(found)
+        return pd.Series(has(shared.value, hashes.to_numpy()))
 
     import pandas as pd
 

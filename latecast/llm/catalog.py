@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latecast.llm import (
-    byte_bpe, exact_dedup, line_dedup, mixing, near_dup, quality,
+    byte_bpe, exact_dedup, line_dedup, mixing, near_dup, phrases, quality,
     runs, secret_crf, token_file, topk, warc,
 )
 from latecast.llm.shared import WORD, documents, whole_text
@@ -125,10 +125,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("exponent_milli", F.expr("1000 * length div period"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(phrases.phrase_counts(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_exact_dedup, op2_line_dedup, op3_secret_crf, op4_token_file, op5_near_dup,
         op6_exact_topk, op7_source_mixing, op8_quality_classifier, op9_warc, op10_byte_bpe,
-        op12_periodic_runs,
+        op12_periodic_runs, op13_collocations,
     ]
     return {f.__name__: f for f in found}

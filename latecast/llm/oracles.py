@@ -116,8 +116,46 @@ FROM f
 """
 
 
+OP13 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2),
+         lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3), (4)) AS s(m)),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY ALL),
+words AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, n AS a FROM f WHERE m > 1 AND n >= 30),
+cut AS (
+  SELECT c.*, k, array_to_string(ws[:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y
+  FROM c, (VALUES (1), (2), (3)) AS s(k) WHERE k < m),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, min({'s': ((2000000::HUGEINT * a) // (x.n + y.n))::BIGINT, 'k': k,
+         'l': x.n, 'r': y.n}) AS best
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x
+           JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y
+  GROUP BY ALL),
+parts AS (
+  SELECT lang, a, unnest(flatten(list_transform(range(2, m), lambda n:
+         list_transform(range(1, m - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))))) AS phrase
+  FROM c WHERE m > 2),
+longer AS (SELECT lang, phrase, max(a) AS most FROM parts GROUP BY ALL),
+kept AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY best.s DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase
+  WHERE o.most IS NULL OR 100 * o.most < 80 * a)
+SELECT kept.lang, rank, phrase, a, best.l AS l, best.r AS r, words.n, best.s AS score
+FROM kept JOIN words ON words.lang = kept.lang WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1, "op2_line_dedup": OP2, "op5_near_dup": OP5,
-        "op6_exact_topk": OP6, "op7_source_mixing": OP7, "op9_warc": OP9,
+    "op6_exact_topk": OP6, "op7_source_mixing": OP7, "op9_warc": OP9,
+        "op13_collocations": OP13,
     }
