@@ -3,8 +3,8 @@
 from pyspark import cloudpickle
 
 from latecast.llm import (
-    bloom, byte_bpe, files, memory, near_dup, phrases, pieces, quality, runs, secret_crf, token_file,
-    topk, warc,
+    bloom, byte_bpe, files, memory, near_dup, phrases, pieces, quality, runs, secret_crf,
+    substrings, token_file, topk, warc,
 )
 
 # What runs inside Python workers travels with the job: executors need no copy of this package.

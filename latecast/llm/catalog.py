@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from latecast.llm import (
     byte_bpe, exact_dedup, line_dedup, mixing, near_dup, phrases, quality,
-    runs, secret_crf, token_file, topk, warc,
+    runs, secret_crf, substrings, token_file, topk, warc,
 )
 from latecast.llm.shared import WORD, documents, whole_text
 
@@ -95,6 +95,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = F.transform("removed", lambda s: s["length"])
+    found = substrings.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words",
+        F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """Texts of ids whose checksum ends in 0 repeat their own words from some place on; others stay."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -133,6 +143,6 @@ def queries() -> dict[str, Query]:
     found = [
         op1_exact_dedup, op2_line_dedup, op3_secret_crf, op4_token_file, op5_near_dup,
         op6_exact_topk, op7_source_mixing, op8_quality_classifier, op9_warc, op10_byte_bpe,
-        op12_periodic_runs, op13_collocations,
+        op11_substring_dedup, op12_periodic_runs, op13_collocations,
     ]
     return {f.__name__: f for f in found}

@@ -116,6 +116,28 @@ FROM f
 """
 
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos,
+         unnest(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i + 34 <= len(ws)
+                THEN md5(array_to_string(ws[i:i + 34], ' ')) END)) AS win
+  FROM d),
+m AS (SELECT *, CASE WHEN win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 THEN 1 ELSE 0 END AS again
+      FROM w),
+c AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY pos
+                ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+t AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '') AS kept
+  FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 OP13 = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
@@ -157,5 +179,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1, "op2_line_dedup": OP2, "op5_near_dup": OP5,
     "op6_exact_topk": OP6, "op7_source_mixing": OP7, "op9_warc": OP9,
-        "op13_collocations": OP13,
+        "op11_substring_dedup": OP11, "op13_collocations": OP13,
     }

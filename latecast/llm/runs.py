@@ -26,7 +26,7 @@ RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return pieces.mixed(a * _STEP + (b ^ (b >> np.uint64(29))))
 
 
@@ -41,7 +41,7 @@ def _lags(least: int, longest: int) -> Iterator[tuple[int, int, int]]:
         lo *= 2
 
 
-class _Level:
+class Level:
     """Hashes of 1, 2, 4, ... words from every place; windows past a text's end equal nothing."""
 
     def __init__(self, words: np.ndarray) -> None:
@@ -51,13 +51,13 @@ class _Level:
         while len(self.tables) <= t:
             last, step = self.tables[-1], 1 << (len(self.tables) - 1)
             ahead = np.concatenate([last[step:], np.full(min(step, len(last)), last[-1])])
-            self.tables.append(_pair(last, ahead))
+            self.tables.append(pair(last, ahead))
         return self.tables[t]
 
     def grams(self, k: int) -> np.ndarray:
         t = k.bit_length() - 1
         table, shift = self.table(t), k - (1 << t)
-        return _pair(table[:len(table) - shift], table[shift:]) if shift else table
+        return pair(table[:len(table) - shift], table[shift:]) if shift else table
 
     def keep(self, mask: np.ndarray) -> None:
         self.tables = [table[mask] for table in self.tables]
@@ -85,7 +85,7 @@ def _may_repeat(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(table[cells] < 0)
 
 
-def _stretches(level: _Level, lo: int, hi: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _stretches(level: Level, lo: int, hi: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first place, places, lag) of all stretches of at least ``least`` places at lags lo to hi."""
     none = np.zeros(0, np.int64)
     s = max(1, least // 2)
@@ -140,7 +140,7 @@ def runs_of(words: np.ndarray, sizes: np.ndarray, least: int = LEAST, salt: int
     ends = np.cumsum(sizes + 1) - 1
     full[ends] = np.arange(len(sizes), dtype=np.uint64) * np.uint64(2) + np.uint64(salt << 40)
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-    level = _Level(pieces.mixed(full ^ pieces.mixed(owner.astype(np.uint64) + _STEP)))
+    level = Level(pieces.mixed(full ^ pieces.mixed(owner.astype(np.uint64) + _STEP)))
     where = np.arange(len(full))
     found = []
     for lo, hi, fewest in _lags(least, int(sizes.max(initial=0))):

@@ -66,7 +66,7 @@ def test_runs_against_brute_force():
 
 def test_pairs_stay_in_proportion():
     """One word all over: two pairs for each word and octave, whatever the square would be."""
-    level = runs._Level(np.zeros(1 << 16, np.uint64))
+    level = runs.Level(np.zeros(1 << 16, np.uint64))
     s, k, lo = 16, 17, 32
     seeds = np.arange(0, (1 << 16) - k, s)
     assert len(seeds) * lo <= 2 << 16
