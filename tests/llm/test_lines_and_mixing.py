@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import cases
+import pytest
 
 from latecast.llm import line_dedup, mixing
 
@@ -129,3 +130,45 @@ def test_mixed_documents(spark):
         words[r["doc_id"]] += len(cases.word_list(r["text"]))
         assert cases.word_list(texts[r["doc_id"]])[:len(cases.word_list(r["text"]))] == cases.word_list(r["text"])
     assert {i: words.get(i, 0) for i in taken} == taken
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_without_id_in_several_sources(spark, kind):
+    """Every source's budget is paid in its own words, whatever the ids."""
+    rows = [(None, f"w{i % 50} x{i} y z"[:4 + i % 9], s) for s in "abc" for i in range(60)]
+    rows += [(7, "one two three four", "a"), (7, "five six seven", "a"), (7, "one two three four", "b")]
+    rows += [(None, "same words here", "c")] * 40
+    docs = cases.frame(spark, rows)
+    docs = docs.withColumn("doc_id", docs.doc_id.cast(kind))
+    _, target = plain_mix(rows)
+    want = {s: int(t + 1e-6) for s, t in target.items()}
+    got, taken = mixing.mix(docs).collect(), defaultdict(int)
+    assert len(got) == len(rows)
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert taken == want
+    words = defaultdict(int)
+    for r in mixing.mixed_documents(docs).collect():
+        words[r["source"]] += len(cases.word_list(r["text"]))
+    assert words == want
+
+
+def test_equal_rows_on_the_cut(spark):
+    """One group of equal rows is all there is: full epochs each, the rest once."""
+    rows = [(None, "a b c", "s")] * 11 + [(1, "d", "t")]
+    docs = cases.frame(spark, rows)
+    got = mixing.mix(docs, weights=(1, 1), most=20).collect()
+    assert sum(r["taken"] for r in got if r["source"] == "s") == 17 and len(got) == 12
+    assert sorted(r["taken"] for r in got if r["source"] == "s") == [0] * 5 + [2] + [3] * 5
+    texts = [r["text"] for r in mixing.mixed_documents(docs, weights=(1, 1), most=20).collect()]
+    assert sorted(t for t in texts if t != "d") == ["a b"] + ["a b c"] * 5 and texts.count("d") == 17
+
+
+def test_columns_that_the_mix_uses_itself(spark):
+    docs = cases.frame(spark).withColumnsRenamed(
+        {"id": "__id", "size": "__size", "key": "__key", "hash": "place", "n": "none", "sha": "row"}
+    )
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and {r["__id"] for r in out.collect()} == {0}
+    assert mixing.mixed_documents(cases.frame(spark, [])).count() == 0

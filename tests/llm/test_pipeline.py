@@ -39,7 +39,7 @@ def test_run_equals_its_operators(spark):
     exact = {r["id"] for r in exact_dedup.exact_groups(good).where("kept").collect()}
     one = corpus_pipeline.without_exact_copies(spark, good, "").cache()
     assert {r["doc_id"] for r in one.collect()} == exact
-    near = {r["id"] for r in near_dup.near_groups(one).where("kept").collect()}
+    near = {r["id"] for r in near_dup.near_groups(one, threshold=corpus_pipeline.NEAR_THRESHOLD).where("kept").collect()}
     two = corpus_pipeline.without_near_copies(spark, one, "").cache()
     assert {r["doc_id"] for r in two.collect()} == near
     taken = {r["id"]: r["taken"] for r in mixing.mix(two).collect()}
