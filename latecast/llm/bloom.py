@@ -14,8 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latecast.llm import memory
+
 PROBES = 2
 SEGMENT_BITS = 1 << 19
+AT_ONCE = 1 << 18
 CELLS = "segment long, cells binary"
 BITS = "segment long, bits binary"
 
@@ -41,22 +44,30 @@ def cells_of(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _cells(bits: int):
-    """Per batch and segment, the sorted cells that are hit; a cell hit again is there twice."""
+    """Per ``AT_ONCE`` hashes and segment, the sorted cells that are hit; a cell hit again is there twice."""
+
+    def cells(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells, counts = np.unique(np.concatenate(cells_of(np.concatenate(held), bits)), return_counts=True)
+        cells = np.repeat(cells, np.minimum(counts, 2)).astype(np.int64)
+        names, starts = np.unique(cells // SEGMENT_BITS, return_index=True)
+        within = (cells % SEGMENT_BITS).astype(np.uint32)
+        parts = [p.tobytes() for p in np.split(within, starts[1:])] if len(names) else []
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.int64()), pa.array(parts, pa.binary())], ["segment", "cells"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            hashes = batch.column(0).to_numpy(zero_copy_only=False)
-            cells, counts = np.unique(np.concatenate(cells_of(hashes, bits)), return_counts=True)
-            cells = np.repeat(cells, np.minimum(counts, 2)).astype(np.int64)
-            segments = cells // SEGMENT_BITS
-            names, starts = np.unique(segments, return_index=True)
-            within = (cells % SEGMENT_BITS).astype(np.uint32)
-            parts = [p.tobytes() for p in np.split(within, starts[1:])] if len(names) else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(parts, pa.binary())], ["segment", "cells"]
-            )
+            held.append(batch.column(0).to_numpy(zero_copy_only=False))
+            size += batch.num_rows
+            if size >= AT_ONCE:
+                yield cells(held)
+                held, size = [], 0
+        if size:
+            yield cells(held)
 
-    return run
+    return memory.tidy(run)
 
 
 def _merged(least: int):
@@ -78,12 +89,14 @@ def _merged(least: int):
                     if current is not None:
                         yield done()
                     current, hits = segment, np.zeros(SEGMENT_BITS, np.uint8)
-                found = np.bincount(np.frombuffer(cells, np.uint32), minlength=SEGMENT_BITS)
-                hits = np.minimum(hits + found, 2).astype(np.uint8)
+                cells = np.frombuffer(cells, np.uint32)
+                hits[cells] += 1  # a cell that is there twice counts once here
+                hits[cells[1:][cells[1:] == cells[:-1]]] += 1
+                hits[cells] = np.minimum(hits[cells], 2)
         if current is not None:
             yield done()
 
-    return run
+    return memory.tidy(run)
 
 
 def filter_of(hashes: DataFrame, bits: int, least: int = 2) -> bytes:

@@ -6,8 +6,10 @@ their only part is the empty phrase. A border phrase that proves frequent is a f
 such parts were not counted yet, so another pass counts these, until no failure is left. Every frequent phrase
 has been counted then, as all its parts are frequent.
 
-Passes count 64-bit hashes; what they name is a superset of the frequent phrases. The last pass counts the
-texts of just those, language by language, and its counts decide.
+Passes count 64-bit hashes of language and words. A count comes with the bucket of one text that has the
+phrase, so the last pass, which looks up the phrases' texts, finds each of them in that bucket's texts only.
+Two phrases that share a hash would be counted as one: about one frequent phrase in 2^64 / d, where d is the
+number of different phrases.
 """
 
 from __future__ import annotations
@@ -37,9 +39,11 @@ NO_LANG = "und"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPACE, _BREAK = 32, 10
-COUNTS = "part long, size int, hashes binary, counts binary"
-HASHES = "size int, hash long, n long"
-TEXTS = "lang string, size int, phrase string, n long"
+BUCKETS = 1 << 12  # of texts, by a hash of theirs
+KINDS = (np.uint64, np.uint32, np.uint16)
+COUNTS = "part long, size int, hashes binary, counts binary, homes binary"
+HASHES = "size int, hash long, n long, home long"
+TEXTS = "lang string, size int, hash long, phrase string, words long"
 
 
 def byte_table() -> bytes:
@@ -72,9 +76,9 @@ def _chunks(data: bytes) -> Iterator[tuple[int, int]]:
 class _Words:
     """The words of one chunk: where they are, and the hashes of phrases that begin at each."""
 
-    def __init__(self, block: bytes, texts: np.ndarray, salts: np.ndarray) -> None:
-        """``texts`` are the places where texts begin (the first at 0 or before), ``salts`` one for each."""
-        self.block = block
+    def __init__(self, block: bytes, texts: np.ndarray, salts: np.ndarray, buckets: np.ndarray) -> None:
+        """``texts`` are the places where texts begin (the first at 0 or before), with salt and bucket of each."""
+        self.block, self.buckets = block, buckets
         data = np.frombuffer(block, np.uint8)
         inside = (data != _SPACE) & (data != _BREAK)
         edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
@@ -95,101 +99,106 @@ class _Words:
     def whole(self, size: int) -> np.ndarray:
         return self.piece[size - 1:] == self.piece[:max(0, len(self.piece) - size + 1)]
 
+    def home(self, at: np.ndarray) -> np.ndarray:
+        return self.buckets[self.text[at]]
+
     def phrase(self, at: int, size: int) -> str:
         return b" ".join(self.block[self.starts[at]:self.ends[at + size - 1]].split()).decode()
 
 
+def at_home(hashes: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """One hash of a phrase and the bucket of a text."""
+    return pieces.mixed(hashes + (buckets.astype(np.uint64) + np.uint64(1)) * _STEP)
+
+
 def _salt(lang: str) -> np.uint64:
     data = np.frombuffer(lang.encode(), np.uint8)
     return (pieces.word_hashes(data, np.array([0]), np.array([len(data)])) * _STEP)[0]
 
 
 def _word_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, list[str]]]:
-    """Chunks of all texts (column 1), and the language (column 0) of each of their texts."""
+    """Chunks of all texts (column 1; language and bucket are 0 and 2), and the language of each of their texts."""
     known: dict[str, np.uint64] = {}
     for batch in batches:
         _, offsets = pieces.text_buffer(batch.column(1))
         for first, last in pieces.slices(batch, offsets, CHUNK):
             texts = [t.encode() for t in batch.column(1).slice(first, last - first).to_pylist()]
             langs = batch.column(0).slice(first, last - first).to_pylist()
+            buckets = batch.column(2).slice(first, last - first).to_numpy(zero_copy_only=False).astype(np.uint16)
             starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
             for lang in set(langs) - known.keys():
                 known[lang] = _salt(lang)
             salts = np.array([known[lang] for lang in langs], np.uint64)
             data = b"\n".join(texts).translate(_TABLE)
             for low, high in _chunks(data):
-                found = _Words(data[low:high], starts - low, salts)
+                found = _Words(data[low:high], starts - low, salts, buckets)
                 if len(found.starts):
                     yield found, langs
 
 
-def _sums(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, and the sums of their counts."""
-    if not len(hashes):
-        return hashes, np.zeros(0, np.int64)
-    if counts is None:
-        ordered = np.sort(hashes)
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        return ordered[first], np.diff(np.concatenate([first, [len(ordered)]]))
-    order = np.argsort(hashes)
-    ordered = hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[first], np.add.reduceat(counts[order], first)
-
-
-class _Held:
-    """Counts of one size that a task has not handed on yet."""
+class _Counts:
+    """Hashes in order, how often each occurs, and the bucket of a text that has it."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        if len(hashes):
-            self.parts.append((hashes, counts))
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray | None, homes: np.ndarray) -> None:
+        """Equal hashes are added up; without ``counts`` each is there once."""
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[:len(ordered)])
+        self.hashes, self.homes = ordered[first], homes[order[first]]
+        if counts is None:
+            self.counts = np.diff(np.concatenate([first, [len(ordered)]]))
+        else:
+            self.counts = np.add.reduceat(counts[order], first) if len(first) else counts
 
     def __len__(self) -> int:
-        return sum(len(h) for h, _ in self.parts)
+        return len(self.hashes)
+
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) > 1:
-            self.parts = [_sums(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
-        return self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _merged(held: list[_Counts]) -> _Counts:
+    if len(held) == 1:
+        return held[0]
+    join = lambda name: np.concatenate([getattr(x, name) for x in held])
+    return _Counts(join("hashes"), join("counts"), join("homes"))
 
 
 def _counted(sizes: range, shift: int, may=None, old=None):
     """Per task: counts by part of the hash space. Longer phrases count if ``may`` names both their parts
     of one word less, and ``old`` does not; without ``may`` all phrases count."""
 
-    def handed(size: int, held: _Held) -> Iterator[pa.RecordBatch]:
-        hashes, counts = held.merge()
-        held.parts = []
-        parts = (hashes >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(hashes), np.int64)
+    def handed(size: int, held: list[_Counts]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        found = _merged(held)
+        held.clear()
+        parts = (found.hashes >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(found), np.int64)
         names, first = np.unique(parts, return_index=True)
-        limits = [*first.tolist(), len(hashes)]
+        limits = [*first.tolist(), len(found)]
         for i in range(0, len(names), 512):
-            n = range(i, min(i + 512, len(names)))
+            cut = list(zip(limits[i:i + 512], limits[i + 1:i + 513], strict=False))
+            blobs = [pa.array([x[a:b].astype(kind).tobytes() for a, b in cut], pa.binary())
+                     for x, kind in zip((found.hashes, found.counts, found.homes), KINDS, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[i:i + 512]), pa.array([size] * len(n), pa.int32()),
-                 pa.array([hashes[limits[j]:limits[j + 1]].tobytes() for j in n], pa.binary()),
-                 pa.array([counts[limits[j]:limits[j + 1]].astype(np.uint32).tobytes() for j in n], pa.binary())],
-                ["part", "size", "hashes", "counts"],
+                [pa.array(names[i:i + 512]), pa.array([size] * len(cut), pa.int32()), *blobs],
+                ["part", "size", "hashes", "counts", "homes"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {size: _Held() for size in sizes}
+        held: dict[int, list[_Counts]] = {size: [] for size in sizes}
         for words, _ in _word_chunks(batches):
             for size in range(1, sizes.stop):
                 hashes, whole = words.grams(size), words.whole(size)
                 if size in held:
-                    held[size].add(*_sums(hashes[whole] if size == 1 or may is None else hashes[whole & wanted]))
+                    at = np.flatnonzero(whole if size == 1 or may is None else whole & wanted)
+                    if len(at):
+                        held[size].append(_Counts(hashes[at], None, words.home(at)))
                 if may is not None and size + 1 < sizes.stop:
                     named = bloom.has(may.value, hashes) & whole
                     wanted = named[:-1] & named[1:]
                     if old is not None:
                         known = bloom.has(old.value, hashes) & whole
                         wanted &= ~(known[:-1] & known[1:])
-            while sum(map(len, held.values())) > MOST_HELD:
-                size = max(held, key=lambda s: len(held[s]))
+            while sum(len(x) for own in held.values() for x in own) > MOST_HELD:
+                size = max(held, key=lambda s: sum(map(len, held[s])))
                 yield from handed(size, held[size])
         for size in sizes:
             yield from handed(size, held[size])
@@ -201,58 +210,58 @@ def _frequent(least: int):
     """Rows sorted by size and part: sums of every hash, those of ``least`` and more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, _Held()
+        current, held = None, []
 
         def done() -> pa.RecordBatch:
-            hashes, counts = held.merge()
-            some = counts >= least
-            held.parts = []
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(int(some.sum()), current[1], np.int32)),
-                 pa.array(hashes[some].view(np.int64)), pa.array(counts[some])], ["size", "hash", "n"]
-            )
+            found = _merged(held)
+            held.clear()
+            some = found.counts >= least
+            hashes, homes = found.hashes[some], found.homes[some]
+            columns = [np.full(len(hashes), current[1], np.int32), hashes.view(np.int64), found.counts[some],
+                       at_home(hashes, homes).view(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["size", "hash", "n", "home"])
 
         for batch in batches:
-            for part, size, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, size, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if current != (part, size):
-                    if current is not None:
+                    if held:
                         yield done()
                     current = part, size
-                held.add(np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64))
-                if len(held.parts) > 1 and len(held) > MOST_HELD:
-                    held.merge()
-        if current is not None:
+                arrays = [np.frombuffer(x, kind) for x, kind in zip(blobs, KINDS, strict=True)]
+                held.append(_Counts(arrays[0], arrays[1].astype(np.int64), arrays[2]))
+                if len(held) > 1 and sum(map(len, held)) > MOST_HELD:
+                    held[:] = [_merged(held)]
+        if held:
             yield done()
 
     return memory.tidy(run)
 
 
 def _texts(named, most: int):
-    """Per task: texts and counts of the phrases that the filter names, and all words of a language."""
+    """Per task: the texts of phrases whose hash the filter names together with the bucket of the text that
+    they are in, and how many words each language has (size 0)."""
 
     def handed(held: dict) -> pa.RecordBatch:
         rows = list(held.values())
         columns = [pa.array([r[i] for r in rows], kind) for i, kind in
-                   enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))]
+                   enumerate((pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64()))]
         held.clear()
-        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
+        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "hash", "phrase", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[object, list] = {}
         for words, langs in _word_chunks(batches):
             for text, n in enumerate(np.bincount(words.text, minlength=len(langs)).tolist()):
                 if n:
-                    held.setdefault(langs[text], [langs[text], 0, "", 0])[3] += n
+                    held.setdefault(langs[text], [langs[text], 0, 0, "", 0])[4] += n
             for size in range(1, most + 1):
                 hashes = words.grams(size)
-                at = np.flatnonzero(words.whole(size) & bloom.has(named.value, hashes))
-                distinct, first, counts = np.unique(hashes[at], return_index=True, return_counts=True)
-                for key, i, n in zip(distinct.tolist(), at[first].tolist(), counts.tolist(), strict=True):
-                    row = held.get((size, key))
-                    if row is None:
-                        held[size, key] = [langs[words.text[i]], size, words.phrase(i, size), n]
-                    else:
-                        row[3] += n
+                at = np.flatnonzero(words.whole(size))
+                at = at[bloom.has(named.value, at_home(hashes[at], words.home(at)))]
+                distinct, first = np.unique(hashes[at], return_index=True)
+                for key, i in zip(distinct.view(np.int64).tolist(), at[first].tolist(), strict=True):
+                    if (size, key) not in held:
+                        held[size, key] = [langs[words.text[i]], size, key, words.phrase(i, size), 0]
                 if len(held) > MOST_TEXTS:
                     yield handed(held)
         yield handed(held)
@@ -275,7 +284,8 @@ def phrase_counts(
     spark = docs.sparkSession
     work = Work(spark, "phrases")
     rows = docs.select(
-        F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), whole_text(text_col).alias("text")
+        F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), whole_text(text_col).alias("text"),
+        F.pmod(F.xxhash64(whole_text(text_col)), F.lit(BUCKETS)).cast("int").alias("bucket"),
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 << max(0, min(40, (size // PART_BYTES).bit_length()))
@@ -308,13 +318,19 @@ def phrase_counts(
     frequent = found[0]
     for more in found[1:]:
         frequent = frequent.unionByName(more)
-    hashes, bits = frequent.select("hash"), bloom.SEGMENT_BITS
-    while bits < min(most_bits, 64 * hashes.count()):
+    homes, bits = frequent.select("home"), bloom.SEGMENT_BITS
+    while bits < min(most_bits, 64 * homes.count()):
         bits *= 2
-    named = spark.sparkContext.broadcast(bloom.filter_of(hashes, bits, 1))
-    counted = rows.mapInArrow(_texts(named, most_words), TEXTS).groupBy("lang", "size", "phrase")
-    counts = work.table(counted.agg(F.sum("n").alias("n")).where(f"size = 0 or n >= {least}"), "counts")
-    for name in ("proposed", *(f"{kind}-{i}" for i in range(len(found) + 1) for kind in ("found", "failed"))):
+    named = spark.sparkContext.broadcast(bloom.filter_of(homes, bits, 1))
+    texts = work.table(rows.mapInArrow(_texts(named, most_words), TEXTS), "texts")
+    phrases = texts.where("size > 0").groupBy("size", "hash").agg(
+        F.first("lang").alias("lang"), F.first("phrase").alias("phrase")
+    )
+    phrases = frequent.join(phrases, ["size", "hash"]).select("lang", "size", "phrase", "n")
+    words = texts.where("size = 0").groupBy("lang").agg(F.sum("words").alias("n"))
+    words = words.select("lang", F.lit(0).alias("size"), F.lit("").alias("phrase"), "n")
+    counts = work.table(phrases.unionByName(words), "counts")
+    for name in ("proposed", *(f"{kind}-{i}" for i in range(len(found) + 1) for kind in ("found", "failed")), "texts"):
         work.drop(name)
     return counts
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latecast.llm import pieces
+from latecast.llm import memory, pieces
 from latecast.llm.shared import bound_batches, whole_text
 
 LEAST = 12  # words in a run
@@ -201,7 +201,7 @@ def _found(names: list[str], least: int):
                     [pa.array(sizes), lists, pa.array(texts, pa.string()), *others], names
                 )
 
-    return run
+    return memory.tidy(run)
 
 
 def periodic_runs(
