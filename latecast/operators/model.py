@@ -10,7 +10,14 @@ and classes and never on the size of the line list. A stratum is a series, or an
   with half a case per week) are the prior mean, with a gamma shape of ``level_shape``; the week's own
   reports then move it, the more the larger its reported share is. Weeks ahead keep the last prior mean,
   and their shape falls by one part for each week.
+  With ``time_effect="trend"`` a week's level also follows the growth of the weeks before it: the slope of a
+  line through the logarithms of counts over shares, older weeks discounted by ``discount`` a week, pulled to
+  no growth as if that were known to ``SLOPE_SD``. Earlier weeks are brought forward by it, weeks ahead
+  go on with it, less by ``damping`` each week, and its variance adds to theirs.
 * Spread: the excess of squared residuals over the Poisson's, as a share of the squared mean.
+* What several weeks share: the hazards are the same for all of them, and the levels of neighbouring weeks come
+  from the same reports. ``level_part`` and ``delay_part`` are the shares of these two in the variance of what
+  is missing; draws use them to move together.
 """
 
 from __future__ import annotations
@@ -21,18 +28,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latecast.operators.keys import attach
+from latecast.operators.keys import attach, join_on
 
 PSEUDO_WEEKS, PSEUDO_CASES = 0.1, 0.05
+TIME_EFFECTS = ("level", "trend")
+SLOPE_SD = 0.15  # of a week's growth, beforehand
+WEEK_CASES = 20.0  # a week says no more about growth than so many cases
 
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """Options of the estimate; see the module's text."""
+    """Options of the estimate; see the module's text. ``class_share`` is how much of the error of their
+    levels the age classes of a series have in common."""
 
     level_weeks: int = 2
     level_shape: float = 5.0
     prior_cases: float = 10.0
+    class_share: float = 0.5
+    time_effect: str = "level"
+    discount: float = 0.8
+    damping: float = 0.9
     draws: int = 1000
     seed: int = 1
 
@@ -41,6 +56,12 @@ class ModelSpec:
             raise ValueError("level_weeks must be 0 or more")
         if not (self.level_shape > 0 and self.prior_cases > 0):
             raise ValueError("level_shape and prior_cases must be positive")
+        if self.time_effect not in TIME_EFFECTS:
+            raise ValueError(f"time_effect must be one of {', '.join(TIME_EFFECTS)}")
+        if not (0 < self.discount < 1 and 0 < self.damping < 1):
+            raise ValueError("discount and damping must be between 0 and 1")
+        if not 0 <= self.class_share <= 1:
+            raise ValueError("class_share must be between 0 and 1")
         if self.draws < 1:
             raise ValueError("draws must be positive")
 
@@ -52,7 +73,8 @@ def _strata(triangle: DataFrame, series_cols: Sequence[str]) -> list[str]:
 def delay_hazards(
     triangle: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """(stratum, delay, hazard): the chance of being reported at a delay, given not later."""
+    """(stratum, delay, hazard, seen): the chance of being reported at a delay, given not later, and the
+    cases that say so."""
     keys = _strata(triangle, series_cols)
     so_far = Window.partitionBy(*keys, "Time").orderBy("delay")
     cells = triangle.withColumn("_by", F.when(F.col("Y").isNotNull(), F.sum("Y").over(so_far)))
@@ -60,42 +82,89 @@ def delay_hazards(
         F.coalesce(F.sum("Y"), F.lit(0)).alias("num"), F.coalesce(F.sum("_by"), F.lit(0)).alias("den")
     )
     together = Window.partitionBy(*series_cols, "delay")
+    seen = (F.col("den") + spec.prior_cases).alias("seen")
     pooled = own.withColumns({
         "_num": F.sum("num").over(together), "_den": F.sum("den").over(together),
     })
     all_classes = F.when(F.col("_den") > 0, F.col("_num") / F.col("_den")).otherwise(0.0)
     hazard = (F.col("num") + spec.prior_cases * all_classes) / (F.col("den") + spec.prior_cases)
-    return pooled.select(*keys, "delay", hazard.alias("hazard"))
+    return pooled.select(*keys, "delay", hazard.alias("hazard"), seen)
 
 
 def _shares(hazards: DataFrame, keys: list[str]) -> DataFrame:
-    """Per stratum: ``by`` (share reported by each delay) and ``at`` (at each delay), as arrays."""
+    """Per stratum, as arrays by delay: ``by`` (share reported by it), ``at`` (at it), and ``loose``, the variance
+    of the logarithm of ``by``, from the binomial variances of the hazards after it."""
     listed = hazards.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("delay", "hazard"))), lambda x: x["hazard"]).alias("h")
+        F.sort_array(F.collect_list(F.struct("delay", "hazard", "seen"))).alias("h")
     )
     size = F.size("h")
     by = F.transform(
         "h",
         lambda _, d: F.aggregate(
-            F.slice("h", d + 2, size - d - 1), F.lit(1.0), lambda product, h: product * (1 - h)
+            F.slice("h", d + 2, size - d - 1), F.lit(1.0), lambda product, h: product * (1 - h["hazard"])
         ),
     )
-    shares = listed.select(*keys, by.alias("by"))
+    odds = lambda h: F.when(h["hazard"] < 1, h["hazard"] / (1 - h["hazard"]) / h["seen"]).otherwise(0.0)
+    loose = F.transform(
+        "h",
+        lambda _, d: F.aggregate(F.slice("h", d + 2, size - d - 1), F.lit(0.0), lambda total, h: total + odds(h)),
+    )
+    shares = listed.select(*keys, by.alias("by"), loose.alias("loose"))
     at = F.transform("by", lambda x, d: F.when(d == 0, x).otherwise(x - F.get("by", d - 1)))
-    return shares.select(*keys, "by", at.alias("at"))
+    return shares.select(*keys, "by", at.alias("at"), "loose")
 
 
 def _square_sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda total, x: total + x * x)
 
 
+def growth(
+    weekly: DataFrame, spec: ModelSpec = ModelSpec(), *, keys: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, Time, slope, slope_var): a stratum's growth a week as far as each week knows.
+
+    ``weekly`` has Time, observed and share. One pass over a stratum's sorted weeks carries five discounted
+    sums; ages of weeks count from the current one, so they shift by one at each step.
+    """
+    sums = [f"s{i}" for i in range(5)]  # weights; times age; times squared age; values; values times age
+    state = F.struct(
+        *[F.lit(0.0).alias(n) for n in sums],
+        F.array().cast("array<struct<Time:int,slope:double,slope_var:double>>").alias("out"),
+    )
+    kappa = 1 / SLOPE_SD**2
+
+    def step(s: Column, week: Column) -> Column:
+        seen = week["observed"] + week["share"]
+        w = F.when(week["share"] > 0, seen / (1 + seen / WEEK_CASES)).otherwise(0.0)
+        x = F.when(week["share"] > 0, F.log(week["observed"] / week["share"] + 0.5)).otherwise(0.0)
+        d = spec.discount
+        s0, s1 = s["s0"] * d + w, (s["s1"] - s["s0"]) * d
+        s2 = (s["s2"] - 2 * s["s1"] + s["s0"]) * d
+        x0, x1 = s["s3"] * d + w * x, (s["s4"] - s["s3"]) * d
+        det = s0 * (s2 + kappa) - s1 * s1
+        found = F.struct(
+            week["Time"].alias("Time"),
+            F.when(s0 > 0, (s0 * x1 - s1 * x0) / det).otherwise(0.0).alias("slope"),
+            F.when(s0 > 0, s0 / det).otherwise(1 / kappa).alias("slope_var"),
+        )
+        return F.struct(
+            *[v.alias(n) for n, v in zip(sums, (s0, s1, s2, x0, x1))], F.array_append(s["out"], found).alias("out")
+        )
+
+    weeks = F.sort_array(F.collect_list(F.struct(F.col("Time").cast("int").alias("Time"), "observed", "share")))
+    listed = weekly.groupBy(*keys).agg(weeks.alias("weeks"))
+    return listed.select(*keys, F.inline(F.aggregate("weeks", state, step, lambda s: s["out"])))
+
+
 def fit_delay_model(
     triangle: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per stratum and week: Time, dt_event, unfinished, observed, level, remaining, shape.
+    """One row per stratum and week: Time, dt_event, unfinished, observed, level, remaining, shape, ahead,
+    level_part, delay_part, slope.
 
     ``level`` is the expected final count, ``remaining`` the expected number of events not reported yet;
-    their number is negative binomial with that mean and ``shape``.
+    their number is negative binomial with that mean and ``shape``. The parts are shares of its variance.
+    ``ahead`` counts weeks after the last one with reports; ``slope`` is the growth a week, 0 without trend.
     """
     keys = _strata(triangle, series_cols)
     shares = _shares(delay_hazards(triangle, spec, series_cols=series_cols), keys)
@@ -110,9 +179,26 @@ def fit_delay_model(
     past = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("Time")
     near = past.rowsBetween(-spec.level_weeks, 0)
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    mean = (F.sum("observed").over(near) + PSEUDO_CASES) / (F.sum("share").over(near) + PSEUDO_WEEKS)
-    rows = rows.withColumn("share", share).withColumn(
-        "prior", F.last(F.when(F.col("known").isNotNull(), mean), ignorenulls=True).over(past)
+    known = F.col("known").isNotNull()
+    rows = rows.withColumn("share", share).withColumn("ahead", F.greatest(
+        F.lit(0), F.col("Time") - F.max(F.when(known, F.col("Time"))).over(whole)
+    ))
+    if spec.time_effect == "trend":
+        rows = join_on(rows, growth(rows, spec, keys=keys), [*keys, "Time"])
+        rows = rows.withColumns({
+            c: F.last(F.when(known, F.col(c)), ignorenulls=True).over(past) for c in ("slope", "slope_var")
+        })
+        on = F.lit(spec.damping) * (1 - F.pow(F.lit(spec.damping), F.col("ahead"))) / (1 - spec.damping)
+        back = lambda c, j: F.lag(c, j, 0).over(past)
+        lags = range(spec.level_weeks + 1)
+        cases = sum((back("observed", j) for j in lags[1:]), F.col("observed"))
+        shares_ = sum((back("share", j) * F.exp(F.col("slope") * -j) for j in lags[1:]), F.col("share"))
+        mean = (cases + PSEUDO_CASES) / (shares_ + PSEUDO_WEEKS)
+    else:
+        on, rows = F.lit(0.0), rows.withColumns({"slope": F.lit(0.0), "slope_var": F.lit(0.0)})
+        mean = (F.sum("observed").over(near) + PSEUDO_CASES) / (F.sum("share").over(near) + PSEUDO_WEEKS)
+    rows = rows.withColumn("on", on).withColumn("mean", F.when(known, mean)).withColumn(
+        "prior", F.last("mean", ignorenulls=True).over(past) * F.exp(F.col("slope") * F.col("on"))
     )
     # Spread: residuals of the known cells about the week's own count dealt out by the shares.
     expected = lambda c: F.when(
@@ -128,34 +214,47 @@ def fit_delay_model(
     count = F.coalesce(F.col("known") + 1, F.lit(0))
     rows = rows.withColumns({
         "spread": spread,
-        "ahead": F.greatest(F.lit(0), F.col("Time") - F.max(F.when(F.col("known").isNotNull(), F.col("Time"))).over(whole)),
         "_seen": F.when(F.col("share") > 0, _square_sum(F.slice("at", 1, count)) / F.col("share") / F.col("share")).otherwise(0.0),
         "_left": F.when(
             F.col("share") < 1,
             _square_sum(F.slice("at", count + 1, F.size("at") - count)) / (1 - F.col("share")) / (1 - F.col("share")),
         ).otherwise(0.0),
+        "_loose": F.when(
+            (F.col("share") > 0) & (F.col("share") < 1),
+            F.get("loose", F.col("known")) / (1 - F.col("share")) / (1 - F.col("share")),
+        ).otherwise(0.0),
     })
     k = spec.level_shape
     prior, own = F.col("prior"), F.col("share") * F.col("prior")
     weight = own / (1 + F.col("spread") * own * F.col("_seen"))
     level = F.when(F.col("share") > 0, (k * prior + weight * F.col("observed") / F.col("share")) / (k + weight)).otherwise(prior)
     certain = F.col("observed") / (1 + F.col("spread") * F.col("observed") * F.col("_seen"))
-    shape = 1 / (1 / (k / (1 + F.col("ahead")) + certain) + F.col("spread") * F.col("_left"))
+    of_level = 1 / (k / (1 + F.col("ahead")) + certain) + F.col("on") * F.col("on") * F.col("slope_var")
+    rows = rows.withColumns({"level": level, "_level": of_level}).withColumns({
+        "remaining": F.col("level") * (1 - F.col("share")),
+        "shape": 1 / (F.col("_level") + F.col("spread") * F.col("_left") + F.col("_loose")),
+    })
+    variance = 1 / F.col("shape") + 1 / F.col("remaining")
+    part = lambda c: F.when(F.col("remaining") > 0, F.col(c) / variance).otherwise(0.0)
     return rows.select(
-        *keys, "Time", "dt_event", "unfinished", "observed", level.alias("level"),
-        (level * (1 - F.col("share"))).alias("remaining"), shape.alias("shape"),
+        *keys, "Time", "dt_event", "unfinished", "observed", "level", "remaining", "shape", "ahead",
+        part("_level").alias("level_part"), part("_loose").alias("delay_part"), "slope",
     )
 
 
 def fit_table(
     triangle: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """The estimates in long form (stratum, term, index, value): share by delay, level by week."""
+    """The estimates in long form (stratum, term, index, value): share by delay, level by week, and with a
+    trend the growth by week."""
     keys = _strata(triangle, series_cols)
     shares = _shares(delay_hazards(triangle, spec, series_cols=series_cols), keys).select(
         *keys, F.lit("delay").alias("term"), F.posexplode("at").alias("index", "value")
     )
-    levels = fit_delay_model(triangle, spec, series_cols=series_cols).select(
-        *keys, F.lit("time").alias("term"), F.col("Time").alias("index"), F.col("level").alias("value")
-    )
+    fitted = fit_delay_model(triangle, spec, series_cols=series_cols)
+    terms = {"time": "level"} | ({"slope": "slope"} if spec.time_effect == "trend" else {})
+    listed = F.explode(F.array(*[
+        F.struct(F.lit(term).alias("term"), F.col(c).alias("value")) for term, c in terms.items()
+    ])).alias("t")
+    levels = fitted.select(*keys, "Time", listed).select(*keys, "t.term", F.col("Time").alias("index"), "t.value")
     return shares.unionByName(levels)

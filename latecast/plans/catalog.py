@@ -411,6 +411,19 @@ def forecast_k(spark, sf):
     return _rounded(_nowcast(spark, sf, series_cols=SERIES, horizon=2).total)
 
 
+TREND = ModelSpec(time_effect="trend")
+
+
+def forecast_trend(spark, sf):
+    """Three weeks ahead, which go on with each series' growth."""
+    return _rounded(_nowcast(spark, sf, series_cols=SERIES, horizon=3, spec=TREND).total)
+
+
+def growth_table(spark, sf):
+    """Shares, levels and growth of every series."""
+    return _rounded(_nowcast(spark, sf, series_cols=SERIES, horizon=3, spec=TREND).output)
+
+
 def nowcast_window_total(spark, sf):
     """Summary of the whole window."""
     run = _nowcast(spark, sf, series_cols=SERIES)
@@ -523,6 +536,7 @@ CHECKED: list[Query] = [
     dispersion_check, zero_case_strata, phase_label,
     trajectory_checks, trajectory_checks_by_age, situation_table_forecast,
     nowcast_total, nowcast_by_age, nowcast_by_series, nowcast_many_series, nowcast_pruned, nowcast_blank_strata, forecast_k,
+    forecast_trend, growth_table,
     nowcast_window_total, nowcast_long_level, trajectories, trajectories_by_age, nowcast_trend, fit_table,
 ]
 #: Chains of several jobs; the tests check their properties.

@@ -349,20 +349,68 @@ cut AS (SELECT tri.* FROM tri JOIN (SELECT g, max(dt_event) AS last FROM tri GRO
         WHERE dt_event >= last - 84 AND delay <= 10)"""
 
 
-def _fit(*, weeks: int = 2, shape: float = 5.0) -> str:
+def _growth(key: str) -> str:
+    """CTEs ``gw``, ``rc``: the discounted sums of every week from those of the week before."""
+    slope = "(s0 * x1 - s1 * x0) / (s0 * (s2 + 1 / 0.0225::DOUBLE) - s1 * s1)"
+    return f"""
+gw AS (SELECT {key}, "Time", CASE WHEN share > 0 THEN (observed + share) / (1 + (observed + share) / 20)
+                ELSE 0 END AS w, CASE WHEN share > 0 THEN ln(observed / share + 0.5::DOUBLE) ELSE 0 END AS x
+       FROM wq),
+rc AS (SELECT {key}, "Time", w AS s0, 0::DOUBLE AS s1, 0::DOUBLE AS s2, w * x AS x0, 0::DOUBLE AS x1
+       FROM gw WHERE "Time" = 1
+       UNION ALL
+       SELECT gw.g, gw.age_class, gw."Time", s0 * 0.8::DOUBLE + w, (s1 - s0) * 0.8::DOUBLE,
+              (s2 - 2 * s1 + s0) * 0.8::DOUBLE, x0 * 0.8::DOUBLE + w * x, (x1 - x0) * 0.8::DOUBLE
+       FROM rc JOIN gw ON gw.g = rc.g AND gw.age_class = rc.age_class AND gw."Time" = rc."Time" + 1),
+sl AS (SELECT {key}, "Time", CASE WHEN s0 > 0 THEN {slope} ELSE 0 END AS slope,
+              CASE WHEN s0 > 0 THEN s0 / (s0 * (s2 + 1 / 0.0225::DOUBLE) - s1 * s1) ELSE 0.0225 END AS slope_var
+       FROM rc),
+wr AS (SELECT wq.*, slope, slope_var FROM wq JOIN sl USING ({key}, "Time")),"""
+
+
+def _fit(*, weeks: int = 2, shape: float = 5.0, trend: bool = False) -> str:
     """CTEs from ``tri`` to ``est``: g, age_class, Time, dt_event, unfinished, observed, level,
     remaining, shape; and ``sh`` with the shares."""
     key = "g, age_class"
+    ahead = (f'greatest(0, "Time" - max("Time") FILTER (WHERE known IS NOT NULL) OVER (PARTITION BY {key}))')
+    if trend:
+        shares = " + ".join(
+            f"coalesce(lag(share, {j}) OVER p, 0) * exp(slope * -{j})" for j in range(1, weeks + 1))
+        cases = " + ".join(f"coalesce(lag(observed, {j}) OVER p, 0)" for j in range(1, weeks + 1))
+        levels = f"""{_growth(key)}
+wm AS (SELECT *, CASE WHEN known IS NOT NULL THEN
+               (observed + {cases} + 0.05::DOUBLE) / (share + {shares} + 0.1::DOUBLE) END AS mean,
+              {ahead} AS ahead
+       FROM wr WINDOW p AS (PARTITION BY {key} ORDER BY "Time")),
+wp0 AS (SELECT * REPLACE (last_value(CASE WHEN known IS NOT NULL THEN slope END IGNORE NULLS) OVER p AS slope,
+               last_value(CASE WHEN known IS NOT NULL THEN slope_var END IGNORE NULLS) OVER p AS slope_var),
+              0.9::DOUBLE * (1 - pow(0.9::DOUBLE, ahead)) / (1 - 0.9::DOUBLE) AS onward,
+              last_value(mean IGNORE NULLS) OVER p AS last_mean
+        FROM wm WINDOW p AS (PARTITION BY {key} ORDER BY "Time")),
+wp AS (SELECT *, last_mean * exp(slope * onward) AS prior FROM wp0),"""
+        slope_part = " + onward * onward * slope_var"
+    else:
+        levels = f"""
+wm AS (SELECT *, CASE WHEN known IS NOT NULL THEN
+               (sum(observed) OVER n + 0.05::DOUBLE) / (sum(share) OVER n + 0.1::DOUBLE) END AS mean,
+              {ahead} AS ahead
+       FROM wq WINDOW n AS (PARTITION BY {key} ORDER BY "Time" ROWS BETWEEN {weeks} PRECEDING AND CURRENT ROW)),
+wp AS (SELECT *, last_value(mean IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY "Time") AS prior, 0 AS slope
+       FROM wm),"""
+        slope_part = ""
     return f"""
 hz AS (SELECT {key}, delay, coalesce(sum("Y"), 0) AS num, coalesce(sum(so_far), 0) AS den
        FROM (SELECT *, CASE WHEN "Y" IS NOT NULL THEN sum("Y") OVER (
                PARTITION BY {key}, "Time" ORDER BY delay) END AS so_far FROM tri) GROUP BY {key}, delay),
 hp AS (SELECT *, sum(num) OVER (PARTITION BY g, delay) AS an, sum(den) OVER (PARTITION BY g, delay) AS ad
        FROM hz),
-hd AS (SELECT {key}, delay, (num + 10 * CASE WHEN ad > 0 THEN an / ad ELSE 0 END) / (den + 10) AS hazard
-       FROM hp),
-sb AS (SELECT {key}, delay, coalesce(product(1 - hazard) OVER (PARTITION BY {key} ORDER BY delay
-               ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS upto FROM hd),
+hd AS (SELECT {key}, delay, (num + 10 * CASE WHEN ad > 0 THEN an / ad ELSE 0 END) / (den + 10) AS hazard,
+              den + 10 AS seen FROM hp),
+sb AS (SELECT {key}, delay, coalesce(product(1 - hazard) OVER later, 1) AS upto,
+              coalesce(sum(CASE WHEN hazard < 1 THEN hazard / (1 - hazard) / seen ELSE 0 END) OVER later, 0)
+                AS loose
+       FROM hd WINDOW later AS (PARTITION BY {key} ORDER BY delay
+                                ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 sa_ AS (SELECT *, upto - coalesce(lag(upto) OVER (PARTITION BY {key} ORDER BY delay), 0) AS part FROM sb),
 sh AS (SELECT *, sum(part * part) OVER (PARTITION BY {key} ORDER BY delay) AS seen_sq,
               coalesce(sum(part * part) OVER (PARTITION BY {key} ORDER BY delay
@@ -371,16 +419,10 @@ sh AS (SELECT *, sum(part * part) OVER (PARTITION BY {key} ORDER BY delay) AS se
 wk_ AS (SELECT {key}, "Time", dt_event, coalesce(sum("Y"), 0)::BIGINT AS observed,
                max(delay) FILTER (WHERE "Y" IS NOT NULL) AS known, bool_or("Y" IS NULL) AS unfinished
         FROM tri GROUP BY {key}, "Time", dt_event),
-wq AS (SELECT w.*, coalesce(upto, 0) AS share, coalesce(seen_sq, 0) AS seen_sq,
+wq AS (SELECT w.*, coalesce(upto, 0) AS share, coalesce(seen_sq, 0) AS seen_sq, coalesce(loose, 0) AS loose,
               coalesce(left_sq, (SELECT max(all_sq) FROM sh z WHERE z.g = w.g AND z.age_class = w.age_class))
                 AS left_sq
-       FROM wk_ w LEFT JOIN sh s ON s.g = w.g AND s.age_class = w.age_class AND s.delay = w.known),
-wm AS (SELECT *, CASE WHEN known IS NOT NULL THEN
-               (sum(observed) OVER n + 0.05::DOUBLE) / (sum(share) OVER n + 0.1::DOUBLE) END AS mean,
-              greatest(0, "Time" - max("Time") FILTER (WHERE known IS NOT NULL) OVER (PARTITION BY {key}))
-                AS ahead
-       FROM wq WINDOW n AS (PARTITION BY {key} ORDER BY "Time" ROWS BETWEEN {weeks} PRECEDING AND CURRENT ROW)),
-wp AS (SELECT *, last_value(mean IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY "Time") AS prior FROM wm),
+       FROM wk_ w LEFT JOIN sh s ON s.g = w.g AND s.age_class = w.age_class AND s.delay = w.known),{levels}
 re AS (SELECT t.g, t.age_class, t."Y",
               CASE WHEN w.share > 0 THEN w.observed * s.part / w.share ELSE 0 END AS mu
        FROM tri t JOIN wp w USING (g, age_class, "Time")
@@ -389,18 +431,42 @@ sp AS (SELECT {key}, CASE WHEN sum(mu * mu) > 0 THEN greatest(0, sum((t."Y" - mu
                 / sum(mu * mu)) ELSE 0 END AS spread FROM re t GROUP BY {key}),
 wl AS (SELECT w.*, spread, share * prior AS own,
               CASE WHEN share > 0 THEN seen_sq / share / share ELSE 0 END AS c_seen,
-              CASE WHEN share < 1 THEN left_sq / (1 - share) / (1 - share) ELSE 0 END AS c_left
+              CASE WHEN share < 1 THEN left_sq / (1 - share) / (1 - share) ELSE 0 END AS c_left,
+              CASE WHEN share > 0 AND share < 1 THEN loose / (1 - share) / (1 - share) ELSE 0 END AS v_delay
        FROM wp w JOIN sp USING (g, age_class)),
 wv AS (SELECT *, own / (1 + spread * own * c_seen) AS weight,
               observed / (1 + spread * observed * c_seen) AS certain FROM wl),
 lv AS (SELECT *, CASE WHEN share > 0 THEN ({shape} * prior + weight * observed / share) / ({shape} + weight)
               ELSE prior END AS level FROM wv),
-est AS (SELECT {key}, "Time", dt_event, unfinished, observed, level, level * (1 - share) AS remaining,
-               1 / (1 / ({shape} / (1 + ahead) + certain) + spread * c_left) AS shape FROM lv)"""
-
-
-def _draw(names: str, *, draws: int = 1000) -> str:
-    """CTEs from ``est`` to ``dr``: g, age_class, draw, Time, dt_event, Y. ``names`` are the keys as text."""
+va AS (SELECT *, level * (1 - share) AS remaining, 1 / ({shape} / (1 + ahead) + certain){slope_part} AS v_level FROM lv),
+est AS (SELECT {key}, "Time", dt_event, unfinished, observed, level, remaining, ahead, slope, {weeks} AS near,
+               1 / (v_level + spread * c_left + v_delay) AS shape,
+               CASE WHEN remaining > 0 THEN v_level / (v_level + spread * c_left + v_delay + 1 / remaining)
+               ELSE 0 END AS p_level,
+               CASE WHEN remaining > 0 THEN v_delay / (v_level + spread * c_left + v_delay + 1 / remaining)
+               ELSE 0 END AS p_delay FROM va)"""
+
+
+def _gauss(text: str) -> str:
+    """A normal score from the digest of a text."""
+    half = lambda at: f"CAST('0x' || substr(md5({text}), {at}, 13) AS BIGINT)"
+    size = "4503599627370496.0::DOUBLE"
+    return f"sqrt(-2 * ln(({half(1)} + 1) / {size})) * cos({half(14)} / {size} * (2 * pi()))"
+
+
+def _moving(keys: str) -> str:
+    text = f"concat_ws('|', '1', 'level', {keys}, w, draw)"
+    weeks = 'range("Time" - ahead - near, "Time" + 1)'
+    return f"list_sum(list_transform({weeks}, lambda w: {_gauss(text)})) / sqrt(ahead + near + 1)"
+
+
+def _draw(names: str, *, series: str | None = None, draws: int = 1000) -> str:
+    """CTEs from ``est`` to ``dr``: g, age_class, draw, Time, dt_event, Y. ``names`` are the keys as text,
+    ``series`` those of the series if there are age classes too."""
+    levels = _moving(names) if series is None else (
+        f"sqrt(0.5) * {_moving(names)} + sqrt(0.5) * {_moving(series)}")
+    own = _gauss(f"""concat_ws('|', '1', {names}, op."Time", draw)""")
+    delays = _gauss(f"concat_ws('|', '1', 'delay', {series or names}, draw)")
     key = 'g, age_class, "Time"'
     return f"""
 op AS (SELECT e.* FROM est e JOIN (SELECT g, age_class, min("Time") AS first FROM est WHERE unfinished
@@ -416,11 +482,16 @@ ch AS (SELECT *, exp(lgamma(x + r) - lgamma(r) - lgamma(x + 1) + r * ln(r / (r +
 cu AS (SELECT *, sum(p) OVER (PARTITION BY {key} ORDER BY i) AS s FROM ch),
 ls AS (SELECT {key}, any_value(low) AS low, any_value(step) AS step, list(s ORDER BY i) AS sums
        FROM cu GROUP BY {key}),
-dw AS (SELECT op.g, op.age_class, op."Time", dt_event, observed, low, step, sums, draw,
-              CAST('0x' || substr(md5(concat_ws('|', '1', {names}, op."Time", draw)), 1, 13) AS BIGINT)
-                / 4503599627370496.0::DOUBLE * sums[-1] AS u
-       FROM op LEFT JOIN ls ON ls.g = op.g AND ls.age_class = op.age_class AND ls."Time" = op."Time",
-            (SELECT CAST(unnest(range(1, {draws + 1})) AS INTEGER) AS draw)),
+sc_ AS (SELECT op.g, op.age_class, op."Time", op.dt_event, observed, draw,
+               ({own}) * sqrt(greatest(0, 1 - p_level - p_delay))
+                 + (({levels}) * sqrt(p_level) + ({delays}) * sqrt(p_delay)) AS z
+        FROM op, (SELECT CAST(unnest(range(1, {draws + 1})) AS INTEGER) AS draw)),
+tl AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS t FROM sc_),
+nc AS (SELECT *, t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE
+                 + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))) * 0.3989422804014327::DOUBLE
+                 * exp(-z * z / 2) AS tail FROM tl),
+dw AS (SELECT nc.*, low, step, sums, CASE WHEN z < 0 THEN tail ELSE 1 - tail END * sums[-1] AS u
+       FROM nc LEFT JOIN ls ON ls.g = nc.g AND ls.age_class = nc.age_class AND ls."Time" = nc."Time"),
 pl AS (SELECT *, len(list_filter(sums, lambda z: z <= u)) AS place FROM dw),
 dr AS (SELECT g, age_class, draw, "Time", dt_event,
               observed + CASE WHEN sums IS NULL THEN 0 ELSE CAST(low + place * step + floor(
@@ -436,7 +507,7 @@ def _nowcasts(nations: str) -> dict[str, str]:
     week = '"Time", dt_event'
     one = f"{_triangle()}, {_fit()}, {_draw('NULL')}"
     each = f"{_triangle(series=True)}, {_fit()}, {_draw('op.g')}"
-    aged = f"{_triangle(limits=tens)}, {_fit()}, {_draw('op.age_class')}"
+    aged = f"{_triangle(limits=tens)}, {_fit()}, {_draw('op.age_class', series='NULL')}"
     q = {"nowcast_total": f"WITH {one} SELECT {week}, {five} FROM dr GROUP BY {week}"}
     q["nowcast_by_series"] = f"WITH {each} SELECT g AS series, {week}, {five} FROM dr GROUP BY g, {week}"
     q["nowcast_pruned"] = q["nowcast_by_series"]
@@ -448,6 +519,14 @@ def _nowcasts(nations: str) -> dict[str, str]:
         f"WITH {_triangle(series=True)}, {_fit(weeks=8, shape=2.0)}, {_draw('op.g', draws=200)} "
         f"SELECT g AS series, {week}, {five} FROM dr GROUP BY g, {week}"
     )
+    rising = f"WITH RECURSIVE {_triangle(series=True, k=3)}, {_fit(trend=True)}"
+    q["forecast_trend"] = (
+        f"{rising}, {_draw('op.g')} SELECT g AS series, {week}, {five} FROM dr GROUP BY g, {week}"
+    )
+    q["growth_table"] = f"""{rising}
+SELECT g AS series, 'delay' AS term, delay AS index, round(part, 6) AS value FROM sh
+UNION ALL SELECT g, 'time', "Time", round(level, 6) FROM est
+UNION ALL SELECT g, 'slope', "Time", round(slope, 6) FROM est"""
     label = lambda limits: "([" + ", ".join(
         [f"'{lo} - {hi - 1}'" for lo, hi in zip(limits, limits[1:-1])] + [f"'{limits[-2]}+'"]
     ) + "])[age_class] AS age_label"
@@ -458,7 +537,7 @@ def _nowcasts(nations: str) -> dict[str, str]:
     q["trajectories_by_age"] = (
         f'WITH {aged} SELECT age_class, {label(tens)}, draw, {week}, "Y" FROM dr'
     )
-    blank = f"{_triangle(series=True, limits=fives)}, {_fit()}, {_draw('op.g, op.age_class')}"
+    blank = f"{_triangle(series=True, limits=fives)}, {_fit()}, {_draw('op.g, op.age_class', series='op.g')}"
     q["nowcast_blank_strata"] = f"""WITH {blank},
 seen AS (SELECT g, age_class, coalesce(sum("Y"), 0) AS total FROM tri GROUP BY ALL),
 zb AS (SELECT g, age_class, {week}, CASE WHEN total = 0 THEN 0 ELSE "Y" END AS "Y"

@@ -104,6 +104,62 @@ def test_coverage(simulated, drawn):
     assert (limits["Median"] <= limits["LSb"]).all() and (limits["LSb"] <= limits["LS"]).all()
 
 
+def test_coverage_of_window_totals(spark):
+    """Sums over several weeks need the weeks' dependence: limits from independent weeks are too narrow."""
+    rng = np.random.default_rng(5)
+    truth, rows = {}, []
+    for i in range(300):
+        y = _complete(rng, level=rng.uniform(1.5, 5))
+        truth[f"s{i}"] = y.sum(axis=1)
+        rows += _rows(y, series=f"s{i}")
+    spec = ModelSpec(draws=400)
+    fitted = model.fit_delay_model(_frame(spark, rows), spec, series_cols=["series"]).persist()
+    alone = fitted.withColumns({"level_part": F.lit(0.0), "delay_part": F.lit(0.0)})
+    inside = {}
+    for name, table in (("together", fitted), ("alone", alone)):
+        paths = draws.trajectories(table, spec, series_cols=["series"]).persist()
+        for weeks in (3, 6):
+            late = paths.filter(F.col("Time") > WEEKS - weeks)
+            limits = summary.window_total(late, series_cols=["series"]).toPandas()
+            real = np.array([truth[s][WEEKS - weeks:].sum() for s in limits["series"]])
+            inside[name, weeks] = ((limits["LI"] <= real) & (real <= limits["LS"])).mean()
+    for weeks in (3, 6):
+        assert 0.90 <= inside["together", weeks] <= 0.99
+        assert inside["alone", weeks] < inside["together", weeks] - 0.03
+
+
+def test_weeks_of_a_draw_move_together(drawn):
+    last = drawn.filter(F.col("Time") > WEEKS - 3)
+    wide = last.groupBy("series", "draw").pivot("Time").agg(F.first("Y")).toPandas()
+    found = []
+    for _, paths in wide.groupby("series"):
+        rank = paths.drop(columns=["series", "draw"]).rank().corr().to_numpy()
+        found.append((rank[2, 1], rank[1, 0], rank[2, 0]))
+    near, earlier, far = np.median(found, axis=0)
+    assert near > 0.2 and earlier > 0.15 and far < near
+
+
+def test_scores_are_normal(spark):
+    """Whatever the parts, a score is standard normal, and correlations are those of the parts."""
+    rows = spark.createDataFrame(
+        [(t, 0, a, d) for t in (5, 6, 9) for a, d in ((0.0, 0.0), (0.6, 0.3), (0.0, 1.0), (1.0, 0.0))],
+        "Time int, ahead int, level_part double, delay_part double",
+    ).withColumn("z", draws._scores(ModelSpec(draws=4000), [F.lit("s")], [F.lit("s")]))
+    z = {(r["Time"], r["level_part"], r["delay_part"]): np.array(r["z"]) for r in rows.collect()}
+    for x in z.values():
+        assert abs(x.mean()) < 0.06 and abs(x.std() - 1) < 0.05
+    corr = lambda a, b: np.corrcoef(a, b)[0, 1]
+    assert abs(corr(z[5, 0.0, 0.0], z[6, 0.0, 0.0])) < 0.06
+    assert corr(z[5, 0.0, 1.0], z[9, 0.0, 1.0]) > 0.999
+    assert abs(corr(z[5, 1.0, 0.0], z[6, 1.0, 0.0]) - 2 / 3) < 0.05
+    assert abs(corr(z[5, 1.0, 0.0], z[9, 1.0, 0.0])) < 0.06
+    assert abs(corr(z[5, 0.6, 0.3], z[6, 0.6, 0.3]) - (0.6 * 2 / 3 + 0.3)) < 0.05
+    cdf = spark.createDataFrame([(x,) for x in (-8.0, -2.5, -0.3, 0.0, 0.7, 1.96, 6.0)], "x double")
+    got = [r[0] for r in cdf.select(draws.normal_cdf(F.col("x"))).collect()]
+    want = [0.5 * math.erfc(-x / math.sqrt(2)) for x in (-8.0, -2.5, -0.3, 0.0, 0.7, 1.96, 6.0)]
+    assert got == pytest.approx(want, abs=1e-7)
+
+
 def test_draws_are_whole_and_never_below_what_is_known(simulated, drawn):
     table, _ = simulated
     known = triangle.observed_from_first_unknown(table, series_cols=["series"])
@@ -152,6 +208,60 @@ def test_median_is_near_the_development_factors(simulated, drawn):
     assert 0.75 < np.median(ratios) < 1.33
 
 
+def _plain_growth(observed, share, discount=0.8):
+    """Weighted least squares of each week's past, written out."""
+    out = []
+    for t in range(len(observed)):
+        a = np.arange(-t, 1)
+        seen = observed[:t + 1] + share[:t + 1]
+        w = np.where(share[:t + 1] > 0, seen / (1 + seen / 20), 0) * discount ** -a
+        x = np.log(np.where(share[:t + 1] > 0, observed[:t + 1] / np.maximum(share[:t + 1], 1e-9), 0) + 0.5)
+        left = np.array([[w.sum(), (w * a).sum()], [(w * a).sum(), (w * a * a).sum() + 1 / 0.15**2]])
+        out.append(np.linalg.solve(left, [(w * x).sum(), (w * a * x).sum()])[1])
+    return out
+
+
+def test_growth_is_weighted_least_squares(spark):
+    rng = np.random.default_rng(2)
+    for name in ("a", None):
+        observed, share = rng.poisson(20, 18), np.concatenate([np.ones(12), np.linspace(0.9, 0, 6)])
+        rows = [(name, t + 1, int(y), float(p)) for t, (y, p) in enumerate(zip(observed, share))]
+        weekly = spark.createDataFrame(rows, "series string, Time int, observed long, share double")
+        got = model.growth(weekly.repartition(4), keys=["series"]).orderBy("Time").collect()
+        assert [r["slope"] for r in got] == pytest.approx(_plain_growth(observed, share), abs=1e-9)
+        assert all(r["slope_var"] <= 0.15**2 + 1e-12 for r in got) and {r["series"] for r in got} == {name}
+    empty = spark.createDataFrame([("z", t, 0, 0.0) for t in (1, 2)], weekly.schema)
+    assert [r["slope"] for r in model.growth(empty, keys=["series"]).collect()] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("rate", [0.12, -0.1])
+def test_forecast_follows_the_trend(spark, rate):
+    """Four weeks ahead of series that rise or fall steadily: the trend goes on, the mean level does not."""
+    rng = np.random.default_rng(3)
+    truth, rows = {}, []
+    for i in range(60):
+        weeks = np.arange(WEEKS + 4)
+        share = np.exp(-0.45 * np.arange(DELAYS))
+        mean = 60 * np.exp(rate * (weeks - WEEKS / 2))[:, None] * share / share.sum()
+        y = rng.poisson(rng.gamma(20, mean / 20))
+        truth[f"s{i}"] = y.sum(axis=1)
+        rows += _rows(np.concatenate([y]), horizon=4, series=f"s{i}")
+    table = _frame(spark, rows)
+    error = {}
+    for effect in ("level", "trend"):
+        spec = ModelSpec(draws=300, time_effect=effect, level_shape=40.0)
+        paths = draws.trajectories(
+            model.fit_delay_model(table, spec, series_cols=["series"]), spec, series_cols=["series"])
+        limits = summary.weekly_summary(paths, series_cols=["series"]).filter(F.col("Time") > WEEKS).toPandas()
+        real = np.array([truth[s][t - 1] for s, t in zip(limits["series"], limits["Time"])])
+        error[effect] = np.median(np.abs(np.log(limits["Median"] + 0.5) - np.log(real + 0.5)))
+        inside = ((limits["LI"] <= real) & (real <= limits["LS"])).mean()
+        if effect == "trend":
+            assert inside >= 0.93
+            assert abs(np.median(np.log(limits["Median"] + 0.5) - np.log(real + 0.5))) < 0.15
+    assert error["trend"] < 0.7 * error["level"]
+
+
 def test_forecast_widens(spark):
     y = _complete(np.random.default_rng(4), level=4)
     fitted = model.fit_delay_model(_frame(spark, _rows(y, horizon=4)))
@@ -192,6 +302,15 @@ def test_age_classes(aged):
     assert blank.filter("age_class = 9 and Y <> 0").isEmpty()
     assert blank.filter("age_class <> 9").exceptAll(paths.filter("age_class <> 9")).isEmpty()
 
+    # Classes of a series share part of their levels' error, so their sum is wider than without.
+    def spread(share):
+        alike = ModelSpec(class_share=share)
+        sums = summary.total_samples(draws.trajectories(model.fit_delay_model(table, alike), alike, by_age=True))
+        last = sums.filter(F.col("Time") == WEEKS).agg(F.stddev("Y")).first()[0]
+        return last
+
+    assert spread(1.0) > 1.1 * spread(0.0)
+
     terms = model.fit_table(table).toPandas()
     assert set(terms["term"]) == {"time", "delay"}
     shares = terms[terms["term"] == "delay"].groupby("age_class")["value"].sum()
@@ -224,6 +343,12 @@ def test_options_are_checked():
         ModelSpec(level_weeks=-1)
     with pytest.raises(ValueError, match="prior_cases"):
         ModelSpec(prior_cases=0)
+    with pytest.raises(ValueError, match="time_effect"):
+        ModelSpec(time_effect="iid")
+    with pytest.raises(ValueError, match="discount"):
+        ModelSpec(discount=1.0)
+    with pytest.raises(ValueError, match="class_share"):
+        ModelSpec(class_share=1.5)
     with pytest.raises(ValueError, match="draws"):
         ModelSpec(draws=0)
 
