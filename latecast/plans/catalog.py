@@ -5,6 +5,7 @@ Computed doubles are rounded here, so that engines which add up in another order
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from latecast.operators import (
 from latecast.operators.keys import attach, join_on
 from latecast.operators.model import ModelSpec
 from latecast.operators.weekly import WeekRule
-from latecast.plans import situation, tables
+from latecast.plans import scores, situation, tables
 from latecast.plans.nowcast import nowcast
 from latecast.sources import readers
 
@@ -424,6 +425,31 @@ def growth_table(spark, sf):
     return _rounded(_nowcast(spark, sf, series_cols=SERIES, horizon=3, spec=TREND).output)
 
 
+AS_OF_DAYS = [dt.date.fromisoformat(tables.AS_OF) - dt.timedelta(14 * i) for i in range(10)]
+SETTINGS = {"level": ModelSpec(), "trend": TREND}
+
+
+def _scores(spark, sf, specs=None) -> DataFrame:
+    return scores.score_weeks(
+        tables.line_list(spark, sf), "onset", "report", AS_OF_DAYS, series_cols=SERIES, specs=specs
+    )
+
+
+def score_weeks(spark, sf):
+    """Scores of every week as estimated on ten days."""
+    return _rounded(_scores(spark, sf))
+
+
+def score_by_as_of(spark, sf):
+    """Mean scores of two settings on ten days."""
+    return _rounded(scores.mean_scores(_scores(spark, sf, SETTINGS)))
+
+
+def score_by_age_of_week(spark, sf):
+    """The same by how old the estimated week was."""
+    return _rounded(scores.mean_scores(_scores(spark, sf, SETTINGS), ["setting", "back"]))
+
+
 def nowcast_window_total(spark, sf):
     """Summary of the whole window."""
     run = _nowcast(spark, sf, series_cols=SERIES)
@@ -536,7 +562,7 @@ CHECKED: list[Query] = [
     dispersion_check, zero_case_strata, phase_label,
     trajectory_checks, trajectory_checks_by_age, situation_table_forecast,
     nowcast_total, nowcast_by_age, nowcast_by_series, nowcast_many_series, nowcast_pruned, nowcast_blank_strata, forecast_k,
-    forecast_trend, growth_table,
+    forecast_trend, growth_table, score_weeks, score_by_as_of, score_by_age_of_week,
     nowcast_window_total, nowcast_long_level, trajectories, trajectories_by_age, nowcast_trend, fit_table,
 ]
 #: Chains of several jobs; the tests check their properties.

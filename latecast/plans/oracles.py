@@ -501,6 +501,47 @@ dr AS (SELECT g, age_class, draw, "Time", dt_event,
 
 
 
+def _score_sql() -> dict[str, str]:
+    """Ten as-of days in one query: the day is part of the series' name."""
+    lines = f"""{_LINES.replace("ll AS (", "l0 AS (")},
+ao AS (SELECT DATE '{AS_OF}' - CAST(14 * i AS INTEGER) AS a FROM range(10) t(i)),
+ll AS (SELECT l0.* REPLACE (series || '/' || a AS series) FROM l0 JOIN ao ON report <= a)"""
+    head = _triangle(as_of=None, series=True).replace(_LINES, lines)
+    keys = "split_part(op.g, '/', 1), split_part(op.g, '/', 2)"
+    low = {name: f"quantile_cont(\"Y\", {p})" for name, p in LIMITS.items()}
+    missed = lambda a, b: f"greatest(0, {a} - later) + greatest(0, later - {b})"
+    scored = f"""
+pd AS (SELECT series, onset, count(*) AS n FROM l0 GROUP BY ALL),
+qs AS (SELECT g, dt_event, list_sort(list("Y")) AS ys, {', '.join(f'{e} AS "{n}"' for n, e in low.items())}
+       FROM dr GROUP BY g, dt_event),
+tr AS (SELECT qs.g, qs.dt_event, coalesce(sum(n), 0)::BIGINT AS later
+       FROM qs LEFT JOIN pd ON pd.series = split_part(qs.g, '/', 1)
+        AND pd.onset BETWEEN qs.dt_event AND qs.dt_event + 6 GROUP BY ALL),
+so AS (SELECT split_part(g, '/', 1) AS series, CAST(split_part(g, '/', 2) AS DATE) AS as_of, dt_event,
+              CAST((max(dt_event) OVER (PARTITION BY g) - dt_event) // 7 AS INTEGER) AS back, later,
+              list_sum(list_transform(ys, lambda x: abs(x - later)))::BIGINT / len(ys)
+                - list_sum(list_transform(range(1, len(ys) + 1), lambda i: (2 * i - len(ys) - 1) * ys[i]))::BIGINT
+                  / (len(ys) * len(ys)) AS crps,
+              "LS" - "LI" + ({missed('"LI"', '"LS"')}) * (2 / (1 - 0.95::DOUBLE)) AS interval_95,
+              "LSb" - "LIb" + ({missed('"LIb"', '"LSb"')}) * (2 / (1 - 0.5::DOUBLE)) AS interval_50,
+              later BETWEEN "LI" AND "LS" AS covered_95, later BETWEEN "LIb" AND "LSb" AS covered_50
+       FROM qs JOIN tr USING (g, dt_event))"""
+    level = f"{head}, {_fit()}, {_draw(keys)}, {scored}"
+    trend = f"{head}, {_fit(trend=True)}, {_draw(keys)}, {scored}"
+    rounded = ", ".join(f"round({c}, 6) AS {c}" for c in ("crps", "interval_95", "interval_50"))
+    means = ", ".join(
+        [f"round(avg({c}), 6) AS {c}" for c in ("crps", "interval_95", "interval_50")]
+        + [f"round(avg({c}::INTEGER), 6) AS {c}" for c in ("covered_95", "covered_50")])
+    both = lambda by: " UNION ALL ".join(
+        f"(WITH RECURSIVE {sql} SELECT '{name}' AS setting, {by}, count(*) AS weeks, {means} FROM so GROUP BY {by})"
+        for name, sql in (("level", level), ("trend", trend)))
+    return {
+        "score_weeks": f"WITH {level} SELECT series, as_of, 'default' AS setting, dt_event, back, later, {rounded}, "
+                       "covered_95, covered_50 FROM so",
+        "score_by_as_of": both("as_of"), "score_by_age_of_week": both("back"),
+    }
+
+
 def _nowcasts(nations: str) -> dict[str, str]:
     five = _quantiles('"Y"', LIMITS)
     tens, fives = TEN_YEARS, FIVE_YEARS
@@ -527,6 +568,7 @@ def _nowcasts(nations: str) -> dict[str, str]:
 SELECT g AS series, 'delay' AS term, delay AS index, round(part, 6) AS value FROM sh
 UNION ALL SELECT g, 'time', "Time", round(level, 6) FROM est
 UNION ALL SELECT g, 'slope', "Time", round(slope, 6) FROM est"""
+    q |= _score_sql()
     label = lambda limits: "([" + ", ".join(
         [f"'{lo} - {hi - 1}'" for lo, hi in zip(limits, limits[1:-1])] + [f"'{limits[-2]}+'"]
     ) + "])[age_class] AS age_label"
