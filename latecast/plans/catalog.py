@@ -353,11 +353,8 @@ def zero_case_strata(spark, sf):
     days = _days(spark, sf, age="age", series=SERIES, bins="5 years")
     table = triangle.delay_triangle(days, series_cols=SERIES)
     zero = triangle.zero_case_strata(table, series_cols=SERIES)
-    cells = table.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(20)))).select(
-        "series", "age_class", "draw", "Time", "delay",
-        (F.col("draw") + F.col("Time") + F.col("delay")).cast("long").alias("Y"),
-    )
-    return draws.blank_zero_strata(cells, zero, series_cols=SERIES)
+    drawn = tables.formula_draws(spark, sf, by_age=True, bins="5 years")
+    return draws.blank_zero_strata(drawn, zero, series_cols=SERIES)
 
 
 def phase_label(spark, sf):

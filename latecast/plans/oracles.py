@@ -842,12 +842,10 @@ WHERE dt_event < start UNION ALL SELECT g, draw, dt_event, "Y" FROM dr"""
 SELECT g AS series, bool_and("LS" / ("Median" + 1) < 2) AS consistent
 FROM rep JOIN (SELECT g, max(dt_event) AS last FROM rep GROUP BY g) USING (g)
 WHERE dt_event = last GROUP BY g"""
-    newest = _triangle(series=True, limits=presets["5 years"])
-    q["zero_case_strata"] = f"""WITH {newest},
+    q["zero_case_strata"] = f"""WITH {_draws(age_limits=FIVE_YEARS)},
 seen AS (SELECT g, age_class, coalesce(sum("Y"), 0) AS total FROM tri GROUP BY ALL)
-SELECT g AS series, age_class, CAST(draw AS INTEGER) AS draw, "Time", delay,
-       {_bigint('CASE WHEN total = 0 THEN 0 ELSE draw + "Time" + delay END')} AS "Y"
-FROM tri JOIN seen USING (g, age_class), (SELECT unnest(range(1, 21)) AS draw)"""
+SELECT g AS series, age_class, draw, "Time", dt_event, CASE WHEN total = 0 THEN 0 ELSE "Y" END AS "Y"
+FROM dr JOIN seen USING (g, age_class)"""
     q["phase_label"] = f"""WITH {_triangle(k=2)}
 SELECT "Time", dt_event, count("Y") AS known,
        CASE WHEN "Time" <= max(last_time) THEN 'nowcast' ELSE 'forecast' END AS phase

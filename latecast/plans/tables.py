@@ -13,9 +13,10 @@ from latecast.functions import weeks
 from latecast.operators import triangle, weekly
 from latecast.operators.curves import as_of
 from latecast.operators.keys import attach, join_on
+from latecast.operators.model import ModelSpec
 
 AS_OF = "2001-06-20"
-FORMULA_DRAWS = 200
+FORMULA_DRAWS = ModelSpec().draws
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
