@@ -15,6 +15,9 @@ and classes and never on the size of the line list. A stratum is a series, or an
   no growth as if that were known to ``SLOPE_SD``. Earlier weeks are brought forward by it, weeks ahead
   go on with it, less by ``damping`` each week, and its variance adds to theirs.
 * Spread: the excess of squared residuals over the Poisson's, as a share of the squared mean.
+* With ``level_shape=None`` or ``prior_cases=None`` these two come from the data, by moments over all series and
+  classes: how far settled weeks lie from the mean of the weeks before them, beyond Poisson noise, and how
+  far the hazards of classes lie from those of their series, beyond binomial noise.
 * What several weeks share: the hazards are the same for all of them, and the levels of neighbouring weeks come
   from the same reports. ``level_part`` and ``delay_part`` are the shares of these two in the variance of what
   is missing; draws use them to move together.
@@ -32,6 +35,8 @@ from latecast.operators.keys import attach, join_on
 
 PSEUDO_WEEKS, PSEUDO_CASES = 0.1, 0.05
 TIME_EFFECTS = ("level", "trend")
+SHAPES = (0.5, 500.0)  # estimates stay between these two
+PRIORS = (1.0, 1000.0)
 SLOPE_SD = 0.15  # of a week's growth, beforehand
 WEEK_CASES = 20.0  # a week says no more about growth than so many cases
 
@@ -42,8 +47,8 @@ class ModelSpec:
     levels the age classes of a series have in common."""
 
     level_weeks: int = 2
-    level_shape: float = 5.0
-    prior_cases: float = 10.0
+    level_shape: float | None = 5.0
+    prior_cases: float | None = 10.0
     class_share: float = 0.5
     time_effect: str = "level"
     discount: float = 0.8
@@ -54,8 +59,8 @@ class ModelSpec:
     def __post_init__(self) -> None:
         if self.level_weeks < 0:
             raise ValueError("level_weeks must be 0 or more")
-        if not (self.level_shape > 0 and self.prior_cases > 0):
-            raise ValueError("level_shape and prior_cases must be positive")
+        if any(x is not None and not x > 0 for x in (self.level_shape, self.prior_cases)):
+            raise ValueError("level_shape and prior_cases must be positive, or None to be estimated")
         if self.time_effect not in TIME_EFFECTS:
             raise ValueError(f"time_effect must be one of {', '.join(TIME_EFFECTS)}")
         if not (0 < self.discount < 1 and 0 < self.damping < 1):
@@ -70,11 +75,8 @@ def _strata(triangle: DataFrame, series_cols: Sequence[str]) -> list[str]:
     return [*series_cols, *(["age_class"] if "age_class" in triangle.columns else [])]
 
 
-def delay_hazards(
-    triangle: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
-) -> DataFrame:
-    """(stratum, delay, hazard, seen): the chance of being reported at a delay, given not later, and the
-    cases that say so."""
+def _seen(triangle: DataFrame, series_cols: Sequence[str]) -> DataFrame:
+    """(stratum, delay): cases at the delay (num) and by it (den), of the stratum and of its series (_num, _den)."""
     keys = _strata(triangle, series_cols)
     so_far = Window.partitionBy(*keys, "Time").orderBy("delay")
     cells = triangle.withColumn("_by", F.when(F.col("Y").isNotNull(), F.sum("Y").over(so_far)))
@@ -82,13 +84,71 @@ def delay_hazards(
         F.coalesce(F.sum("Y"), F.lit(0)).alias("num"), F.coalesce(F.sum("_by"), F.lit(0)).alias("den")
     )
     together = Window.partitionBy(*series_cols, "delay")
-    seen = (F.col("den") + spec.prior_cases).alias("seen")
-    pooled = own.withColumns({
-        "_num": F.sum("num").over(together), "_den": F.sum("den").over(together),
-    })
+    return own.withColumns({"_num": F.sum("num").over(together), "_den": F.sum("den").over(together)})
+
+
+def _between(value: Column, limits: tuple[float, float]) -> Column:
+    return F.greatest(F.lit(limits[0]), F.least(F.lit(limits[1]), value))
+
+
+def estimated_prior(triangle: DataFrame, *, series_cols: Sequence[str] = ()) -> DataFrame:
+    """One row, prior_cases: what makes the classes' hazards scatter about their series' as they do.
+
+    Beta-binomial moments: of n cases a squared deviation is expected to be n h (1 - h) (1 + (n - 1) / (c + 1)).
+    Without classes that differ, or without cases, it is the upper limit.
+    """
+    cells = _seen(triangle, series_cols).where("delay > 0 and den > 1 and _num > 0 and _num < _den")
+    pooled = F.col("_num") / F.col("_den")
+    binomial = pooled * (1 - pooled)
+    off = F.col("num") / F.col("den") - pooled
+    sums = cells.agg(
+        F.sum(F.col("den") * off * off).alias("a"), F.sum(binomial).alias("b"),
+        F.sum(binomial * (F.col("den") - 1)).alias("c"),
+    )
+    rho = (F.col("a") - F.col("b")) / F.col("c")
+    return sums.select(
+        F.when(rho > 0, _between(1 / rho - 1, PRIORS)).otherwise(PRIORS[1]).alias("prior_cases")
+    )
+
+
+def estimated_shape(
+    triangle: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
+) -> DataFrame:
+    """One row, level_shape: how settled weeks scatter about the mean of the ``level_weeks`` + 1 before them.
+
+    The squared deviation is expected to be m + m / weeks + m^2 / shape. Weeks count if they and those
+    before them are known to the last delay. Without such weeks, or excess, it is the upper limit.
+    """
+    keys = _strata(triangle, series_cols)
+    weekly = triangle.groupBy(*keys, "Time").agg(
+        F.coalesce(F.sum("Y"), F.lit(0)).alias("y"), F.max(F.col("Y").isNull()).alias("open")
+    )
+    n = spec.level_weeks + 1
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("Time").rowsBetween(-n, -1)
+    weekly = weekly.withColumns({"m": F.avg("y").over(before), "_n": F.count(F.lit(1)).over(before)})
+    settled = weekly.where(~F.col("open") & (F.col("_n") == n))
+    m = F.col("m")
+    sums = settled.agg(
+        F.sum((F.col("y") - m) * (F.col("y") - m) - m - m / n).alias("a"), F.sum(m * m).alias("b")
+    )
+    return sums.select(F.when(
+        F.col("a") > 0, _between(F.col("b") / F.col("a"), SHAPES)
+    ).otherwise(SHAPES[1]).alias("level_shape"))
+
+
+def delay_hazards(
+    triangle: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
+) -> DataFrame:
+    """(stratum, delay, hazard, seen): the chance of being reported at a delay, given not later, and the
+    cases that say so."""
+    keys = _strata(triangle, series_cols)
+    prior = F.lit(spec.prior_cases)
+    if spec.prior_cases is None:
+        prior = estimated_prior(triangle, series_cols=series_cols).scalar()
+    pooled = _seen(triangle, series_cols).withColumn("prior", prior)
     all_classes = F.when(F.col("_den") > 0, F.col("_num") / F.col("_den")).otherwise(0.0)
-    hazard = (F.col("num") + spec.prior_cases * all_classes) / (F.col("den") + spec.prior_cases)
-    return pooled.select(*keys, "delay", hazard.alias("hazard"), seen)
+    hazard = (F.col("num") + F.col("prior") * all_classes) / (F.col("den") + F.col("prior"))
+    return pooled.select(*keys, "delay", hazard.alias("hazard"), (F.col("den") + F.col("prior")).alias("seen"))
 
 
 def _shares(hazards: DataFrame, keys: list[str]) -> DataFrame:
@@ -224,7 +284,10 @@ def fit_delay_model(
             F.get("loose", F.col("known")) / (1 - F.col("share")) / (1 - F.col("share")),
         ).otherwise(0.0),
     })
-    k = spec.level_shape
+    shape = F.lit(spec.level_shape)
+    if spec.level_shape is None:
+        shape = estimated_shape(triangle, spec, series_cols=series_cols).scalar()
+    rows, k = rows.withColumn("_k", shape), F.col("_k")
     prior, own = F.col("prior"), F.col("share") * F.col("prior")
     weight = own / (1 + F.col("spread") * own * F.col("_seen"))
     level = F.when(F.col("share") > 0, (k * prior + weight * F.col("observed") / F.col("share")) / (k + weight)).otherwise(prior)

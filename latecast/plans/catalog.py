@@ -422,6 +422,21 @@ def growth_table(spark, sf):
     return _rounded(_nowcast(spark, sf, series_cols=SERIES, horizon=3, spec=TREND).output)
 
 
+ESTIMATED = ModelSpec(level_shape=None, prior_cases=None)
+
+
+def nowcast_estimated_priors(spark, sf):
+    """Classes of every series, with shape and shrinkage from the data."""
+    return _rounded(_nowcast(spark, sf, "age", series_cols=SERIES, spec=ESTIMATED).age)
+
+
+def estimated_priors(spark, sf):
+    """The two numbers."""
+    table = _nowcast(spark, sf, "age", series_cols=SERIES).triangle
+    prior = model.estimated_prior(table, series_cols=SERIES)
+    return _rounded(prior.crossJoin(model.estimated_shape(table, series_cols=SERIES)))
+
+
 AS_OF_DAYS = [dt.date.fromisoformat(tables.AS_OF) - dt.timedelta(14 * i) for i in range(10)]
 SETTINGS = {"level": ModelSpec(), "trend": TREND}
 
@@ -560,6 +575,7 @@ CHECKED: list[Query] = [
     trajectory_checks, trajectory_checks_by_age, situation_table_forecast,
     nowcast_total, nowcast_by_age, nowcast_by_series, nowcast_many_series, nowcast_pruned, nowcast_blank_strata, forecast_k,
     forecast_trend, growth_table, score_weeks, score_by_as_of, score_by_age_of_week,
+    nowcast_estimated_priors, estimated_priors,
     nowcast_window_total, nowcast_long_level, trajectories, trajectories_by_age, nowcast_trend, fit_table,
 ]
 #: Chains of several jobs; the tests check their properties.

@@ -368,10 +368,30 @@ sl AS (SELECT {key}, "Time", CASE WHEN s0 > 0 THEN {slope} ELSE 0 END AS slope,
 wr AS (SELECT wq.*, slope, slope_var FROM wq JOIN sl USING ({key}, "Time")),"""
 
 
-def _fit(*, weeks: int = 2, shape: float = 5.0, trend: bool = False) -> str:
+def _estimates(key: str, weeks: int) -> str:
+    """CTEs ``ec``, ``es``: prior_cases and level_shape by moments, from ``hp`` and ``tri``."""
+    return f"""
+ea AS (SELECT sum(den * (num / den - an / ad) * (num / den - an / ad)) AS a,
+              sum(an / ad * (1 - an / ad)) AS b, sum(an / ad * (1 - an / ad) * (den - 1)) AS c
+       FROM hp WHERE delay > 0 AND den > 1 AND an > 0 AND an < ad),
+ec AS (SELECT CASE WHEN (a - b) / c > 0 THEN greatest(1, least(1000, 1 / ((a - b) / c) - 1)) ELSE 1000 END
+         AS prior_cases FROM ea),
+ew AS (SELECT {key}, "Time", coalesce(sum("Y"), 0) AS y, bool_or("Y" IS NULL) AS open_ FROM tri GROUP BY ALL),
+em AS (SELECT *, avg(y) OVER b AS m, count(*) OVER b AS n FROM ew
+       WINDOW b AS (PARTITION BY {key} ORDER BY "Time" ROWS BETWEEN {weeks + 1} PRECEDING AND 1 PRECEDING)),
+es AS (SELECT CASE WHEN sum((y - m) * (y - m) - m - m / {weeks + 1}) > 0
+                   THEN greatest(0.5, least(500, sum(m * m) / sum((y - m) * (y - m) - m - m / {weeks + 1})))
+                   ELSE 500 END AS level_shape FROM em WHERE NOT open_ AND n = {weeks + 1}),"""
+
+
+def _fit(*, weeks: int = 2, shape: float | str = 5.0, trend: bool = False, estimated: bool = False) -> str:
     """CTEs from ``tri`` to ``est``: g, age_class, Time, dt_event, unfinished, observed, level,
     remaining, shape; and ``sh`` with the shares."""
     key = "g, age_class"
+    prior, moments = "10", ""
+    if estimated:
+        prior, moments = "(SELECT prior_cases FROM ec)", _estimates(key, weeks)
+        shape = "(SELECT level_shape FROM es)"
     ahead = (f'greatest(0, "Time" - max("Time") FILTER (WHERE known IS NOT NULL) OVER (PARTITION BY {key}))')
     if trend:
         shares = " + ".join(
@@ -404,8 +424,9 @@ hz AS (SELECT {key}, delay, coalesce(sum("Y"), 0) AS num, coalesce(sum(so_far),
                PARTITION BY {key}, "Time" ORDER BY delay) END AS so_far FROM tri) GROUP BY {key}, delay),
 hp AS (SELECT *, sum(num) OVER (PARTITION BY g, delay) AS an, sum(den) OVER (PARTITION BY g, delay) AS ad
        FROM hz),
-hd AS (SELECT {key}, delay, (num + 10 * CASE WHEN ad > 0 THEN an / ad ELSE 0 END) / (den + 10) AS hazard,
-              den + 10 AS seen FROM hp),
+{moments}
+hd AS (SELECT {key}, delay, (num + {prior} * CASE WHEN ad > 0 THEN an / ad ELSE 0 END) / (den + {prior}) AS hazard,
+              den + {prior} AS seen FROM hp),
 sb AS (SELECT {key}, delay, coalesce(product(1 - hazard) OVER later, 1) AS upto,
               coalesce(sum(CASE WHEN hazard < 1 THEN hazard / (1 - hazard) / seen ELSE 0 END) OVER later, 0)
                 AS loose
@@ -501,6 +522,11 @@ dr AS (SELECT g, age_class, draw, "Time", dt_event,
 
 
 
+def _labels(limits) -> str:
+    names = [f"'{lo} - {hi - 1}'" for lo, hi in zip(limits, limits[1:-1])] + [f"'{limits[-2]}+'"]
+    return f"([{', '.join(names)}])[age_class] AS age_label"
+
+
 def _score_sql() -> dict[str, str]:
     """Ten as-of days in one query: the day is part of the series' name."""
     lines = f"""{_LINES.replace("ll AS (", "l0 AS (")},
@@ -568,10 +594,15 @@ def _nowcasts(nations: str) -> dict[str, str]:
 SELECT g AS series, 'delay' AS term, delay AS index, round(part, 6) AS value FROM sh
 UNION ALL SELECT g, 'time', "Time", round(level, 6) FROM est
 UNION ALL SELECT g, 'slope', "Time", round(slope, 6) FROM est"""
+    q["nowcast_estimated_priors"] = (
+        f"WITH {_triangle(series=True, limits=tens)}, {_fit(estimated=True)}, "
+        f"{_draw('op.g, op.age_class', series='op.g')} "
+        f"SELECT g AS series, age_class, {_labels(tens)}, {week}, {five} FROM dr GROUP BY g, age_class, {week}"
+    )
+    q["estimated_priors"] = f"""WITH {_triangle(series=True, limits=tens)}, {_fit(estimated=True)}
+SELECT round(prior_cases, 6) AS prior_cases, round(level_shape, 6) AS level_shape FROM ec, es"""
     q |= _score_sql()
-    label = lambda limits: "([" + ", ".join(
-        [f"'{lo} - {hi - 1}'" for lo, hi in zip(limits, limits[1:-1])] + [f"'{limits[-2]}+'"]
-    ) + "])[age_class] AS age_label"
+    label = _labels
     q["nowcast_by_age"] = (
         f"WITH {aged} SELECT age_class, {label(tens)}, {week}, {five} FROM dr GROUP BY age_class, {week}"
     )

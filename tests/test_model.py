@@ -208,6 +208,59 @@ def test_median_is_near_the_development_factors(simulated, drawn):
     assert 0.75 < np.median(ratios) < 1.33
 
 
+def test_shrinkage_is_recovered(spark):
+    """Hazards of classes drawn about those of their series: the estimate comes back near their concentration."""
+    rng = np.random.default_rng(21)
+    found = {}
+    for cases in (8.0, 80.0):
+        rows = []
+        for name in ("a", "b", None):
+            pooled = rng.uniform(0.2, 0.5, DELAYS - 1)
+            for c in range(1, 11):
+                hazard = np.concatenate([[1.0], rng.beta(pooled * cases, (1 - pooled) * cases)])
+                by = np.concatenate([np.cumprod((1 - hazard)[:0:-1])[::-1], [1.0]])
+                share = np.diff(np.concatenate([[0.0], by]))
+                y = rng.poisson(60 * share, (WEEKS, DELAYS))
+                rows += _rows(y, series=name, age_class=c)
+        table = _frame(spark, rows)
+        found[cases] = model.estimated_prior(table, series_cols=["series"]).first()[0]
+        assert cases / 1.6 < found[cases] < cases * 1.6
+    fixed = ModelSpec(prior_cases=found[80.0])
+    free = ModelSpec(prior_cases=None)
+    a, b = (model.delay_hazards(table, x, series_cols=["series"]).collect() for x in (fixed, free))
+    key = lambda r: (str(r["series"]), r["age_class"], r["delay"])
+    assert [r["hazard"] for r in sorted(a, key=key)] == pytest.approx([r["hazard"] for r in sorted(b, key=key)])
+
+
+def test_shape_is_recovered(spark):
+    """Levels drawn about a mean: a week and the mean of three others scatter like 4/3 of its variance."""
+    rng = np.random.default_rng(22)
+    for shape in (2.0, 12.0):
+        rows = []
+        for i in range(60):
+            level = rng.gamma(shape, 40 / shape, WEEKS)
+            y = np.zeros((WEEKS, DELAYS), int)
+            y[:, 0] = rng.poisson(level)
+            rows += _rows(y, series=f"s{i}")
+        table = _frame(spark, rows)
+        got = model.estimated_shape(table, series_cols=["series"]).first()[0]
+        assert shape * 0.75 / 1.25 < got < shape * 0.75 * 1.25
+    spec = ModelSpec(level_shape=None, prior_cases=None)
+    fitted = model.fit_delay_model(table, spec, series_cols=["series"])
+    same = model.fit_delay_model(table, ModelSpec(
+        level_shape=got, prior_cases=model.estimated_prior(table, series_cols=["series"]).first()[0]
+    ), series_cols=["series"])
+    pick = lambda df: [r[0] for r in df.orderBy("series", "Time").select("shape").collect()]
+    assert pick(fitted) == pytest.approx(pick(same))
+
+
+def test_priors_without_anything_to_learn_from(spark):
+    empty = _frame(spark, _rows(np.zeros((WEEKS, DELAYS), int), series="x"))
+    for table in (empty, empty.limit(0)):
+        assert model.estimated_prior(table, series_cols=["series"]).first()[0] == model.PRIORS[1]
+        assert model.estimated_shape(table, series_cols=["series"]).first()[0] == model.SHAPES[1]
+
+
 def _plain_growth(observed, share, discount=0.8):
     """Weighted least squares of each week's past, written out."""
     out = []
