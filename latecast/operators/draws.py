@@ -8,6 +8,7 @@ One draw is one state of the world for all weeks and classes of a series. Its sc
 independent normal scores, weighted by their shares in the variance: one of the series, for the hazards
 that all weeks use; a moving sum of weekly ones, for levels that come from the same reports; and one of
 its own. The uniform is the normal distribution function of that score, so each week keeps its own limits.
+Uniforms below ``zero_chance`` are draws in which nothing more comes; the others are spread over the rest.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def trajectories(
     rows = beside(fitted, keys, _start=start).filter(F.col("Time") >= F.col("_start")).drop("_start")
     open_ = rows.filter((F.col("remaining") > 0) & F.col("unfinished"))
     laid = _distribution(open_.select(*keys, "Time", "remaining", "shape"), keys)
-    for name, value in (("ahead", 0), ("level_part", 0.0), ("delay_part", 0.0)):
+    for name, value in (("ahead", 0), ("level_part", 0.0), ("delay_part", 0.0), ("zero_chance", 0.0)):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(value))
     both = join_on(rows, laid, [*keys, "Time"], "left")
@@ -124,16 +125,16 @@ def trajectories(
     drawn = both.withColumn("u", F.transform(
         F.when(F.col("sums").isNull(), F.array_repeat(F.lit(0.0), spec.draws)).otherwise(
             _scores(spec, named[:len(series_cols)], named)),
-        lambda z: normal_cdf(z) * F.element_at("sums", -1),
+        lambda z: (normal_cdf(z) - F.col("zero_chance")) / (1 - F.col("zero_chance")) * F.element_at("sums", -1),
     ))
     # Where a guide of equal steps of the running sums says to begin, so that a draw looks at few of them.
     guide = F.transform(F.sequence(F.lit(0), F.lit(GUIDE)), lambda k: F.size(
         F.filter("sums", lambda s: s < F.element_at("sums", -1) * k / GUIDE)
     ))
     drawn = drawn.withColumn("guide", guide)
-    step_of = lambda u: F.least(
+    step_of = lambda u: F.greatest(F.lit(0), F.least(
         F.floor(u / F.element_at("sums", -1) * GUIDE).cast("int"), F.lit(GUIDE - 1)
-    )
+    ))
     first = lambda u: F.greatest(F.get("guide", step_of(u)) - 1, F.lit(0))
     last = lambda u: F.get("guide", step_of(u) + 1) + 1
     place = lambda u: first(u) + F.size(F.filter(
@@ -142,9 +143,9 @@ def trajectories(
     drawn = drawn.withColumn("place", F.transform("u", place))
     before = lambda p: F.when(p == 0, 0.0).otherwise(F.get("sums", p - 1))
     part = lambda u, p: (u - before(p)) / (F.get("sums", p) - before(p))
-    more = F.zip_with("u", "place", lambda u, p: (
+    more = F.zip_with("u", "place", lambda u, p: F.when(u < 0, F.lit(0).cast("long")).otherwise((
         F.col("low") + p * F.col("step") + F.floor(part(u, p) * F.col("step"))
-    ).cast("long"))
+    ).cast("long")))
     counts = drawn.select(
         *keys, "Time", "dt_event", "observed",
         F.posexplode(F.when(F.col("sums").isNull(), F.array_repeat(F.lit(0).cast("long"), spec.draws)).otherwise(more))

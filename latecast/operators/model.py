@@ -14,6 +14,10 @@ and classes and never on the size of the line list. A stratum is a series, or an
   line through the logarithms of counts over shares, older weeks discounted by ``discount`` a week, pulled to
   no growth as if that were known to ``SLOPE_SD``. Earlier weeks are brought forward by it, weeks ahead
   go on with it, less by ``damping`` each week, and its variance adds to theirs.
+* With ``zero_inflation`` a stratum has weeks in which nothing can happen. Their share is found by
+  expectation-maximisation over its weeks without a case: each is such a week the more likely, the less
+  its level explains a zero. Levels are those of the other weeks then, and ``zero_chance`` is the chance
+  that a week without a case so far stays without.
 * Spread: the excess of squared residuals over the Poisson's, as a share of the squared mean.
 * With ``level_shape=None`` or ``prior_cases=None`` these two come from the data, by moments over all series and
   classes: how far settled weeks lie from the mean of the weeks before them, beyond Poisson noise, and how
@@ -35,6 +39,7 @@ from latecast.operators.keys import attach, join_on
 
 PSEUDO_WEEKS, PSEUDO_CASES = 0.1, 0.05
 TIME_EFFECTS = ("level", "trend")
+EM_ROUNDS, MOST_ZEROS = 40, 0.95
 SHAPES = (0.5, 500.0)  # estimates stay between these two
 PRIORS = (1.0, 1000.0)
 SLOPE_SD = 0.15  # of a week's growth, beforehand
@@ -51,6 +56,7 @@ class ModelSpec:
     prior_cases: float | None = 10.0
     class_share: float = 0.5
     time_effect: str = "level"
+    zero_inflation: bool = False
     discount: float = 0.8
     damping: float = 0.9
     draws: int = 1000
@@ -216,15 +222,35 @@ def growth(
     return listed.select(*keys, F.inline(F.aggregate("weeks", state, step, lambda s: s["out"])))
 
 
+def zero_share(weekly: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, off): the share of a stratum's weeks in which nothing can happen.
+
+    ``weekly`` has observed, share, prior (the level, such weeks included) and _k (its shape). A week that can have
+    cases has none so far with chance (k / (k + share x level)) ^ k.
+    """
+    seen = F.col("share") > 0
+    zeros = F.sort_array(F.collect_list(F.when(
+        seen & (F.col("observed") == 0), F.struct((F.col("prior") * F.col("share")).alias("m"), F.col("_k").alias("k"))
+    )))
+    listed = weekly.groupBy(*keys).agg(F.count(F.when(seen, 1)).alias("n"), zeros.alias("zeros"))
+    chance = lambda off, z: off / (
+        off + (1 - off) * F.pow(z["k"] / (z["k"] + z["m"] / (1 - off)), z["k"]))
+    step = lambda off: F.least(F.lit(MOST_ZEROS), F.aggregate(
+        "zeros", F.lit(0.0), lambda total, z: total + chance(off, z)) / F.col("n"))
+    rounds = F.aggregate(F.sequence(F.lit(1), F.lit(EM_ROUNDS)), F.lit(0.5), lambda off, _: step(off))
+    return listed.select(*keys, F.when(F.size("zeros") > 0, rounds).otherwise(0.0).alias("off"))
+
+
 def fit_delay_model(
     triangle: DataFrame, spec: ModelSpec = ModelSpec(), *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
     """One row per stratum and week: Time, dt_event, unfinished, observed, level, remaining, shape, ahead,
-    level_part, delay_part, slope.
+    level_part, delay_part, slope, zero_chance, off.
 
     ``level`` is the expected final count, ``remaining`` the expected number of events not reported yet;
     their number is negative binomial with that mean and ``shape``. The parts are shares of its variance.
-    ``ahead`` counts weeks after the last one with reports; ``slope`` is the growth a week, 0 without trend.
+    ``ahead`` counts weeks after the last one with reports; ``slope`` is the growth a week, 0 without trend;
+    ``off`` is the stratum's share of weeks in which nothing can happen, 0 without zero inflation.
     """
     keys = _strata(triangle, series_cols)
     shares = _shares(delay_hazards(triangle, spec, series_cols=series_cols), keys)
@@ -260,6 +286,16 @@ def fit_delay_model(
     rows = rows.withColumn("on", on).withColumn("mean", F.when(known, mean)).withColumn(
         "prior", F.last("mean", ignorenulls=True).over(past) * F.exp(F.col("slope") * F.col("on"))
     )
+    shape = F.lit(spec.level_shape)
+    if spec.level_shape is None:
+        shape = estimated_shape(triangle, spec, series_cols=series_cols).scalar()
+    rows, k = rows.withColumn("_k", shape), F.col("_k")
+    rows = attach(rows, zero_share(rows, keys=keys), keys) if spec.zero_inflation else rows.withColumn("off", F.lit(0.0))
+    rows = rows.withColumn("prior", F.col("prior") / (1 - F.col("off")))
+    stays = F.pow(k / (k + F.col("share") * F.col("prior")), k)
+    rows = rows.withColumn("zero_chance", F.when(
+        (F.col("observed") == 0) & (F.col("off") > 0), F.col("off") / (F.col("off") + (1 - F.col("off")) * stays)
+    ).otherwise(0.0))
     # Spread: residuals of the known cells about the week's own count dealt out by the shares.
     expected = lambda c: F.when(
         F.col("share") > 0, F.col("observed") * F.get("at", c["delay"]) / F.col("share")
@@ -284,10 +320,6 @@ def fit_delay_model(
             F.get("loose", F.col("known")) / (1 - F.col("share")) / (1 - F.col("share")),
         ).otherwise(0.0),
     })
-    shape = F.lit(spec.level_shape)
-    if spec.level_shape is None:
-        shape = estimated_shape(triangle, spec, series_cols=series_cols).scalar()
-    rows, k = rows.withColumn("_k", shape), F.col("_k")
     prior, own = F.col("prior"), F.col("share") * F.col("prior")
     weight = own / (1 + F.col("spread") * own * F.col("_seen"))
     level = F.when(F.col("share") > 0, (k * prior + weight * F.col("observed") / F.col("share")) / (k + weight)).otherwise(prior)
@@ -301,7 +333,7 @@ def fit_delay_model(
     part = lambda c: F.when(F.col("remaining") > 0, F.col(c) / variance).otherwise(0.0)
     return rows.select(
         *keys, "Time", "dt_event", "unfinished", "observed", "level", "remaining", "shape", "ahead",
-        part("_level").alias("level_part"), part("_loose").alias("delay_part"), "slope",
+        part("_level").alias("level_part"), part("_loose").alias("delay_part"), "slope", "zero_chance", "off",
     )
 
 

@@ -437,6 +437,18 @@ def estimated_priors(spark, sf):
     return _rounded(prior.crossJoin(model.estimated_shape(table, series_cols=SERIES)))
 
 
+def nowcast_zero_inflated(spark, sf):
+    """Narrow classes of every series, with weeks in which nothing can happen."""
+    spec = ModelSpec(zero_inflation=True)
+    return _rounded(_nowcast(spark, sf, "age", bins="5 years", series_cols=SERIES, spec=spec).age)
+
+
+def zero_shares(spark, sf):
+    """How many of a class's weeks are such weeks."""
+    run = _nowcast(spark, sf, "age", bins="5 years", series_cols=SERIES, spec=ModelSpec(zero_inflation=True))
+    return _rounded(run.fitted.groupBy(*SERIES_AGE).agg(F.max("off").alias("off")))
+
+
 AS_OF_DAYS = [dt.date.fromisoformat(tables.AS_OF) - dt.timedelta(14 * i) for i in range(10)]
 SETTINGS = {"level": ModelSpec(), "trend": TREND}
 
@@ -575,7 +587,7 @@ CHECKED: list[Query] = [
     trajectory_checks, trajectory_checks_by_age, situation_table_forecast,
     nowcast_total, nowcast_by_age, nowcast_by_series, nowcast_many_series, nowcast_pruned, nowcast_blank_strata, forecast_k,
     forecast_trend, growth_table, score_weeks, score_by_as_of, score_by_age_of_week,
-    nowcast_estimated_priors, estimated_priors,
+    nowcast_estimated_priors, estimated_priors, nowcast_zero_inflated, zero_shares,
     nowcast_window_total, nowcast_long_level, trajectories, trajectories_by_age, nowcast_trend, fit_table,
 ]
 #: Chains of several jobs; the tests check their properties.

@@ -384,7 +384,7 @@ es AS (SELECT CASE WHEN sum((y - m) * (y - m) - m - m / {weeks + 1}) > 0
                    ELSE 500 END AS level_shape FROM em WHERE NOT open_ AND n = {weeks + 1}),"""
 
 
-def _fit(*, weeks: int = 2, shape: float | str = 5.0, trend: bool = False, estimated: bool = False) -> str:
+def _fit(*, weeks: int = 2, shape: float | str = 5.0, trend: bool = False, estimated: bool = False, zeros: bool = False) -> str:
     """CTEs from ``tri`` to ``est``: g, age_class, Time, dt_event, unfinished, observed, level,
     remaining, shape; and ``sh`` with the shares."""
     key = "g, age_class"
@@ -407,7 +407,7 @@ wp0 AS (SELECT * REPLACE (last_value(CASE WHEN known IS NOT NULL THEN slope END
               0.9::DOUBLE * (1 - pow(0.9::DOUBLE, ahead)) / (1 - 0.9::DOUBLE) AS onward,
               last_value(mean IGNORE NULLS) OVER p AS last_mean
         FROM wm WINDOW p AS (PARTITION BY {key} ORDER BY "Time")),
-wp AS (SELECT *, last_mean * exp(slope * onward) AS prior FROM wp0),"""
+wp1 AS (SELECT *, last_mean * exp(slope * onward) AS prior FROM wp0),"""
         slope_part = " + onward * onward * slope_var"
     else:
         levels = f"""
@@ -415,9 +415,23 @@ wm AS (SELECT *, CASE WHEN known IS NOT NULL THEN
                (sum(observed) OVER n + 0.05::DOUBLE) / (sum(share) OVER n + 0.1::DOUBLE) END AS mean,
               {ahead} AS ahead
        FROM wq WINDOW n AS (PARTITION BY {key} ORDER BY "Time" ROWS BETWEEN {weeks} PRECEDING AND CURRENT ROW)),
-wp AS (SELECT *, last_value(mean IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY "Time") AS prior, 0 AS slope
-       FROM wm),"""
+wp1 AS (SELECT *, last_value(mean IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY "Time") AS prior, 0 AS slope
+        FROM wm),"""
         slope_part = ""
+    if zeros:
+        levels += f"""
+zl AS (SELECT {key}, count(*) FILTER (WHERE share > 0) AS n,
+              list(prior * share ORDER BY prior * share) FILTER (WHERE share > 0 AND observed = 0) AS ms
+       FROM wp1 GROUP BY {key}),
+zo AS (SELECT {key}, CASE WHEN ms IS NULL THEN 0 ELSE list_reduce(range(1, 41), lambda o, i: least(
+                0.95::DOUBLE, list_sum(list_transform(ms, lambda m: o / (o + (1 - o)
+                  * pow({shape} / ({shape} + m / (1 - o)), {shape})))) / n), 0.5::DOUBLE) END AS off
+       FROM zl),
+wp AS (SELECT *, CASE WHEN observed = 0 AND off > 0 THEN
+                off / (off + (1 - off) * pow({shape} / ({shape} + share * prior), {shape})) ELSE 0 END AS zero_chance
+       FROM (SELECT wp1.* REPLACE (prior / (1 - off) AS prior), off FROM wp1 JOIN zo USING ({key}))),"""
+    else:
+        levels += "\nwp AS (SELECT *, 0 AS zero_chance FROM wp1),"
     return f"""
 hz AS (SELECT {key}, delay, coalesce(sum("Y"), 0) AS num, coalesce(sum(so_far), 0) AS den
        FROM (SELECT *, CASE WHEN "Y" IS NOT NULL THEN sum("Y") OVER (
@@ -460,7 +474,7 @@ wv AS (SELECT *, own / (1 + spread * own * c_seen) AS weight,
 lv AS (SELECT *, CASE WHEN share > 0 THEN ({shape} * prior + weight * observed / share) / ({shape} + weight)
               ELSE prior END AS level FROM wv),
 va AS (SELECT *, level * (1 - share) AS remaining, 1 / ({shape} / (1 + ahead) + certain){slope_part} AS v_level FROM lv),
-est AS (SELECT {key}, "Time", dt_event, unfinished, observed, level, remaining, ahead, slope, {weeks} AS near,
+est AS (SELECT {key}, "Time", dt_event, unfinished, observed, level, remaining, ahead, slope, zero_chance, {weeks} AS near,
                1 / (v_level + spread * c_left + v_delay) AS shape,
                CASE WHEN remaining > 0 THEN v_level / (v_level + spread * c_left + v_delay + 1 / remaining)
                ELSE 0 END AS p_level,
@@ -503,7 +517,7 @@ ch AS (SELECT *, exp(lgamma(x + r) - lgamma(r) - lgamma(x + 1) + r * ln(r / (r +
 cu AS (SELECT *, sum(p) OVER (PARTITION BY {key} ORDER BY i) AS s FROM ch),
 ls AS (SELECT {key}, any_value(low) AS low, any_value(step) AS step, list(s ORDER BY i) AS sums
        FROM cu GROUP BY {key}),
-sc_ AS (SELECT op.g, op.age_class, op."Time", op.dt_event, observed, draw,
+sc_ AS (SELECT op.g, op.age_class, op."Time", op.dt_event, observed, zero_chance, draw,
                ({own}) * sqrt(greatest(0, 1 - p_level - p_delay))
                  + (({levels}) * sqrt(p_level) + ({delays}) * sqrt(p_delay)) AS z
         FROM op, (SELECT CAST(unnest(range(1, {draws + 1})) AS INTEGER) AS draw)),
@@ -511,11 +525,12 @@ tl AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS t FROM sc_),
 nc AS (SELECT *, t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE
                  + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))) * 0.3989422804014327::DOUBLE
                  * exp(-z * z / 2) AS tail FROM tl),
-dw AS (SELECT nc.*, low, step, sums, CASE WHEN z < 0 THEN tail ELSE 1 - tail END * sums[-1] AS u
+dw AS (SELECT nc.*, low, step, sums,
+              (CASE WHEN z < 0 THEN tail ELSE 1 - tail END - zero_chance) / (1 - zero_chance) * sums[-1] AS u
        FROM nc LEFT JOIN ls ON ls.g = nc.g AND ls.age_class = nc.age_class AND ls."Time" = nc."Time"),
 pl AS (SELECT *, len(list_filter(sums, lambda z: z <= u)) AS place FROM dw),
 dr AS (SELECT g, age_class, draw, "Time", dt_event,
-              observed + CASE WHEN sums IS NULL THEN 0 ELSE CAST(low + place * step + floor(
+              observed + CASE WHEN sums IS NULL OR u < 0 THEN 0 ELSE CAST(low + place * step + floor(
                 (u - CASE WHEN place = 0 THEN 0 ELSE sums[place] END)
                 / (sums[place + 1] - CASE WHEN place = 0 THEN 0 ELSE sums[place] END) * step) AS BIGINT)
               END AS "Y" FROM pl)"""
@@ -599,6 +614,13 @@ UNION ALL SELECT g, 'slope', "Time", round(slope, 6) FROM est"""
         f"{_draw('op.g, op.age_class', series='op.g')} "
         f"SELECT g AS series, age_class, {_labels(tens)}, {week}, {five} FROM dr GROUP BY g, age_class, {week}"
     )
+    q["nowcast_zero_inflated"] = (
+        f"WITH {_triangle(series=True, limits=fives)}, {_fit(zeros=True)}, "
+        f"{_draw('op.g, op.age_class', series='op.g')} "
+        f"SELECT g AS series, age_class, {_labels(fives)}, {week}, {five} FROM dr GROUP BY g, age_class, {week}"
+    )
+    q["zero_shares"] = f"""WITH {_triangle(series=True, limits=fives)}, {_fit(zeros=True)}
+SELECT g AS series, age_class, round(off, 6) AS off FROM zo"""
     q["estimated_priors"] = f"""WITH {_triangle(series=True, limits=tens)}, {_fit(estimated=True)}
 SELECT round(prior_cases, 6) AS prior_cases, round(level_shape, 6) AS level_shape FROM ec, es"""
     q |= _score_sql()

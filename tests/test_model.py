@@ -261,6 +261,31 @@ def test_priors_without_anything_to_learn_from(spark):
         assert model.estimated_shape(table, series_cols=["series"]).first()[0] == model.SHAPES[1]
 
 
+def test_share_of_weeks_without_anything_is_recovered(spark):
+    rng = np.random.default_rng(31)
+    share = np.exp(-0.45 * np.arange(DELAYS))
+    for off, level in ((0.3, 4.0), (0.0, 4.0), (0.6, 30.0)):
+        rows, truth = [], {}
+        for i in range(80):
+            on = rng.random(WEEKS) >= off
+            mean = level * on[:, None] * share / share.sum()
+            y = rng.poisson(mean)
+            truth[f"s{i}"] = y.sum(axis=1)
+            rows += _rows(y, series=f"s{i}")
+        spec = ModelSpec(draws=300, zero_inflation=True, level_weeks=8, level_shape=20.0)
+        fitted = model.fit_delay_model(_frame(spark, rows), spec, series_cols=["series"]).persist()
+        found = fitted.groupBy("series").agg(F.max("off").alias("off")).agg(F.avg("off")).first()[0]
+        assert abs(found - off) < 0.08
+        assert fitted.filter("observed > 0 and zero_chance > 0").isEmpty()
+        paths = draws.trajectories(fitted, spec, series_cols=["series"])
+        last = paths.filter(F.col("Time") == WEEKS)
+        zeros = last.agg(F.avg((F.col("Y") == 0).cast("double"))).first()[0]
+        real = np.array([t[WEEKS - 1] for t in truth.values()])
+        assert abs(zeros - (real == 0).mean()) < 0.13
+        mean = last.agg(F.avg("Y")).first()[0]
+        assert 0.7 < mean / real.mean() < 1.4
+
+
 def _plain_growth(observed, share, discount=0.8):
     """Weighted least squares of each week's past, written out."""
     out = []
