@@ -61,12 +61,35 @@ def test_viterbi_is_exact():
         assert abs(value(secret_crf.viterbi(scores, moves, np.zeros(n, int)).tolist()) - best) < 1e-9
 
 
-def test_sections_do_not_change_patterns(monkeypatch):
-    text = (cases.words(1, 500) + " token=abcdefgh " + cases.words(2, 500)).encode()
+def test_parts_change_no_span(monkeypatch):
+    """Scored in parts of three tokens or at once: the same spans of the field, file features included."""
+    rng = np.random.default_rng(3)
+    weights, moves = rng.normal(0, 1.2, (secret_crf.BUCKETS, 3)).astype(np.float32), rng.normal(0, 1, (3, 3))
+    texts = [cases.words(1, 500) + " token=abcdefgh " + cases.words(2, 500), "", "a 1", cases.words(5, 40) + "é9" * 700]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    limits = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    whole = secret_crf.spans_of(data, limits, weights, moves)
+    assert sum(kind == "crf" for spans in whole for kind, _, _ in spans) > 10
+    monkeypatch.setattr(secret_crf, "TOKENS", 3)
+    assert secret_crf.spans_of(data, limits, weights, moves) == whole
+
+
+@pytest.mark.parametrize("ids", [None, 1, 2, 3])
+def test_field_is_trained_whatever_the_ids(spark, monkeypatch, ids):
+    """Rows that share an id, or have none, are drawn one by one."""
+    rows = [(ids, f"{cases.words(i, 12)} token=abcdef{i:06d} {cases.words(i + 1, 9)}", "a") for i in range(400)]
+    drawn, nothing = [], model_of_nothing()
+    monkeypatch.setattr(secret_crf, "fit", lambda f, tags, n: drawn.append(tags) or nothing)
+    secret_crf.train(cases.frame(spark, rows), fit_rows=100)
+    assert 60 < sum((t == secret_crf.BEGIN).any() for t in drawn[0]) < 150
+
+
+def test_every_secret_of_a_text_offers_a_window():
+    text = " ".join(f"w token=abcdef{i:04d} x y z" for i in range(30)).encode()
     data, limits = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    whole = secret_crf.spans_of(data, limits, *model_of_nothing())
-    monkeypatch.setattr(secret_crf, "SECTION", 300)
-    assert secret_crf.spans_of(data, limits, *model_of_nothing()) == whole
+    tokens = secret_crf.Tokens(data, limits)
+    tags = tokens.tags(secret_crf.base_spans(data, limits))
+    assert len(list(secret_crf._windows_of(tokens, tags))) >= 30
 
 
 @pytest.mark.skipif(not LARGER.exists(), reason="driver tables not there")
@@ -161,3 +184,99 @@ def test_scores_do_not_depend_on_windows(monkeypatch):
     monkeypatch.setattr(pieces, "word_windows", lambda d, o: real(d, o, 64))
     assert np.allclose(np.asarray(quality.scores(column, weights, 0.1)), np.asarray(whole), atol=1e-6)
     assert quality.votes(column) == votes
+
+
+def plain_label_model(votes):
+    """Expectation-maximisation document by document, with loops."""
+    h = len(quality.HEURISTICS)
+    good = 0.9
+    tables = [[[0.55, 0.4, 0.05], [0.5, 0.02, 0.48]] for _ in range(h)]
+    for _ in range(quality.EM_ROUNDS):
+        chances = []
+        for row in votes:
+            bad_way, good_way = 1 - good, good
+            for i, v in enumerate(row):
+                bad_way *= tables[i][0][v]
+                good_way *= tables[i][1][v]
+            chances.append(good_way / (bad_way + good_way))
+        new = []
+        for i in range(h):
+            sums = [[0.5] * 3, [0.5] * 3]
+            for row, p in zip(votes, chances, strict=True):
+                sums[0][row[i]] += 1 - p
+                sums[1][row[i]] += p
+            new.append([[x / sum(s) for x in s] for s in sums])
+        tables, good = new, (sum(chances) + 1) / (len(votes) + 2)
+    return good, tables, chances
+
+
+def test_label_model_against_a_plain_one():
+    rng = np.random.default_rng(9)
+    n, h = 150, len(quality.HEURISTICS)
+    good = rng.random(n) < 0.8
+    votes = np.where(rng.random((n, h)) < np.where(good, 0.03, 0.5)[:, None], 1,
+                     np.where(good[:, None] & (rng.random((n, h)) < 0.4), 2, 0))
+    names, counts = np.unique((votes * 3 ** np.arange(h - 1, -1, -1)).sum(axis=1), return_counts=True)
+    model = quality.estimate(names, counts.astype(float))
+    want_good, want_tables, _ = plain_label_model(votes.tolist())
+    assert model.good == pytest.approx(want_good, abs=1e-5)
+    assert np.allclose(model.tables, np.array(want_tables), atol=1e-5)
+
+
+def test_scorer_against_a_plain_one():
+    """Hashed features counted word by word, and the mean of their weights."""
+    rng = np.random.default_rng(10)
+    weights = rng.normal(0, 1, quality.BUCKETS)
+    texts = ["A plain text, of a few words.", "", "BUY NOW!!! | | $$$ 12 12", "é ñ 日本 " * 30, "one"]
+    column = pa.array(texts)
+    texts_, buckets, shares = quality.features(column)
+    plain = []
+    for i, text in enumerate(texts):
+        one = pa.array([text])
+        n = len(text.encode().split())
+        margin = 0.0
+        for at, share in zip(*quality.features(one)[1:], strict=True):
+            margin += weights[at] * share
+        assert np.isclose(shares[texts_ == i].sum(), 3.0 if n else 0.0)
+        plain.append(round(1 / (1 + np.exp(-(margin + 0.2))), 6))
+    assert np.allclose(np.asarray(quality.scores(column, weights, 0.2)), plain, atol=2e-6)
+
+
+def test_fit_raises_the_likelihood_of_enumerated_paths():
+    """Two short windows, all paths written out: one step follows the slope, and many reach the data."""
+    features = np.array([[[1, 5], [2, 6], [3, 7]], [[2, 6], [1, 5], [0, 0]]])
+    tags, lengths = np.array([[0, 1, 2], [1, 0, 0]]), np.array([3, 2])
+
+    def likelihood(weights, moves):
+        total = 0.0
+        for f, y, n in zip(features, tags, lengths, strict=True):
+            def value(path, f=f, n=n):
+                steps = sum(moves[a, b] for a, b in itertools.pairwise([0, *path, 0]))
+                return steps + sum(weights[f[i], path[i]].sum() for i in range(n))
+            paths = [value(p) for p in itertools.product(range(3), repeat=int(n))]
+            total += value([int(x) for x in y[:n]]) - np.logaddexp.reduce(paths)
+        return total
+
+    start = np.zeros((secret_crf.BUCKETS, 3)), np.zeros((3, 3))
+    weights, moves = secret_crf.fit(features, tags, lengths)
+    assert likelihood(weights, moves) > 0.2 * likelihood(*start)
+    eps, steps = 1e-5, secret_crf.STEPS
+    try:
+        secret_crf.STEPS = 1
+        first, first_moves = secret_crf.fit(features, tags, lengths)
+    finally:
+        secret_crf.STEPS = steps
+    for at, y in ((1, 0), (1, 1), (2, 1), (7, 2), (5, 0)):
+        up, down = start[0].copy(), start[0].copy()
+        up[at, y] += eps
+        down[at, y] -= eps
+        slope = (likelihood(up, start[1]) - likelihood(down, start[1])) / (2 * eps)
+        assert np.sign(first[at, y]) == np.sign(slope) or abs(slope) < 1e-7
+        # the first step's length is 0.3 slope / sqrt(1e-6 + slope^2)
+        assert first[at, y] == pytest.approx(0.3 * slope / np.sqrt(1e-6 + slope**2), abs=1e-4)
+    for a, b in ((0, 1), (1, 2), (2, 0), (0, 0)):
+        up, down = start[1].copy(), start[1].copy()
+        up[a, b] += eps
+        down[a, b] -= eps
+        slope = (likelihood(start[0], up) - likelihood(start[0], down)) / (2 * eps)
+        assert first_moves[a, b] == pytest.approx(0.3 * slope / np.sqrt(1e-6 + slope**2), abs=1e-4)

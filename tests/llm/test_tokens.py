@@ -62,6 +62,17 @@ def test_bpe_table_forgets(texts, reference_bpe, monkeypatch):
     assert per_text(table, texts[:400]) == [reference_bpe.encode_ordinary(t) for t in texts[:400]]
 
 
+def test_decoded_beside_the_ids(spark):
+    """Encoding and decoding by one worker, columns of the same names included."""
+    docs = cases.frame(spark).withColumnRenamed("hash", "decoded")
+    one = byte_bpe.encode(docs, BPE, public_tokenizers.PATTERN, decoded_col="decoded")
+    two = byte_bpe.decode(byte_bpe.encode(docs, BPE, public_tokenizers.PATTERN), BPE)
+    assert sorted(one.columns) == sorted(two.columns)
+    key = lambda df: sorted((str(r["doc_id"]), r["ids"], bytes(r["decoded"])) for r in df.collect())
+    assert key(one) == key(two)
+    assert sorted(t for _, _, t in key(one)) == sorted((t or "").encode() for _, t, _ in cases.TEXTS)
+
+
 def test_bpe_encode_and_decode(spark, reference_bpe):
     docs = cases.frame(spark).withColumn("decoded", F.lit("old"))
     encoded = byte_bpe.encode(docs, BPE, public_tokenizers.PATTERN)
