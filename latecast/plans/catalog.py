@@ -18,9 +18,10 @@ from latecast.operators import (
 from latecast.operators.keys import attach, join_on
 from latecast.operators.model import ModelSpec
 from latecast.operators.weekly import WeekRule
-from latecast.plans import scores, situation, tables
+from latecast.plans import checkpoints, scores, situation, tables
 from latecast.plans.nowcast import nowcast
 from latecast.sources import readers
+from latecast.sources.store import DayCountStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -169,6 +170,22 @@ def weekly_tally_shipdate(spark, sf):
     return curves.weekly_tally(days, rule=WeekRule(use_epiweek=True))
 
 
+def stored_tally(spark, sf):
+    """Day counts stored in three increments, compacted in between, and read as known on a day."""
+    days = weekly.day_counts(tables.line_list(spark, sf), "onset", "report", series_cols=SERIES)
+    part = F.pmod(F.datediff("report", "onset"), F.lit(3))
+    store = DayCountStore(spark, checkpoints.new_folder(spark, "day-counts"))
+    for i in range(3):
+        store.append(days.filter(part == i))
+        if i == 1:
+            store.compact()
+    tally = checkpoints.checkpointed(
+        curves.weekly_tally(store.read(as_of=tables.AS_OF), series_cols=SERIES)
+    )
+    store.drop()
+    return tally
+
+
 def daily_tally(spark, sf):
     return curves.daily_tally(
         tables.line_list(spark, sf), "onset", before_year=2001, series_cols=SERIES
@@ -575,7 +592,7 @@ CHECKED: list[Query] = [
     delay_triangle, delay_triangle_by_age, delay_triangle_by_series, delay_triangle_epiweek,
     delay_triangle_forecast_k, delay_triangle_many_series, triangle_wide, triangle_long,
     integer_week_triangle, observed_by_week_from_tmin, latest_weeks,
-    epi_curve, weekly_tally, weekly_tally_shipdate, daily_tally, as_of_epi_curve, truth_vs_as_of,
+    epi_curve, weekly_tally, weekly_tally_shipdate, stored_tally, daily_tally, as_of_epi_curve, truth_vs_as_of,
     latest_release, named_release_epiweek, release_by_age,
     snapshot_increments, snapshot_triangle, snapshot_triangle_floor, snapshot_triangle_by_age,
     clean_age_counts, normalise_text, prepare_raw_extract,

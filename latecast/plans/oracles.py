@@ -742,6 +742,7 @@ ob AS (SELECT g, "Time", dt_event, {_bigint('coalesce(sum("Y"), 0)')} AS observe
     )
     tally = "SELECT g AS series, onset_week AS dt_event, count(*) AS n FROM bw GROUP BY ALL"
     q["weekly_tally"] = f"WITH {_LINES}, {_weekly(series=True)} {tally}"
+    q["stored_tally"] = f"WITH {_LINES}, {weekly_obs} {tally}"
     q["as_of_epi_curve"] = f"WITH {_LINES}, {weekly_obs} {tally}"
     q["weekly_tally_shipdate"] = f"""WITH ship AS (
   SELECT CAST(o_orderdate AS DATE) AS onset, CAST(l_shipdate AS DATE) AS report, 'all' AS series

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from latecast.operators import curves, weekly
 from latecast.sources import readers, writers
+from latecast.sources.store import DayCountStore
 
 HEADER = "EXTRA;NU_IDADE_N;TP_IDADE;DT_SIN_PRI;DT_DIGITA;CLASSI_FIN;EVOLUCAO;CO_MUN_RES\n"
 
@@ -62,6 +63,46 @@ def test_stored_day_counts(spark, cases, tmp_path):
     )
 
 
+def test_store_of_day_counts(spark, cases, tmp_path):
+    """Increments, corrections and compaction give the counts as if they had come at once."""
+    days = weekly.day_counts(cases, "onset", "report").persist()
+    kept = DayCountStore(spark, str(tmp_path / "store"))
+    assert kept.version() == 0 and kept.batches() == []
+    with pytest.raises(ValueError, match="nothing"):
+        kept.read()
+    early, late = days.filter("report <= date'2020-06-10'"), days.filter("report > date'2020-06-10'")
+    assert kept.append(early) == 1 and kept.append(late) == 2 and len(kept.batches()) == 2
+    same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert same(kept.read(), days) and same(kept.read(version=1), early)
+    twice = days.filter("onset = date'2020-06-09'")
+    kept.append(twice)
+    doubled = days.withColumn("n", F.when(F.col("onset") == F.lit("2020-06-09"), 2 * F.col("n")).otherwise(F.col("n")))
+    assert same(kept.read(), doubled)
+    kept.append(twice.withColumn("n", -F.col("n")))
+    assert same(kept.read(), days)
+    kept.append(twice.withColumn("n", -F.col("n")))
+    assert kept.read().filter("onset = date'2020-06-09'").isEmpty()
+    kept.append(twice)
+    assert kept.compact() == 7 and len(kept.batches()) == 1 and same(kept.read(), days)
+    assert same(kept.read(version=2), days) and same(kept.read(version=1), early)
+    with pytest.raises(ValueError, match="version 99"):
+        kept.read(version=99)
+    then = kept.read(as_of="2020-06-09", since="2020-06-02")
+    assert same(then, days.filter("report between date'2020-06-02' and date'2020-06-09'"))
+    assert "PartitionFilters: [isnotnull(report_month" in then._jdf.queryExecution().executedPlan().toString()
+
+
+def test_store_ignores_what_a_failed_writer_left(spark, cases, tmp_path):
+    days = weekly.day_counts(cases, "onset", "report")
+    kept = DayCountStore(spark, str(tmp_path / "store"))
+    kept.append(days)
+    days.withColumn("report_month", F.lit("2020-06")).write.partitionBy("report_month").parquet(
+        str(tmp_path / "store/data/batch=left-behind"))
+    assert kept.read().agg(F.sum("n")).first()[0] == days.agg(F.sum("n")).first()[0]
+    kept.drop()
+    assert kept.version() == 0 and not (tmp_path / "store").exists()
+
+
 def test_write_by_series(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "series string, n long")
     writers.write_result(df, str(tmp_path / "r"), series_cols=["series"])
