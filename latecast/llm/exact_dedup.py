@@ -8,13 +8,11 @@ ranges with one filter each.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latecast.llm import bloom
-from latecast.llm.shared import Work, normalised
+from latecast.llm.shared import Work, normalised, numbered
 
 BITS_PER_ROW = 16
 MOST_BITS = 1 << 29
@@ -28,13 +26,6 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _ranges(light: DataFrame, rounds: int) -> list[DataFrame]:
-    if rounds == 1:
-        return [light]
-    at = F.pmod(F.shiftrightunsigned("hash", 17), F.lit(rounds))
-    return [light.where(at == i) for i in range(rounds)]
-
-
 def _grouped(rows: DataFrame, work: Work, name: str) -> DataFrame:
     """Rows that may repeat: counted by (digest, id) first, so that a hot text is a few rows."""
     counted = rows.groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n"))
@@ -62,31 +53,47 @@ def exact_groups(
     """Per row: id, keep_id (smallest id of the equal texts), group_size, kept, sha.
 
     Null and empty texts are equal. A null id sorts last. Of rows that repeat with the same id and
-    text one is kept. No rows give no rows. Other columns, whatever their names, are not looked at.
+    text one is kept. Very long texts are hashed whole. No rows give no rows. Other columns, whatever
+    their names, are not looked at. Beyond one filter, rows are written by range of their hash once, and
+    each range reads its own.
     """
     spark = docs.sparkSession
     work = Work(spark, "exact-dedup")
     light = work.table(signed(docs, id_col, text_col), "signed")
     bits, rounds = bloom.filter_bits(light.count(), bits_per_row, most_bits)
-    out = []
-    for i, part in enumerate(_ranges(light, rounds)):
+
+    def groups_of(part: DataFrame, name: str) -> DataFrame:
         may = bloom.contains(spark, bloom.filter_of(part.select("hash"), bits))
-        marked = work.table(part.withColumn("may", may("hash")), f"marked-{i}")
+        marked = work.table(part.withColumn("may", may("hash")), f"marked-{name}")
         alone = marked.where("not may").select(
             "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
             F.lit(True).alias("kept"), "sha",
         )
-        out += [alone, _grouped(marked.where("may"), work, str(i))]
+        return alone.unionByName(_grouped(marked.where("may"), work, name))
+
+    if rounds == 1:
+        found = groups_of(light, "0")
+        work.drop("signed")
+        return found
+    at = F.pmod(F.shiftrightunsigned("hash", 17), F.lit(rounds)).cast("int")
+    dealt = work.partitioned(light.withColumn("range", at), "ranges", "range")
     work.drop("signed")
-    return reduce(DataFrame.unionByName, out)
+    each = (groups_of(dealt.where(F.col("range") == i).drop("range"), str(i)) for i in range(rounds))
+    return work.appended(each, "groups")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with their columns: of equal texts one row with the smallest id.
 
     Only rows whose id a filter of the dropped ids names shuffle; all others go straight through. Of
-    rows that repeat with the same id and text one stays.
+    rows that repeat with the same id and text one stays. Nulls and very long texts are as in
+    ``exact_groups``; no rows give no rows; columns may have any names.
     """
+    plain, (id_, text) = numbered(docs, id_col, text_col)
+    return _without_copies(plain, id_, text).toDF(*docs.columns)
+
+
+def _without_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     groups = exact_groups(docs, id_col, text_col)
     work = Work(docs.sparkSession, "copies")
     listed = work.table(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latecast.llm.shared import Work, whole_text
+from latecast.llm.shared import Work, numbered, whole_text
 
 #: A line on so many sites is boilerplate.
 LEAST_SITES = 10
@@ -67,9 +67,16 @@ def without_boilerplate(
 
     ``n_lines`` counts a text's lines that are not blank, ``n_removed`` those taken out. Null and empty
     texts stay as they are. Blank lines stay. Lines are compared without blanks at their ends. Rows
-    that repeat an id are cleaned each by its own text. Columns named like the counts are replaced. No
-    rows give no rows.
+    that repeat an id are cleaned each by its own text. Very long texts are split whole. Columns named
+    like the counts are replaced; others may have any names. No rows give no rows.
     """
+    rest = docs.drop(lines_col, removed_col)
+    plain, (id_, text, site) = numbered(rest, id_col, text_col, site_col)
+    return _without_boilerplate(plain, id_, text, site, least).toDF(*rest.columns, lines_col, removed_col)
+
+
+def _without_boilerplate(docs: DataFrame, id_col: str, text_col: str, site_col: str, least: int) -> DataFrame:
+    lines_col, removed_col = "n_lines", "n_removed"
     work = Work(docs.sparkSession, "line-dedup")
     found = boilerplate(docs, work, text_col=text_col, site_col=site_col, least=least)
     key = [F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"),
@@ -80,7 +87,7 @@ def without_boilerplate(
         lines.where("hash is not null").join(bounded(found), "hash", "left_semi")
         .groupBy(*names).agg(F.collect_set("__at").alias("__hits")), "hits",
     )
-    rows = docs.drop(lines_col, removed_col)
+    rows = docs
     joined = rows.select("*", *key).join(hits, names, "left")
     left = F.filter(split_lines(text_col), lambda _, i: ~F.array_contains("__hits", i))
     text = F.when(F.col("__hits").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col))

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latecast.llm import bloom, pieces
-from latecast.llm.shared import Work, rows_in_batch, whole_text
+from latecast.llm import bloom, memory, pieces
+from latecast.llm.shared import Work, numbered, rows_in_batch, whole_text
 
 SHINGLE = 5
 THRESHOLD = 85  # per cent
@@ -160,7 +160,7 @@ def _sketch(size: int):
                     ["id", "n", "node", "check", "registers"],
                 )
 
-    return run
+    return memory.tidy(run)
 
 
 def _signs(column: pa.Array) -> pa.Array:
@@ -188,9 +188,10 @@ def _bands(bands: int):
                 [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(nodes, bands))], ["key", "node"]
             )
 
-    return run
+    return memory.tidy(run)
 
 
+@memory.tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buffer, offsets = pieces.text_buffer(batch.column(0))
@@ -204,6 +205,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@memory.tidy
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by centre: the centre's own set first, then the sets to hold against it."""
     centre = None
@@ -231,6 +233,7 @@ def _missing(n: np.ndarray, least: np.ndarray, threshold: int) -> np.ndarray:
     return np.floor(n - threshold / (100 + threshold) * (n + other) + 1e-9).astype(np.int64)
 
 
+@memory.tidy
 def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of (key, node, n, least, parts, label, items) cut into parts by shingle hash, one row a part."""
     names = ["key", "node", "n", "least", "parts", "label", "items"]
@@ -352,7 +355,7 @@ def _rare_items(threshold: int):
         if group is not None:
             yield done()
 
-    return run
+    return memory.tidy(run)
 
 
 def _likely(size: int):
@@ -620,8 +623,8 @@ def near_groups(
     Texts without words, null ones too, have no shingles and are linked with nothing. Repeated rows and
     equal texts are one class. A null id is nobody's component unless all ids of a component are null;
     only then, or alone without links, such a row is kept. ``kept`` compares ids alone, so all rows of a
-    component that share its id are kept; ``without_near_copies`` takes one of them. No rows give no
-    rows. Other columns are not read. Two different sets are taken for equal if two 64-bit sums and
+    component that share its id are kept; ``without_near_copies`` takes one of them. Very long texts are
+    taken whole. No rows give no rows. Other columns are not read. Two different sets are taken for equal if two 64-bit sums and
     their sizes agree, and a pair at the threshold shares no band once in more than 130,000 pairs.
     """
     out = _linked(docs, id_col, text_col, threshold, Work(docs.sparkSession, "near-dup"))
@@ -638,8 +641,13 @@ def without_near_copies(
     A component's row has its smallest id; only if all its ids are null, a row without id stays. What
     goes is named by id and set, so rows that share an id, a null one too, are judged by their own
     texts; of rows with the same id and set one stays. Only rows whose id a filter of the listed ids
-    names shuffle.
+    names shuffle. Very long texts are taken whole; no rows give no rows; columns may have any names.
     """
+    plain, (id_, text) = numbered(docs, id_col, text_col)
+    return _without_near_copies(plain, id_, text, threshold).toDF(*docs.columns)
+
+
+def _without_near_copies(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
     work = Work(docs.sparkSession, "near-copies")
     key = ["id", "node", "check", "n"]
     rows = _linked(docs, id_col, text_col, threshold, work).where("n > 0")

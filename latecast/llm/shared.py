@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
@@ -73,6 +73,19 @@ class Work:
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
+    def partitioned(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """The same, in a folder for each value of a column, so that reading one value reads its rows only."""
+        df.write.mode("overwrite").partitionBy(column).parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def appended(self, parts: Iterable[DataFrame], name: str) -> DataFrame:
+        """One table of several results, written one after the other."""
+        schema = None
+        for part in parts:
+            part.write.mode("append").parquet(f"{self.folder}/{name}")
+            schema = part.schema
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
     def drop(self, name: str = "") -> None:
         """Delete one table, or all this run has written."""
         jvm = self.spark.sparkContext._jvm
@@ -87,6 +100,13 @@ def drop_since(mark: int) -> None:
     del Work.made[mark:]
 
 
+def numbered(docs: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
+    """The same rows with columns c0, c1, ..., which clash with no name that an operator uses itself, and
+    the new names of the given columns."""
+    lower = [c.lower() for c in docs.columns]
+    return docs.toDF(*[f"c{i}" for i in range(len(lower))]), [f"c{lower.index(c.lower())}" for c in named]
+
+
 def whole_text(column: str | Column) -> Column:
     """The text itself; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
