@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latecast.llm import pieces
+from latecast.llm import memory, pieces
 from latecast.llm.pieces import APOSTROPHE, DIGIT, LETTER, MARK, SPACE
 from latecast.llm.shared import bound_batches
 
@@ -139,9 +139,34 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
     return run
 
 
-def _encode(data: bytes, pattern: str, names: list[str]):
+def _decoder(ranks: dict[bytes, int]):
+    """Ids of texts, one after the other, and how many each has, to the texts' bytes."""
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    starts = np.cumsum(lengths) - lengths
+    flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def run(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        n = lengths[ids]
+        windows = [flat[pieces.gather(starts[ids[i:i + pieces.WINDOW]], n[i:i + pieces.WINDOW])]
+                   for i in range(0, len(ids), pieces.WINDOW)]
+        texts = np.concatenate(windows) if windows else np.zeros(0, np.uint8)
+        total = np.concatenate([[0], np.cumsum(n)])
+        limits = total[np.concatenate([[0], np.cumsum(counts)])]
+        return pa.Array.from_buffers(
+            pa.large_binary(), len(counts), [None, pa.py_buffer(limits), pa.py_buffer(texts)]
+        ).cast(pa.binary())
+
+    return run
+
+
+def _encode(data: bytes, pattern: str, names: list[str], decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces.PieceTable(_encoder(read_ranks(data), pattern), CUTS)
+        ranks = read_ranks(data)
+        table = pieces.PieceTable(_encoder(ranks, pattern), CUTS)
+        back = _decoder(ranks) if decoded else None
         for batch in batches:
             buffer, offsets = pieces.text_buffer(batch.column(0))
             for first, last in pieces.slices(batch, offsets, pieces.WINDOW):
@@ -149,62 +174,53 @@ def _encode(data: bytes, pattern: str, names: list[str]):
                 ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
                 limits = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(limits), pa.array(ids))
+                texts = [back(ids, counts)] if back else []
                 others = [batch.column(i).slice(first, last - first) for i in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([lists, *others], names)
+                yield pa.RecordBatch.from_arrays([lists, *texts, *others], names)
 
-    return run
+    return memory.tidy(run)
 
 
 def encode(
-    docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids"
+    docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids",
+    decoded_col: str | None = None,
 ) -> DataFrame:
-    """The other columns and the ids of every whole text; no special tokens.
+    """The other columns and the ids of every whole text; no special tokens. With ``decoded_col`` also the bytes
+    decoded from these ids, by the same worker.
 
     ``vocabulary`` is a file of base64 tokens and ranks, read once by the driver (its size is fixed). A
     null or empty text has no ids. Very long texts are encoded in windows. Nothing is dropped, repeated
-    rows stay, no rows give no rows; a column called like ``ids_col`` is replaced.
+    rows stay, no rows give no rows; a column called like ``ids_col`` or ``decoded_col`` is replaced.
     """
     with open(vocabulary, "rb") as f:
         data = f.read()
     bound_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in (text_col, ids_col)]
+    new = [ids_col, *([decoded_col] if decoded_col else [])]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, *new)]
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias(ids_col), *kept)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    schema = f"`{ids_col}` array<int>" + (f", {kinds}" if kinds else "")
-    return rows.mapInArrow(_encode(data, pattern, rows.columns), schema)
+    schema = f"`{ids_col}` array<int>" + (f", `{decoded_col}` binary" if decoded_col else "")
+    names = [*new, *rows.columns[1:]]
+    return rows.mapInArrow(_encode(data, pattern, names, bool(decoded_col)), schema + (f", {kinds}" if kinds else ""))
 
 
 def _decode(data: bytes, names: list[str], ids_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(data)
-        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
+        back = _decoder(read_ranks(data))
         for batch in batches:
             lists = batch.column(ids_at).fill_null([])
             counts = np.diff(lists.offsets.to_numpy())
             ids = lists.flatten().to_numpy(zero_copy_only=False)
-            n = lengths[ids]
-            windows = [flat[pieces.gather(starts[ids[i:i + pieces.WINDOW]], n[i:i + pieces.WINDOW])]
-                       for i in range(0, len(ids), pieces.WINDOW)]
-            texts = np.concatenate(windows) if windows else np.zeros(0, np.uint8)
-            total = np.concatenate([[0], np.cumsum(n)])
-            limits = total[np.concatenate([[0], np.cumsum(counts)])]
-            decoded = pa.Array.from_buffers(
-                pa.large_binary(), len(counts), [None, pa.py_buffer(limits), pa.py_buffer(texts)]
-            ).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, back(ids, counts)], names)
 
-    return run
+    return memory.tidy(run)
 
 
 def decode(
     encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded"
 ) -> DataFrame:
-    """All columns and the bytes that the ids stand for; no ids give no bytes."""
+    """All columns and the bytes that the ids stand for; no ids, or null, give no bytes. Null ids of rows do not
+    matter; a column called like ``out_col`` is replaced; no rows give no rows."""
     with open(vocabulary, "rb") as f:
         data = f.read()
     bound_batches(encoded.sparkSession)

@@ -86,9 +86,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, decoded_col="decoded")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return byte_bpe.decode(encoded, vocabulary).select(
+    return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

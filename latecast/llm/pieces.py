@@ -16,7 +16,8 @@ import xxhash
 OTHER, SPACE, LETTER, DIGIT, MARK, APOSTROPHE = range(6)
 WINDOW = 1 << 20
 KEY_BYTES = 32
-MOST_KEPT = 1 << 19
+MOST_KEPT = 1 << 18
+SLOT_BITS = 20
 
 
 def byte_classes() -> np.ndarray:
@@ -148,6 +149,7 @@ class PieceTable:
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)  # the place that a hash's first bits had last
 
     def _add(self, texts: list[bytes]) -> np.ndarray:
         """Encode pieces and keep their ids; their places."""
@@ -183,6 +185,22 @@ class PieceTable:
         for i in range(keys.shape[1]):
             hashes = (hashes ^ keys[:, i]) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
             hashes ^= hashes >> np.uint64(32)
+        slots = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        places = self.slots[slots].astype(np.int64)
+        known = places >= 0
+        if known.any():
+            known &= (self.keys[places] == keys).all(axis=1)
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            places[rest] = self._looked_up(data, starts[rest], lengths[rest], keys[rest], hashes[rest])
+            self.slots[slots[rest]] = places[rest]
+        out[which] = places
+        return out
+
+    def _looked_up(
+        self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, hashes: np.ndarray
+    ) -> np.ndarray:
+        """Places by binary search over all hashes; what is not there is encoded."""
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if not (keys[first][inverse] == keys).all():  # two pieces share a hash: compare whole keys
             _, first, inverse = np.unique(keys, axis=0, return_index=True, return_inverse=True)
@@ -203,8 +221,7 @@ class PieceTable:
             order = np.argsort(np.concatenate([self.hashes, distinct[new]]), kind="stable")
             self.hashes = np.concatenate([self.hashes, distinct[new]])[order]
             self.places = np.concatenate([self.places, places[new]])[order]
-        out[which] = places[inverse]
-        return out
+        return places[inverse]
 
     def encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids of all texts, in parts one after the other, and the number of ids of each text.

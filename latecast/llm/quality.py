@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latecast.llm import pieces
+from latecast.llm import memory, pieces
 from latecast.llm.shared import bound_batches, whole_text
 
 #: Rows the scorer is fitted on, about: rows are drawn by a hash of their id and text.
@@ -235,6 +235,7 @@ class Scorer:
     bias: float
 
 
+@memory.tidy
 def _feature_rows(batches):
     for batch in batches:
         texts, buckets, shares = features(batch.column(1))
@@ -253,7 +254,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Label model from all documents' votes; scorer from about ``fit_rows`` of them, drawn by id and text.
 
     The driver gets the pattern counts (3 ** heuristics rows at most) and the sample's hashed features
-    (``BUCKETS`` numbers a row at most, ``FIT_MOST * fit_rows`` rows at most, the first by hash).
+    (``BUCKETS`` numbers a row at most, ``FIT_MOST * fit_rows`` rows at most, the first by hash). Null and empty
+    texts cast no votes; rows without id are drawn by their text; repeated rows vote each time. Very long texts are
+    read whole. Without rows the scorer calls everything good.
     """
     bound_batches(docs.sparkSession)
     vote = F.arrow_udf(lambda column: votes(column), "long")
@@ -285,7 +288,8 @@ def judged(docs: DataFrame, scorer: Scorer, *, text_col: str = "text", score_col
     """All columns, the score of the whole text (0 to 1, 1 is good) and whether it is kept.
 
     Null and empty texts are judged by the fitted bias, which stands for the average document. Columns
-    named like the two that are added are replaced; repeated rows get the same score.
+    named like the two that are added are replaced; repeated rows get the same score. Very long texts are
+    scored whole, window by window. No rows give no rows.
     """
     bound_batches(docs.sparkSession)
     weights, bias = scorer.weights, scorer.bias
