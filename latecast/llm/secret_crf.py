@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latecast.llm import pieces
+from latecast.llm import memory, pieces
 from latecast.llm.shared import bound_batches, whole_text
 
 #: Fixed patterns and the least lengths of what they find.
@@ -28,15 +28,19 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "crf")
 
-#: Rows that windows for the fit are taken from, about, drawn by a hash of their id.
+#: Rows that windows for the fit are taken from, about, drawn by a hash of their id and text; how many windows
+#: are fitted at most, and how many around tokens that are no secrets each text offers.
 FIT_ROWS = 16384
 FIT_WINDOWS = 6000
+FIT_OTHERS = 2
 AROUND = 8
 BUCKETS = 1 << 15
 STEPS = 60
 #: What a secret must be better than outside by, so that few clean tokens are tagged.
 CAUTION = 1.0
-SECTION = 1 << 21
+SECTION = 1 << 21  # bytes of texts that are looked at together; a longer text is, too
+TOKENS = 1 << 18  # tokens that are scored at once
+REACH = 2  # tokens that features look at on either side
 OUT, BEGIN, INSIDE = range(3)
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 SIZES = np.array([2, 3, 6, 10, 16, 20, 24, 40])
@@ -94,6 +98,14 @@ def base_spans(data: np.ndarray, limits: np.ndarray) -> list[tuple[int, str, int
     return sorted(found, key=lambda x: (x[0], x[2], KINDS.index(x[1])))
 
 
+def _files(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Of each text: its length, and how much of it is digits."""
+    sums = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int64)])
+    size = np.diff(limits)
+    share = np.searchsorted([0.005, 0.02, 0.1], (sums[limits[1:]] - sums[limits[:-1]]) / np.maximum(1, size))
+    return (share * 8 + np.searchsorted([200, 1000, 5000, 50000], size)).astype(np.uint64)
+
+
 class Tokens:
     """Tokens of several texts and their features."""
 
@@ -107,8 +119,18 @@ class Tokens:
         some = kind[starts] != 0
         self.starts, self.ends = starts[some], ends[some]
         self.texts = np.searchsorted(limits, self.starts, side="right") - 1
-        self.data, self.limits = data, limits
+        self.data = data
         self.word = kind[self.starts] == 1
+        self.files = _files(data, limits)  # by text
+
+    def part(self, first: int, last: int) -> Tokens:
+        """Some tokens with what belongs to them; the features of whole texts stay."""
+        out = object.__new__(Tokens)
+        low, high = int(self.starts[first]), int(self.ends[last - 1])
+        out.starts, out.ends = self.starts[first:last] - low, self.ends[first:last] - low
+        out.texts, out.word = self.texts[first:last], self.word[first:last]
+        out.data, out.files = self.data[low:high], self.files
+        return out
 
     def features(self) -> np.ndarray:
         """Hashed features, one row a kind of feature."""
@@ -138,7 +160,7 @@ class Tokens:
         name = np.where(digits > 0, np.uint64(1), name)  # what may be secret is not learnt by heart
         before, before2 = self._shifted(name, 1), self._shifted(name, 2)
         after, shape_before = self._shifted(name, -1), self._shifted(shape, 1)
-        file = self._file()[self.texts]
+        file = self.files[self.texts]
         return np.stack([
             self._bucket(0, shape), self._bucket(1, name), self._bucket(2, shape, before),
             self._bucket(3, before), self._bucket(4, before, before2), self._bucket(5, after),
@@ -156,14 +178,6 @@ class Tokens:
             out[:by][same] = values[-by:][same]
         return out
 
-    def _file(self) -> np.ndarray:
-        """Of each text: its length, and how much of it is digits."""
-        sums = np.concatenate([[0], np.cumsum(_DIGIT[self.data], dtype=np.int64)])
-        size = np.diff(self.limits)
-        digits = sums[self.limits[1:]] - sums[self.limits[:-1]]
-        share = np.searchsorted([0.005, 0.02, 0.1], digits / np.maximum(1, size))
-        return (share * 8 + np.searchsorted([200, 1000, 5000, 50000], size)).astype(np.uint64)
-
     @staticmethod
     def _bucket(kind: int, *values: np.ndarray) -> np.ndarray:
         out = np.full(len(values[0]), kind + 1, np.uint64)
@@ -274,20 +288,21 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def _windows_of(tokens: Tokens, tags: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Token ranges around each secret, around one other token with digits of each text, and one at a
-    text's beginning."""
+    """Token ranges around every secret, around ``FIT_OTHERS`` other tokens with digits of each text, and one at
+    the beginning of a text without secrets."""
     sums = np.concatenate([[0], np.cumsum(_DIGIT[tokens.data])])
     digits = sums[tokens.ends] > sums[tokens.starts]
-    firsts = np.searchsorted(tokens.texts, np.arange(len(tokens.limits)))
+    firsts = np.searchsorted(tokens.texts, np.arange(len(tokens.files) + 1))
     for low, high in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
         if low == high:
             continue
-        secret = np.flatnonzero(tags[low:high] == BEGIN)[:4]
-        other = np.flatnonzero(digits[low:high] & (tags[low:high] == OUT))[:2]
+        secret = np.flatnonzero(tags[low:high] == BEGIN)
+        other = np.flatnonzero(digits[low:high] & (tags[low:high] == OUT))[:FIT_OTHERS]
         for at in (*secret, *other, *([0] if not len(secret) else [])):
             yield max(low, low + int(at) - AROUND), min(high, low + int(at) + AROUND + 1)
 
 
+@memory.tidy
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buffer, offsets = pieces.text_buffer(batch.column(1))
@@ -313,9 +328,13 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           fit_rows: int = FIT_ROWS, fit_windows: int = FIT_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and moves of the field, fitted on at most ``fit_windows`` windows from about ``fit_rows``
-    rows: all with secrets first, then others, both in the order of the id's hash."""
+    rows: all with secrets first, then others, both in the order of a hash of id and text.
+
+    Rows without id are drawn by their text; null and empty texts offer no window, and without any window the
+    field tags nothing. Very long texts offer a window for each secret like any other. Other columns are not read.
+    """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.xxhash64(F.col(id_col), F.lit("crf")).alias("key"), whole_text(text_col).alias("text"))
+    rows = docs.select(F.xxhash64(F.col(id_col), whole_text(text_col), F.lit("crf")).alias("key"), whole_text(text_col).alias("text"))
     total = rows.count()
     if total > fit_rows:
         rows = rows.where(F.pmod("key", F.lit(1 << 32)) < int((1 << 32) * fit_rows / total))
@@ -334,54 +353,34 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return weights.astype(np.float32), moves
 
 
-def _sections(limits: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Text limits, and in texts beyond ``SECTION`` bytes further ones after white space."""
-    extra = []
-    for low, high in zip(limits[:-1], limits[1:], strict=True):
-        at = int(low) + SECTION
-        while at < high:
-            space = np.flatnonzero(_KIND[data[at:min(int(high), at + SECTION)]] == 0)
-            at += int(space[0]) if len(space) else SECTION
-            if at < high:
-                extra.append(at)
-            at += SECTION
-    return np.unique(np.concatenate([limits, np.array(extra, np.int64)])) if extra else limits
-
-
 def spans_of(data: np.ndarray, limits: np.ndarray, weights: np.ndarray, moves: np.ndarray
              ) -> list[list[tuple[str, int, int]]]:
     """Each text's spans (kind, start, end) in code points: the patterns' own and what the field adds."""
     base = base_spans(data, limits)
     found = [(text, kind, start, end) for text, kind, start, end, _ in base]
-    sections = _sections(limits, data)
     taken = np.zeros(len(data) + 1, bool)
     for _, _, start, end, _ in base:
         taken[start:end] = True
-    step = 0
-    while step < len(sections) - 1:
-        upto = int(np.searchsorted(sections, sections[step] + SECTION, side="right")) - 1
-        upto = max(step + 1, min(upto, len(sections) - 1))
-        low, high = int(sections[step]), int(sections[upto])
-        tokens = Tokens(data[low:high], np.unique(sections[step:upto + 1] - low))
-        step = upto
-        if not len(tokens.starts):
-            continue
-        scores = np.zeros((len(tokens.starts), 3), np.float32)
-        for row in tokens.features():
-            scores += weights[row]
-        scores[:, 1:] -= CAUTION
-        tags = viterbi(scores.astype(np.float64), moves, tokens.texts)
-        for first in np.flatnonzero(
-            (tags != OUT) & ((tags == BEGIN) | np.concatenate([[True], tags[:-1] == OUT])
-                             | np.concatenate([[True], tokens.texts[1:] != tokens.texts[:-1]]))
-        ).tolist():
+    tokens = Tokens(data, limits)
+    size = len(tokens.starts)
+    scores = np.zeros((size, 3), np.float32)
+    for first in range(0, size, TOKENS):
+        last = min(size, first + TOKENS)
+        low = max(0, first - REACH)
+        for row in tokens.part(low, min(size, last + REACH)).features():
+            scores[first:last] += weights[row[first - low:last - low]]
+    scores[:, 1:] -= CAUTION
+    tags = viterbi(scores.astype(np.float64), moves, tokens.texts)
+    if size:
+        before = np.concatenate([[True], (tags[:-1] == OUT) | (tokens.texts[1:] != tokens.texts[:-1])])
+        for first in np.flatnonzero((tags != OUT) & ((tags == BEGIN) | before)).tolist():
             last = first
-            while (last + 1 < len(tags) and tags[last + 1] == INSIDE
+            while (last + 1 < size and tags[last + 1] == INSIDE
                    and tokens.texts[last + 1] == tokens.texts[first]):
                 last += 1
-            start, end = low + int(tokens.starts[first]), low + int(tokens.ends[last])
+            start, end = int(tokens.starts[first]), int(tokens.ends[last])
             if not taken[start:end].any():
-                found.append((int(np.searchsorted(limits, start, side="right")) - 1, "crf", start, end))
+                found.append((int(tokens.texts[first]), "crf", start, end))
     out: list[list[tuple[str, int, int]]] = [[] for _ in range(len(limits) - 1)]
     if found:
         points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -407,7 +406,7 @@ def _scan(weights: np.ndarray, moves: np.ndarray, names: list[str], text_at: int
                 others = [part.column(i) for i in range(batch.num_columns) if i != text_at]
                 yield pa.RecordBatch.from_arrays([*others, listed], names)
 
-    return run
+    return memory.tidy(run)
 
 
 def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: str = "text",
@@ -416,8 +415,8 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text_col: str
 
     Pattern spans of different kinds may overlap; the field's (kind ``crf``) overlap none of them. Null
     and empty texts have none. Repeated rows get the same spans. A column named like ``spans_col`` is
-    replaced. Texts beyond ``SECTION`` bytes are tagged in sections cut at white space; the patterns see
-    them whole.
+    replaced. Very long texts are tagged whole: their tokens are scored part by part with their neighbours, and
+    decoded together. No rows give no rows.
     """
     weights, moves = model
     bound_batches(docs.sparkSession)
