@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from latecast.functions import strata, text, weeks
 from latecast.operators import (
-    curves, draws, model, report, snapshots, summary, trend, triangle, weekly,
+    curves, draws, model, releases, report, snapshots, summary, trend, triangle, weekly,
 )
 from latecast.operators.keys import attach, join_on
 from latecast.operators.model import ModelSpec
@@ -230,6 +230,31 @@ def snapshot_triangle(spark, sf):
     )
 
 
+def _from_changes(spark, sf, use) -> DataFrame:
+    """What ``use`` makes of the releases stored as changes, and of the release days."""
+    published = tables.snapshots(spark, sf)
+    folder = checkpoints.new_folder(spark, "releases")
+    releases.write_changes(releases.release_changes(published, "dt_sin_pri"), folder)
+    result = checkpoints.checkpointed(use(spark.read.parquet(folder), releases.release_days(published)))
+    checkpoints.delete_folder(spark, folder)
+    return result
+
+
+def snapshot_triangle_from_changes(spark, sf):
+    """The triangle from releases that were kept as changes and rebuilt."""
+    return _from_changes(spark, sf, lambda changes, days: snapshots.snapshot_triangle(
+        releases.releases_between(changes, days, until=RELEASE),
+        "dt_sin_pri", 15, window=30, horizon=2, release=RELEASE,
+    ))
+
+
+def release_from_changes(spark, sf):
+    """One release rebuilt by a filter on stored changes."""
+    return _from_changes(spark, sf, lambda changes, _: snapshots.current_release(
+        releases.release_of(changes, RELEASE), "dt_sin_pri", release=RELEASE
+    ))
+
+
 def snapshot_triangle_floor(spark, sf):
     return snapshots.snapshot_triangle_full_weeks(
         tables.snapshots(spark, sf), "dt_sin_pri", 12, horizon=1, release=RELEASE
@@ -594,7 +619,8 @@ CHECKED: list[Query] = [
     integer_week_triangle, observed_by_week_from_tmin, latest_weeks,
     epi_curve, weekly_tally, weekly_tally_shipdate, stored_tally, daily_tally, as_of_epi_curve, truth_vs_as_of,
     latest_release, named_release_epiweek, release_by_age,
-    snapshot_increments, snapshot_triangle, snapshot_triangle_floor, snapshot_triangle_by_age,
+    snapshot_increments, snapshot_triangle, snapshot_triangle_from_changes, release_from_changes,
+    snapshot_triangle_floor, snapshot_triangle_by_age,
     clean_age_counts, normalise_text, prepare_raw_extract,
     summary_total, summary_by_age, summary_9q, total_samples,
     trend_score, trend_score_by_age, trend_score_single_draw, rolling_trend_3w, rolling_trend_6w,

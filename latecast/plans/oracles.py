@@ -915,4 +915,6 @@ SELECT age_class, "Time", dt_event, {_bigint('coalesce(sum("Y"), 0)')} AS observ
 FROM tri, fu WHERE "Time" >= first_unknown GROUP BY age_class, "Time", dt_event"""
     q |= _nowcasts(nations)
     q["situation_table_forecast"] = _situation_forecast(q["situation_table"])
+    q["snapshot_triangle_from_changes"] = q["snapshot_triangle"]
+    q["release_from_changes"] = q["named_release_epiweek"]
     return q
