@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latecast.llm import files, pieces, ranges
+from latecast.llm import files, memory, pieces, ranges
 from latecast.llm.pieces import APOSTROPHE, DIGIT, LETTER, MARK, OTHER, SPACE
 from latecast.llm.shared import Work, shared_folder, whole_text
 
@@ -47,6 +47,28 @@ CUTS = pieces.cuts(
 )
 
 
+def _choices(ids: np.ndarray) -> np.ndarray:
+    """By place, the selector that holds the most ids from there on; a block's end cuts what it must hold.
+
+    The largest needs of 1, 2, 3, ... ids from every place grow out of each other, one maximum a step.
+    """
+    size, most = len(ids), int(HELD.max())
+    blocks = -(-size // BLOCK)
+    needs = np.zeros((blocks, BLOCK + most), np.int8)  # nothing is needed past a block's end
+    flat = np.zeros(blocks * BLOCK, np.int8)
+    flat[:size] = _NEEDS[np.searchsorted(_LIMITS, ids, side="right")]  # each id's first selector that holds it
+    needs[:, :BLOCK] = flat.reshape(blocks, BLOCK)
+    choice = np.zeros((blocks, BLOCK), np.int8)
+    widest, reach = needs, 1
+    for selector in range(len(BITS) - 1, 0, -1):  # the fewest ids first
+        while reach < HELD[selector]:
+            step = min(reach, int(HELD[selector]) - reach)
+            widest = np.maximum(widest[:, :-step], widest[:, step:])
+            reach += step
+        choice[widest[:, :BLOCK] <= selector] = selector
+    return choice.ravel()[:size]
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of ids below 2**60, all blocks side by side."""
     size = len(ids)
@@ -56,15 +78,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if int(ids.max()) >> 60:
         raise ValueError("an id needs more than 60 bits")
     ends = np.minimum((np.arange(size) // BLOCK + 1) * BLOCK, size)
-    choice = np.zeros(size, np.int8)
-    needs = _NEEDS[np.searchsorted(_LIMITS, ids, side="right")]  # each id's first selector that holds it
-    open_ = np.arange(size)
-    for selector in range(int(needs.min()), len(BITS)):  # the most ids first
-        over = np.concatenate([[0], np.cumsum(needs > selector, dtype=np.int32)])
-        some = open_[needs[open_] <= selector]
-        fits = over[np.minimum(some + HELD[selector], ends[some])] == over[some]
-        choice[some[fits]] = selector
-        open_ = open_[choice[open_] == 0]
+    choice = _choices(ids)
     follow = np.minimum(np.arange(size) + HELD[choice], ends)
     at = np.arange(0, size, BLOCK)
     limit = ends[at]
@@ -276,7 +290,7 @@ def _write(vocabulary: str, folder: str, end_id: int, special_as_text: bool = Fa
             ["shard", "part", "path", "docs", "ids", "bytes"],
         )
 
-    return run
+    return memory.tidy(run)
 
 
 def write_tokens(
@@ -288,14 +302,15 @@ def write_tokens(
     ``vocabulary`` is the tokenizer's file, read by the driver. A null or empty text has the end id
     only. Strings of special tokens get their ids, as the library gives them by default, or are ordinary
     text with ``special_as_text``. A null id is written as the smallest 64-bit integer and comes first. Rows that repeat an id
-    follow each other. No rows give an empty manifest. Other columns are not read.
+    follow each other, in the order of a digest of their texts. Very long texts are encoded in windows.
+    No rows give an empty manifest. Other columns, whatever their names, are not read.
     """
     with open(vocabulary, encoding="utf-8") as f:
         data = f.read()
     work = Work(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    rows = ranges.by_range(rows, "id", F.octet_length("text") + 8, range_bytes)
-    rows = rows.sortWithinPartitions(F.col("id").asc_nulls_first(), "text").select("id", "text", "__range")
+    rows = ranges.by_range(rows, "id", F.octet_length("text") + 8, range_bytes, F.col("text"))
+    rows = rows.sortWithinPartitions(F.col("id").asc_nulls_first(), "__t", "text").select("id", "text", "__range")
     made = rows.mapInArrow(_write(data, f"{work.folder}/files", end_id, special_as_text), MANIFEST)
     return ranges.running_start(work.table(made, "manifest"), ["shard", "part"], "ids", "start")
 
@@ -348,7 +363,7 @@ def _read(folder: str):
                             ["id", "start", "n_tokens", "ids"],
                         )
 
-    return run
+    return memory.tidy(run)
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

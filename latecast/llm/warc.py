@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latecast.llm import files, ranges
+from latecast.llm import files, memory, ranges
 from latecast.llm.shared import Work, shared_folder, whole_text
 
 LEAST_BYTES = 100
@@ -105,7 +105,7 @@ def _write(folder: str, file_bytes: int):
         made, part, shard = [], 0, 0
         out = names = None
         size = records = 0
-        page, decided = None, {}
+        decided = None
 
         def closed() -> None:
             out.close()
@@ -116,17 +116,15 @@ def _write(folder: str, file_bytes: int):
             columns = [batch.column(c) for c in ("id", "is_page", "url", "html", "digest", "refers", "__range")]
             for row in range(batch.num_rows):
                 id_, is_page, url, html, digest, refers, shard = (c[row].as_py() for c in columns)
-                if id_ != page:
-                    page, decided = id_, {}
                 if not is_page:
-                    decided[digest] = refers
+                    decided = (id_, digest, refers)
                     continue
                 payload = html.encode()
                 if out is None:
                     names = files.start(folder, f"pages-{shard:06d}-{part:04d}.warc.gz")
                     out, size, records = names[0].open_output_stream(names[1], compression=None), 0, 0
-                known = hashlib.sha256(payload).hexdigest() if decided else None
-                data = record(id_, url, payload, decided.get(known))
+                known = decided[2] if decided and decided[:2] == (id_, digest) else None
+                data = record(id_, url, payload, known)
                 out.write(data)
                 size += len(data)
                 records += 1
@@ -142,7 +140,7 @@ def _write(folder: str, file_bytes: int):
             ["shard", "part", "path", "records", "bytes"],
         )
 
-    return run
+    return memory.tidy(run)
 
 
 def revisits(light: DataFrame, work: Work, least: int) -> DataFrame:
@@ -165,7 +163,8 @@ def write_warc(
 
     Null html is an empty payload, a null url a ``urn:page:`` name. A null id comes first and is
     nobody's original while another row has an id. Rows that repeat the smallest id of a payload are
-    responses all. No rows give no files. Other columns are not read.
+    responses all. Very long payloads are one record each, held by one task. No rows give no files. Other
+    columns, whatever their names, are not read.
     """
     work = Work(pages.sparkSession, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"),
@@ -176,14 +175,17 @@ def write_warc(
     )
     decided = revisits(light, work, least)
     both = rows.select(
-        "id", F.lit(True).alias("is_page"), "url", "html", F.lit(None).cast("string").alias("digest"),
-        F.lit(None).cast("long").alias("refers"),
+        "id", F.lit(True).alias("is_page"), "url", "html",
+        F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.lit(None).cast("long").alias("refers"),
     ).unionByName(
         decided.select("id", F.lit(False).alias("is_page"), F.lit(None).cast("string").alias("url"),
                        F.lit("").alias("html"), "digest", "refers")
     )
-    ordered = ranges.by_range(both, "id", F.octet_length("html") + 100, range_bytes)
-    ordered = ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "is_page", "url", "html")
+    # A decision and the pages it is for have the same digest, so they stay together wherever an id is cut.
+    ordered = ranges.by_range(both, "id", F.octet_length("html") + 100, range_bytes, F.col("digest"))
+    ordered = ordered.sortWithinPartitions(
+        F.col("id").asc_nulls_first(), "__t", "digest", "is_page", "url", "html"
+    ).drop("__t")
     return work.table(
         ordered.mapInArrow(_write(f"{work.folder}/files", file_bytes), MANIFEST), "manifest"
     )
@@ -232,7 +234,7 @@ def _read(folder: str, payloads: bool):
                 if rows:
                     yield batch_of(rows)
 
-    return run
+    return memory.tidy(run)
 
 
 def read_warc(manifest: DataFrame, *, payloads: bool = True) -> DataFrame:
