@@ -127,26 +127,26 @@ def has(packed: bytes, hashes: np.ndarray) -> np.ndarray:
 
 
 def contains(spark, packed: bytes):
-    """A column function: may this hash be in the filter?"""
+    """A column function: may this hash be in the filter? Arrow arrays alone, so workers need no pandas for it."""
     shared = spark.sparkContext.broadcast(packed)
 
-    def run(hashes):
-        import pandas as pd
+    def run(hashes: pa.Array) -> pa.Array:
+        return pa.array(has(shared.value, hashes.to_numpy(zero_copy_only=False)))
 
-        return pd.Series(has(shared.value, hashes.to_numpy()))
+    return F.arrow_udf(run, "boolean")
 
-    import pandas as pd
 
-    run.__annotations__ = {"hashes": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "boolean")
+def names_of(keys: DataFrame, *, bits_per_row: int = 16, most_bits: int = 1 << 29) -> bytes:
+    """The filter of the written ``keys``, 64-bit hashes.
 
-
-def named_by(keys: DataFrame, *, bits_per_row: int = 16, most_bits: int = 1 << 29):
-    """A column function: may this 64-bit hash be one of the written ``keys``?
-
-    Beyond ``most_bits`` the filter does not grow: it names more rows wrongly, and callers check exactly.
+    Beyond ``most_bits`` it does not grow: it names more rows wrongly, and callers check exactly.
     """
     bits = SEGMENT_BITS
     while bits < min(most_bits, keys.count() * bits_per_row):
         bits *= 2
-    return contains(keys.sparkSession, filter_of(keys, bits, 1))
+    return filter_of(keys, bits, 1)
+
+
+def named_by(keys: DataFrame, *, bits_per_row: int = 16, most_bits: int = 1 << 29):
+    """A column function: may this 64-bit hash be one of the written ``keys``?"""
+    return contains(keys.sparkSession, names_of(keys, bits_per_row=bits_per_row, most_bits=most_bits))

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,16 +164,23 @@ def _sketch(size: int):
     return memory.tidy(run)
 
 
-def _signs(column: pa.Array) -> pa.Array:
-    """Size and fingerprint of each text's set."""
-    buffer, offsets = pieces.text_buffer(column)
-    sizes, prints = [], []
-    for first, last in pieces.slices(pa.record_batch([column], ["text"]), offsets):
-        for items in shingle_sets(buffer, offsets[first:last + 1]):
-            sizes.append(len(items))
-            prints.append(fingerprint(items))
-    columns = [sizes, [p[0] for p in prints], [p[1] for p in prints]]
-    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in columns], ["n", "node", "check"])
+def _signs(named: Broadcast):
+    """Size and fingerprint of each text's set; null where the filter does not name the hash beside it."""
+
+    def run(hashes: pa.Array, texts: pa.Array) -> pa.Array:
+        may = bloom.has(named.value, hashes.to_numpy(zero_copy_only=False))
+        chosen = texts.filter(pa.array(may))
+        signs = []
+        if len(chosen):
+            buffer, offsets = pieces.text_buffer(chosen)
+            for first, last in pieces.slices(pa.record_batch([chosen], ["text"]), offsets):
+                signs += [(len(x), *fingerprint(x)) for x in shingle_sets(buffer, offsets[first:last + 1])]
+        columns = np.zeros((3, len(may)), np.int64)
+        columns[:, may] = np.array(signs, np.int64).reshape(-1, 3).T
+        return pa.StructArray.from_arrays(
+            [pa.array(x) for x in columns], ["n", "node", "check"], mask=pa.array(~may))
+
+    return run
 
 
 def _bands(bands: int):
@@ -191,18 +199,26 @@ def _bands(bands: int):
     return memory.tidy(run)
 
 
-@memory.tidy
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buffer, offsets = pieces.text_buffer(batch.column(0))
-        for first, last in pieces.slices(batch, offsets):
-            found = list(shingle_sets(buffer, offsets[first:last + 1]))
-            prints = [fingerprint(x) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
-                 pa.array([x.tobytes() for x in found], pa.binary())],
-                ["node", "check", "items"],
-            )
+def _sets(named: Broadcast):
+    """The sets of the texts whose hash beside them the filter names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            may = bloom.has(named.value, batch.column(0).to_numpy())
+            if not may.any():
+                continue
+            texts = batch.column(1).filter(pa.array(may))
+            buffer, offsets = pieces.text_buffer(texts)
+            for first, last in pieces.slices(pa.record_batch([texts], ["text"]), offsets):
+                found = list(shingle_sets(buffer, offsets[first:last + 1]))
+                prints = [fingerprint(x) for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
+                     pa.array([x.tobytes() for x in found], pa.binary())],
+                    ["node", "check", "items"],
+                )
+
+    return memory.tidy(run)
 
 
 @memory.tidy
@@ -404,9 +420,9 @@ class Links:
             "named",
         )
         key = F.xxhash64("id")
-        wanted = bloom.named_by(named.select(key.alias("h")))
-        sets = self.docs.withColumn("h", key).where(wanted("h")).select("text").mapInArrow(
-            _sets, "node long, check long, items binary")
+        wanted = self.spark.sparkContext.broadcast(bloom.names_of(named.select(key.alias("h"))))
+        sets = self.docs.select(key.alias("h"), "text").mapInArrow(
+            _sets(wanted), "node long, check long, items binary")
         with rows_in_batch(self.spark, SET_ROWS):
             self.sets = self.work.table(
                 sets.join(named.select("node", "check"), ["node", "check"], "left_semi")
@@ -656,12 +672,14 @@ def _without_near_copies(docs: DataFrame, id_col: str, text_col: str, threshold:
         rows.groupBy(*key).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("rows"))
         .where("not stays or rows > 1").select(*(F.col(x).alias(f"__{x}") for x in key), "stays"), "listed",
     )
-    named = bloom.named_by(listed.select(F.xxhash64("__id").alias("h")))
+    names = bloom.names_of(listed.select(F.xxhash64("__id").alias("h")))
     id_ = F.col(id_col).cast("long")
-    rows = docs.withColumn("__may", named(F.xxhash64(id_)))
-    straight = rows.where("not __may").drop("__may")
-    sign = F.arrow_udf(_signs, "struct<n: long, node: long, check: long>")
-    suspects = rows.where("__may").drop("__may").withColumn("__set", sign(whole_text(text_col)))
+    straight = docs.where(~bloom.contains(docs.sparkSession, names)(F.xxhash64(id_)))
+    # One function filters and signs: two in a row would be two workers a task, each with its memory. Optimised as
+    # if it were not deterministic, it is not copied into the filter.
+    named = docs.sparkSession.sparkContext.broadcast(names)
+    sign = F.arrow_udf(_signs(named), "struct<n: long, node: long, check: long>").asNondeterministic()
+    suspects = docs.withColumn("__set", sign(F.xxhash64(id_), whole_text(text_col))).where("__set is not null")
     match = id_.eqNullSafe(F.col("__id"))
     for x in ("node", "check", "n"):
         match &= F.col(f"__set.{x}") == F.col(f"__{x}")

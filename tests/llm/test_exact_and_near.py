@@ -3,6 +3,7 @@ import random
 
 import cases
 import pytest
+from pyspark.util import PythonEvalType
 
 from latecast.llm import bloom, exact_dedup, near_dup
 
@@ -134,6 +135,42 @@ def test_near_rows_that_stay_are_judged_by_their_own_text(spark):
     assert len(worded) == len(set(worded)) and set(worded) == set(texts.values())
 
 
+def python_steps(df, capsys):
+    """The most Python steps that follow each other in one stage, and the plan's text."""
+    capsys.readouterr()
+    df.explain()
+    text = capsys.readouterr().out
+    most, above = 0, []
+    for line in text.splitlines():
+        name = line.lstrip(" :+-*0123456789()")
+        depth = len(line) - len(name)
+        above = [x for x in above if x[0] < depth]
+        before = above[-1][1] if above else 0
+        steps = 0 if "Exchange" in name.split(" ")[0] else before + name.startswith(
+            ("MapInArrow", "MapInPandas", "ArrowEvalPython", "BatchEvalPython", "PythonMapInArrow"))
+        most = max(most, steps)
+        above.append((depth, steps))
+    return most, text
+
+
+def test_a_task_of_near_dedup_has_one_worker(spark, monkeypatch, capsys):
+    """No stage has two Python steps, which would be two workers a task, and filters are no pandas functions."""
+    plans, write = {}, near_dup.Work.table
+
+    def table(self, df, name):
+        plans[name] = python_steps(df, capsys)
+        return write(self, df, name)
+
+    monkeypatch.setattr(near_dup.Work, "table", table)
+    rows = cases.TEXTS + [(100 + i, cases.words(7, 300) + " end" * (i // 2), "a") for i in range(6)]
+    out = near_dup.without_near_copies(cases.frame(spark, rows), threshold=80)
+    plans["result"] = python_steps(out, capsys)
+    assert out.count() < len(rows)
+    assert {name for name, (steps, _) in plans.items() if steps} >= {"sketches", "bands", "sets", "result"}
+    assert {name: steps for name, (steps, _) in plans.items() if steps > 1} == {}
+    assert bloom.contains(spark, bytes(1)).evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
 def test_shingles_of_a_batch_of_few_words():
     import pyarrow as pa
 
